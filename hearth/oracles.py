@@ -98,10 +98,11 @@ def estate_ctes() -> list[tuple[str, str]]:
     return [(n, _conformed(n)) for n in TABLES]
 
 
-def with_estate(body: str, extra: list[tuple[str, str]] | None = None) -> str:
+def with_estate(body: str, extra: list[tuple[str, str]] | None = None, recursive: bool = False) -> str:
     """``body`` prefixed by the estate tables (and any extra CTEs) as a WITH clause."""
     ctes = estate_ctes() + list(extra or [])
-    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + body.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(f"{n} AS ({q})" for n, q in ctes) + "\n" + body.strip()
 
 
 def rank_case(col: str, values) -> str:
@@ -254,3 +255,168 @@ FROM visitor_records v JOIN residents res ON v.resident_id = res.resident_id {CH
     "staff_list": f"SELECT *, {rank_case('status', ('在职', '离职'))} status_rank FROM staff",
     "active_repairers": "SELECT * FROM staff WHERE role = '维修工' AND status = '在职'",
 }
+
+
+# ----------------------------------------------------------------------------- change batches
+
+AS_OF_SQL = "TIMESTAMP '2002-01-01 00:00:00'"
+OFFSET = 10_000_000_000
+
+BATCHES = {
+    "payments": """
+SELECT fee_id, CAST(k AS INTEGER) seq, CAST(CASE (fee_id + k) % 5 WHEN 0 THEN 0 WHEN 1 THEN (amount - paid_amount) * 0.4
+  WHEN 2 THEN (amount - paid_amount) * 0.7 WHEN 3 THEN (amount - paid_amount) * 0.6 ELSE 1 END AS DECIMAL(10,2)) pay_amount
+FROM (SELECT fee_id, amount, paid_amount, unnest(generate_series(1, 1 + fee_id % 5)) k FROM fee_records) x""",
+    "new_bills": """
+SELECT res.resident_id, fc.category_id,
+       CAST(CASE WHEN res.resident_id % 2 = 0 THEN 0 ELSE 12.34 END AS DECIMAL(10,2)) amount,
+       '2030-01' fee_period, DATE '2030-01-25' due_date
+FROM residents res CROSS JOIN fee_categories fc""",
+    "repair_changes": """
+SELECT order_id, CASE order_id % 9 WHEN 0 THEN '已完成' WHEN 1 THEN '处理中' WHEN 2 THEN '待处理' ELSE status END status
+FROM repair_orders""",
+    "complaint_changes": """
+SELECT complaint_id, CASE complaint_id % 3 WHEN 1 THEN '已解决' WHEN 2 THEN '处理中' ELSE status END status,
+       CASE WHEN complaint_id % 3 = 1 THEN 'done' END reply
+FROM complaints""",
+    "new_residents": f"""
+SELECT resident_id + {OFFSET} resident_id, room_id - room_id % 7 + 6 room_id, name, gender, phone,
+       CAST(CAST(id_card AS DECIMAL(20,0)) + {OFFSET} AS VARCHAR) id_card,
+       CASE WHEN resident_id % 3 = 0 THEN NULL ELSE relationship END relationship, move_in_date
+FROM residents""",
+    "staff_changes": "SELECT staff_id, CASE WHEN staff_id % 5 = 4 THEN '离职' ELSE status END status FROM staff",
+    "vehicle_changes": """
+SELECT vehicle_id, CASE vehicle_id % 3 WHEN 0 THEN '黑' WHEN 1 THEN '白' END color,
+       CASE WHEN vehicle_id % 3 = 2 THEN '电动车' ELSE vehicle_type END vehicle_type
+FROM vehicles""",
+    "repair_assignments": """
+SELECT order_id, CAST(CASE WHEN order_id % 3 = 0 THEN NULL ELSE (order_id % 10 + 1) * 4 END AS BIGINT) staff_id
+FROM repair_orders WHERE status IN ('待处理', '处理中')""",
+}
+
+
+def with_batches(body: str, *names: str, recursive: bool = False, extra=None) -> tuple:
+    return (body, [(n, BATCHES[n]) for n in names] + list(extra or []), recursive)
+
+
+PRICE = ("CAST(CASE WHEN {given} = 0 THEN CASE fc.calc_method WHEN '按面积' THEN ROUND(fc.unit_price * {area}, 2) "
+         "WHEN '固定' THEN fc.unit_price ELSE {given} END ELSE {given} END AS DECIMAL(10,2))")
+
+_OK = ("(w.known AND w.st_before <> '已缴' AND w.amt > 0 AND w.paid_before + w.amt <= w.amount)")
+_T2 = ("CASE WHEN w.paid_before + w.amt >= w.amount AND w.paid_before + w.amt > 0 THEN '已缴' "
+       "WHEN w.paid_before + w.amt > 0 AND w.paid_before + w.amt < w.amount THEN '部分缴纳' ELSE w.st_before END")
+_WALK = [
+    ("pay", "SELECT fee_id, seq, pay_amount amt, row_number() OVER (PARTITION BY fee_id ORDER BY seq, pay_amount) rn "
+            "FROM payments"),
+    ("walk", f"""
+SELECT p.fee_id, p.rn, p.seq, p.amt, f.fee_id IS NOT NULL known, f.amount,
+       CAST(f.paid_amount AS DECIMAL(10,2)) paid_before, f.status st_before
+FROM pay p LEFT JOIN fee_records f ON p.fee_id = f.fee_id WHERE p.rn = 1
+UNION ALL
+SELECT p.fee_id, p.rn, p.seq, p.amt, w.known, w.amount,
+       CAST(CASE WHEN {_OK} THEN w.paid_before + w.amt ELSE w.paid_before END AS DECIMAL(10,2)),
+       CASE WHEN {_OK} THEN {_T2} ELSE w.st_before END
+FROM walk w JOIN pay p ON p.fee_id = w.fee_id AND p.rn = w.rn + 1"""),
+    ("steps", f"""
+SELECT fee_id, seq, amt pay_amount,
+       CASE WHEN NOT known THEN 'UNKNOWN_FEE' WHEN st_before = '已缴' THEN 'ALREADY_PAID'
+            WHEN amt IS NULL OR amt <= 0 THEN 'NON_POSITIVE' WHEN paid_before + amt > amount THEN 'OVERPAY'
+            ELSE 'OK' END reason,
+       CAST(CASE WHEN {_OK.replace('w.', '')} THEN paid_before + amt ELSE paid_before END AS DECIMAL(10,2)) paid_after,
+       CASE WHEN {_OK.replace('w.', '')} THEN {_T2.replace('w.', '')} ELSE st_before END status_after
+FROM walk"""),
+]
+
+WRITES = {
+    "bill_amounts": with_batches(f"""
+SELECT nb.resident_id, nb.category_id, {PRICE.format(given="nb.amount", area="ra.area")} amount, nb.fee_period, nb.due_date
+FROM new_bills nb LEFT JOIN fee_categories fc ON nb.category_id = fc.category_id
+LEFT JOIN (SELECT res.resident_id, r.area FROM residents res JOIN rooms r ON res.room_id = r.room_id) ra
+  ON ra.resident_id = nb.resident_id""", "new_bills"),
+    "generate_bills": with_batches(f"""
+SELECT res.resident_id, fc.category_id, pv.fee_period, {PRICE.format(given="0", area="r.area")} amount,
+       CAST(0 AS DECIMAL(10,2)) paid_amount, '待缴' status, pv.due_date
+FROM residents res JOIN rooms r ON res.room_id = r.room_id CROSS JOIN fee_categories fc CROSS JOIN pv
+WHERE NOT EXISTS (SELECT 1 FROM fee_records fr WHERE fr.resident_id = res.resident_id
+                  AND fr.category_id = fc.category_id AND fr.fee_period = pv.fee_period)""",
+        extra=[("pv", "SELECT fee_period, CAST(try_strptime(fee_period || '-25', '%Y-%m-%d') AS DATE) due_date "
+                      "FROM (VALUES ('1998-03'), ('2030-01'), ('2030-13')) v(fee_period) "
+                      "WHERE try_strptime(fee_period || '-25', '%Y-%m-%d') IS NOT NULL")]),
+    "payment_status": f"""
+SELECT fee_id, amount, paid_amount,
+       CASE WHEN paid_amount >= amount AND paid_amount > 0 THEN '已缴'
+            WHEN paid_amount > 0 AND paid_amount < amount THEN '部分缴纳' ELSE status END status,
+       CASE WHEN paid_amount >= amount AND paid_amount > 0 THEN CAST({AS_OF_SQL} AS DATE) ELSE paid_date END paid_date
+FROM fee_records""",
+    "post_payments": with_batches("SELECT * FROM steps", "payments", recursive=True, extra=_WALK),
+    "ledger_after_payments": with_batches(f"""
+SELECT f.fee_id, f.resident_id, f.category_id, fc.category_name, f.amount,
+       coalesce(l.paid_after, f.paid_amount) paid_amount,
+       CAST(f.amount - coalesce(l.paid_after, f.paid_amount) AS DECIMAL(10,2)) remaining,
+       coalesce(l.status_after, f.status) status,
+       CASE WHEN l.closed_now = 1 THEN CAST({AS_OF_SQL} AS DATE) ELSE f.paid_date END paid_date, f.fee_period
+FROM fee_records f
+LEFT JOIN (SELECT fee_id, arg_max(paid_after, seq) paid_after, arg_max(status_after, seq) status_after,
+                  max(CASE WHEN reason = 'OK' AND status_after = '已缴' THEN 1 END) closed_now
+           FROM steps GROUP BY fee_id) l ON f.fee_id = l.fee_id
+LEFT JOIN fee_categories fc ON f.category_id = fc.category_id""", "payments", recursive=True, extra=_WALK),
+    "repair_completion": with_batches(f"""
+SELECT {", ".join(("coalesce(c.status, o.status) status" if c == "status" else
+                   f"CASE WHEN c.status = '已完成' AND o.status <> '已完成' THEN {AS_OF_SQL} ELSE o.completed_at END completed_at"
+                   if c == "completed_at" else f"o.{c}") for c in TABLES["repair_orders"].names)}
+FROM repair_orders o LEFT JOIN repair_changes c ON o.order_id = c.order_id""", "repair_changes"),
+    "complaint_resolution": with_batches(f"""
+SELECT {", ".join(("CASE WHEN c.complaint_id IS NOT NULL THEN c.status ELSE o.status END status" if c == "status" else
+                   "CASE WHEN c.complaint_id IS NOT NULL THEN c.reply ELSE o.reply END reply" if c == "reply" else
+                   f"CASE WHEN c.status = '已解决' AND o.status <> '已解决' THEN {AS_OF_SQL} ELSE o.resolved_at END resolved_at"
+                   if c == "resolved_at" else f"o.{c}") for c in TABLES["complaints"].names)}
+FROM complaints o LEFT JOIN complaint_changes c ON o.complaint_id = c.complaint_id""", "complaint_changes"),
+    "room_occupancy": with_batches(f"""
+SELECT {", ".join(("CASE WHEN r.room_id IN (SELECT room_id FROM new_residents) THEN '已入住' ELSE r.status END status"
+                   if c == "status" else f"r.{c}") for c in TABLES["rooms"].names)}
+FROM rooms r""", "new_residents"),
+    "staff_resignation": with_batches(f"""
+SELECT {", ".join(("CASE WHEN g.staff_id IS NOT NULL AND o.status IN ('待处理','处理中') THEN NULL ELSE o.staff_id END staff_id"
+                   if c == "staff_id" else
+                   "CASE WHEN g.staff_id IS NOT NULL AND o.status IN ('待处理','处理中') THEN '待处理' ELSE o.status END status"
+                   if c == "status" else f"o.{c}") for c in TABLES["repair_orders"].names)}
+FROM repair_orders o LEFT JOIN (SELECT s.staff_id FROM staff s JOIN staff_changes c ON s.staff_id = c.staff_id
+                                WHERE s.status = '在职' AND c.status = '离职') g ON o.staff_id = g.staff_id""",
+        "staff_changes"),
+    "apply_inserts": with_batches(f"""
+SELECT * FROM residents UNION ALL
+SELECT resident_id, room_id, name, gender, phone, id_card, coalesce(relationship, '业主') relationship, move_in_date,
+       {AS_OF_SQL} created_at FROM new_residents""", "new_residents"),
+    "apply_updates": with_batches(f"""
+SELECT {", ".join((f"CASE WHEN c.vehicle_id IS NOT NULL THEN c.{c} ELSE v.{c} END {c}" if c in ("color", "vehicle_type")
+                   else f"v.{c}") for c in TABLES["vehicles"].names)}
+FROM vehicles v LEFT JOIN vehicle_changes c ON v.vehicle_id = c.vehicle_id""", "vehicle_changes"),
+    "visit_exit": f"""
+SELECT {", ".join((f"CASE WHEN v.exit_time IS NULL THEN {AS_OF_SQL} ELSE v.exit_time END exit_time"
+                   if c == "exit_time" else f"v.{c}") for c in TABLES["visitor_records"].names)}
+FROM visitor_records v""",
+    "repair_assignment": with_batches(f"""
+SELECT {", ".join(("CASE WHEN a.order_id IS NOT NULL THEN a.staff_id ELSE o.staff_id END staff_id" if c == "staff_id" else
+                   "CASE WHEN a.order_id IS NULL THEN o.status WHEN a.staff_id IS NULL THEN '待处理' ELSE '处理中' END status"
+                   if c == "status" else f"o.{c}") for c in TABLES["repair_orders"].names)}
+FROM repair_orders o LEFT JOIN repair_assignments a ON o.order_id = a.order_id""", "repair_assignments"),
+    "set_null_on_delete": f"""
+SELECT {", ".join(("CASE WHEN v.space_id IN (SELECT space_id FROM parking_spaces WHERE status = '维修中') THEN NULL "
+                   "ELSE v.space_id END space_id" if c == "space_id" else f"v.{c}") for c in TABLES["vehicles"].names)}
+FROM vehicles v""",
+    "cascade_delete": """
+SELECT 'buildings' table_name, count(*) deleted_rows FROM gb UNION ALL
+SELECT 'units', count(*) FROM gu UNION ALL SELECT 'rooms', count(*) FROM gr UNION ALL
+SELECT 'residents', count(*) FROM gres UNION ALL
+SELECT 'vehicles', count(*) FROM vehicles WHERE resident_id IN (SELECT resident_id FROM gres) UNION ALL
+SELECT 'fee_records', count(*) FROM fee_records WHERE resident_id IN (SELECT resident_id FROM gres) UNION ALL
+SELECT 'repair_orders', count(*) FROM repair_orders WHERE resident_id IN (SELECT resident_id FROM gres) UNION ALL
+SELECT 'complaints', count(*) FROM complaints WHERE resident_id IN (SELECT resident_id FROM gres) UNION ALL
+SELECT 'visitor_records', count(*) FROM visitor_records WHERE resident_id IN (SELECT resident_id FROM gres)""",
+}
+WRITES["cascade_delete"] = (WRITES["cascade_delete"], [
+    ("gb", "SELECT building_id FROM buildings WHERE address IS NULL"),
+    ("gu", "SELECT unit_id FROM units WHERE building_id IN (SELECT building_id FROM gb)"),
+    ("gr", "SELECT room_id FROM rooms WHERE unit_id IN (SELECT unit_id FROM gu)"),
+    ("gres", "SELECT resident_id FROM residents WHERE room_id IN (SELECT room_id FROM gr)"),
+], False)

@@ -1,0 +1,29 @@
+"""Pairing every row of a large table with every row of a small dimension.
+
+Instead of a nested-loop product, the large side fans out to ordinals
+``1..n`` with a generator and meets the dimension on an equi-join, so the
+plan is a hash join whose output is exactly the pairs asked for.  The
+dimension is broadcast only after its row count is checked; beyond the
+bound the join is left to the planner (shuffle on the ordinal, AQE splits).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+MAX_BROADCAST_ROWS = 100_000
+
+
+def fan_out(big: DataFrame, small: DataFrame, order_col: str, ordinal: str = "__ord",
+            max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Every (big row, small row) pair; columns of both (names must not clash)."""
+    n = small.count()
+    numbered = small.withColumn(ordinal, F.row_number().over(Window.orderBy(order_col)))
+    if n <= max_broadcast_rows:
+        numbered = F.broadcast(numbered)          # size checked just above
+    fanned = big.withColumn(ordinal, F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))))
+    if n == 0:
+        fanned = fanned.filter(F.lit(False))
+    return fanned.join(numbered, ordinal, "inner").drop(ordinal)

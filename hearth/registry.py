@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
+from .operators import billing as B
+from .operators import changes as M
 from .operators import reports as R
+from .sources import batches as X
 from .sources.parquet import load_estate
 
 Job = Callable[[dict], DataFrame]
@@ -45,13 +48,39 @@ REPORT_JOBS: dict[str, Job] = {
 }
 
 
+AS_OF = X.AS_OF
+
+WRITE_JOBS: dict[str, Job] = {
+    "bill_amounts": lambda t: B.bill_amounts(X.new_bills(t), t),
+    "generate_bills": lambda t: B.generate_bills(t, X.PERIODS),
+    "payment_status": lambda t: B.payment_status(
+        t["fee_records"].select("fee_id", "amount", "paid_amount", "status", "paid_date"), AS_OF),
+    "post_payments": lambda t: B.post_payments(t["fee_records"], X.payments(t)),
+    "ledger_after_payments": lambda t: B.ledger_after_payments(
+        t["fee_records"], X.payments(t), t["fee_categories"], AS_OF),
+    "repair_completion": lambda t: M.repair_completion(t["repair_orders"], X.repair_changes(t), AS_OF),
+    "complaint_resolution": lambda t: M.complaint_resolution(t["complaints"], X.complaint_changes(t), AS_OF),
+    "room_occupancy": lambda t: M.room_occupancy(t["rooms"], X.new_residents(t)),
+    "staff_resignation": lambda t: M.staff_resignation(t["staff"], X.staff_changes(t),
+                                                       t["repair_orders"])["repair_orders"],
+    "apply_inserts": lambda t: M.apply_inserts(t["residents"], X.new_residents(t), "residents", AS_OF),
+    "apply_updates": lambda t: M.apply_updates(t["vehicles"], X.vehicle_changes(t), "vehicles"),
+    "visit_exit": lambda t: M.visit_exit(t["visitor_records"], X.open_visits(t), AS_OF),
+    "repair_assignment": lambda t: M.repair_assignment(t["repair_orders"], X.repair_assignments(t)),
+    "set_null_on_delete": lambda t: M.set_null_on_delete(t["vehicles"], "space_id", X.spaces_in_repair(t)),
+    "cascade_delete": lambda t: M.deleted_counts(t, "buildings", X.unaddressed_buildings(t)),
+}
+
+
 def jobs() -> dict[str, Job]:
     out = dict(REPORT_JOBS)
+    out.update(WRITE_JOBS)
     return out
 
 
-def sql_bodies() -> dict[str, str]:
+def sql_bodies() -> dict:
     out = dict(oracles.REPORTS)
+    out.update(oracles.WRITES)
     return out
 
 

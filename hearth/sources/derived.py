@@ -8,6 +8,8 @@ scans prune to the columns used and the work grows with the input.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Mapping
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,17 +19,47 @@ from ..schemas import TABLES, spark_type
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+# Declared schemas of the provided tables: reading with them skips footer inference.
+BASE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Cast to the declared schema; declared columns the source lacks become typed nulls."""
-    have = set(df.columns)
+    have = {f.name: f.dataType for f in df.schema.fields}
     cols = []
     for c in TABLES[table].columns:
-        src = F.col(c.name) if c.name in have else F.lit(None)
-        cols.append(src.cast(spark_type(c.dtype)).alias(c.name))
+        want = spark_type(c.dtype)
+        if have.get(c.name) == want:
+            cols.append(F.col(c.name))          # already the declared type: no cast node
+        else:
+            src = F.col(c.name) if c.name in have else F.lit(None)
+            cols.append(src.cast(want).alias(c.name))
     return df.select(*cols)
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small fixed table as a Spark-side literal (``inline`` of an array of structs).
+
+    Unlike ``createDataFrame`` over a Python list, the plan keeps exact size
+    statistics, so joins against it are broadcast.
+    """
+    fields = [f.strip().split(" ", 1) for f in re.split(r",(?![^()]*\))", ddl)]
+    structs = [F.struct(*[F.lit(v).cast(typ).alias(name) for v, (name, typ) in zip(row, fields)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def _case(col: Column, mapping: dict, default) -> Column:
     out = None
     for k, v in mapping.items():
@@ -43,8 +75,8 @@ def buildings(spark: SparkSession, region: DataFrame) -> DataFrame:
         F.when(k % 2 == 0, 18).otherwise(6).alias("total_floors"),
         F.when(k == 0, F.lit(None)).otherwise(F.concat(F.lit("Block "), F.col("r_name"))).alias("address"),
     )
-    extra = spark.createDataFrame([(99, "EMPTY", 12, None)],
-                                  "building_id bigint, building_name string, total_floors int, address string")
+    extra = literal_rows(spark, [(99, "EMPTY", 12, None)],
+                         "building_id bigint, building_name string, total_floors int, address string")
     return conform(b.unionByName(extra), "buildings")
 
 
@@ -55,8 +87,8 @@ def units(spark: SparkSession, nation: DataFrame) -> DataFrame:
         F.col("n_name").alias("unit_number"),
         F.lit(12).alias("floors"),
     )
-    extra = spark.createDataFrame([(999, 0, "NO ROOMS", 6)],
-                                  "unit_id bigint, building_id bigint, unit_number string, floors int")
+    extra = literal_rows(spark, [(999, 0, "NO ROOMS", 6)],
+                         "unit_id bigint, building_id bigint, unit_number string, floors int")
     return conform(u.unionByName(extra), "units")
 
 
@@ -123,8 +155,8 @@ FEE_CATEGORY_ROWS = [
 
 
 def fee_categories(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame(
-        FEE_CATEGORY_ROWS,
+    df = literal_rows(
+        spark, FEE_CATEGORY_ROWS,
         "category_id bigint, category_name string, billing_cycle string, calc_method string, unit_price decimal(10,4)")
     return conform(df, "fee_categories")
 
@@ -228,20 +260,43 @@ def visitor_records(events: DataFrame) -> DataFrame:
     ), "visitor_records")
 
 
-def derive_estate(spark: SparkSession, base: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """All thirteen estate tables from the provided base tables (lazy; nothing runs here)."""
-    return {
-        "buildings": buildings(spark, base["region"]),
-        "units": units(spark, base["nation"]),
-        "rooms": rooms(base["customer"]),
-        "residents": residents(base["customer"]),
-        "parking_spaces": parking_spaces(base["part"]),
-        "vehicles": vehicles(base["customer"]),
-        "fee_categories": fee_categories(spark),
-        "fee_records": fee_records(base["lineitem"], base["orders"]),
-        "staff": staff(base["supplier"]),
-        "repair_orders": repair_orders(base["orders"]),
-        "complaints": complaints(base["events"]),
-        "announcements": announcements(base["events"]),
-        "visitor_records": visitor_records(base["events"]),
-    }
+class LazyTables(Mapping):
+    """A read-only table mapping whose entries are built on first use and then reused."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+        self._builders = builders
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._builders[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self) -> int:
+        return len(self._builders)
+
+
+def derive_estate(spark: SparkSession, base: Mapping[str, DataFrame]) -> LazyTables:
+    """All thirteen estate tables from the provided base tables.
+
+    Lazy twice over: a table is only planned when a job asks for it, and
+    nothing runs until the job's result is written.
+    """
+    return LazyTables({
+        "buildings": lambda: buildings(spark, base["region"]),
+        "units": lambda: units(spark, base["nation"]),
+        "rooms": lambda: rooms(base["customer"]),
+        "residents": lambda: residents(base["customer"]),
+        "parking_spaces": lambda: parking_spaces(base["part"]),
+        "vehicles": lambda: vehicles(base["customer"]),
+        "fee_categories": lambda: fee_categories(spark),
+        "fee_records": lambda: fee_records(base["lineitem"], base["orders"]),
+        "staff": lambda: staff(base["supplier"]),
+        "repair_orders": lambda: repair_orders(base["orders"]),
+        "complaints": lambda: complaints(base["events"]),
+        "announcements": lambda: announcements(base["events"]),
+        "visitor_records": lambda: visitor_records(base["events"]),
+    })

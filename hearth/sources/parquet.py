@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TABLES
-from .derived import BASE_TABLES, derive_estate
+from .derived import BASE_SCHEMAS, BASE_TABLES, LazyTables, derive_estate
 
 
-def read_base(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> dict[str, DataFrame]:
-    """The provided tables, one Parquet file each (``{sf_dir}/{name}.parquet``)."""
-    return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
+def read_base(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> LazyTables:
+    """The provided tables, one Parquet file each (``{sf_dir}/{name}.parquet``), opened on first use."""
+    def opener(n):
+        reader = spark.read.schema(BASE_SCHEMAS[n]) if n in BASE_SCHEMAS else spark.read
+        return lambda: reader.parquet(f"{sf_dir}/{n}.parquet")
+    return LazyTables({n: opener(n) for n in names})
 
 
 def load_estate(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -23,9 +26,10 @@ def load_estate(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 PARTITION_COLUMNS = {"fee_records": ["fee_period"]}
 
 
-def write_estate(tables: dict[str, DataFrame], path: str, mode: str = "overwrite") -> None:
+def write_estate(tables, path: str, mode: str = "overwrite") -> None:
     """Write each table to ``{path}/{table}`` as Parquet (bills partitioned by period)."""
-    for name, df in tables.items():
+    for name in tables:
+        df = tables[name]
         w = df.write.mode(mode)
         parts = PARTITION_COLUMNS.get(name)
         if parts:
@@ -34,14 +38,12 @@ def write_estate(tables: dict[str, DataFrame], path: str, mode: str = "overwrite
         w.parquet(f"{path}/{name}")
 
 
-def read_estate(spark: SparkSession, path: str, names=None) -> dict[str, DataFrame]:
+def read_estate(spark: SparkSession, path: str, names=None) -> LazyTables:
     """Read estate tables written by :func:`write_estate`, with the declared schemas (no inference)."""
-    out = {}
-    for name in names or TABLES:
+    def opener(name):
         t = TABLES[name]
-        df = spark.read.schema(t.spark_schema).parquet(f"{path}/{name}")
-        out[name] = df.select(*t.names)
-    return out
+        return lambda: spark.read.schema(t.spark_schema).parquet(f"{path}/{name}").select(*t.names)
+    return LazyTables({n: opener(n) for n in names or TABLES})
 
 
 def append_rows(df: DataFrame, path: str, table: str | None = None) -> None:
