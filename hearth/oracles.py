@@ -420,3 +420,65 @@ WRITES["cascade_delete"] = (WRITES["cascade_delete"], [
     ("gr", "SELECT room_id FROM rooms WHERE unit_id IN (SELECT unit_id FROM gu)"),
     ("gres", "SELECT resident_id FROM residents WHERE room_id IN (SELECT room_id FROM gr)"),
 ], False)
+
+
+# ----------------------------------------------------------------------------- integrity (on dirtied tables)
+
+def _dirty_ctes() -> list[tuple[str, str]]:
+    from .sources.dirty import twin_sql
+    return [(f"d_{n}", f"SELECT * FROM {n} UNION ALL {twin_sql(n)}") for n in TABLES]
+
+
+def _norm(c: str) -> str:
+    return f"lower(rtrim(strip_accents({c})))"
+
+
+def _integrity() -> dict:
+    pk = " UNION ALL ".join(
+        f"SELECT '{n}' table_name, {s.key} key_value, count(*) n FROM d_{n} GROUP BY {s.key} "
+        f"HAVING count(*) > 1 OR {s.key} IS NULL" for n, s in TABLES.items())
+    uq = []
+    for n, s in TABLES.items():
+        for cols in s.uniques:
+            text = [c for c in cols if s.column(c).dtype == "string"]
+            grp = ", ".join(_norm(c) if c in text else c for c in cols)
+            shown = " || '|' || ".join(f"min({c})" if c in text else f"CAST({c} AS VARCHAR)" for c in cols)
+            uq.append(f"SELECT '{n}' table_name, '{','.join(cols)}' constraint_name, {shown} key_text, count(*) n "
+                      f"FROM d_{n} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)} "
+                      f"GROUP BY {grp} HAVING count(*) > 1")
+    fk = []
+    for n, s in TABLES.items():
+        for r in s.refs:
+            fk.append(f"SELECT '{n}' table_name, '{r.column}' column_name, c.{s.key} row_key, c.{r.column} ref_value "
+                      f"FROM d_{n} c WHERE c.{r.column} IS NOT NULL AND NOT EXISTS "
+                      f"(SELECT 1 FROM d_{r.parent} p WHERE p.{r.parent_key} = c.{r.column})")
+    nulls, lens, chk, enum = [], [], [], []
+    for n, s in TABLES.items():
+        for c in s.columns:
+            if not c.nullable:
+                nulls.append(f"SELECT '{n}' table_name, '{c.name}' column_name, "
+                             f"CAST(count(*) FILTER (WHERE {c.name} IS NULL) AS BIGINT) null_rows FROM d_{n}")
+            if c.length is not None:
+                lens.append(f"SELECT '{n}' table_name, '{c.name}' column_name, "
+                            f"CAST(count(*) FILTER (WHERE length({c.name}) > {c.length}) AS BIGINT) too_long FROM d_{n}")
+            if c.domain:
+                dom = ", ".join(f"'{v}'" for v in c.domain)
+                enum.append(f"SELECT '{n}' table_name, '{c.name}' column_name, {s.key} row_key, {c.name} value "
+                            f"FROM d_{n} WHERE {c.name} NOT IN ({dom})")
+        for rule, cond in s.checks:
+            chk.append(f"SELECT '{n}' table_name, '{rule}' rule_name, {s.key} row_key FROM d_{n} WHERE NOT ({cond})")
+    return {
+        "pk_duplicates": pk,
+        "unique_violations": " UNION ALL ".join(uq),
+        "fk_orphans": " UNION ALL ".join(fk),
+        "null_violations": f"SELECT * FROM ({' UNION ALL '.join(nulls)}) x WHERE null_rows > 0",
+        "length_violations": f"SELECT * FROM ({' UNION ALL '.join(lens)}) x WHERE too_long > 0",
+        "check_violations": " UNION ALL ".join(chk),
+        "enum_violations": " UNION ALL ".join(enum),
+    }
+
+
+INTEGRITY = {k: (v, _dirty_ctes(), False) for k, v in _integrity().items()}
+INTEGRITY["duplicate_bills"] = """
+SELECT resident_id, category_id, fee_period, count(*) n FROM fee_records
+GROUP BY resident_id, category_id, fee_period HAVING count(*) > 1"""

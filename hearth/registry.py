@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .operators import billing as B
 from .operators import changes as M
+from .operators import integrity as I
 from .operators import reports as R
 from .sources import batches as X
+from .sources.dirty import dirty_estate
 from .sources.parquet import load_estate
 
 Job = Callable[[dict], DataFrame]
@@ -72,15 +74,29 @@ WRITE_JOBS: dict[str, Job] = {
 }
 
 
+INTEGRITY_JOBS: dict[str, Job] = {
+    "pk_duplicates": lambda t: I.pk_duplicates(dirty_estate(t)),
+    "unique_violations": lambda t: I.unique_violations(dirty_estate(t)),
+    "fk_orphans": lambda t: I.fk_orphans(dirty_estate(t)),
+    "null_violations": lambda t: I.null_violations(dirty_estate(t)),
+    "check_violations": lambda t: I.check_violations(dirty_estate(t)),
+    "enum_violations": lambda t: I.enum_violations(dirty_estate(t)),
+    "length_violations": lambda t: I.length_violations(dirty_estate(t)),
+    "duplicate_bills": I.duplicate_bills,
+}
+
+
 def jobs() -> dict[str, Job]:
     out = dict(REPORT_JOBS)
     out.update(WRITE_JOBS)
+    out.update(INTEGRITY_JOBS)
     return out
 
 
 def sql_bodies() -> dict:
     out = dict(oracles.REPORTS)
     out.update(oracles.WRITES)
+    out.update(oracles.INTEGRITY)
     return out
 
 
