@@ -26,10 +26,6 @@ MONEY = "decimal(10,2)"
 # fixed values: outcome of each payment
 OK, UNKNOWN_FEE, ALREADY_PAID, NON_POSITIVE, OVERPAY = "OK", "UNKNOWN_FEE", "ALREADY_PAID", "NON_POSITIVE", "OVERPAY"
 
-# A bill's payments are folded inside one row while they number at most this; bills with
-# more take the streaming path, so no single row or task buffers an unbounded group.
-FOLD_LIMIT = 1024
-
 
 def _as_of(as_of) -> Column:
     if as_of is None:
@@ -118,78 +114,115 @@ def payment_status(fees: DataFrame, as_of=None) -> DataFrame:
 
 # ----------------------------------------------------------------------------- B3: the payment fold
 
-_STEP_TYPE = ("array<struct<seq:int,pay_amount:decimal(10,2),reason:string,paid_after:decimal(10,2),"
-              "status_after:string>>")
-
-
-def _fold_in_row(joined: DataFrame) -> DataFrame:
-    """JVM fold for bills with few payments: one sorted array per bill, walked by ``aggregate``."""
-    grouped = joined.groupBy("fee_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "amt"))).alias("pays"),
-        F.first("amount").alias("amount"), F.first("paid0").alias("paid0"), F.first("status0").alias("status0"),
-        F.first("known").alias("known"))
-    amount = F.col("amount")
-
-    def step(acc, x):
-        closed = acc["st"] == S.FEE_PAID
-        after = acc["paid"] + x["amt"]            # decimal(11,2): compared before it is narrowed
-        reason = (F.when(~F.col("known"), F.lit(UNKNOWN_FEE)).when(closed, F.lit(ALREADY_PAID))
-                   .when(x["amt"].isNull() | (x["amt"] <= 0), F.lit(NON_POSITIVE))
-                   .when(after > amount, F.lit(OVERPAY)).otherwise(F.lit(OK)))
-        ok = reason == OK
-        paid = F.when(ok, after.cast(MONEY)).otherwise(acc["paid"]).cast(MONEY)
-        st = F.when(ok, F.when((paid >= amount) & (paid > 0), S.FEE_PAID)
-                         .when((paid > 0) & (paid < amount), S.FEE_PARTIAL).otherwise(acc["st"])).otherwise(acc["st"])
-        rec = F.struct(x["seq"].alias("seq"), x["amt"].alias("pay_amount"), reason.alias("reason"),
-                       paid.alias("paid_after"),
-                       st.alias("status_after"))
-        return F.struct(paid.alias("paid"), st.alias("st"), F.concat(acc["out"], F.array(rec)).alias("out"))
-
-    init = F.struct(F.col("paid0").cast(MONEY).alias("paid"), F.col("status0").alias("st"),
-                    F.array().cast(_STEP_TYPE).alias("out"))
-    folded = grouped.select("fee_id", F.aggregate("pays", init, step)["out"].alias("out"))
-    return folded.select("fee_id", F.explode("out").alias("r")).select(
-        "fee_id", "r.seq", "r.pay_amount", "r.reason", "r.paid_after", "r.status_after")
-
-
-def _fold_streaming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Exact fold over payments sorted by (fee_id, seq), state carried across Arrow batches.
-
-    Used for bills with more than ``FOLD_LIMIT`` payments: memory stays at one
-    batch however many payments one bill has.
+# Outcome codes inside the fold (mapped back to the reason texts on the JVM side).
+_REASONS = [OK, UNKNOWN_FEE, ALREADY_PAID, NON_POSITIVE, OVERPAY]
+_OK, _UNKNOWN, _ALREADY, _NONPOS, _OVER = range(5)
+# Status codes: 0 = the bill's status before the batch, 1 = 部分缴纳, 2 = 已缴.
+_KEEP, _PART, _PAID = 0, 1, 2
+
+# Positions folded in lock-step across all bills of a batch; a bill with more payments
+# continues with the run-skipping loop below.
+LOCKSTEP_POSITIONS = 64
+_SCAN = 4096
+
+_FOLD_OUT = ("fee_id long, seq int, amt_c long, amt_null boolean, status0 string, reason int, "
+             "paid_c long, code int")
+
+
+def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Exact payment fold over rows sorted by (fee_id, seq); money in integer cents.
+
+    All bills of an Arrow batch advance together, one payment position per
+    numpy step; payments past ``LOCKSTEP_POSITIONS`` of one bill are walked by
+    jumping from one acceptable payment to the next (refused runs in between
+    are classified in bulk).  A bill that spans batches carries its state over.
     """
-    from decimal import Decimal
-    cur, paid, st, amount, known = None, None, None, None, False
+    import numpy as np
+
+    carry = None     # (fee_id, paid, code) of the last bill of the previous batch
     for pdf in batches:
-        reasons, paids, sts = [], [], []
-        for fee, amt, a, p0, s0, kn in zip(pdf["fee_id"], pdf["amt"], pdf["amount"], pdf["paid0"],
-                                             pdf["status0"], pdf["known"]):
-            if fee != cur:
-                cur, amount, known = fee, a, bool(kn)
-                paid, st = p0, s0
-            if not known:
-                reason = UNKNOWN_FEE
-            elif st == S.FEE_PAID:
-                reason = ALREADY_PAID
-            elif amt is None or pd.isna(amt) or amt <= 0:
-                reason = NON_POSITIVE
-            elif paid + amt > amount:
-                reason = OVERPAY
-            else:
-                reason = OK
-                paid = (paid + amt).quantize(Decimal("0.01"))
-                if paid >= amount and paid > 0:
-                    st = S.FEE_PAID
-                elif 0 < paid < amount:
-                    st = S.FEE_PARTIAL
-            reasons.append(reason)
-            paids.append(paid)
-            sts.append(st)
-        yield pd.DataFrame({"fee_id": pdf["fee_id"], "seq": pdf["seq"], "pay_amount": pdf["amt"], "reason": reasons,
-                            "paid_after": paids, "status_after": sts})
-
-
-def post_payments(fees: DataFrame, payments: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+        n = len(pdf)
+        if n == 0:
+            continue
+        fee = pdf["fee_id"].to_numpy(np.int64)
+        x = pdf["amt_c"].to_numpy(np.int64)
+        xnull = pdf["amt_null"].to_numpy(bool)
+        A = pdf["amount_c"].to_numpy(np.int64)
+        known = pdf["known"].to_numpy(bool)
+        start = np.ones(n, bool)
+        start[1:] = fee[1:] != fee[:-1]
+        g = np.cumsum(start) - 1
+        first = np.flatnonzero(start)
+        pos = np.arange(n) - first[g]
+        gA = A[first]
+        gknown = known[first]
+        paid = pdf["paid0_c"].to_numpy(np.int64)[first].copy()
+        code = np.zeros(len(first), np.int64)
+        closed0 = pdf["closed0"].to_numpy(bool)[first]
+        if carry is not None and fee[0] == carry[0]:
+            paid[0], code[0] = carry[1], carry[2]
+        reason = np.empty(n, np.int64)
+        paid_after = np.empty(n, np.int64)
+        code_after = np.empty(n, np.int64)
+
+        def step(rows):
+            gs = g[rows]
+            closed = (closed0[gs] & (code[gs] == _KEEP)) | (code[gs] == _PAID)
+            xv = x[rows]
+            tot = paid[gs] + xv
+            r = np.where(~gknown[gs], _UNKNOWN, np.where(closed, _ALREADY, np.where(
+                xnull[rows] | (xv <= 0), _NONPOS, np.where(tot > gA[gs], _OVER, _OK))))
+            ok = r == _OK
+            og = gs[ok]
+            paid[og] = tot[ok]
+            pa, aa = paid[og], gA[og]
+            code[og] = np.where((pa >= aa) & (pa > 0), _PAID, np.where((pa > 0) & (pa < aa), _PART, code[og]))
+            reason[rows] = r
+            paid_after[rows] = paid[gs]
+            code_after[rows] = code[gs]
+
+        top = int(pos.max())
+        for p in range(min(top, LOCKSTEP_POSITIONS - 1) + 1):
+            step(np.flatnonzero(pos == p))
+        if top >= LOCKSTEP_POSITIONS:
+            ends = np.append(first[1:], n)
+            for gi in np.flatnonzero(ends - first > LOCKSTEP_POSITIONS):
+                i, end = first[gi] + LOCKSTEP_POSITIONS, ends[gi]
+                while i < end:
+                    closed = (closed0[gi] and code[gi] == _KEEP) or code[gi] == _PAID
+                    if not gknown[gi] or closed:
+                        rows = np.arange(i, end)
+                        step(rows)            # every remaining payment gets the same outcome
+                        break
+                    room = gA[gi] - paid[gi]
+                    seg = slice(i, min(i + _SCAN, end))
+                    fits = ~xnull[seg] & (x[seg] > 0) & (x[seg] <= room)
+                    j = i + int(np.argmax(fits)) if fits.any() else seg.stop
+                    if j > i:                 # refused run: nothing changes inside it
+                        rows = np.arange(i, j)
+                        reason[rows] = np.where(xnull[rows] | (x[rows] <= 0), _NONPOS, _OVER)
+                        paid_after[rows] = paid[gi]
+                        code_after[rows] = code[gi]
+                    if j < seg.stop:
+                        step(np.array([j]))
+                        i = j + 1
+                    else:
+                        i = j
+        carry = (fee[-1], paid[-1], code[-1])
+        yield pd.DataFrame({"fee_id": fee, "seq": pdf["seq"].to_numpy(np.int32), "amt_c": x, "amt_null": xnull,
+                            "status0": pdf["status0"], "reason": reason.astype(np.int32),
+                            "paid_c": paid_after, "code": code_after.astype(np.int32)})
+
+
+def _cents(c: Column) -> Column:
+    return (c.cast(MONEY) * 100).cast("bigint")
+
+
+def _money(c: Column) -> Column:
+    return (c.cast("decimal(20,0)") / 100).cast(MONEY)
+
+
+def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
     """Apply payments (fee_id, seq, pay_amount) to bills in seq order, one outcome per payment.
 
     Checks, in order: unknown bill; bill already 已缴; amount ≤ 0; paid + amount
@@ -197,33 +230,39 @@ def post_payments(fees: DataFrame, payments: DataFrame, fold_limit: int = FOLD_L
     later payments are still tried; status follows T2 after every acceptance.
     Out: fee_id, seq, pay_amount, reason, paid_after, status_after.
 
-    The bill state is joined to the payments once (shuffle on fee_id; AQE
-    splits a bill that holds a large share of payments).  Bills with at most
-    ``fold_limit`` payments fold inside one row on the JVM; the rare larger
-    ones are sorted and folded by a streaming pass.
+    Plan: payments ⟕ bill state on fee_id (AQE picks broadcast or sort-merge
+    and splits skewed partitions), then one hash exchange on fee_id with a sort
+    by (fee_id, seq), and an Arrow-batched fold.  A bill's payments form one
+    ordered chain — a refusal depends on every acceptance before it — so a
+    bill is never split, but it is streamed: no task holds a bill's payments
+    in memory at once.
     """
     pay = payments.select("fee_id", F.col("seq").cast("int").alias("seq"),
-                          F.col("pay_amount").cast(MONEY).alias("amt"))
-    led = fees.select(F.col("fee_id").alias("l_fee_id"), "amount", F.col("paid_amount").alias("paid0"),
-                      F.col("status").alias("status0"))
-    joined = (pay.join(led, pay.fee_id == led.l_fee_id, "left")
-                 .withColumn("known", F.col("l_fee_id").isNotNull()).drop("l_fee_id"))
-    sizes = pay.groupBy(F.col("fee_id").alias("h_fee_id")).agg(F.count(F.lit(1)).alias("n"))
-    hot = sizes.filter(F.col("n") > fold_limit).select("h_fee_id")
-    small = joined.join(hot, joined.fee_id == hot.h_fee_id, "left_anti")
-    big = joined.join(hot, joined.fee_id == hot.h_fee_id, "left_semi")
-    out_small = _fold_in_row(small)
-    out_big = (big.repartition("fee_id").sortWithinPartitions("fee_id", "seq", "amt")
-                  .select("fee_id", "seq", "amt", "amount", "paid0", "status0", "known")
-                  .mapInPandas(_fold_streaming, "fee_id bigint, seq int, pay_amount decimal(10,2), reason string, "
-                                                "paid_after decimal(10,2), status_after string"))
-    return out_small.unionByName(out_big)
-
-
-def ledger_after_payments(fees: DataFrame, payments: DataFrame, categories: DataFrame, as_of=None,
-                          fold_limit: int = FOLD_LIMIT) -> DataFrame:
+                          F.coalesce(_cents(F.col("pay_amount")), F.lit(0)).alias("amt_c"),
+                          F.col("pay_amount").isNull().alias("amt_null"))
+    led = fees.select(F.col("fee_id").alias("l_fee_id"), _cents(F.col("amount")).alias("amount_c"),
+                      _cents(F.col("paid_amount")).alias("paid0_c"), F.col("status").alias("status0"))
+    joined = pay.join(led, pay.fee_id == led.l_fee_id, "left").select(
+        "fee_id", "seq", "amt_c", "amt_null", F.coalesce("amount_c", F.lit(0)).alias("amount_c"),
+        F.coalesce("paid0_c", F.lit(0)).alias("paid0_c"), "status0",
+        F.coalesce(F.col("status0") == S.FEE_PAID, F.lit(False)).alias("closed0"),
+        F.col("l_fee_id").isNotNull().alias("known"))
+    folded = (joined.repartition("fee_id").sortWithinPartitions("fee_id", "seq", "amt_null", "amt_c")
+                    .mapInPandas(_fold_batches, _FOLD_OUT))
+    reason = F.element_at(F.array(*[F.lit(r) for r in _REASONS]), F.col("reason") + 1)
+    unknown = F.col("reason") == _UNKNOWN
+    return folded.select(
+        "fee_id", "seq",
+        F.when(F.col("amt_null"), F.lit(None).cast(MONEY)).otherwise(_money(F.col("amt_c"))).alias("pay_amount"),
+        reason.alias("reason"),
+        F.when(unknown, F.lit(None).cast(MONEY)).otherwise(_money(F.col("paid_c"))).alias("paid_after"),
+        F.when(unknown, F.lit(None).cast("string")).when(F.col("code") == _PAID, F.lit(S.FEE_PAID))
+         .when(F.col("code") == _PART, F.lit(S.FEE_PARTIAL)).otherwise(F.col("status0")).alias("status_after"))
+
+
+def ledger_after_payments(fees: DataFrame, payments: DataFrame, categories: DataFrame, as_of=None) -> DataFrame:
     """Every bill after the batch — paid amount, status (T2), paid date, remaining, category name."""
-    steps = post_payments(fees, payments, fold_limit)
+    steps = post_payments(fees, payments)
     last = steps.groupBy(F.col("fee_id").alias("s_fee_id")).agg(
         F.max_by(F.struct("paid_after", "status_after"), "seq").alias("last"),
         F.max(F.when((F.col("reason") == OK) & (F.col("status_after") == S.FEE_PAID), 1)).alias("closed_now"))

@@ -33,7 +33,9 @@ def write_estate(tables, path: str, mode: str = "overwrite") -> None:
         w = df.write.mode(mode)
         parts = PARTITION_COLUMNS.get(name)
         if parts:
-            df = df.repartition(*parts)
+            # REBALANCE: files grouped by period, but AQE splits a period too big for one task
+            # (a plain repartition on the period would write a whole month from one task).
+            df = df.hint("rebalance", *parts)
             w = df.write.mode(mode).partitionBy(*parts)
         w.parquet(f"{path}/{name}")
 
