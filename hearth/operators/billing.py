@@ -260,20 +260,27 @@ def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
          .when(F.col("code") == _PART, F.lit(S.FEE_PARTIAL)).otherwise(F.col("status0")).alias("status_after"))
 
 
-def ledger_after_payments(fees: DataFrame, payments: DataFrame, categories: DataFrame, as_of=None) -> DataFrame:
-    """Every bill after the batch — paid amount, status (T2), paid date, remaining, category name."""
+def settle(fees: DataFrame, payments: DataFrame, as_of=None) -> DataFrame:
+    """The bill table after a payment batch, in its own schema: paid amount, status (T2), paid date."""
     steps = post_payments(fees, payments)
     last = steps.groupBy(F.col("fee_id").alias("s_fee_id")).agg(
         F.max_by(F.struct("paid_after", "status_after"), "seq").alias("last"),
         F.max(F.when((F.col("reason") == OK) & (F.col("status_after") == S.FEE_PAID), 1)).alias("closed_now"))
-    fc = categories.select(F.col("category_id").alias("c_id"), "category_name")
     f = fees
-    j = f.join(last, f.fee_id == last.s_fee_id, "left").join(fc, f.category_id == fc.c_id, "left")
-    paid = F.coalesce(F.col("last.paid_after"), f.paid_amount)
-    return j.select(
-        "fee_id", "resident_id", "category_id", "category_name", "amount",
-        paid.alias("paid_amount"),
-        (f.amount - paid).cast(MONEY).alias("remaining"),
-        F.coalesce(F.col("last.status_after"), f.status).alias("status"),
-        F.when(F.col("closed_now") == 1, _as_of(as_of).cast("date")).otherwise(f.paid_date).alias("paid_date"),
+    j = f.join(last, f.fee_id == last.s_fee_id, "left")
+    new = {
+        "paid_amount": F.coalesce(F.col("last.paid_after"), f.paid_amount),
+        "status": F.coalesce(F.col("last.status_after"), f.status),
+        "paid_date": F.when(F.col("closed_now") == 1, _as_of(as_of).cast("date")).otherwise(f.paid_date),
+    }
+    return j.select(*[new[c].alias(c) if c in new else f[c] for c in fees.columns])
+
+
+def ledger_after_payments(fees: DataFrame, payments: DataFrame, categories: DataFrame, as_of=None) -> DataFrame:
+    """Every bill after the batch — paid amount, status (T2), paid date, remaining, category name."""
+    led = settle(fees, payments, as_of)
+    fc = categories.select(F.col("category_id").alias("c_id"), "category_name")
+    return led.join(fc, led.category_id == fc.c_id, "left").select(
+        "fee_id", "resident_id", "category_id", "category_name", "amount", "paid_amount",
+        (F.col("amount") - F.col("paid_amount")).cast(MONEY).alias("remaining"), "status", "paid_date",
         "fee_period")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..plans.lineage import cut_lineage
 
 
 def as_of_col(as_of) -> Column:
@@ -143,13 +144,17 @@ def apply_inserts(current: DataFrame, batch: DataFrame, table: str, as_of=None)
 
 # ----------------------------------------------------------------------------- deletes
 
-def delete_sets(t, table: str, keys) -> dict[str, DataFrame]:
+def delete_sets(t, table: str, keys, materialize: bool = True) -> dict[str, DataFrame]:
     """Key sets removed by deleting ``keys`` from ``table``, following every CASCADE edge top-down.
 
     Each child's set is a semi join of the child to its parent's set, so the
     chain building → unit → room → resident → children is a series of
     key-only joins; a set-null edge removes nothing and is handled by
-    :func:`set_null_on_delete`.
+    :func:`set_null_on_delete`.  With ``materialize`` every set that has
+    children of its own is checkpointed once into the shared checkpoint
+    folder, so the five children of ``residents`` do not each replan (and
+    rescan) the whole chain above them, and a lost executor does not send
+    the job back to the top.
     """
     spec = S.TABLES[table]
     start = _key_set(keys, "__key")
@@ -162,6 +167,8 @@ def delete_sets(t, table: str, keys) -> dict[str, DataFrame]:
     frontier = [table]
     while frontier:
         parent = frontier.pop(0)
+        if materialize and any(r.on_delete == "cascade" for _, r in S.CHILDREN.get(parent, [])):
+            out[parent] = cut_lineage(out[parent])
         for child, ref in S.CHILDREN.get(parent, []):
             if ref.on_delete != "cascade":
                 continue

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,7 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
-        conf = tempfile.mkdtemp(prefix="hearth-ckpt-")
-        os.environ.setdefault("HEARTH_LOCAL_CHECKPOINT", conf)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
+        conf = tempfile.mkdtemp(prefix="hearth-ckpt-")     # single-machine runs and tests only
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf

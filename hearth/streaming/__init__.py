@@ -1,0 +1,3 @@
+from .payments import apply_payment_stream, ledger_path, read_payment_stream
+
+__all__ = ["apply_payment_stream", "ledger_path", "read_payment_stream"]
