@@ -2,10 +2,12 @@
 
 Each rule returns the violating rows (or a count per column), never an
 error.  All rules are driven by the declared schema in :mod:`hearth.schemas`
-and read every table whole.  Group-based rules aggregate partially before
-their shuffle, so a key held by a third of all rows costs one partial row per
-map task; reference checks first reduce the child's values to distinct
-values, so a hot foreign key never lands whole in one join task.
+and read every table whole; each rule on each table is one Spark SQL
+statement over the table's DataFrame (``spark.sql(text, t=df)``).
+Group-based rules aggregate partially before their shuffle, so a key held by
+a third of all rows costs one partial row per map task; reference checks
+first reduce the child's values to distinct values, so a hot foreign key
+never lands whole in one join task.
 """
 
 from __future__ import annotations
@@ -13,7 +15,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .. import schemas as S
 
@@ -25,104 +26,101 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _sql(df: DataFrame, text: str, **frames) -> DataFrame:
+    return df.sparkSession.sql(text, t=df, **frames)
+
+
 def pk_duplicates(t) -> DataFrame:
     """(table_name, key_value, n) for keys held by more than one row, or null keys."""
-    parts = []
-    for name, spec in S.TABLES.items():
-        g = t[name].groupBy(F.col(spec.key).alias("key_value")).agg(F.count(F.lit(1)).alias("n"))
-        parts.append(g.filter((F.col("n") > 1) | F.col("key_value").isNull())
-                      .select(F.lit(name).alias("table_name"), "key_value", "n"))
-    return _union(parts)
+    return _union([_sql(t[n], f"""
+        SELECT '{n}' AS table_name, {s.key} AS key_value, count(*) AS n FROM {{t}}
+        GROUP BY {s.key} HAVING count(*) > 1 OR {s.key} IS NULL""") for n, s in S.TABLES.items()])
 
 
 def unique_violations(t) -> DataFrame:
     """(table_name, constraint_name, key_text, n) for unique keys held twice under the collation.
 
     Text parts are grouped on their collated form; ``key_text`` shows the
-    smallest original spelling, so the output is deterministic.
+    smallest original spelling, so the output is deterministic.  Rows with a
+    NULL key part never collide (SQL UNIQUE semantics).
     """
     parts = []
-    for name, spec in S.TABLES.items():
-        df = t[name]
-        for cols in spec.uniques:
-            text = [c for c in cols if spec.column(c).dtype == "string"]
-            keys = [F.collate(F.col(c), COLLATION).alias(f"__g_{c}") if c in text else F.col(c).alias(f"__g_{c}")
-                    for c in cols]
-            present = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])   # NULLs never collide
-            g = df.filter(present).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                      *[F.min(F.col(c)).alias(f"__m_{c}") for c in text])
-            shown = [F.col(f"__m_{c}") if c in text else F.col(f"__g_{c}").cast("string") for c in cols]
-            parts.append(g.filter(F.col("n") > 1).select(
-                F.lit(name).alias("table_name"), F.lit(",".join(cols)).alias("constraint_name"),
-                F.concat_ws("|", *shown).alias("key_text"), "n"))
+    for n, s in S.TABLES.items():
+        for cols in s.uniques:
+            text = [c for c in cols if s.column(c).dtype == "string"]
+            group = ", ".join(f"collate({c}, '{COLLATION}')" if c in text else c for c in cols)
+            shown = ", ".join(f"min({c})" if c in text else f"CAST({c} AS STRING)" for c in cols)
+            present = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+            parts.append(_sql(t[n], f"""
+                SELECT '{n}' AS table_name, '{",".join(cols)}' AS constraint_name,
+                       concat_ws('|', {shown}) AS key_text, count(*) AS n
+                FROM {{t}} WHERE {present} GROUP BY {group} HAVING count(*) > 1"""))
     return _union(parts)
 
 
 def fk_orphans(t) -> DataFrame:
     """(table_name, column_name, row_key, ref_value) for references to a missing parent (null allowed)."""
     parts = []
-    for name, spec in S.TABLES.items():
-        for ref in spec.refs:
-            child = t[name]
-            values = child.select(F.col(ref.column).alias("__v")).filter(F.col("__v").isNotNull()).distinct()
-            parent = t[ref.parent].select(F.col(ref.parent_key).alias("__p"))
-            missing = values.join(parent, values["__v"] == parent["__p"], "left_anti")
-            rows = child.join(missing, child[ref.column] == missing["__v"], "left_semi")
-            parts.append(rows.select(F.lit(name).alias("table_name"), F.lit(ref.column).alias("column_name"),
-                                     F.col(spec.key).alias("row_key"), F.col(ref.column).alias("ref_value")))
+    for n, s in S.TABLES.items():
+        for r in s.refs:
+            parts.append(_sql(t[n], f"""
+                SELECT '{n}' AS table_name, '{r.column}' AS column_name, {s.key} AS row_key,
+                       {r.column} AS ref_value
+                FROM {{t}} WHERE {r.column} IN (
+                    SELECT v FROM (SELECT DISTINCT {r.column} AS v FROM {{t}} WHERE {r.column} IS NOT NULL) d
+                    LEFT ANTI JOIN {{p}} p ON d.v = p.{r.parent_key})""", p=t[r.parent]))
     return _union(parts)
 
 
-def _per_column_counts(t, pick, count_expr, out_name: str) -> DataFrame:
+def _per_column_counts(t, pick, cond, out_name: str) -> DataFrame:
     """One aggregate pass per table giving one count per chosen column, kept where > 0."""
     parts = []
-    for name, spec in S.TABLES.items():
-        cols = [c for c in spec.columns if pick(c)]
+    for n, s in S.TABLES.items():
+        cols = [c for c in s.columns if pick(c)]
         if not cols:
             continue
-        agg = t[name].agg(*[F.sum(F.when(count_expr(c), 1).otherwise(0)).cast("bigint").alias(c.name)
-                            for c in cols])
-        long = agg.select(F.explode(F.array(*[
-            F.struct(F.lit(c.name).alias("column_name"), F.col(c.name).alias(out_name)) for c in cols])).alias("x"))
-        parts.append(long.select(F.lit(name).alias("table_name"), "x.column_name", f"x.{out_name}")
-                         .filter(F.col(out_name) > 0))
+        counts = ", ".join(f"CAST(count_if({cond(c)}) AS BIGINT) AS c{i}" for i, c in enumerate(cols))
+        pairs = ", ".join(f"'{c.name}', c{i}" for i, c in enumerate(cols))
+        parts.append(_sql(t[n], f"""
+            SELECT '{n}' AS table_name, column_name, {out_name} FROM (
+              SELECT stack({len(cols)}, {pairs}) AS (column_name, {out_name}) FROM (SELECT {counts} FROM {{t}}) a
+            ) x WHERE {out_name} > 0"""))
     return _union(parts)
 
 
 def null_violations(t) -> DataFrame:
     """I4: (table_name, column_name, null_rows) for NOT NULL columns holding nulls."""
-    return _per_column_counts(t, lambda c: not c.nullable, lambda c: F.col(c.name).isNull(), "null_rows")
+    return _per_column_counts(t, lambda c: not c.nullable, lambda c: f"{c.name} IS NULL", "null_rows")
 
 
 def length_violations(t) -> DataFrame:
     """I8: (table_name, column_name, too_long) for text longer than its declared VARCHAR length."""
     return _per_column_counts(t, lambda c: c.length is not None,
-                              lambda c: F.char_length(F.col(c.name)) > c.length, "too_long")
+                              lambda c: f"char_length({c.name}) > {c.length}", "too_long")
 
 
 def check_violations(t) -> DataFrame:
     """(table_name, rule_name, row_key) for rows whose CHECK is false (unknown passes, as in SQL)."""
-    parts = []
-    for name, spec in S.TABLES.items():
-        for rule, cond in spec.checks:
-            parts.append(t[name].filter(~F.expr(cond)).select(
-                F.lit(name).alias("table_name"), F.lit(rule).alias("rule_name"), F.col(spec.key).alias("row_key")))
-    return _union(parts)
+    return _union([_sql(t[n], f"SELECT '{n}' AS table_name, '{rule}' AS rule_name, {s.key} AS row_key "
+                              f"FROM {{t}} WHERE NOT ({cond})")
+                   for n, s in S.TABLES.items() for rule, cond in s.checks])
 
 
 def enum_violations(t) -> DataFrame:
     """(table_name, column_name, row_key, value) for values outside the declared domain."""
     parts = []
-    for name, spec in S.TABLES.items():
-        for c in spec.columns:
+    for n, s in S.TABLES.items():
+        for c in s.columns:
             if c.domain:
-                parts.append(t[name].filter(~F.col(c.name).isin(list(c.domain))).select(
-                    F.lit(name).alias("table_name"), F.lit(c.name).alias("column_name"),
-                    F.col(spec.key).alias("row_key"), F.col(c.name).alias("value")))
+                dom = ", ".join(f"'{v}'" for v in c.domain)
+                parts.append(_sql(t[n], f"SELECT '{n}' AS table_name, '{c.name}' AS column_name, "
+                                        f"{s.key} AS row_key, {c.name} AS value FROM {{t}} "
+                                        f"WHERE {c.name} NOT IN ({dom})"))
     return _union(parts)
 
 
 def duplicate_bills(t) -> DataFrame:
     """(resident_id, category_id, fee_period, n) for more than one bill of a resident, category and period."""
-    return (t["fee_records"].groupBy("resident_id", "category_id", "fee_period")
-            .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
+    return _sql(t["fee_records"], """
+        SELECT resident_id, category_id, fee_period, count(*) AS n FROM {t}
+        GROUP BY resident_id, category_id, fee_period HAVING count(*) > 1""")

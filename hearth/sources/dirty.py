@@ -16,8 +16,7 @@ whole table:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .. import schemas as S
 from .derived import LazyTables
@@ -32,34 +31,9 @@ def _roles(spec: S.Table):
     return fks, uniq_text, checks
 
 
-def _twin_col(spec: S.Table, c: S.Column, j: Column) -> Column:
-    fks, uniq_text, checks = _roles(spec)
-    col = F.col(c.name)
-    typ = S.spark_type(c.dtype)
-    if c.name == spec.key:
-        return F.when(j == 0, col).otherwise(col + OFFSET).alias(c.name)
-    if c.name in fks:
-        v = F.when(j == 1, col + OFFSET).otherwise(col)
-    elif c.name in uniq_text:
-        v = (F.when(j == 2, F.concat(F.lower(col), F.lit(" ")))
-              .when(j == 0, col).otherwise(F.concat(col, F.lit("~"), j.cast("string"))))
-    elif c.domain:
-        v = F.when(j == 2, F.lit("?")).otherwise(col)
-    elif c.name in checks:
-        v = F.when(j == 2, F.lit(0).cast(typ)).otherwise(col)
-    elif c.length is not None:
-        v = F.when(j == 2, F.repeat(F.lit("x"), c.length + 1)).otherwise(col)
-    else:
-        v = col
-    if not c.nullable:
-        v = F.when(j == 3, F.lit(None).cast(typ)).otherwise(v)
-    return v.cast(typ).alias(c.name)
-
-
 def twin(df: DataFrame, table: str) -> DataFrame:
-    spec = S.TABLES[table]
-    j = F.col(spec.key) % 4
-    return df.select(*[_twin_col(spec, c, j) for c in spec.columns])
+    """The damaged twin rows of ``table``: one SQL expression per column, one ``selectExpr``."""
+    return df.selectExpr(*twin_exprs(table, "spark"))
 
 
 def dirty_estate(t) -> LazyTables:
@@ -69,14 +43,16 @@ def dirty_estate(t) -> LazyTables:
     return LazyTables({n: build(n) for n in S.TABLES})
 
 
-def twin_sql(table: str) -> str:
-    """DuckDB ``SELECT`` of the twin rows of ``table`` (from the CTE of the same name)."""
+def twin_exprs(table: str, dialect: str) -> list[str]:
+    """Column expressions of the twin, for Spark SQL (``dialect='spark'``) or DuckDB."""
     spec = S.TABLES[table]
     fks, uniq_text, checks = _roles(spec)
+    typ_of = (lambda c: c.dtype) if dialect == "spark" else (lambda c: S.duck_type(c.dtype))
+    text = "string" if dialect == "spark" else "VARCHAR"
     j = f"({spec.key} % 4)"
     out = []
     for c in spec.columns:
-        typ = S.duck_type(c.dtype)
+        typ = typ_of(c)
         n = c.name
         if n == spec.key:
             out.append(f"CASE WHEN {j} = 0 THEN {n} ELSE {n} + {OFFSET} END AS {n}")
@@ -84,7 +60,8 @@ def twin_sql(table: str) -> str:
         if n in fks:
             v = f"CASE WHEN {j} = 1 THEN {n} + {OFFSET} ELSE {n} END"
         elif n in uniq_text:
-            v = f"CASE WHEN {j} = 2 THEN lower({n}) || ' ' WHEN {j} = 0 THEN {n} ELSE {n} || '~' || CAST({j} AS VARCHAR) END"
+            v = (f"CASE WHEN {j} = 2 THEN lower({n}) || ' ' WHEN {j} = 0 THEN {n} "
+                 f"ELSE {n} || '~' || CAST({j} AS {text}) END")
         elif c.domain:
             v = f"CASE WHEN {j} = 2 THEN '?' ELSE {n} END"
         elif n in checks:
@@ -96,4 +73,9 @@ def twin_sql(table: str) -> str:
         if not c.nullable:
             v = f"CASE WHEN {j} = 3 THEN NULL ELSE {v} END"
         out.append(f"CAST({v} AS {typ}) AS {n}")
-    return f"SELECT {', '.join(out)} FROM {table}"
+    return out
+
+
+def twin_sql(table: str) -> str:
+    """DuckDB ``SELECT`` of the twin rows of ``table`` (from the CTE of the same name)."""
+    return f"SELECT {', '.join(twin_exprs(table, 'duckdb'))} FROM {table}"
