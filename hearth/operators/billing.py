@@ -129,17 +129,25 @@ _FOLD_OUT = ("fee_id long, seq int, amt_c long, amt_null boolean, status0 string
              "paid_c long, code int")
 
 
-def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _fold_batches(batches: Iterator[pd.DataFrame], finals: bool = False) -> Iterator[pd.DataFrame]:
     """Exact payment fold over rows sorted by (fee_id, seq); money in integer cents.
 
     All bills of an Arrow batch advance together, one payment position per
     numpy step; payments past ``LOCKSTEP_POSITIONS`` of one bill are walked by
     jumping from one acceptable payment to the next (refused runs in between
     are classified in bulk).  A bill that spans batches carries its state over.
+
+    With ``finals`` one row per bill is emitted instead — its state after the
+    batch — as soon as the stream has moved past the bill.
     """
     import numpy as np
 
-    carry = None     # (fee_id, paid, code) of the last bill of the previous batch
+    carry = None     # (fee_id, paid, code, fired) of the last bill of the previous batch
+
+    def final_frame(fees, paids, codes, fired):
+        return pd.DataFrame({"fee_id": np.asarray(fees, np.int64), "paid_c": np.asarray(paids, np.int64),
+                             "code": np.asarray(codes, np.int32), "fired": np.asarray(fired, bool)})
+
     for pdf in batches:
         n = len(pdf)
         if n == 0:
@@ -158,9 +166,12 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         gknown = known[first]
         paid = pdf["paid0_c"].to_numpy(np.int64)[first].copy()
         code = np.zeros(len(first), np.int64)
+        fired = np.zeros(len(first), bool)          # an acceptance made the bill 已缴 (paid_date = as_of)
         closed0 = pdf["closed0"].to_numpy(bool)[first]
         if carry is not None and fee[0] == carry[0]:
-            paid[0], code[0] = carry[1], carry[2]
+            paid[0], code[0], fired[0] = carry[1], carry[2], carry[3]
+        elif carry is not None and finals:
+            yield final_frame([carry[0]], [carry[1]], [carry[2]], [carry[3]])
         reason = np.empty(n, np.int64)
         paid_after = np.empty(n, np.int64)
         code_after = np.empty(n, np.int64)
@@ -177,6 +188,7 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             paid[og] = tot[ok]
             pa, aa = paid[og], gA[og]
             code[og] = np.where((pa >= aa) & (pa > 0), _PAID, np.where((pa > 0) & (pa < aa), _PART, code[og]))
+            fired[og] |= code[og] == _PAID
             reason[rows] = r
             paid_after[rows] = paid[gs]
             code_after[rows] = code[gs]
@@ -208,10 +220,16 @@ def _fold_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         i = j + 1
                     else:
                         i = j
-        carry = (fee[-1], paid[-1], code[-1])
+        carry = (fee[-1], paid[-1], code[-1], fired[-1])
+        if finals:
+            if len(first) > 1:
+                yield final_frame(fee[first[:-1]], paid[:-1], code[:-1], fired[:-1])
+            continue
         yield pd.DataFrame({"fee_id": fee, "seq": pdf["seq"].to_numpy(np.int32), "amt_c": x, "amt_null": xnull,
                             "status0": pdf["status0"], "reason": reason.astype(np.int32),
                             "paid_c": paid_after, "code": code_after.astype(np.int32)})
+    if finals and carry is not None:
+        yield final_frame([carry[0]], [carry[1]], [carry[2]], [carry[3]])
 
 
 def _cents(c: Column) -> Column:
@@ -237,6 +255,20 @@ def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
     bill is never split, but it is streamed: no task holds a bill's payments
     in memory at once.
     """
+    folded = _sorted_for_fold(fees, payments).mapInPandas(_fold_batches, _FOLD_OUT)
+    reason = F.element_at(F.array(*[F.lit(r) for r in _REASONS]), F.col("reason") + 1)
+    unknown = F.col("reason") == _UNKNOWN
+    return folded.select(
+        "fee_id", "seq",
+        F.when(F.col("amt_null"), F.lit(None).cast(MONEY)).otherwise(_money(F.col("amt_c"))).alias("pay_amount"),
+        reason.alias("reason"),
+        F.when(unknown, F.lit(None).cast(MONEY)).otherwise(_money(F.col("paid_c"))).alias("paid_after"),
+        F.when(unknown, F.lit(None).cast("string")).when(F.col("code") == _PAID, F.lit(S.FEE_PAID))
+         .when(F.col("code") == _PART, F.lit(S.FEE_PARTIAL)).otherwise(F.col("status0")).alias("status_after"))
+
+
+def _sorted_for_fold(fees: DataFrame, payments: DataFrame) -> DataFrame:
+    """Payments with their bill's state, hash-partitioned on fee_id and sorted by (fee_id, seq)."""
     pay = payments.select("fee_id", F.col("seq").cast("int").alias("seq"),
                           F.coalesce(_cents(F.col("pay_amount")), F.lit(0)).alias("amt_c"),
                           F.col("pay_amount").isNull().alias("amt_null"))
@@ -247,31 +279,26 @@ def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
         F.coalesce("paid0_c", F.lit(0)).alias("paid0_c"), "status0",
         F.coalesce(F.col("status0") == S.FEE_PAID, F.lit(False)).alias("closed0"),
         F.col("l_fee_id").isNotNull().alias("known"))
-    folded = (joined.repartition("fee_id").sortWithinPartitions("fee_id", "seq", "amt_null", "amt_c")
-                    .mapInPandas(_fold_batches, _FOLD_OUT))
-    reason = F.element_at(F.array(*[F.lit(r) for r in _REASONS]), F.col("reason") + 1)
-    unknown = F.col("reason") == _UNKNOWN
-    return folded.select(
-        "fee_id", "seq",
-        F.when(F.col("amt_null"), F.lit(None).cast(MONEY)).otherwise(_money(F.col("amt_c"))).alias("pay_amount"),
-        reason.alias("reason"),
-        F.when(unknown, F.lit(None).cast(MONEY)).otherwise(_money(F.col("paid_c"))).alias("paid_after"),
-        F.when(unknown, F.lit(None).cast("string")).when(F.col("code") == _PAID, F.lit(S.FEE_PAID))
-         .when(F.col("code") == _PART, F.lit(S.FEE_PARTIAL)).otherwise(F.col("status0")).alias("status_after"))
+    return joined.repartition("fee_id").sortWithinPartitions("fee_id", "seq", "amt_null", "amt_c")
 
 
 def settle(fees: DataFrame, payments: DataFrame, as_of=None) -> DataFrame:
-    """The bill table after a payment batch, in its own schema: paid amount, status (T2), paid date."""
-    steps = post_payments(fees, payments)
-    last = steps.groupBy(F.col("fee_id").alias("s_fee_id")).agg(
-        F.max_by(F.struct("paid_after", "status_after"), "seq").alias("last"),
-        F.max(F.when((F.col("reason") == OK) & (F.col("status_after") == S.FEE_PAID), 1)).alias("closed_now"))
+    """The bill table after a payment batch, in its own schema: paid amount, status (T2), paid date.
+
+    The fold emits one final state per bill (each bill is whole and ordered in
+    its task), so no second aggregation over the payment outcomes is needed.
+    """
+    finals = _sorted_for_fold(fees, payments).mapInPandas(
+        lambda it: _fold_batches(it, finals=True), "fee_id long, paid_c long, code int, fired boolean")
+    finals = finals.select(F.col("fee_id").alias("s_fee_id"), "paid_c", "code", "fired")
     f = fees
-    j = f.join(last, f.fee_id == last.s_fee_id, "left")
+    j = f.join(finals, f.fee_id == finals.s_fee_id, "left")
+    hit = F.col("s_fee_id").isNotNull()
     new = {
-        "paid_amount": F.coalesce(F.col("last.paid_after"), f.paid_amount),
-        "status": F.coalesce(F.col("last.status_after"), f.status),
-        "paid_date": F.when(F.col("closed_now") == 1, _as_of(as_of).cast("date")).otherwise(f.paid_date),
+        "paid_amount": F.when(hit, _money(F.col("paid_c"))).otherwise(f.paid_amount),
+        "status": F.when(F.col("code") == _PAID, F.lit(S.FEE_PAID)).when(F.col("code") == _PART, F.lit(S.FEE_PARTIAL))
+                   .otherwise(f.status),
+        "paid_date": F.when(F.col("fired"), _as_of(as_of).cast("date")).otherwise(f.paid_date),
     }
     return j.select(*[new[c].alias(c) if c in new else f[c] for c in fees.columns])
 

@@ -85,3 +85,27 @@ def test_one_hot_bill(spark):
     pays = [(1, s, D("0.37") if s % 3 else D("-1")) for s in range(1, 5000)]
     pays += [(f, 1, D("10.00")) for f in range(2, 50)]
     assert run(spark, fees, pays) == model(fees, pays)
+
+
+@pytest.mark.parametrize("batch", [10000, 5])
+def test_settle_finals_against_model(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    rnd = random.Random(100 + batch)
+    fees, pays = [], []
+    for f in range(1, 120):
+        fees.append((f, D(rnd.randint(1, 20000)) / 100, D("0"), rnd.choice(["待缴", "逾期", "已缴"])))
+        for s in range(1, (200 if f % 40 == 0 else rnd.randint(0, 6)) + 1):
+            pays.append((f, s, rnd.choice([D("0"), D(rnd.randint(1, 9000)) / 100])))
+    try:
+        out = B.settle(spark.createDataFrame([(f, a, p, s, None) for f, a, p, s in fees],
+                                             FEES_DDL + ", paid_date date"),
+                       spark.createDataFrame(pays, PAY_DDL), "2026-07-01 00:00:00")
+        got = {r["fee_id"]: (r["paid_amount"], r["status"], r["paid_date"] is not None) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    steps = model(fees, pays)
+    for f, a, p, s in fees:
+        mine = [v for (ff, _), v in sorted(steps.items()) if ff == f]
+        paid, st = (mine[-1][1], mine[-1][2]) if mine else (p, s)
+        fired = any(r == "OK" and x == "已缴" for r, _, x in mine)
+        assert got[f] == (paid, st, fired), f
