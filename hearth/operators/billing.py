@@ -69,7 +69,7 @@ def bill_amounts(new_bills: DataFrame, t) -> DataFrame:
     return joined.select(*[amount.alias("amount") if c == "amount" else nb[c] for c in nb.columns])
 
 
-def generate_bills(t, periods: Iterable[str] | str) -> DataFrame:
+def generate_bills(t, periods: Iterable[str] | str | None = None, as_of=None) -> DataFrame:
     """B2: every resident with a room × every category × each period, minus bills already there.
 
     Amount as B1, due on the 25th, status 待缴, nothing paid.  A malformed
@@ -80,6 +80,10 @@ def generate_bills(t, periods: Iterable[str] | str) -> DataFrame:
     generator and meets the catalogue on an equi-join, so the work is linear in
     the output and the catalogue is broadcast only after its size is checked.
     """
+    if periods is None:                       # default: the month of as_of (or of today)
+        when = as_of if isinstance(as_of, datetime) else (datetime.fromisoformat(str(as_of)) if as_of
+                                                          else datetime.now())
+        periods = when.strftime("%Y-%m")
     plist = [periods] if isinstance(periods, str) else list(periods)
     cats = t["fee_categories"].select("category_id", "calc_method", "unit_price")
     per = F.array(*[F.struct(F.lit(p).alias("fee_period"), due_date_of(F.lit(p)).alias("due_date"))

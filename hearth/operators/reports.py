@@ -343,6 +343,27 @@ def active_repairers(t) -> DataFrame:
     return t["staff"].filter((F.col("role") == S.REPAIRER) & (F.col("status") == S.STAFF_ACTIVE))
 
 
+# ----------------------------------------------------------------------------- multi-result calls
+
+def resident_overview_sets(t, residents=None, n_recent: int = 5) -> dict[str, DataFrame]:
+    """The three result sets of the per-resident overview, each under its own name."""
+    return {"info": resident_overview(t, residents), "unpaid_fees": resident_unpaid(t, residents),
+            "recent_repairs": resident_recent_repairs(t, n_recent, residents)}
+
+
+def parking_statistics(t) -> dict[str, DataFrame]:
+    """The two result sets of the parking statistics: one overview row and the per-area counts."""
+    return {"overview": parking_overview(t), "by_area": parking_by_area(t)}
+
+
+def foreign_keys(spark) -> DataFrame:
+    """The declared references as data (child table, column, parent table, parent key, on delete) — S7."""
+    rows = [(n, r.column, r.parent, r.parent_key, r.on_delete.upper())
+            for n, spec in S.TABLES.items() for r in spec.refs]
+    return spark.createDataFrame(rows, "table_name string, column_name string, referenced_table string, "
+                                       "referenced_column string, on_delete string")
+
+
 def keys_of(df: DataFrame, column: str) -> DataFrame:
     """A one-column key set, for the optional ``residents=`` / ``orders=`` arguments."""
     return df.select(column).distinct()
