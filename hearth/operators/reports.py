@@ -100,7 +100,7 @@ def unit_rollup(t) -> DataFrame:
              .join(_rooms_per_unit(t), u.unit_id == F.col("rc_unit_id"), "left")
              .select(*[u[c] for c in u.columns], "building_name",
                      F.coalesce("rc", F.lit(0)).cast("bigint").alias("room_count"))
-             .orderBy("building_id", "unit_number"))
+             .orderBy("building_id", "unit_number", "unit_id"))
 
 
 def room_list(t) -> DataFrame:
@@ -108,7 +108,7 @@ def room_list(t) -> DataFrame:
     r = t["rooms"]
     return (attach_unit_place(t, r, "unit_id")
             .withColumn("full_address", full_address("building_name", "unit_number", "room_number"))
-            .orderBy("place_building_id", "unit_id", "room_number")
+            .orderBy("place_building_id", "unit_id", "room_number", "room_id")
             .select(*[r[c] for c in r.columns], "building_name", "unit_number", "full_address"))
 
 
@@ -121,7 +121,7 @@ def resident_list(t) -> DataFrame:
     """Residents with room number, area and address."""
     res = t["residents"]
     return (attach_room_place(t, res, "room_id")
-            .orderBy("place_building_id", "unit_number", "room_number")
+            .orderBy("place_building_id", "unit_number", "room_number", "resident_id")
             .select(*[res[c] for c in res.columns], "room_number", "area", "building_name", "unit_number",
                     "full_address"))
 
@@ -190,7 +190,7 @@ def parking_list(t) -> DataFrame:
     res = t["residents"].select(F.col("resident_id").alias("r_resident_id"), F.col("name").alias("resident_name"))
     return (ps.join(v, ps.space_id == v.v_space_id, "left")
               .join(res, F.col("v_resident_id") == F.col("r_resident_id"), "left")
-              .orderBy("space_number")
+              .orderBy("space_number", "space_id", "plate_no")
               .select(*[ps[c] for c in ps.columns], "plate_no", "vehicle_type", "resident_name"))
 
 
@@ -231,7 +231,7 @@ def fee_list(t, period: str | None = None) -> DataFrame:
     who = resident_places(t).drop("resident_phone")
     return (fr.join(fc, fr.category_id == fc.c_category_id, "inner")
               .join(who, fr.resident_id == who.p_resident_id, "inner")
-              .orderBy(F.col("fee_period").desc(), F.col("resident_name").asc())
+              .orderBy(F.col("fee_period").desc(), F.col("resident_name").asc(), F.col("fee_id"))
               .select(*[fr[c] for c in fr.columns], "category_name", "resident_name", "full_address",
                       (F.col("amount") - F.col("paid_amount")).cast("decimal(10,2)").alias("remaining"),
                       (F.col("status") != S.FEE_PAID).alias("payable")))
@@ -282,7 +282,7 @@ def repair_board(t) -> DataFrame:
               .join(s, ro.staff_id == s.s_staff_id, "left")
               .select(*[ro[c] for c in ro.columns], "resident_name", "resident_phone", "staff_name",
                       "full_address", value_rank(ro.status, S.REPAIR_STATUS).alias("status_rank"))
-              .orderBy("status_rank", F.col("created_at").desc()))
+              .orderBy("status_rank", F.col("created_at").desc(), "order_id"))
 
 
 def open_repairs(t) -> DataFrame:
@@ -309,7 +309,7 @@ def complaint_board(t) -> DataFrame:
     return (c.join(res, c.resident_id == res.r_resident_id, "inner")
              .select(*[c[x] for x in c.columns], "resident_name", "resident_phone",
                      value_rank(c.status, S.COMPLAINT_STATUS).alias("status_rank"))
-             .orderBy("status_rank", F.col("created_at").desc()))
+             .orderBy("status_rank", F.col("created_at").desc(), "complaint_id"))
 
 
 def open_complaints(t) -> DataFrame:
@@ -319,7 +319,7 @@ def open_complaints(t) -> DataFrame:
 # ----------------------------------------------------------------------------- notices, visits, staff
 
 def announcement_board(t) -> DataFrame:
-    return t["announcements"].orderBy(F.col("is_top").desc(), F.col("created_at").desc())
+    return t["announcements"].orderBy(F.col("is_top").desc(), F.col("created_at").desc(), "announcement_id")
 
 
 def visitor_log(t) -> DataFrame:
@@ -329,7 +329,7 @@ def visitor_log(t) -> DataFrame:
     return (v.join(who, v.resident_id == who.p_resident_id, "inner")
              .select(*[v[c] for c in v.columns], "resident_name", "full_address",
                      F.col("exit_time").isNull().alias("is_open"))
-             .orderBy(F.col("entry_time").desc()))
+             .orderBy(F.col("entry_time").desc(), "visitor_id"))
 
 
 def staff_list(t) -> DataFrame:

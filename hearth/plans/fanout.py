@@ -4,7 +4,8 @@ Instead of a nested-loop product, the large side fans out to ordinals
 ``1..n`` with a generator and meets the dimension on an equi-join, so the
 plan is a hash join whose output is exactly the pairs asked for.  The
 dimension is broadcast only after its row count is checked; beyond the
-bound the join is left to the planner (shuffle on the ordinal, AQE splits).
+bound the join is left to the planner (shuffle on the ordinal, AQE splits),
+and the ordinals are assigned without pulling the dimension into one task.
 """
 
 from __future__ import annotations
@@ -13,16 +14,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut_lineage
+
 MAX_BROADCAST_ROWS = 100_000
 
 
+def dense_ordinals(df: DataFrame, name: str) -> DataFrame:
+    """``df`` plus ``name`` = 1..n, numbered per input partition and offset by the sizes of the
+    partitions before it (only the per-partition counts, one row each, meet in one place).
+    The result is checkpointed so a recomputation cannot renumber it."""
+    tagged = df.withColumn("__pid", F.spark_partition_id()).withColumn("__mono", F.monotonically_increasing_id())
+    tagged = cut_lineage(tagged)
+    sizes = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = sizes.select("__pid", (F.sum("__n").over(Window.orderBy("__pid")) - F.col("__n")).alias("__off"))
+    rn = F.row_number().over(Window.partitionBy("__pid").orderBy("__mono"))
+    return (tagged.join(F.broadcast(offsets), "__pid")          # one row per input partition
+                  .withColumn(name, F.col("__off") + rn).drop("__pid", "__mono", "__off"))
+
+
 def fan_out(big: DataFrame, small: DataFrame, order_col: str, ordinal: str = "__ord",
             max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Every (big row, small row) pair; columns of both (names must not clash)."""
     n = small.count()
-    numbered = small.withColumn(ordinal, F.row_number().over(Window.orderBy(order_col)))
     if n <= max_broadcast_rows:
-        numbered = F.broadcast(numbered)          # size checked just above
+        # size checked just above: numbering and broadcasting a bounded dimension
+        numbered = F.broadcast(small.withColumn(ordinal, F.row_number().over(Window.orderBy(order_col))))
+    else:
+        numbered = dense_ordinals(small, ordinal)
     fanned = big.withColumn(ordinal, F.explode(F.sequence(F.lit(1), F.lit(max(n, 1)))))
     if n == 0:
         fanned = fanned.filter(F.lit(False))

@@ -136,3 +136,13 @@ def test_cascade_delete_building(seed):
 def test_set_null_on_delete(seed):
     v = {r["vehicle_id"]: r["space_id"] for r in rows(M.set_null_on_delete(seed["vehicles"], "space_id", [1, 2]))}
     assert v[1] is None and v[2] is None and v[3] == 4
+
+
+def test_fan_out_both_paths(spark):
+    from hearth.plans.fanout import fan_out
+    big = spark.range(1, 41).withColumnRenamed("id", "b")
+    small = spark.range(1, 8).withColumnRenamed("id", "s").repartition(3)
+    want = {(b, s) for b in range(1, 41) for s in range(1, 8)}
+    for bound in (100, 2):                 # broadcast path, then the distributed-ordinal path
+        got = {(r["b"], r["s"]) for r in fan_out(big, small, "s", max_broadcast_rows=bound).collect()}
+        assert got == want
