@@ -32,7 +32,9 @@ def _as_of(as_of) -> Column:
         return F.current_timestamp().cast("timestamp_ntz")
     if isinstance(as_of, Column):
         return as_of
-    return F.lit(as_of if isinstance(as_of, datetime) else datetime.fromisoformat(str(as_of))).cast("timestamp_ntz")
+    ts = as_of if isinstance(as_of, datetime) else datetime.fromisoformat(str(as_of))
+    # a text literal cast to timestamp_ntz carries no time zone, whatever the session's zone is
+    return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def price(calc_method: Column, unit_price: Column, area: Column, given: Column | None = None) -> Column:

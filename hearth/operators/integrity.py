@@ -107,15 +107,22 @@ def check_violations(t) -> DataFrame:
 
 
 def enum_violations(t) -> DataFrame:
-    """(table_name, column_name, row_key, value) for values outside the declared domain."""
+    """(table_name, column_name, row_key, value) for values outside the declared domain.
+
+    One scan per table: the enum columns are unpivoted with ``stack`` and each
+    value is tested against its own column's domain.
+    """
     parts = []
     for n, s in S.TABLES.items():
-        for c in s.columns:
-            if c.domain:
-                dom = ", ".join(f"'{v}'" for v in c.domain)
-                parts.append(_sql(t[n], f"SELECT '{n}' AS table_name, '{c.name}' AS column_name, "
-                                        f"{s.key} AS row_key, {c.name} AS value FROM {{t}} "
-                                        f"WHERE {c.name} NOT IN ({dom})"))
+        cols = [c for c in s.columns if c.domain]
+        if not cols:
+            continue
+        pairs = ", ".join(f"'{c.name}', {c.name}" for c in cols)
+        test = " ".join(f"WHEN '{c.name}' THEN value NOT IN ({', '.join(repr(v) for v in c.domain)})" for c in cols)
+        parts.append(_sql(t[n], f"""
+            SELECT '{n}' AS table_name, column_name, row_key, value FROM (
+              SELECT {s.key} AS row_key, stack({len(cols)}, {pairs}) AS (column_name, value) FROM {{t}}) x
+            WHERE CASE column_name {test} END"""))
     return _union(parts)
 
 
