@@ -146,3 +146,48 @@ def test_fan_out_both_paths(spark):
     for bound in (100, 2):                 # broadcast path, then the distributed-ordinal path
         got = {(r["b"], r["s"]) for r in fan_out(big, small, "s", max_broadcast_rows=bound).collect()}
         assert got == want
+
+
+def test_apply_inserts_defaults(spark, seed):
+    batch = spark.createDataFrame([(100, 4, "新住户", "女", "13800000100", "110101200001010000", None, date(2026, 7, 1))],
+                                  "resident_id bigint, room_id bigint, name string, gender string, phone string, "
+                                  "id_card string, relationship string, move_in_date date")
+    out = M.apply_inserts(seed["residents"], batch, "residents", "2026-07-01 09:00:00")
+    new = [r for r in rows(out) if r["resident_id"] == 100][0]
+    assert out.count() == 16 and new["relationship"] == "业主" and new["created_at"] == datetime(2026, 7, 1, 9, 0)
+
+
+def test_apply_updates_semantics(spark, seed):
+    ch = spark.createDataFrame([(1, None), (999, "黑色")], "vehicle_id bigint, color string")
+    out = {r["vehicle_id"]: r for r in rows(M.apply_updates(seed["vehicles"], ch, "vehicles"))}
+    assert len(out) == 7                                  # unknown key 999: nothing added
+    assert out[1]["color"] is None and out[1]["space_id"] == 1   # present-but-null wins, absent kept
+
+
+def test_visit_exit_and_assignment(spark, seed):
+    v = {r["visitor_id"]: r["exit_time"] for r in rows(M.visit_exit(seed["visitor_records"], [1, 5], "2026-07-01 00:00:00"))}
+    assert v[1] == datetime(2026, 7, 1) and v[5] == datetime(2026, 7, 1) and v[7] is None
+    a = spark.createDataFrame([(2, 3), (1, None)], "order_id bigint, staff_id bigint")
+    o = {r["order_id"]: (r["staff_id"], r["status"]) for r in rows(M.repair_assignment(seed["repair_orders"], a))}
+    assert o[2] == (3, "处理中") and o[1] == (None, "待处理") and o[3] == (2, "处理中")
+
+
+def test_payment_status_rule(spark):
+    df = spark.createDataFrame([(1, D("10.00"), D("10.00"), "待缴", None), (2, D("10.00"), D("4.00"), "逾期", None),
+                                (3, D("0.00"), D("0.00"), "待缴", None)],
+                               "fee_id bigint, amount decimal(10,2), paid_amount decimal(10,2), status string, paid_date date")
+    got = {r["fee_id"]: (r["status"], r["paid_date"]) for r in rows(B.payment_status(df, "2026-07-02 00:00:00"))}
+    assert got == {1: ("已缴", date(2026, 7, 2)), 2: ("部分缴纳", None), 3: ("待缴", None)}
+
+
+def test_integrity_on_seed(spark, seed):
+    from hearth.operators import integrity as I
+    assert I.pk_duplicates(seed).count() == 0 and I.fk_orphans(seed).count() == 0
+    assert I.enum_violations(seed).count() == 0 and I.check_violations(seed).count() == 0
+    dup = seed["buildings"].unionByName(seed["buildings"].filter("building_id = 1")
+                                        .selectExpr("5 AS building_id", "'a栋 ' AS building_name", "total_floors",
+                                                    "address", "created_at"))
+    t2 = dict(seed)
+    t2["buildings"] = dup
+    u = rows(I.unique_violations(t2))
+    assert u == [{"table_name": "buildings", "constraint_name": "building_name", "key_text": "A栋", "n": 2}]
