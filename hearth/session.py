@@ -21,6 +21,17 @@ DEFAULTS = {
 }
 
 
+# Partition sizing for a cluster reading ~100 TB: start shuffles wide and let AQE coalesce them to
+# the advisory size, so no reducer holds more than it can sort in memory; scans split at 256 MB.
+CLUSTER_DEFAULTS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16384",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512MB",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "hearth", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app_name)
@@ -28,6 +39,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.master(master)
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
+    if master is None or not master.startswith("local"):
+        for k, v in CLUSTER_DEFAULTS.items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
