@@ -191,3 +191,27 @@ def test_integrity_on_seed(spark, seed):
     t2["buildings"] = dup
     u = rows(I.unique_violations(t2))
     assert u == [{"table_name": "buildings", "constraint_name": "building_name", "key_text": "A栋", "n": 2}]
+
+
+def test_empty_tables(spark, seed):
+    empty = {n: df.limit(0) for n, df in seed.items()}
+    d = rows(R.dashboard(empty))[0]
+    assert d["buildings"] == 0 and d["rooms_total"] == 0 and d["rooms_occupied"] is None   # SUM(CASE) over nothing
+    o = rows(R.parking_overview(empty))[0]
+    assert o["total_spaces"] == 0 and o["available"] is None and o["occupancy_rate"] is None
+    assert R.fee_report(empty).count() == 0 and B.generate_bills(empty, "2026-07").count() == 0
+
+
+def test_unknown_status_sorts_first_and_null_refs(spark, seed):
+    odd = seed["repair_orders"].withColumn(
+        "status", F.when(F.col("order_id") == 5, F.lit("搁置")).otherwise(F.col("status")))
+    t = dict(seed)
+    t["repair_orders"] = odd
+    board = rows(R.repair_board(t))
+    assert board[0]["order_id"] == 5 and board[0]["status_rank"] == 0
+    from hearth.operators import integrity as I
+    # vehicle 6 has no space (NULL): not an orphan; a dangling space is
+    t["vehicles"] = seed["vehicles"].withColumn(
+        "space_id", F.when(F.col("vehicle_id") == 7, F.lit(777).cast("bigint")).otherwise(F.col("space_id")))
+    orphans = rows(I.fk_orphans(t))
+    assert orphans == [{"table_name": "vehicles", "column_name": "space_id", "row_key": 7, "ref_value": 777}]
