@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schemas as S
 from ..plans.lineage import cut_lineage
@@ -45,13 +46,28 @@ def _hit(df: DataFrame, key: str, keys, flag: str) -> DataFrame:
               .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
 
 
+def latest_changes(changes: DataFrame, key: str) -> DataFrame:
+    """One change per key: with a ``seq`` column the last one wins (requests applied in order).
+
+    ``max_by`` is a partial aggregate, so a key with a great many changes in
+    one batch is reduced on the map side before it is shuffled.
+    """
+    if "seq" not in changes.columns:
+        return changes
+    cols = [c for c in changes.columns if c not in (key, "seq")]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*cols), "seq").alias("__last"))
+    return last.select(key, *[F.col(f"__last.{c}").alias(c) for c in cols])
+
+
 def apply_updates(current: DataFrame, changes: DataFrame, table: str) -> DataFrame:
     """M2: overwrite, by key, the columns the change batch carries.
 
     A column present in the batch wins even when its value is null; a column
     absent from the batch is kept; a change for an unknown key does nothing.
+    Several changes for one key need a ``seq`` column; the last one wins.
     """
     key = S.TABLES[table].key
+    changes = latest_changes(changes, key)
     cols = [c for c in changes.columns if c != key and c in current.columns]
     ch = changes.select(F.col(key).alias("__ck"), *[F.col(c).alias(f"__new_{c}") for c in cols])
     j = current.join(ch, current[key] == ch["__ck"], "left")
@@ -62,12 +78,28 @@ def apply_updates(current: DataFrame, changes: DataFrame, table: str) -> DataFra
 
 def _stamp_on_entry(current: DataFrame, changes: DataFrame, table: str, status_to: str, stamp_col: str,
                     as_of) -> DataFrame:
-    """Update by key; stamp ``stamp_col`` when the status *becomes* ``status_to`` from another value."""
+    """Update by key; stamp ``stamp_col`` when the status *enters* ``status_to`` from another value.
+
+    With a ``seq`` column every step of a key's sequence counts (enter, leave and
+    enter again stamps once, as the per-request trigger would); the status
+    before each step comes from ``lag`` over the key's changes in seq order.
+    """
     key = S.TABLES[table].key
     old = current.select(F.col(key).alias("__ok"), F.col("status").alias("__old_status"))
-    new = apply_updates(current, changes, table)
-    j = new.join(old, new[key] == old["__ok"], "left")
-    became = (F.col("status") == status_to) & (F.col("__old_status") != status_to)
+    if "seq" in changes.columns and "status" in changes.columns:
+        steps = changes.select(F.col(key).alias("__sk"), "seq", F.col("status").alias("__to"))
+        steps = steps.join(old, steps["__sk"] == old["__ok"], "inner")
+        w = Window.partitionBy("__sk").orderBy("seq")
+        prev = F.coalesce(F.lag("__to").over(w), F.col("__old_status"))
+        entered = (steps.select("__sk", ((F.col("__to") == status_to) & (prev != status_to)).alias("__e"))
+                        .groupBy("__sk").agg(F.max(F.col("__e").cast("int")).alias("__entered")))
+        new = apply_updates(current, changes, table)
+        j = new.join(entered, new[key] == entered["__sk"], "left")
+        became = F.col("__entered") == 1
+    else:
+        new = apply_updates(current, changes, table)
+        j = new.join(old, new[key] == old["__ok"], "left")
+        became = (F.col("status") == status_to) & (F.col("__old_status") != status_to)
     return j.select(*[F.when(became, as_of_col(as_of)).otherwise(F.col(stamp_col)).alias(stamp_col)
                       if c == stamp_col else F.col(c) for c in current.columns])
 

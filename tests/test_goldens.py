@@ -215,3 +215,12 @@ def test_unknown_status_sorts_first_and_null_refs(spark, seed):
         "space_id", F.when(F.col("vehicle_id") == 7, F.lit(777).cast("bigint")).otherwise(F.col("space_id")))
     orphans = rows(I.fk_orphans(t))
     assert orphans == [{"table_name": "vehicles", "column_name": "space_id", "row_key": 7, "ref_value": 777}]
+
+
+def test_sequenced_changes(spark, seed):
+    ch = spark.createDataFrame([(2, 1, "已完成"), (2, 2, "处理中"), (4, 1, "处理中"), (4, 2, "处理中")],
+                               "order_id bigint, seq int, status string")
+    out = {r["order_id"]: r for r in rows(M.repair_completion(seed["repair_orders"], ch, "2026-07-01 00:00:00"))}
+    assert len(out) == 8
+    assert out[2]["status"] == "处理中" and out[2]["completed_at"] == datetime(2026, 7, 1)   # entered then left
+    assert out[4]["status"] == "处理中" and out[4]["completed_at"] is None
