@@ -1,0 +1 @@
+"""Readers, writers, derived estate tables, change batches and the dirtied twin."""
