@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions import due_date_of
 from ..plans.fanout import fan_out
+from ..session import ship_package
 
 MONEY = "decimal(10,2)"
 
@@ -275,6 +276,7 @@ def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
 
 def _sorted_for_fold(fees: DataFrame, payments: DataFrame) -> DataFrame:
     """Payments with their bill's state, hash-partitioned on fee_id and sorted by (fee_id, seq)."""
+    ship_package(payments.sparkSession)          # the fold runs in Python workers
     pay = payments.select("fee_id", F.col("seq").cast("int").alias("seq"),
                           F.coalesce(_cents(F.col("pay_amount")), F.lit(0)).alias("amt_c"),
                           F.col("pay_amount").isNull().alias("amt_null"))
