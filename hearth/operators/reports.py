@@ -8,7 +8,6 @@ never reaches a shuffle, and partial aggregation absorbs hot keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -368,7 +367,3 @@ def foreign_keys(spark) -> DataFrame:
 def keys_of(df: DataFrame, column: str) -> DataFrame:
     """A one-column key set, for the optional ``residents=`` / ``orders=`` arguments."""
     return df.select(column).distinct()
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Iterable", "DataFrame", "F", "Window",
-                                                                    "S", "reduce")]
