@@ -161,8 +161,8 @@ def visit_exit(visits: DataFrame, keys, as_of=None) -> DataFrame:
                       else F.col(c) for c in visits.columns])
 
 
-def apply_inserts(current: DataFrame, batch: DataFrame, table: str, as_of=None) -> DataFrame:
-    """M1: append a batch, filling declared defaults for absent or null columns (ids come with the batch)."""
+def fill_defaults(batch: DataFrame, table: str, as_of=None) -> DataFrame:
+    """The batch in the table's schema, declared defaults filled where a column is absent or null."""
     spec = S.TABLES[table]
     have = set(batch.columns)
     cols = []
@@ -173,7 +173,68 @@ def apply_inserts(current: DataFrame, batch: DataFrame, table: str, as_of=None)
         elif c.default is not None:
             v = F.coalesce(v, F.lit(c.default))
         cols.append(v.cast(S.spark_type(c.dtype)).alias(c.name))
-    return current.select(*spec.names).unionByName(batch.select(*cols))
+    return batch.select(*cols)
+
+
+def apply_inserts(current: DataFrame, batch: DataFrame, table: str, as_of=None) -> DataFrame:
+    """M1: append a batch, filling declared defaults for absent or null columns (ids come with the batch)."""
+    return current.select(*S.TABLES[table].names).unionByName(fill_defaults(batch, table, as_of))
+
+
+def insert_reasons(t, batch: DataFrame, table: str, as_of=None) -> DataFrame:
+    """Every batch row (defaults filled) with ``reasons``: the rules of §2.11 the insert would break.
+
+    Row rules (NOT NULL, enum, CHECK, length) are column expressions; the key,
+    unique and reference rules are joins of the batch to the current tables
+    (and to itself for keys repeated inside the batch), each on a distinct key set.
+    """
+    from .integrity import COLLATION
+    spec = S.TABLES[table]
+    rows = fill_defaults(batch, table, as_of).withColumn("__rid", F.monotonically_increasing_id())
+    rows = cut_lineage(rows)                         # pin the row ids before the checks fan out
+    checks = []
+    for c in spec.columns:
+        col = F.col(c.name)
+        if not c.nullable:
+            checks.append(F.when(col.isNull(), F.lit(f"NULL:{c.name}")))
+        if c.domain:
+            checks.append(F.when(~col.isin(list(c.domain)), F.lit(f"ENUM:{c.name}")))
+        if c.length is not None:
+            checks.append(F.when(F.char_length(col) > c.length, F.lit(f"LENGTH:{c.name}")))
+    for rule, cond in spec.checks:
+        checks.append(F.when(~F.expr(cond), F.lit(f"CHECK:{rule}")))
+
+    def flag(df: DataFrame, name: str) -> DataFrame:
+        return df.select("__rid").distinct().withColumn(name, F.lit(True))
+
+    out = rows
+    for r in spec.refs:
+        parent = t[r.parent].select(F.col(r.parent_key).alias("__p")).distinct()
+        bad = rows.filter(F.col(r.column).isNotNull()).join(parent, F.col(r.column) == F.col("__p"), "left_anti")
+        out = out.join(flag(bad, f"__fk_{r.column}"), "__rid", "left")
+        checks.append(F.when(F.col(f"__fk_{r.column}"), F.lit(f"FK:{r.column}")))
+    keysets = [((spec.key,), "PK")] + [(u, "UNIQUE:" + ",".join(u)) for u in spec.uniques]
+    for i, (cols, label) in enumerate(keysets):
+        def norm(df, c):
+            return (F.collate(df[c], COLLATION) if spec.column(c).dtype == "string" and label != "PK" else df[c])
+        cur = t[table].select(*[norm(t[table], c).alias(f"__k{j}") for j, c in enumerate(cols)]).distinct()
+        mine = rows.select("__rid", *[norm(rows, c).alias(f"__k{j}") for j, c in enumerate(cols)])
+        on = [f"__k{j}" for j in range(len(cols))]
+        clash = mine.join(cur, on, "left_semi")
+        twice = mine.join(mine.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), on, "left_semi")
+        out = out.join(flag(clash.unionByName(twice), f"__u{i}"), "__rid", "left")
+        checks.append(F.when(F.col(f"__u{i}"), F.lit(label)))
+    reasons = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    return out.select(*spec.names, reasons.alias("reasons"))
+
+
+def validated_inserts(t, batch: DataFrame, table: str, as_of=None) -> dict[str, DataFrame]:
+    """M1 with validation: ``accepted`` rows (defaults filled), ``rejected`` rows with their reasons,
+    and ``table`` = the current table plus the accepted rows."""
+    checked = insert_reasons(t, batch, table, as_of)
+    ok = checked.filter(F.size("reasons") == 0).drop("reasons")
+    return {"accepted": ok, "rejected": checked.filter(F.size("reasons") > 0),
+            "table": t[table].select(*S.TABLES[table].names).unionByName(ok)}
 
 
 # ----------------------------------------------------------------------------- deletes

@@ -280,8 +280,9 @@ SELECT complaint_id, CASE complaint_id % 3 WHEN 1 THEN '已解决' WHEN 2 THEN '
        CASE WHEN complaint_id % 3 = 1 THEN 'done' END reply
 FROM complaints""",
     "new_residents": f"""
-SELECT resident_id + {OFFSET} resident_id, room_id - room_id % 7 + 6 room_id, name, gender, phone,
-       CAST(CAST(id_card AS DECIMAL(20,0)) + {OFFSET} AS VARCHAR) id_card,
+SELECT resident_id + {OFFSET} resident_id, room_id - room_id % 7 + 6 room_id, name,
+       CASE WHEN resident_id % 13 = 0 THEN '未知' ELSE gender END gender, phone,
+       CASE WHEN resident_id % 17 = 0 THEN id_card ELSE CAST(CAST(id_card AS DECIMAL(20,0)) + {OFFSET} AS VARCHAR) END id_card,
        CASE WHEN resident_id % 3 = 0 THEN NULL ELSE relationship END relationship, move_in_date
 FROM residents""",
     "staff_changes": "SELECT staff_id, CASE WHEN staff_id % 5 = 4 THEN '离职' ELSE status END status FROM staff",
@@ -482,3 +483,38 @@ INTEGRITY = {k: (v, _dirty_ctes(), False) for k, v in _integrity().items()}
 INTEGRITY["duplicate_bills"] = """
 SELECT resident_id, category_id, fee_period, count(*) n FROM fee_records
 GROUP BY resident_id, category_id, fee_period HAVING count(*) > 1"""
+
+
+def insert_rejects_sql(table: str, batch: str) -> str:
+    """Oracle of ``changes.insert_reasons``: one (key, reason) row per broken rule of each batch row."""
+    s = TABLES[table]
+    k = s.key
+    filled = ", ".join(
+        f"{AS_OF_SQL} AS {c.name}" if c.default_now and c.name not in _PROVIDED.get(table, set())
+        else (f"coalesce({c.name}, '{c.default}') AS {c.name}" if isinstance(c.default, str) else c.name)
+        for c in s.columns if c.name in _PROVIDED[table] or c.default_now)
+    parts = []
+    for c in s.columns:
+        if c.name not in _PROVIDED[table] and not c.default_now:
+            if not c.nullable:
+                parts.append(f"SELECT {k}, 'NULL:{c.name}' reason FROM nb")
+            continue
+        if not c.nullable:
+            parts.append(f"SELECT {k}, 'NULL:{c.name}' reason FROM nb WHERE {c.name} IS NULL")
+        if c.domain:
+            dom = ", ".join(f"'{v}'" for v in c.domain)
+            parts.append(f"SELECT {k}, 'ENUM:{c.name}' reason FROM nb WHERE {c.name} NOT IN ({dom})")
+        if c.length is not None:
+            parts.append(f"SELECT {k}, 'LENGTH:{c.name}' reason FROM nb WHERE length({c.name}) > {c.length}")
+    for rule, cond in s.checks:
+        parts.append(f"SELECT {k}, 'CHECK:{rule}' reason FROM nb WHERE NOT ({cond})")
+    for r in s.refs:
+        parts.append(f"SELECT {k}, 'FK:{r.column}' reason FROM nb WHERE {r.column} IS NOT NULL AND NOT EXISTS "
+                     f"(SELECT 1 FROM {r.parent} p WHERE p.{r.parent_key} = nb.{r.column})")
+    for cols, label in [((k,), "PK")] + [(u, "UNIQUE:" + ",".join(u)) for u in s.uniques]:
+        def n(alias, c):
+            return f"{_norm(f'{alias}.{c}')}" if label != "PK" and s.column(c).dtype == "string" else f"{alias}.{c}"
+        same = " AND ".join(f"{n('x', c)} = {n('nb', c)}" for c in cols)
+        parts.append(f"SELECT {k}, '{label}' reason FROM nb WHERE EXISTS (SELECT 1 FROM {table} x WHERE {same}) "
+                     f"OR (SELECT count(*) FROM {batch} x WHERE {same.replace('x.', 'x.')}) > 1")
+    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + ") r", (f"SELECT {filled} FROM {batch}")

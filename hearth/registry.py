@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles
 from .operators import billing as B
@@ -71,6 +72,8 @@ WRITE_JOBS: dict[str, Job] = {
     "repair_assignment": lambda t: M.repair_assignment(t["repair_orders"], X.repair_assignments(t)),
     "set_null_on_delete": lambda t: M.set_null_on_delete(t["vehicles"], "space_id", X.spaces_in_repair(t)),
     "cascade_delete": lambda t: M.deleted_counts(t, "buildings", X.unaddressed_buildings(t)),
+    "insert_rejects": lambda t: M.insert_reasons(t, X.new_residents(t), "residents", AS_OF).select(
+        "resident_id", F.explode("reasons").alias("reason")).distinct(),
 }
 
 
@@ -97,6 +100,8 @@ def sql_bodies() -> dict:
     out = dict(oracles.REPORTS)
     out.update(oracles.WRITES)
     out.update(oracles.INTEGRITY)
+    body, nb = oracles.insert_rejects_sql("residents", "new_residents")
+    out["insert_rejects"] = (body, [("new_residents", oracles.BATCHES["new_residents"]), ("nb", nb)], False)
     return out
 
 

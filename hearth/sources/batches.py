@@ -60,13 +60,19 @@ def complaint_changes(t) -> DataFrame:
 
 
 def new_residents(t) -> DataFrame:
-    """A new resident for every resident, moved to the vacant room of its block of seven rooms."""
+    """A new resident for every resident, moved to the vacant room of its block of seven rooms.
+
+    Some rows break rules on purpose (for the insert validation): every 13th has a gender
+    outside the domain, every 17th keeps the id card of the resident it copies.
+    """
     r = t["residents"]
+    k = F.col("resident_id")
     return r.select(
-        (F.col("resident_id") + NEW_ID_OFFSET).alias("resident_id"),
+        (k + NEW_ID_OFFSET).alias("resident_id"),
         (F.col("room_id") - F.col("room_id") % 7 + 6).alias("room_id"),
-        "name", "gender", "phone",
-        (F.col("id_card").cast("decimal(20,0)") + NEW_ID_OFFSET).cast("string").alias("id_card"),
+        "name", F.when(k % 13 == 0, F.lit("未知")).otherwise(F.col("gender")).alias("gender"), "phone",
+        F.when(k % 17 == 0, F.col("id_card"))
+         .otherwise((F.col("id_card").cast("decimal(20,0)") + NEW_ID_OFFSET).cast("string")).alias("id_card"),
         F.when(F.col("resident_id") % 3 == 0, F.lit(None)).otherwise(F.col("relationship")).alias("relationship"),
         "move_in_date")
 

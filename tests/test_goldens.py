@@ -224,3 +224,23 @@ def test_sequenced_changes(spark, seed):
     assert len(out) == 8
     assert out[2]["status"] == "处理中" and out[2]["completed_at"] == datetime(2026, 7, 1)   # entered then left
     assert out[4]["status"] == "处理中" and out[4]["completed_at"] is None
+
+
+def test_validated_inserts(spark, seed):
+    ddl = ("resident_id bigint, room_id bigint, name string, gender string, phone string, id_card string, "
+           "relationship string, move_in_date date")
+    batch = spark.createDataFrame([
+        (100, 4, "甲", "女", "13800000100", "110101200001010001", None, date(2026, 7, 1)),     # fine
+        (101, 99, "乙", "男", "13800000101", "110101200001010002", "业主", date(2026, 7, 1)),  # no room 99
+        (1, 4, "丙", "男", "13800000102", "110101200001010003", "业主", date(2026, 7, 1)),     # key taken
+        (102, 4, "丁", "X", "13800000103", "110101199001011234", "业主", None),                # enum, unique, null
+        (103, 4, "戊", "男", "13800000104", "110101200001010005", "朋友", date(2026, 7, 1)),   # enum
+        (104, 4, "己", "男", "13800000105", "110101200001010005", "业主", date(2026, 7, 1)),   # same id_card twice
+    ], ddl)
+    out = M.validated_inserts(seed, batch, "residents", "2026-07-01 00:00:00")
+    rej = {r["resident_id"]: sorted(r["reasons"]) for r in rows(out["rejected"])}
+    assert [r["resident_id"] for r in rows(out["accepted"])] == [100]
+    assert rej[101] == ["FK:room_id"] and rej[1] == ["PK"]
+    assert rej[102] == ["ENUM:gender", "NULL:move_in_date", "UNIQUE:id_card"]
+    assert rej[103] == ["ENUM:relationship", "UNIQUE:id_card"] and rej[104] == ["UNIQUE:id_card"]
+    assert out["table"].count() == 16
