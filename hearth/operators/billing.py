@@ -132,7 +132,7 @@ _KEEP, _PART, _PAID = 0, 1, 2
 LOCKSTEP_POSITIONS = 64
 _SCAN = 4096
 
-_FOLD_OUT = ("fee_id long, seq int, amt_c long, amt_null boolean, status0 string, reason int, "
+_FOLD_OUT = ("fee_id long, seq int, amt_c long, amt_null boolean, status0_i int, status0_x string, reason int, "
              "paid_c long, code int")
 
 
@@ -233,7 +233,8 @@ def _fold_batches(batches: Iterator[pd.DataFrame], finals: bool = False) -> Iter
                 yield final_frame(fee[first[:-1]], paid[:-1], code[:-1], fired[:-1])
             continue
         yield pd.DataFrame({"fee_id": fee, "seq": pdf["seq"].to_numpy(np.int32), "amt_c": x, "amt_null": xnull,
-                            "status0": pdf["status0"], "reason": reason.astype(np.int32),
+                            "status0_i": pdf["status0_i"].to_numpy(np.int32), "status0_x": pdf["status0_x"],
+                            "reason": reason.astype(np.int32),
                             "paid_c": paid_after, "code": code_after.astype(np.int32)})
     if finals and carry is not None:
         yield final_frame([carry[0]], [carry[1]], [carry[2]], [carry[3]])
@@ -271,7 +272,14 @@ def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
         reason.alias("reason"),
         F.when(unknown, F.lit(None).cast(MONEY)).otherwise(_money(F.col("paid_c"))).alias("paid_after"),
         F.when(unknown, F.lit(None).cast("string")).when(F.col("code") == _PAID, F.lit(S.FEE_PAID))
-         .when(F.col("code") == _PART, F.lit(S.FEE_PARTIAL)).otherwise(F.col("status0")).alias("status_after"))
+         .when(F.col("code") == _PART, F.lit(S.FEE_PARTIAL))
+         .when(F.col("status0_i") > 0, F.element_at(_STATUS_ARRAY(), F.col("status0_i")))
+         .otherwise(F.col("status0_x"))
+         .alias("status_after"))
+
+
+def _STATUS_ARRAY() -> Column:
+    return F.array(*[F.lit(v) for v in S.FEE_STATUS])
 
 
 def _sorted_for_fold(fees: DataFrame, payments: DataFrame) -> DataFrame:
@@ -284,7 +292,11 @@ def _sorted_for_fold(fees: DataFrame, payments: DataFrame) -> DataFrame:
                       _cents(F.col("paid_amount")).alias("paid0_c"), F.col("status").alias("status0"))
     joined = pay.join(led, pay.fee_id == led.l_fee_id, "left").select(
         "fee_id", "seq", "amt_c", "amt_null", F.coalesce("amount_c", F.lit(0)).alias("amount_c"),
-        F.coalesce("paid0_c", F.lit(0)).alias("paid0_c"), "status0",
+        F.coalesce("paid0_c", F.lit(0)).alias("paid0_c"),
+        # the starting status travels as its position in the declared domain (text only if outside it)
+        F.coalesce(F.array_position(_STATUS_ARRAY(), F.col("status0")), F.lit(0)).cast("int").alias("status0_i"),
+        F.when(~F.coalesce(F.col("status0").isin(list(S.FEE_STATUS)), F.lit(False)), F.col("status0"))
+         .alias("status0_x"),
         F.coalesce(F.col("status0") == S.FEE_PAID, F.lit(False)).alias("closed0"),
         F.col("l_fee_id").isNotNull().alias("known"))
     return joined.repartition("fee_id").sortWithinPartitions("fee_id", "seq", "amt_null", "amt_c")
