@@ -18,8 +18,20 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 1_000_000
 
 
+def row_count(df: DataFrame) -> int:
+    """Row count, remembered on the DataFrame object (its file listing is fixed once it is created)."""
+    n = getattr(df, "_hearth_rows", None)
+    if n is None:
+        n = df.count()
+        try:
+            df._hearth_rows = n
+        except AttributeError:
+            pass
+    return n
+
+
 def join_dimension(fact: DataFrame, dim: DataFrame, on, how: str = "inner", bound: DataFrame | None = None,
                    max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``fact ⋈ dim``; ``bound`` is a table with at least as many rows as ``dim`` (default ``dim``)."""
-    n = (bound if bound is not None else dim).count()
+    n = row_count(bound if bound is not None else dim)
     return fact.join(F.broadcast(dim) if n <= max_rows else dim, on, how)
