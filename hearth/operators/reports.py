@@ -18,7 +18,7 @@ from .. import schemas as S
 from ..functions import count_if, full_address, percent_text, value_rank
 from ..plans.address import attach_room_place, attach_unit_place, resident_places
 from ..plans.joins import join_dimension
-from ..plans.scalars import combine_scalars
+from ..plans.scalars import combine_scalars, counts
 
 
 def _keys(df: DataFrame, key: str, keys) -> DataFrame:
@@ -33,22 +33,25 @@ def _keys(df: DataFrame, key: str, keys) -> DataFrame:
 
 # ----------------------------------------------------------------------------- dashboard
 
+def _count_if(cond: str) -> str:
+    return f"CAST(sum(CASE WHEN {cond} THEN 1 ELSE 0 END) AS BIGINT)"   # NULL over no rows, as in SQL
+
+
 def dashboard(t) -> DataFrame:
     """One row of headline counts (the console page)."""
-    rooms = t["rooms"].agg(F.count(F.lit(1)).alias("rooms_total"),
-                           count_if(F.col("status") == S.OCCUPIED).alias("rooms_occupied"))
-    parking = t["parking_spaces"].agg(F.count(F.lit(1)).alias("parking_total"),
-                                      count_if(F.col("status") == S.SPACE_FREE).alias("parking_available"))
-    repairs = t["repair_orders"].agg(
-        F.count(F.lit(1)).alias("repairs_total"),
-        count_if(F.col("status").isin(S.ORDER_PENDING, S.ORDER_ACTIVE)).alias("repairs_pending"))
-    complaints = t["complaints"].agg(F.count(F.lit(1)).alias("complaints_total"),
-                                     count_if(F.col("status") == S.COMPLAINT_PENDING).alias("complaints_pending"))
-    fees = t["fee_records"].agg(F.count(F.lit(1)).alias("fees_total"),
-                                count_if(F.col("status").isin(S.FEE_UNPAID, S.FEE_OVERDUE)).alias("fees_unpaid"))
+    def among(*v):
+        return "status IN (" + ", ".join(f"'{x}'" for x in v) + ")"
     return combine_scalars([
-        t["buildings"].agg(F.count(F.lit(1)).alias("buildings")), rooms,
-        t["residents"].agg(F.count(F.lit(1)).alias("residents")), parking, repairs, complaints, fees])
+        counts(t["buildings"], buildings="count(*)"),
+        counts(t["rooms"], rooms_total="count(*)", rooms_occupied=_count_if(among(S.OCCUPIED))),
+        counts(t["residents"], residents="count(*)"),
+        counts(t["parking_spaces"], parking_total="count(*)", parking_available=_count_if(among(S.SPACE_FREE))),
+        counts(t["repair_orders"], repairs_total="count(*)",
+               repairs_pending=_count_if(among(S.ORDER_PENDING, S.ORDER_ACTIVE))),
+        counts(t["complaints"], complaints_total="count(*)",
+               complaints_pending=_count_if(among(S.COMPLAINT_PENDING))),
+        counts(t["fee_records"], fees_total="count(*)", fees_unpaid=_count_if(among(S.FEE_UNPAID, S.FEE_OVERDUE))),
+    ])
 
 
 def latest_announcements(t, n: int = 5) -> DataFrame:
@@ -60,12 +63,12 @@ def latest_announcements(t, n: int = 5) -> DataFrame:
 def community_summary(t) -> DataFrame:
     """One row with the size of seven tables."""
     names = ["buildings", "units", "rooms", "residents", "parking_spaces", "vehicles", "staff"]
-    return combine_scalars([t[n].agg(F.count(F.lit(1)).alias(n)) for n in names])
+    return combine_scalars([counts(t[n], **{n: "count(*)"}) for n in names])
 
 
 def table_counts(t) -> DataFrame:
     """(table_name, row_count) for every estate table."""
-    parts = [t[n].agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("table_name"), "row_count")
+    parts = [counts(t[n], row_count="count(*)").selectExpr(f"'{n}' AS table_name", "row_count")
              for n in S.TABLE_ORDER if n in t]
     return reduce(DataFrame.unionByName, parts)
 

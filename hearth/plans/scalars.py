@@ -16,8 +16,12 @@ def combine_scalars(parts: list[DataFrame]) -> DataFrame:
     folded back into columns, so no product of tables is ever formed.
     """
     names = [c for p in parts for c in p.columns]
-    pairs = [p.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("k"), F.col(c).cast("bigint").alias("v")) for c in p.columns])).alias("kv"))
-        for p in parts]
+    pairs = [p.selectExpr("inline(array(" + ", ".join(
+        f"named_struct('k', '{c}', 'v', CAST({c} AS BIGINT))" for c in p.columns) + "))") for p in parts]
     long = reduce(DataFrame.unionByName, pairs)
-    return long.agg(*[F.max(F.when(F.col("kv.k") == c, F.col("kv.v"))).alias(c) for c in names])
+    return long.agg(*[F.expr(f"max(CASE WHEN k = '{c}' THEN v END) AS {c}") for c in names])
+
+
+def counts(df: DataFrame, **exprs: str) -> DataFrame:
+    """One-row aggregate of SQL expressions (``name=expr``): one call per table, planned by Spark."""
+    return df.agg(*[F.expr(f"{e} AS {n}") for n, e in exprs.items()])

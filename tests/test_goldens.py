@@ -200,6 +200,7 @@ def test_empty_tables(spark, seed):
     o = rows(R.parking_overview(empty))[0]
     assert o["total_spaces"] == 0 and o["available"] is None and o["occupancy_rate"] is None
     assert R.fee_report(empty).count() == 0 and B.generate_bills(empty, "2026-07").count() == 0
+    assert {r["row_count"] for r in rows(R.table_counts(empty))} == {0} and R.table_counts(empty).count() == 13
 
 
 def test_unknown_status_sorts_first_and_null_refs(spark, seed):
