@@ -245,3 +245,12 @@ def test_validated_inserts(spark, seed):
     assert rej[102] == ["ENUM:gender", "NULL:move_in_date", "UNIQUE:id_card"]
     assert rej[103] == ["ENUM:relationship", "UNIQUE:id_card"] and rej[104] == ["UNIQUE:id_card"]
     assert out["table"].count() == 16
+
+
+def test_insert_defaults_other_table(spark, seed):
+    batch = spark.createDataFrame([(9, 3, "漏水")], "order_id bigint, resident_id bigint, title string")
+    out = {r["order_id"]: r for r in rows(M.apply_inserts(seed["repair_orders"], batch, "repair_orders",
+                                                          "2026-07-01 10:00:00"))}
+    new = out[9]
+    assert (new["priority"], new["status"], new["staff_id"], new["completed_at"]) == ("中", "待处理", None, None)
+    assert new["created_at"] == datetime(2026, 7, 1, 10, 0)

@@ -31,3 +31,13 @@ def test_multi_result_sets(seed, spark):
     assert set(sets) == {"info", "unpaid_fees", "recent_repairs"}
     assert sets["unpaid_fees"].count() == 0 and sets["recent_repairs"].count() == 1
     assert R.foreign_keys(spark).count() == 11
+
+
+def test_append_rows_partitioned(spark, seed):
+    from hearth.sources.parquet import append_rows
+    root = tempfile.mkdtemp(prefix="hearth-append-")
+    write_estate({"fee_records": seed["fee_records"]}, root)
+    append_rows(seed["fee_records"].filter("fee_period = '2026-05'"), os.path.join(root, "fee_records"),
+                "fee_records")
+    back = read_estate(spark, root, ["fee_records"])["fee_records"]
+    assert back.count() == 38 and back.filter("fee_period = '2026-05'").count() == 14
