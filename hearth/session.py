@@ -83,6 +83,7 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
+    # staged on the driver only: addPyFile itself serves the file to every executor (no data here)
     out = os.path.join(tempfile.mkdtemp(prefix="hearth-code-"), f"hearth-{app}.zip")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _, files in os.walk(pkg):
