@@ -186,15 +186,26 @@ def resident_recent_repairs(t, n: int = 5, residents=None) -> DataFrame:
 # ----------------------------------------------------------------------------- parking
 
 def parking_list(t) -> DataFrame:
-    """Spaces with the vehicles on them and their owners (two vehicles on a space → two rows)."""
+    """Spaces with the vehicles on them and their owners (two vehicles on a space → two rows).
+
+    Written as (spaces ⋈ vehicles) ∪ (spaces without vehicles) rather than a left
+    join: AQE can split a skewed partition on either side of an inner join, but
+    only the preserved side of a left join, so a space holding a third of all
+    vehicles would otherwise land whole in one task.  The anti join sees only the
+    *distinct* occupied space ids.
+    """
     ps = t["parking_spaces"]
-    v = t["vehicles"].select(F.col("space_id").alias("v_space_id"), F.col("resident_id").alias("v_resident_id"),
-                             "plate_no", "vehicle_type")
+    v = (t["vehicles"].select(F.col("space_id").alias("v_space_id"), F.col("resident_id").alias("v_resident_id"),
+                              "plate_no", "vehicle_type").filter(F.col("v_space_id").isNotNull()))
     res = t["residents"].select(F.col("resident_id").alias("r_resident_id"), F.col("name").alias("resident_name"))
-    return (ps.join(v, ps.space_id == v.v_space_id, "left")
-              .join(res, F.col("v_resident_id") == F.col("r_resident_id"), "left")
-              .orderBy("space_number", "space_id", "plate_no")
-              .select(*[ps[c] for c in ps.columns], "plate_no", "vehicle_type", "resident_name"))
+    matched = (ps.join(v, ps.space_id == v.v_space_id, "inner")
+                 .join(res, F.col("v_resident_id") == F.col("r_resident_id"), "left")
+                 .select(*[ps[c] for c in ps.columns], "plate_no", "vehicle_type", "resident_name"))
+    used = v.select("v_space_id").distinct()
+    empty = ps.join(used, ps.space_id == used.v_space_id, "left_anti").select(
+        *ps.columns, F.lit(None).cast("string").alias("plate_no"), F.lit(None).cast("string").alias("vehicle_type"),
+        F.lit(None).cast("string").alias("resident_name"))
+    return matched.unionByName(empty).orderBy("space_number", "space_id", "plate_no")
 
 
 def parking_overview(t) -> DataFrame:

@@ -254,3 +254,10 @@ def test_insert_defaults_other_table(spark, seed):
     new = out[9]
     assert (new["priority"], new["status"], new["staff_id"], new["completed_at"]) == ("中", "待处理", None, None)
     assert new["created_at"] == datetime(2026, 7, 1, 10, 0)
+
+
+def test_parking_list(seed):
+    got = rows(R.parking_list(seed))
+    assert len(got) == 14 and [r["space_id"] for r in got] == list(range(1, 15))
+    by = {r["space_id"]: (r["plate_no"], r["resident_name"]) for r in got}
+    assert by[1] == ("京A12345", "张伟") and by[3] == (None, None) and by[12] == ("京G55555", "马超")
