@@ -299,7 +299,12 @@ def _sorted_for_fold(fees: DataFrame, payments: DataFrame) -> DataFrame:
          .alias("status0_x"),
         F.coalesce(F.col("status0") == S.FEE_PAID, F.lit(False)).alias("closed0"),
         F.col("l_fee_id").isNotNull().alias("known"))
-    return joined.repartition("fee_id").sortWithinPartitions("fee_id", "seq", "amt_null", "amt_c")
+    # The exchange is keyed on a column of its own (a hash of fee_id), never on fee_id itself: an
+    # exchange on fee_id would be dropped when the join above already hash-partitions on fee_id,
+    # and AQE may split a skewed join partition — one bill would then fold in two tasks.  An
+    # exchange Spark must keep is one AQE only coalesces (whole partitions), never splits.
+    return (joined.withColumn("__fold_part", F.xxhash64("fee_id")).repartition("__fold_part")
+                  .sortWithinPartitions("fee_id", "seq", "amt_null", "amt_c").drop("__fold_part"))
 
 
 def settle(fees: DataFrame, payments: DataFrame, as_of=None) -> DataFrame:
