@@ -87,7 +87,7 @@ def generate_bills(t, periods: Iterable[str] | str | None = None, as_of=None) ->
         when = as_of if isinstance(as_of, datetime) else (datetime.fromisoformat(str(as_of)) if as_of
                                                           else datetime.now())
         periods = when.strftime("%Y-%m")
-    plist = [periods] if isinstance(periods, str) else list(periods)
+    plist = [periods] if isinstance(periods, str) else list(dict.fromkeys(periods))   # each period once
     cats = t["fee_categories"].select("category_id", "calc_method", "unit_price")
     per = F.array(*[F.struct(F.lit(p).alias("fee_period"), due_date_of(F.lit(p)).alias("due_date"))
                     for p in plist]) if plist else F.array().cast("array<struct<fee_period:string,due_date:date>>")

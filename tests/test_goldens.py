@@ -66,6 +66,7 @@ def test_generate_bills(seed):
     assert len(rows(B.generate_bills(seed, "2026-06"))) == 51
     assert rows(B.generate_bills(seed, "2026-13")) == []                # malformed period: nothing
     assert len(rows(B.generate_bills(seed, ["2026-07", "2026-06"]))) == 126
+    assert len(rows(B.generate_bills(seed, ["2026-07", "2026-07"]))) == 75      # a repeated period counts once
 
 
 def test_bill_amounts_trigger(spark, seed):
