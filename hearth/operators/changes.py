@@ -221,7 +221,9 @@ def insert_reasons(t, batch: DataFrame, table: str, as_of=None) -> DataFrame:
         mine = rows.select("__rid", *[norm(rows, c).alias(f"__k{j}") for j, c in enumerate(cols)])
         on = [f"__k{j}" for j in range(len(cols))]
         clash = mine.join(cur, on, "left_semi")
-        twice = mine.join(mine.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), on, "left_semi")
+        present = mine.dropna(subset=on)            # NULL key parts never collide (SQL UNIQUE)
+        twice = present.join(present.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), on,
+                             "left_semi")
         out = out.join(flag(clash.unionByName(twice), f"__u{i}"), "__rid", "left")
         checks.append(F.when(F.col(f"__u{i}"), F.lit(label)))
     reasons = F.filter(F.array(*checks), lambda x: x.isNotNull())

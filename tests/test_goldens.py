@@ -262,3 +262,10 @@ def test_parking_list(seed):
     assert len(got) == 14 and [r["space_id"] for r in got] == list(range(1, 15))
     by = {r["space_id"]: (r["plate_no"], r["resident_name"]) for r in got}
     assert by[1] == ("京A12345", "张伟") and by[3] == (None, None) and by[12] == ("京G55555", "马超")
+
+
+def test_validated_inserts_null_keys_do_not_collide(spark, seed):
+    ddl = "vehicle_id bigint, resident_id bigint, space_id bigint, plate_no string, vehicle_type string"
+    batch = spark.createDataFrame([(20, 1, None, None, "轿车"), (21, 2, None, None, "轿车")], ddl)
+    rej = {r["vehicle_id"]: sorted(r["reasons"]) for r in rows(M.validated_inserts(seed, batch, "vehicles")["rejected"])}
+    assert rej == {20: ["NULL:plate_no"], 21: ["NULL:plate_no"]}
