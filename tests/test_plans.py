@@ -49,3 +49,20 @@ def test_scan_reads_only_needed_columns(estate):
     p = plan(R.fee_report(estate))
     schema = [line for line in p.split("\n") if "fee_records" in line and "ReadSchema" in line][0]
     assert "created_at" not in schema and "due_date" not in schema
+
+
+def test_fold_keeps_its_own_exchange(spark, estate):
+    """Even when the join below is a sort-merge join on fee_id, the fold's exchange survives."""
+    from hearth.operators import billing as B
+    from hearth.sources import batches as X
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = B.post_payments(estate["fee_records"], X.payments(estate))
+        df.write.format("noop").mode("overwrite").save()
+        p = plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in p and "REPARTITION_BY_COL" in p and "__fold_part" in p
