@@ -16,7 +16,7 @@ assert E.entry(s).count() > 0
 q = E.queries()
 n = q['post_payments'](s, '/root/testdata/sf0.001').count()       # runs Python workers
 assert n > 0, n
-assert set(q) == set(E.oracle_sql())
+assert set(E.oracle_sql()) <= set(q)
 print('OK', n)
 """
 
