@@ -308,13 +308,14 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     shared = _shared_blocks(texts)
     release(spark)
     rows = staged(_contexts(texts, shared), "suffix-contexts")
-    least = rows.groupBy("h", "c").agg(F.min("id").alias("least"))
+    # written first: a join whose side is still being aggregated in the same stage cannot be split where a key is hot
+    least = staged(rows.groupBy("h", "c").agg(F.min("id").alias("least")), "suffix-least")
     found = staged(rows.join(least, ["h", "c"]).withColumn("later", F.col("id") > F.col("least")).drop("least"), "suffix-judged")
     release(spark)
     end = F.col("first") + F.col("count") - 1 + LENGTH
     spans = found.where("later").select("id", "rk", F.col("first").alias("s"), end.alias("e"))
     own = found.where("not later")
-    several = (own.select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    several = staged(least.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-several")
     left = own.join(several, "h")
     need = left.groupBy("id", "rk").agg(F.collect_set(F.struct("h", "first", "count", "n")).alias("need"))
 
