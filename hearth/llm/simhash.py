@@ -91,7 +91,7 @@ def distance_table(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints: verified pairs, and star links of large cells."""
     table = distance_table(fps)
-    size = table.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    size = staged(table.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
     met = staged(table.join(size, "cell"), "simhash-cells")
     small = met.where(F.col("n") <= CELL)
     left = small.select("cell", F.col("fp").alias("a"), F.col("coord").alias("ca"))
@@ -114,7 +114,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = components(links(first))
     root = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
     least = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return f.join(root.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = staged(root.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-components")
+    return f.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
