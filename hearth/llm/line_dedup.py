@@ -8,8 +8,10 @@ of equal or up to ``EDITS`` shorter lines with the substrings whose place leaves
 both sides (length-aware, multi-match selection).  Candidates are verified with a banded
 bit-parallel edit distance: one word of ``2 * EDITS + 1`` bits slides down the diagonal.
 
-Keys hold a line once however often it occurs, so a frequent line is one row per key; joins are plain
-equi-joins that Spark may split where a key is frequent.
+Only a line's first occurrence makes keys, so a frequent line is one row per key; joins are plain
+equi-joins that Spark may split where a key is frequent.  Lists of line hashes (the lines that repeat, the
+candidates) are broadcast up to ``BROADCAST_ROWS`` counted rows, so the texts need not be shuffled
+to meet them, and joined by shuffle beyond.
 
 A line goes when it occurs earlier (by ``doc_id``, then place), or a line linked to it first occurs
 earlier; both are judged on the input, not on what is left.
@@ -29,6 +31,7 @@ from .common import staged
 
 EDITS = 2
 MIN_CHARS = 20
+BROADCAST_ROWS = 1_000_000
 _WORD = 60                                   # lines per word of a document's keep mask
 
 
@@ -112,21 +115,37 @@ def within_edits(a: Column, b: Column, ca: Column, cb: Column) -> Column:
     return F.when(short, F.levenshtein(a, b) <= e).otherwise((F.abs(n - m) <= e) & (dist <= e))
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """A written list of hashes, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def first_places(lines: DataFrame) -> DataFrame:
+    """``h, g, first, times`` of every distinct line, written once."""
+    return staged(lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "rk", "line_no")).alias("first"), F.count("*").alias("times")), "line-first")
+
+
+def once(lines: DataFrame, first: DataFrame) -> DataFrame:
+    """First occurrences only, ``h, n, line``."""
+    often = staged(first.where("times > 1").select("h", "g", "first"), "line-often")
+    return (lines.join(_sized(often), ["h", "g"], "left")
+            .where(F.col("first").isNull() | F.struct("doc_id", "rk", "line_no").eqNullSafe(F.col("first"))).select("h", "n", "line"))
+
+
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of line hashes that share a key, a before b, each once."""
-    index, probe = segment_keys(lines).distinct(), probe_keys(lines).distinct()
+    index, probe = segment_keys(lines), probe_keys(lines)
     return (index.withColumnRenamed("h", "a").join(probe.withColumnRenamed("h", "b"), "key")
             .where(F.col("a") != F.col("b"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """Verified links ``a, b`` (line hashes, a < b) between different lines."""
-    lines = lines_of(docs)
+def line_links(lines: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` (line hashes, a < b) between different lines (each given once)."""
     cand = staged(candidates(lines), "line-candidates")
-    ids = cand.select(F.col("a").alias("h")).unionByName(cand.select(F.col("b").alias("h"))).distinct()
-    text = lines.join(ids, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    text = staged(text.select("h", "line", F.split("line", "").alias("chars")), "line-texts")
+    ids = staged(cand.select(F.col("a").alias("h")).unionByName(cand.select(F.col("b").alias("h"))).distinct(), "line-ids")
+    text = lines.join(_sized(ids), "h", "left_semi")
+    text = staged(text.select("h", "line", F.split("line", "").alias("chars")).dropDuplicates(["h"]), "line-texts")
     pairs = (cand.join(text.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("chars").alias("ca")), "a")
              .join(text.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("chars").alias("cb")), "b"))
     near = within_edits(F.col("la"), F.col("lb"), F.col("ca"), F.col("cb"))
@@ -136,9 +155,8 @@ def line_links(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct lines with first place and verdict (``h, g, first, kept``), and links per line."""
     lines = lines_of(docs)
-    place = F.struct("doc_id", "rk", "line_no")
-    first = staged(lines.groupBy("h", "g").agg(F.min(place).alias("first")), "line-first")
-    links = staged(line_links(docs), "line-links")
+    first = first_places(lines)
+    links = staged(line_links(once(lines, first)), "line-links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     met = (both.join(first.select(F.col("h").alias("b"), F.col("first").alias("other")), "b")
            .groupBy("a").agg(F.min("other").alias("other"), F.count("*").alias("links")).withColumnRenamed("a", "h"))
@@ -179,7 +197,7 @@ def report(docs: DataFrame) -> DataFrame:
     """Per document: lines, removed lines, links of its lines to different lines, hash of what is left."""
     judged, met = _judged(docs)
     done = _apply(docs.select("doc_id", "text").withColumn("__rk0", _text_key()), judged)
-    per = (lines_of(docs).select("doc_id", "rk", "line_no", "h").distinct().join(met, "h")
+    per = (lines_of(docs).select("doc_id", "rk", "line_no", "h").join(_sized(met), "h").distinct()
            .groupBy(F.col("doc_id").alias("__i"), F.col("rk").alias("__r")).agg(F.sum("links").alias("n_links")))
     return (done.join(per, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__i")) & (F.col("__rk0") == F.col("__r")), "left")
             .select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_lines", "n_removed",
