@@ -5,8 +5,9 @@ substitutions of code points); lines of under ``MIN_CHARS`` code points are layo
 A line is cut into ``EDITS + 1`` segments; of two linked lines one holds a segment of the other
 unchanged.  Every line is indexed by its segments (key: length, segment number, content) and probes the keys
 of equal or up to ``EDITS`` shorter lines with the substrings whose place leaves enough edits for
-both sides (length-aware, multi-match selection).  Candidates are verified with a banded
-bit-parallel edit distance: one word of ``2 * EDITS + 1`` bits slides down the diagonal.
+both sides (length-aware, multi-match selection).  A pair that meets is dropped when a sketch shows it to be
+too far apart (an edit changes three words at most, so the parity masks of the words differ in at most
+``3 * EDITS`` bits); candidates are verified with a banded bit-parallel edit distance: one word of ``2 * EDITS + 1`` bits slides down the diagonal.
 
 Only a line's first occurrence makes keys, so a frequent line is one row per key; joins are plain
 equi-joins that Spark may split where a key is frequent.  Lists of line hashes (the lines that repeat, the
@@ -54,18 +55,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
-    """``h, key`` for every place (``less``, ``i``, ``shift``): the key of segment ``i`` (from 0) of a line
+    """``h, p, key`` for every place (``less``, ``i``, ``shift``): the key of segment ``i`` (from 0) of a line
     ``less`` shorter, of which the content stands ``shift`` further right in this line."""
     k = EDITS + 1
     spec = F.array(*[F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(y).alias("shift")) for x, i, y in places])
-    rows = lines.select("h", "n", "line", F.explode(spec).alias("s")).select("h", "n", "line", "s.*", (F.col("n") - F.col("s.less")).alias("m"))
+    rows = lines.select("h", "p", "n", "line", F.explode(spec).alias("s")).select("h", "p", "n", "line", "s.*", (F.col("n") - F.col("s.less")).alias("m"))
     base = (F.col("m") - F.col("m") % k) / k
     long = F.col("m") % k                    # so many of the last segments have one more
-    rows = rows.select("h", "n", "line", "i", "m", "shift", base.cast("int").alias("base"), (F.col("i") - (k - long)).alias("over"))
-    rows = rows.select("h", "n", "line", "i", "m", (F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("over")) + 1 + F.col("shift")).alias("p"),
+    rows = rows.select("h", "p", "n", "line", "i", "m", "shift", base.cast("int").alias("base"), (F.col("i") - (k - long)).alias("over"))
+    rows = rows.select("h", "p", "n", "line", "i", "m", (F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("over")) + 1 + F.col("shift")).alias("at"),
                        (F.col("base") + (F.col("over") >= 0).cast("int")).alias("size"))
-    return (rows.where((F.col("p") >= 1) & (F.col("p") + F.col("size") - 1 <= F.col("n")))
-            .select("h", F.xxhash64("i", "m", F.substring(F.col("line"), F.col("p"), F.col("size"))).alias("key")))
+    return (rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+            .select("h", "p", F.xxhash64("i", "m", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("key")))
 
 
 def segment_keys(lines: DataFrame) -> DataFrame:
@@ -126,17 +127,20 @@ def first_places(lines: DataFrame) -> DataFrame:
 
 
 def once(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """First occurrences only, ``h, n, line``."""
+    """First occurrences only: ``h, n, line`` and ``p``, the parity of the line's words in 64 classes."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    parity = F.aggregate(F.split("line", " "), F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(bit(w)))
     often = staged(first.where("times > 1").select("h", "g", "first"), "line-often")
     return (lines.join(_sized(often), ["h", "g"], "left")
-            .where(F.col("first").isNull() | F.struct("doc_id", "rk", "line_no").eqNullSafe(F.col("first"))).select("h", "n", "line"))
+            .where(F.col("first").isNull() | F.struct("doc_id", "rk", "line_no").eqNullSafe(F.col("first")))
+            .select("h", "n", "line", parity.alias("p")))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of line hashes that share a key, a before b, each once."""
     index, probe = segment_keys(lines), probe_keys(lines)
-    return (index.withColumnRenamed("h", "a").join(probe.withColumnRenamed("h", "b"), "key")
-            .where(F.col("a") != F.col("b"))
+    return (index.select("key", F.col("h").alias("a"), F.col("p").alias("pa")).join(probe.select("key", F.col("h").alias("b"), F.col("p").alias("pb")), "key")
+            .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 3 * EDITS))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
