@@ -5,9 +5,8 @@ substitutions of code points); lines of under ``MIN_CHARS`` code points are layo
 A line is cut into ``EDITS + 1`` segments; of two linked lines one holds a segment of the other
 unchanged.  Every line is indexed by its segments (key: length, segment number, content) and probes the keys
 of equal or up to ``EDITS`` shorter lines with the substrings whose place leaves enough edits for
-both sides (length-aware, multi-match selection).  A pair that meets is dropped when a sketch shows it to be
-too far apart (an edit changes three words at most, so the parity masks of the words differ in at most
-``3 * EDITS`` bits); candidates are verified with a banded bit-parallel edit distance: one word of ``2 * EDITS + 1`` bits slides down the diagonal.
+both sides (length-aware, multi-match selection).  Candidates, cut to what lies
+between their common ends, are verified with a banded bit-parallel edit distance: one word of ``2 * EDITS + 1`` bits slides down the diagonal.
 
 Only a line's first occurrence makes keys, so a frequent line is one row per key; joins are plain
 equi-joins that Spark may split where a key is frequent.  Lists of line hashes (the lines that repeat, the
@@ -55,18 +54,18 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
-    """``h, p, key`` for every place (``less``, ``i``, ``shift``): the key of segment ``i`` (from 0) of a line
+    """``h, key`` for every place (``less``, ``i``, ``shift``): the key of segment ``i`` (from 0) of a line
     ``less`` shorter, of which the content stands ``shift`` further right in this line."""
     k = EDITS + 1
     spec = F.array(*[F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(y).alias("shift")) for x, i, y in places])
-    rows = lines.select("h", "p", "n", "line", F.explode(spec).alias("s")).select("h", "p", "n", "line", "s.*", (F.col("n") - F.col("s.less")).alias("m"))
+    rows = lines.select("h", "n", "line", F.explode(spec).alias("s")).select("h", "n", "line", "s.*", (F.col("n") - F.col("s.less")).alias("m"))
     base = (F.col("m") - F.col("m") % k) / k
     long = F.col("m") % k                    # so many of the last segments have one more
-    rows = rows.select("h", "p", "n", "line", "i", "m", "shift", base.cast("int").alias("base"), (F.col("i") - (k - long)).alias("over"))
-    rows = rows.select("h", "p", "n", "line", "i", "m", (F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("over")) + 1 + F.col("shift")).alias("at"),
+    rows = rows.select("h", "n", "line", "i", "m", "shift", base.cast("int").alias("base"), (F.col("i") - (k - long)).alias("over"))
+    rows = rows.select("h", "n", "line", "i", "m", (F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("over")) + 1 + F.col("shift")).alias("at"),
                        (F.col("base") + (F.col("over") >= 0).cast("int")).alias("size"))
     return (rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
-            .select("h", "p", F.xxhash64("i", "m", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("key")))
+            .select("h", F.xxhash64("i", "m", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("key")))
 
 
 def segment_keys(lines: DataFrame) -> DataFrame:
@@ -116,6 +115,28 @@ def within_edits(a: Column, b: Column, ca: Column, cb: Column) -> Column:
     return F.when(short, F.levenshtein(a, b) <= e).otherwise((F.abs(n - m) <= e) & (dist <= e))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """Length of a common beginning of two strings (the whole of it up to 2^17 characters), by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    most = F.least(F.char_length(a), F.char_length(b))
+    same = lambda n, s: F.substring(a, n + 1, s) == F.substring(b, n + 1, s)
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= most) & same(n, s), n + s).otherwise(n))
+
+
+def close(pairs: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` whose lines ``x``, ``y`` are within ``EDITS``; only what lies between their common ends is compared."""
+    x, y = F.col("x"), F.col("y")
+    head = pairs.withColumn("__k", _common(x, y))
+    rest = head.withColumn("__x", F.substring(x, F.col("__k") + 1, F.char_length(x))).withColumn("__y", F.substring(y, F.col("__k") + 1, F.char_length(y)))
+    back = rest.withColumn("__rx", F.reverse("__x")).withColumn("__ry", F.reverse("__y"))
+    tail = back.withColumn("__t", _common(F.col("__rx"), F.col("__ry")))
+    core = (tail.withColumn("__x", F.substring(F.col("__x"), F.lit(1), F.char_length("__x") - F.col("__t")))
+            .withColumn("__y", F.substring(F.col("__y"), F.lit(1), F.char_length("__y") - F.col("__t")))
+            .withColumn("__cx", F.split("__x", "")).withColumn("__cy", F.split("__y", "")))
+    return core.where(within_edits(F.col("__x"), F.col("__y"), F.col("__cx"), F.col("__cy"))).drop(
+        "__k", "__x", "__y", "__rx", "__ry", "__t", "__cx", "__cy")
+
+
 def _sized(df: DataFrame) -> DataFrame:
     """A written list of hashes, to be broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -127,20 +148,17 @@ def first_places(lines: DataFrame) -> DataFrame:
 
 
 def once(lines: DataFrame, first: DataFrame) -> DataFrame:
-    """First occurrences only: ``h, n, line`` and ``p``, the parity of the line's words in 64 classes."""
-    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
-    parity = F.aggregate(F.split("line", " "), F.lit(0).cast("bigint"), lambda s, w: s.bitwiseXOR(bit(w)))
+    """First occurrences only: ``h, n, line``."""
     often = staged(first.where("times > 1").select("h", "g", "first"), "line-often")
     return (lines.join(_sized(often), ["h", "g"], "left")
             .where(F.col("first").isNull() | F.struct("doc_id", "rk", "line_no").eqNullSafe(F.col("first")))
-            .select("h", "n", "line", parity.alias("p")))
+            .select("h", "n", "line"))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of line hashes that share a key, a before b, each once."""
     index, probe = segment_keys(lines), probe_keys(lines)
-    return (index.select("key", F.col("h").alias("a"), F.col("p").alias("pa")).join(probe.select("key", F.col("h").alias("b"), F.col("p").alias("pb")), "key")
-            .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= 3 * EDITS))
+    return (index.withColumnRenamed("h", "a").join(probe.withColumnRenamed("h", "b"), "key").where(F.col("a") != F.col("b"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
@@ -149,11 +167,10 @@ def line_links(lines: DataFrame) -> DataFrame:
     cand = staged(candidates(lines), "line-candidates")
     ids = staged(cand.select(F.col("a").alias("h")).unionByName(cand.select(F.col("b").alias("h"))).distinct(), "line-ids")
     text = lines.join(_sized(ids), "h", "left_semi")
-    text = staged(text.select("h", "line", F.split("line", "").alias("chars")).dropDuplicates(["h"]), "line-texts")
-    pairs = (cand.join(text.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("chars").alias("ca")), "a")
-             .join(text.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("chars").alias("cb")), "b"))
-    near = within_edits(F.col("la"), F.col("lb"), F.col("ca"), F.col("cb"))
-    return pairs.where(F.abs(F.size("ca") - F.size("cb")) <= EDITS).where(near).select("a", "b")
+    text = staged(text.select("h", "line").dropDuplicates(["h"]), "line-texts")
+    pairs = (cand.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+             .join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b"))
+    return close(pairs).select("a", "b")
 
 
 def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
