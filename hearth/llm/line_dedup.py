@@ -124,17 +124,15 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def close(pairs: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` whose lines ``x``, ``y`` are within ``EDITS``; only what lies between their common ends is compared."""
-    x, y = F.col("x"), F.col("y")
-    head = pairs.withColumn("__k", _common(x, y))
-    rest = head.withColumn("__x", F.substring(x, F.col("__k") + 1, F.char_length(x))).withColumn("__y", F.substring(y, F.col("__k") + 1, F.char_length(y)))
-    back = rest.withColumn("__rx", F.reverse("__x")).withColumn("__ry", F.reverse("__y"))
-    tail = back.withColumn("__t", _common(F.col("__rx"), F.col("__ry")))
-    core = (tail.withColumn("__x", F.substring(F.col("__x"), F.lit(1), F.char_length("__x") - F.col("__t")))
-            .withColumn("__y", F.substring(F.col("__y"), F.lit(1), F.char_length("__y") - F.col("__t")))
-            .withColumn("__cx", F.split("__x", "")).withColumn("__cy", F.split("__y", "")))
-    return core.where(within_edits(F.col("__x"), F.col("__y"), F.col("__cx"), F.col("__cy"))).drop(
-        "__k", "__x", "__y", "__rx", "__ry", "__t", "__cx", "__cy")
+    """The rows ``a, b, x, y`` whose lines ``x``, ``y`` are within ``EDITS``; only what lies between their common
+    ends is compared.  Each step is written, lest Spark computes an earlier one anew inside every step of a later one."""
+    rest = lambda c: F.substring(F.col(c), F.col("k") + 1, F.char_length(c))
+    head = staged(pairs.select("a", "b", "x", "y", _common(F.col("x"), F.col("y")).alias("k")), "line-pairs")
+    head = staged(head.select("a", "b", F.reverse(rest("x")).alias("x"), F.reverse(rest("y")).alias("y")), "line-pairs")
+    tail = staged(head.select("a", "b", "x", "y", _common(F.col("x"), F.col("y")).alias("k")), "line-pairs")
+    core = tail.select("a", "b", rest("x").alias("x"), rest("y").alias("y"))
+    core = staged(core.select("a", "b", "x", "y", F.split("x", "").alias("cx"), F.split("y", "").alias("cy")), "line-pairs")
+    return core.where(within_edits(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).select("a", "b")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -170,7 +168,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     text = staged(text.select("h", "line").dropDuplicates(["h"]), "line-texts")
     pairs = (cand.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
              .join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b"))
-    return close(pairs).select("a", "b")
+    return close(pairs)
 
 
 def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
