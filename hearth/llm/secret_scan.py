@@ -28,8 +28,9 @@ from ..session import ship_package
 from .common import map_batches, sha256_hex, texts
 
 DRAWN = 20_000                               # strings of 16 to 48 characters from the usual alphabets
-PER_CHAR = 0.35
-TOTAL = 8.0
+RARE = 5                                     # taken off each count: an unlisted secret among the ordinary runs must not vouch for itself
+PER_CHAR = 0.1
+TOTAL = 4.0
 KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 _N = len(ALPHABET) + 1                       # and the edge of a run
@@ -131,6 +132,7 @@ def train(docs: DataFrame) -> np.ndarray | None:
     for k in (0, 1):                         # trigram smoothed by bigram, bigram by unigram (absolute weights)
         t = c[k].reshape(_N, _N, _N)
         uni = (t.sum((0, 1)) + 0.5) / (t.sum() + 0.5 * _N)
+        t = np.maximum(t - RARE, 0)
         two = t.sum(0)
         bi = (two + 5 * uni) / (two.sum(1, keepdims=True) + 5)
         tri = (t + 5 * bi[None]) / (t.sum(2, keepdims=True) + 5)

@@ -155,7 +155,9 @@ def _shared_blocks(texts: DataFrame) -> np.ndarray:
         x = np.concatenate(out, axis=1)
         order = np.lexsort(x[::-1])
         h, d = x[:, order]
-        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        if not len(h):
+            return None
+        head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         tail = np.r_[head[1:], len(h)] - 1
         return pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(d[head]), pa.array(d[tail])], ["h", "lo", "hi"])
 
