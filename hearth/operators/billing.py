@@ -122,8 +122,9 @@ def payment_status(fees: DataFrame, as_of=None) -> DataFrame:
 # ----------------------------------------------------------------------------- B3: the payment fold
 
 # Outcome codes inside the fold (mapped back to the reason texts on the JVM side).
-_REASONS = [OK, UNKNOWN_FEE, ALREADY_PAID, NON_POSITIVE, OVERPAY]
-_OK, _UNKNOWN, _ALREADY, _NONPOS, _OVER = range(5)
+BAD_SEQUENCE, BAD_AMOUNT = "BAD_SEQUENCE", "BAD_AMOUNT"      # no usable place in the order; amount out of range
+_REASONS = [OK, UNKNOWN_FEE, ALREADY_PAID, NON_POSITIVE, OVERPAY, BAD_SEQUENCE, BAD_AMOUNT]
+_OK, _UNKNOWN, _ALREADY, _NONPOS, _OVER, _NOSEQ, _RANGE = range(7)
 # Status codes: 0 = the bill's status before the batch, 1 = 部分缴纳, 2 = 已缴.
 _KEEP, _PART, _PAID = 0, 1, 2
 
@@ -140,9 +141,9 @@ def _fold_batches(batches: Iterator[pd.DataFrame], finals: bool = False) -> Iter
     """Exact payment fold over rows sorted by (fee_id, seq); money in integer cents.
 
     All bills of an Arrow batch advance together, one payment position per
-    numpy step; payments past ``LOCKSTEP_POSITIONS`` of one bill are walked by
-    jumping from one acceptable payment to the next (refused runs in between
-    are classified in bulk).  A bill that spans batches carries its state over.
+    numpy step; payments past ``LOCKSTEP_POSITIONS`` of one bill are walked in
+    runs: refused ones up to the next payment that fits, accepted ones up to
+    the first that no longer does, each run classified in bulk.  A bill that spans batches carries its state over.
 
     With ``finals`` one row per bill is emitted instead — its state after the
     batch — as soon as the stream has moved past the bill.
@@ -205,8 +206,8 @@ def _fold_batches(batches: Iterator[pd.DataFrame], finals: bool = False) -> Iter
             step(np.flatnonzero(pos == p))
         if top >= LOCKSTEP_POSITIONS:
             ends = np.append(first[1:], n)
-            for gi in np.flatnonzero(ends - first > LOCKSTEP_POSITIONS):
-                i, end = first[gi] + LOCKSTEP_POSITIONS, ends[gi]
+            for gi in np.flatnonzero(ends - first > LOCKSTEP_POSITIONS).tolist():
+                i, end, span = first[gi] + LOCKSTEP_POSITIONS, ends[gi], 16
                 while i < end:
                     closed = (closed0[gi] and code[gi] == _KEEP) or code[gi] == _PAID
                     if not gknown[gi] or closed:
@@ -222,11 +223,20 @@ def _fold_batches(batches: Iterator[pd.DataFrame], finals: bool = False) -> Iter
                         reason[rows] = np.where(xnull[rows] | (x[rows] <= 0), _NONPOS, _OVER)
                         paid_after[rows] = paid[gi]
                         code_after[rows] = code[gi]
-                    if j < seg.stop:
-                        step(np.array([j]))
-                        i = j + 1
-                    else:
-                        i = j
+                    i = j
+                    if j < seg.stop:          # accepted run: up to the first payment that no longer fits
+                        rows = np.arange(j, min(j + span, end))
+                        good = ~xnull[rows] & (x[rows] > 0)
+                        total = np.cumsum(np.where(good, x[rows], 0))
+                        stop = np.flatnonzero((total > room) | (np.r_[0, total[:-1]] == room))
+                        rows = rows[:stop[0]] if len(stop) else rows
+                        good, total = good[:len(rows)], paid[gi] + total[:len(rows)]
+                        reason[rows] = np.where(good, _OK, _NONPOS)
+                        paid_after[rows] = total
+                        code_after[rows] = np.where(total >= gA[gi], _PAID, _PART)
+                        paid[gi], code[gi] = total[-1], code_after[rows[-1]]
+                        fired[gi] |= code[gi] == _PAID
+                        i, span = j + len(rows), min(2 * span, _SCAN) if len(rows) == span else 16
         carry = (fee[-1], paid[-1], code[-1], fired[-1])
         if finals:
             if len(first) > 1:
@@ -263,7 +273,10 @@ def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
     bill is never split, but it is streamed: no task holds a bill's payments
     in memory at once.
     """
-    folded = _sorted_for_fold(fees, payments).mapInPandas(_fold_batches, _FOLD_OUT)
+    early, late = _split(fees, payments)
+    folded = _sorted_for_fold(late).mapInPandas(_fold_batches, _FOLD_OUT).unionByName(early.select(
+        "fee_id", "seq", "amt_c", "amt_null", "status0_i", "status0_x", F.col("early").alias("reason"),
+        F.col("paid0_c").alias("paid_c"), F.lit(_KEEP).alias("code")))
     reason = F.element_at(F.array(*[F.lit(r) for r in _REASONS]), F.col("reason") + 1)
     unknown = F.col("reason") == _UNKNOWN
     return folded.select(
@@ -282,16 +295,19 @@ def _STATUS_ARRAY() -> Column:
     return F.array(*[F.lit(v) for v in S.FEE_STATUS])
 
 
-def _sorted_for_fold(fees: DataFrame, payments: DataFrame) -> DataFrame:
-    """Payments with their bill's state, hash-partitioned on fee_id and sorted by (fee_id, seq)."""
-    ship_package(payments.sparkSession)          # the fold runs in Python workers
-    pay = payments.select("fee_id", F.col("seq").cast("int").alias("seq"),
-                          F.coalesce(_cents(F.col("pay_amount")), F.lit(0)).alias("amt_c"),
-                          F.col("pay_amount").isNull().alias("amt_null"))
+def _split(fees: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Payments with their bill's state: those refused whatever came before them (``early`` is the
+    reason: no such bill, bill closed from the start, no usable seq or amount), and those for the fold.
+
+    The early ones need no order, so a NULL or unknown key that very many share meets no task."""
+    seq, amount = F.col("seq").try_cast("int"), F.col("pay_amount").try_cast(MONEY)
+    pay = payments.select("fee_id", seq.alias("seq"), F.coalesce((amount * 100).cast("bigint"), F.lit(0)).alias("amt_c"),
+                          amount.isNull().alias("amt_null"), seq.isNull().alias("no_seq"),
+                          (F.col("pay_amount").isNotNull() & amount.isNull()).alias("range"))
     led = fees.select(F.col("fee_id").alias("l_fee_id"), _cents(F.col("amount")).alias("amount_c"),
                       _cents(F.col("paid_amount")).alias("paid0_c"), F.col("status").alias("status0"))
     joined = pay.join(led, pay.fee_id == led.l_fee_id, "left").select(
-        "fee_id", "seq", "amt_c", "amt_null", F.coalesce("amount_c", F.lit(0)).alias("amount_c"),
+        "fee_id", "seq", "amt_c", "amt_null", "no_seq", "range", F.coalesce("amount_c", F.lit(0)).alias("amount_c"),
         F.coalesce("paid0_c", F.lit(0)).alias("paid0_c"),
         # the starting status travels as its position in the declared domain (text only if outside it)
         F.coalesce(F.array_position(_STATUS_ARRAY(), F.col("status0")), F.lit(0)).cast("int").alias("status0_i"),
@@ -299,6 +315,14 @@ def _sorted_for_fold(fees: DataFrame, payments: DataFrame) -> DataFrame:
          .alias("status0_x"),
         F.coalesce(F.col("status0") == S.FEE_PAID, F.lit(False)).alias("closed0"),
         F.col("l_fee_id").isNotNull().alias("known"))
+    joined = joined.withColumn("early", F.when(~F.col("known"), _UNKNOWN).when(F.col("closed0"), _ALREADY)
+                               .when(F.col("no_seq"), _NOSEQ).when(F.col("range"), _RANGE)).drop("no_seq", "range")
+    return joined.where("early is not null"), joined.where("early is null").drop("early")
+
+
+def _sorted_for_fold(joined: DataFrame) -> DataFrame:
+    """Hash-partitioned on fee_id and sorted by (fee_id, seq)."""
+    ship_package(joined.sparkSession)            # the fold runs in Python workers
     # The exchange is keyed on a column of its own (a hash of fee_id), never on fee_id itself: an
     # exchange on fee_id would be dropped when the join above already hash-partitions on fee_id,
     # and AQE may split a skewed join partition — one bill would then fold in two tasks.  An
@@ -313,7 +337,7 @@ def settle(fees: DataFrame, payments: DataFrame, as_of=None) -> DataFrame:
     The fold emits one final state per bill (each bill is whole and ordered in
     its task), so no second aggregation over the payment outcomes is needed.
     """
-    finals = _sorted_for_fold(fees, payments).mapInPandas(
+    finals = _sorted_for_fold(_split(fees, payments)[1]).mapInPandas(
         lambda it: _fold_batches(it, finals=True), "fee_id long, paid_c long, code int, fired boolean")
     finals = finals.select(F.col("fee_id").alias("s_fee_id"), "paid_c", "code", "fired")
     f = fees

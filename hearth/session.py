@@ -32,15 +32,31 @@ CLUSTER_DEFAULTS = {
 }
 
 
+def _given_settings() -> set[str]:
+    """Settings that the cluster has made already: a running session's, or spark-defaults.conf's."""
+    import os
+
+    import pyspark
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return {k for k, _ in active.sparkContext.getConf().getAll()}
+    home = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "conf")
+    path = os.path.join(home, "spark-defaults.conf")
+    if not os.path.exists(path):
+        return set()
+    with open(path) as f:
+        return {x.replace("=", " ", 1).split()[0] for x in f if x.strip() and not x.lstrip().startswith("#")}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "hearth", extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-    for k, v in DEFAULTS.items():
-        b = b.config(k, v)
-    if master is None or not master.startswith("local"):
-        for k, v in CLUSTER_DEFAULTS.items():
+    given = _given_settings()
+    own = DEFAULTS if master is not None and master.startswith("local") else DEFAULTS | CLUSTER_DEFAULTS
+    for k, v in own.items():
+        if k not in given:
             b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

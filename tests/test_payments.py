@@ -5,6 +5,7 @@ from decimal import Decimal as D
 
 import pytest
 
+from hearth import schemas as S
 from hearth.operators import billing as B
 
 FEES_DDL = "fee_id bigint, amount decimal(10,2), paid_amount decimal(10,2), status string"
@@ -132,3 +133,30 @@ def test_fold_exact_when_aqe_splits_the_join(spark):
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == model(fees, pays)
+
+
+def test_unusable_payments_get_a_reason_and_harm_no_other_bill(spark):
+    """NULL and unknown ids, NULL seq and amounts out of range beside ids above 2^53."""
+    from decimal import Decimal
+    ids = [9007199254740993 + 2 * k for k in range(6)]
+    fees = spark.createDataFrame([(i, Decimal("60.00"), Decimal("0.00"), S.FEE_STATUS[0], None) for i in ids],
+                                 "fee_id bigint, amount decimal(10,2), paid_amount decimal(10,2), status string, paid_date date")
+    pay = spark.createDataFrame([(i, 1, Decimal("60.00")) for i in ids] + [
+        (None, 1, Decimal("5.00")), (7, 1, Decimal("5.00")), (ids[0], None, Decimal("5.00")), (ids[1], 2, Decimal("123456789012.00"))],
+        "fee_id bigint, seq int, pay_amount decimal(14,2)").coalesce(1)
+    got = B.post_payments(fees, pay).collect()
+    assert {(r.fee_id, r.reason) for r in got} == {(i, "OK") for i in ids} | {
+        (None, "UNKNOWN_FEE"), (7, "UNKNOWN_FEE"), (ids[0], "BAD_SEQUENCE"), (ids[1], "BAD_AMOUNT")}
+    assert {(r.fee_id, r.status) for r in B.settle(fees, pay).collect()} == {(i, S.FEE_PAID) for i in ids}
+
+
+def test_many_accepted_payments_on_one_bill(spark):
+    from decimal import Decimal
+    from pyspark.sql import functions as F
+    n = 100_000
+    fees = spark.createDataFrame([(1, Decimal("1000.00"), Decimal("0.00"), S.FEE_STATUS[0], None)],
+                                 "fee_id bigint, amount decimal(10,2), paid_amount decimal(10,2), status string, paid_date date")
+    pay = spark.range(n + 5).select(F.lit(1).cast("bigint").alias("fee_id"), F.col("id").cast("int").alias("seq"),
+                                    F.lit("0.01").cast("decimal(10,2)").alias("pay_amount"))
+    got = {r.reason: r["count"] for r in B.post_payments(fees, pay).groupBy("reason").count().collect()}
+    assert got == {"OK": n, "ALREADY_PAID": 5}
