@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import due_date_of
-from ..plans.fanout import fan_out
+from ..plans.ordinals import dense_ordinals
 from ..session import ship_package
+from .changes import as_of_col as _as_of
+from .changes import fill_defaults
 
 MONEY = "decimal(10,2)"
 
@@ -28,16 +30,6 @@ MONEY = "decimal(10,2)"
 OK, UNKNOWN_FEE, ALREADY_PAID, NON_POSITIVE, OVERPAY = "OK", "UNKNOWN_FEE", "ALREADY_PAID", "NON_POSITIVE", "OVERPAY"
 
 
-def _as_of(as_of) -> Column:
-    if as_of is None:
-        return F.current_timestamp().cast("timestamp_ntz")
-    if isinstance(as_of, Column):
-        return as_of
-    ts = as_of if isinstance(as_of, datetime) else datetime.fromisoformat(str(as_of))
-    # a text literal cast to timestamp_ntz carries no time zone, whatever the session's zone is
-    return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
-
-
 def price(calc_method: Column, unit_price: Column, area: Column, given: Column | None = None) -> Column:
     """Amount of a bill: by area → round(price × area, 2); fixed → price; by usage → the given amount.
 
@@ -79,9 +71,10 @@ def generate_bills(t, periods: Iterable[str] | str | None = None, as_of=None) ->
     period (no valid 25th) yields no bills.  Residents, category status,
     billing cycle and vehicles are not looked at, as in the reference.
 
-    The resident side fans out to its (category ordinal, period) pairs with a
-    generator and meets the catalogue on an equi-join, so the work is linear in
-    the output and the catalogue is broadcast only after its size is checked.
+    The bills are whole rows of ``fee_records``: ids go on from the largest one there, in the order
+    of period, resident and category, and are pinned by a checkpoint, so they can be paid.
+    Every pair of resident and category is the result itself, hence the product; how the
+    catalogue travels is left to Spark.
     """
     if periods is None:                       # default: the month of as_of (or of today)
         when = as_of if isinstance(as_of, datetime) else (datetime.fromisoformat(str(as_of)) if as_of
@@ -94,18 +87,21 @@ def generate_bills(t, periods: Iterable[str] | str | None = None, as_of=None) ->
     housed = resident_areas(t).select(F.col("ra_resident_id").alias("resident_id"), F.col("ra_area").alias("area"))
     dated = (housed.select("resident_id", "area", F.explode(per).alias("p"))
                    .filter(F.col("p.due_date").isNotNull()))
-    pairs = fan_out(dated, cats, "category_id")
+    pairs = dated.crossJoin(cats)
     existing = (t["fee_records"].filter(F.col("fee_period").isin(plist))
                 .select(F.col("resident_id").alias("e_res"), F.col("category_id").alias("e_cat"),
                         F.col("fee_period").alias("e_per")))
     fresh = pairs.join(existing, (pairs.resident_id == existing.e_res) & (pairs.category_id == existing.e_cat)
                        & (F.col("p.fee_period") == existing.e_per), "left_anti")
-    return fresh.select(
+    bills = fresh.select(
         "resident_id", "category_id", F.col("p.fee_period").alias("fee_period"),
         price(F.col("calc_method"), F.col("unit_price"), F.col("area")).alias("amount"),
         F.lit(0).cast(MONEY).alias("paid_amount"),
         F.lit(S.FEE_UNPAID).alias("status"),
         F.col("p.due_date").alias("due_date"))
+    top = t["fee_records"].agg(F.max("fee_id")).first()[0] or 0
+    bills = dense_ordinals(bills.orderBy("fee_period", "resident_id", "category_id"), "__ord")
+    return fill_defaults(bills.withColumn("fee_id", F.col("__ord") + F.lit(top).cast("bigint")), "fee_records", as_of)
 
 
 def payment_status(fees: DataFrame, as_of=None) -> DataFrame:

@@ -9,6 +9,7 @@ Plain Parquet has no row update, so results are new snapshots.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
@@ -46,25 +47,42 @@ def _hit(df: DataFrame, key: str, keys, flag: str) -> DataFrame:
               .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
 
 
+def _order(changes: DataFrame, key: str) -> Column:
+    """Order of a key's changes: ``seq`` (null first) where the batch has one, then the values themselves,
+    so equal or missing sequence numbers still give the same winner on every run."""
+    first = F.col("seq") if "seq" in changes.columns else F.lit(0)
+    return F.struct(first.alias("__seq"), *[F.col(c) for c in changes.columns if c not in (key, "seq")])
+
+
 def latest_changes(changes: DataFrame, key: str) -> DataFrame:
-    """One change per key: with a ``seq`` column the last one wins (requests applied in order).
+    """One change per key, the last one by :func:`_order` (requests applied in order).
 
-    ``max_by`` is a partial aggregate, so a key with a great many changes in
+    ``max`` is a partial aggregate, so a key with a great many changes in
     one batch is reduced on the map side before it is shuffled.
     """
-    if "seq" not in changes.columns:
-        return changes
     cols = [c for c in changes.columns if c not in (key, "seq")]
-    last = changes.groupBy(key).agg(F.max_by(F.struct(*cols), "seq").alias("__last"))
+    last = changes.groupBy(key).agg(F.max(_order(changes, key)).alias("__last"))
     return last.select(key, *[F.col(f"__last.{c}").alias(c) for c in cols])
 
 
+def _steps(changes: DataFrame, key: str, status_to: str, left: Callable[[Column], Column]) -> DataFrame:
+    """One row per key: its last change (``__last``), the first step's status (``__first``) and whether a
+    later step of the batch enters ``status_to`` from a status that satisfies ``left`` (``__later``)."""
+    x = changes.withColumn("__o", _order(changes, key))
+    w = Window.partitionBy(key).orderBy("__o")
+    x = x.withColumn("__prev", F.lag("status").over(w)).withColumn("__n", F.row_number().over(w))
+    later = (F.col("__n") > 1) & (F.col("status") == status_to) & left(F.col("__prev"))
+    return x.groupBy(key).agg(
+        F.max("__o").alias("__last"), F.max(F.when(F.col("__n") == 1, F.col("status"))).alias("__first"),
+        F.max(F.coalesce(later, F.lit(False))).alias("__later"))
+
+
 def apply_updates(current: DataFrame, changes: DataFrame, table: str) -> DataFrame:
     """M2: overwrite, by key, the columns the change batch carries.
 
     A column present in the batch wins even when its value is null; a column
     absent from the batch is kept; a change for an unknown key does nothing.
-    Several changes for one key need a ``seq`` column; the last one wins.
+    Of several changes for one key the last by ``seq`` wins (without one, the largest by value).
     """
     key = S.TABLES[table].key
     changes = latest_changes(changes, key)
@@ -80,28 +98,21 @@ def _stamp_on_entry(current: DataFrame, changes: DataFrame, table: str, status_t
                     as_of) -> DataFrame:
     """Update by key; stamp ``stamp_col`` when the status *enters* ``status_to`` from another value.
 
-    With a ``seq`` column every step of a key's sequence counts (enter, leave and
-    enter again stamps once, as the per-request trigger would); the status
-    before each step comes from ``lag`` over the key's changes in seq order.
+    Every step of a key's changes counts (enter, leave and enter again stamps once, as the
+    per-request trigger would).  The snapshot is read once: the status before the first step is
+    on the joined row.
     """
     key = S.TABLES[table].key
-    old = current.select(F.col(key).alias("__ok"), F.col("status").alias("__old_status"))
-    if "seq" in changes.columns and "status" in changes.columns:
-        steps = changes.select(F.col(key).alias("__sk"), "seq", F.col("status").alias("__to"))
-        steps = steps.join(old, steps["__sk"] == old["__ok"], "inner")
-        w = Window.partitionBy("__sk").orderBy("seq")
-        prev = F.coalesce(F.lag("__to").over(w), F.col("__old_status"))
-        entered = (steps.select("__sk", ((F.col("__to") == status_to) & (prev != status_to)).alias("__e"))
-                        .groupBy("__sk").agg(F.max(F.col("__e").cast("int")).alias("__entered")))
-        new = apply_updates(current, changes, table)
-        j = new.join(entered, new[key] == entered["__sk"], "left")
-        became = F.col("__entered") == 1
-    else:
-        new = apply_updates(current, changes, table)
-        j = new.join(old, new[key] == old["__ok"], "left")
-        became = (F.col("status") == status_to) & (F.col("__old_status") != status_to)
-    return j.select(*[F.when(became, as_of_col(as_of)).otherwise(F.col(stamp_col)).alias(stamp_col)
-                      if c == stamp_col else F.col(c) for c in current.columns])
+    if "status" not in changes.columns:
+        return apply_updates(current, changes, table)
+    cols = [c for c in changes.columns if c not in (key, "seq") and c in current.columns]
+    steps = _steps(changes, key, status_to, lambda prev: prev != status_to).withColumnRenamed(key, "__ck")
+    j = current.join(steps, current[key] == steps["__ck"], "left")
+    hit = F.col("__ck").isNotNull()
+    became = F.col("__later") | ((F.col("__first") == status_to) & (current["status"] != status_to))
+    new = {c: F.when(hit, F.col(f"__last.{c}")).otherwise(current[c]) for c in cols}
+    new[stamp_col] = F.when(became, as_of_col(as_of)).otherwise(new.get(stamp_col, current[stamp_col]))
+    return j.select(*[new.get(c, current[c]).alias(c) for c in current.columns])
 
 
 def repair_completion(current: DataFrame, changes: DataFrame, as_of=None) -> DataFrame:
@@ -126,11 +137,12 @@ def room_occupancy(rooms: DataFrame, new_residents: DataFrame) -> DataFrame:
 
 
 def resigned_staff(staff: DataFrame, staff_changes: DataFrame) -> DataFrame:
-    """Keys of staff whose status goes 在职 → 离职 in the batch."""
-    ch = staff_changes.select(F.col("staff_id").alias("__sid"), F.col("status").alias("__new"))
-    return (staff.join(ch, staff.staff_id == ch["__sid"], "inner")
-                 .filter((F.col("status") == S.STAFF_ACTIVE) & (F.col("__new") == S.STAFF_LEFT))
-                 .select(F.col("staff_id").alias("resigned_id")).distinct())
+    """Keys of staff whose status goes 在职 → 离职 in some step of the batch."""
+    steps = _steps(staff_changes, "staff_id", S.STAFF_LEFT, lambda prev: prev == S.STAFF_ACTIVE)
+    steps = steps.withColumnRenamed("staff_id", "resigned_id")
+    now = (F.col("__first") == S.STAFF_LEFT) & (F.col("status") == S.STAFF_ACTIVE)
+    return (staff.select("staff_id", "status").join(steps, F.col("staff_id") == F.col("resigned_id"), "inner")
+                 .filter(F.col("__later") | now).select("resigned_id"))
 
 
 def staff_resignation(staff: DataFrame, staff_changes: DataFrame, orders: DataFrame) -> dict[str, DataFrame]:
@@ -161,8 +173,8 @@ def visit_exit(visits: DataFrame, keys, as_of=None) -> DataFrame:
                       else F.col(c) for c in visits.columns])
 
 
-def fill_defaults(batch: DataFrame, table: str, as_of=None) -> DataFrame:
-    """The batch in the table's schema, declared defaults filled where a column is absent or null."""
+def fill_defaults(batch: DataFrame, table: str, as_of=None, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """The batch in the table's schema (and ``keep``), declared defaults filled where a column is absent or null."""
     spec = S.TABLES[table]
     have = set(batch.columns)
     cols = []
@@ -173,7 +185,7 @@ def fill_defaults(batch: DataFrame, table: str, as_of=None) -> DataFrame:
         elif c.default is not None:
             v = F.coalesce(v, F.lit(c.default))
         cols.append(v.cast(S.spark_type(c.dtype)).alias(c.name))
-    return batch.select(*cols)
+    return batch.select(*cols, *keep)
 
 
 def apply_inserts(current: DataFrame, batch: DataFrame, table: str, as_of=None) -> DataFrame:
@@ -184,13 +196,16 @@ def apply_inserts(current: DataFrame, batch: DataFrame, table: str, as_of=None)
 def insert_reasons(t, batch: DataFrame, table: str, as_of=None) -> DataFrame:
     """Every batch row (defaults filled) with ``reasons``: the rules of §2.11 the insert would break.
 
-    Row rules (NOT NULL, enum, CHECK, length) are column expressions; the key,
-    unique and reference rules are joins of the batch to the current tables
-    (and to itself for keys repeated inside the batch), each on a distinct key set.
+    Rows are taken in order of ``seq`` (where the batch has one) and key, as single requests would be:
+    of rows that break no other rule and share a key, the first is inserted and the rest are refused.
+    Row rules (NOT NULL, enum, CHECK, length) are column expressions; key, unique and reference
+    rules each look up the batch's own values in the current tables; all findings of a row
+    meet in one aggregate.
     """
     from .integrity import COLLATION
     spec = S.TABLES[table]
-    rows = fill_defaults(batch, table, as_of).withColumn("__rid", F.monotonically_increasing_id())
+    seq = (F.col("seq") if "seq" in batch.columns else F.lit(0)).alias("__seq")
+    rows = fill_defaults(batch, table, as_of, (seq,)).withColumn("__rid", F.monotonically_increasing_id())
     rows = cut_lineage(rows)                         # pin the row ids before the checks fan out
     checks = []
     for c in spec.columns:
@@ -204,30 +219,60 @@ def insert_reasons(t, batch: DataFrame, table: str, as_of=None) -> DataFrame:
     for rule, cond in spec.checks:
         checks.append(F.when(~F.expr(cond), F.lit(f"CHECK:{rule}")))
 
-    def flag(df: DataFrame, name: str) -> DataFrame:
-        return df.select("__rid").distinct().withColumn(name, F.lit(True))
+    def key_columns(df: DataFrame, cols, label: str, i: int) -> list[Column]:
+        return [(F.collate(df[c], COLLATION) if spec.column(c).dtype == "string" and label != "PK" else df[c])
+                .alias(f"__k{i}_{j}") for j, c in enumerate(cols)]
 
-    out = rows
+    found = []
     for r in spec.refs:
-        parent = t[r.parent].select(F.col(r.parent_key).alias("__p")).distinct()
-        bad = rows.filter(F.col(r.column).isNotNull()).join(parent, F.col(r.column) == F.col("__p"), "left_anti")
-        out = out.join(flag(bad, f"__fk_{r.column}"), "__rid", "left")
-        checks.append(F.when(F.col(f"__fk_{r.column}"), F.lit(f"FK:{r.column}")))
+        mine = rows.select("__rid", F.col(r.column).alias("__p")).dropna(subset=["__p"])
+        parent = t[r.parent].select(F.col(r.parent_key).alias("__p")).join(mine.select("__p"), "__p", "left_semi")
+        found.append(mine.join(parent, "__p", "left_anti").select("__rid", F.lit(f"FK:{r.column}").alias("__why")))
     keysets = [((spec.key,), "PK")] + [(u, "UNIQUE:" + ",".join(u)) for u in spec.uniques]
+    names = []
     for i, (cols, label) in enumerate(keysets):
-        def norm(df, c):
-            return (F.collate(df[c], COLLATION) if spec.column(c).dtype == "string" and label != "PK" else df[c])
-        cur = t[table].select(*[norm(t[table], c).alias(f"__k{j}") for j, c in enumerate(cols)]).distinct()
-        mine = rows.select("__rid", *[norm(rows, c).alias(f"__k{j}") for j, c in enumerate(cols)])
-        on = [f"__k{j}" for j in range(len(cols))]
-        clash = mine.join(cur, on, "left_semi")
-        present = mine.dropna(subset=on)            # NULL key parts never collide (SQL UNIQUE)
-        twice = present.join(present.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1"), on,
-                             "left_semi")
-        out = out.join(flag(clash.unionByName(twice), f"__u{i}"), "__rid", "left")
-        checks.append(F.when(F.col(f"__u{i}"), F.lit(label)))
-    reasons = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    return out.select(*spec.names, reasons.alias("reasons"))
+        on = [f"__k{i}_{j}" for j in range(len(cols))]
+        names.append((on, label))
+        rows = rows.select("*", *key_columns(rows, cols, label, i))
+        mine = rows.select("__rid", *on).dropna(subset=on)        # NULL key parts never collide (SQL UNIQUE)
+        taken = t[table].select(*key_columns(t[table], cols, label, i)).join(mine.select(*on), on, "left_semi")
+        found.append(mine.join(taken, on, "left_semi").select("__rid", F.lit(label).alias("__why")))
+    own = F.filter(F.array(*checks), lambda x: x.isNotNull())
+    whys = reduce(DataFrame.unionByName, found).groupBy("__rid").agg(F.collect_set("__why").alias("__found"))
+    none = F.array().cast("array<string>")
+    rows = cut_lineage(rows.join(whys, "__rid", "left").withColumn(
+        "reasons", F.concat(own, F.coalesce("__found", none))).drop("__found"))
+    valid = rows.filter(F.size("reasons") == 0).select(
+        "__rid", F.struct("__seq", spec.key, "__rid").alias("__o"), *[k for on, _ in names for k in on])
+    late = _beaten(valid, names)
+    late = late.groupBy("__rid").agg(F.collect_set("__why").alias("__late"))
+    return rows.join(late, "__rid", "left").select(
+        *spec.names, F.concat("reasons", F.coalesce("__late", none)).alias("reasons"))
+
+
+def _beaten(rows: DataFrame, keysets: list[tuple[list[str], str]]) -> DataFrame:
+    """``__rid, __why`` of the rows refused because an earlier accepted row (by ``__o``) has the same key.
+
+    Each round accepts the rows that are first under all their keys among those undecided, and refuses
+    the rows that share a key with one of them; a batch without chains of clashes takes one round.
+    """
+    refused, open_rows = [], rows
+    while True:
+        x = open_rows
+        first = F.lit(True)
+        for i, (on, _) in enumerate(keysets):
+            least = open_rows.dropna(subset=on).groupBy(*on).agg(F.min("__o").alias(f"__f{i}"))
+            x = x.join(least, on, "left")
+            first &= F.coalesce(F.col(f"__f{i}") == F.col("__o"), F.lit(True))    # a NULL key meets nothing
+        x = cut_lineage(x.select(*rows.columns, first.alias("__won")))
+        rest = x.filter(~F.col("__won"))
+        lost = cut_lineage(reduce(DataFrame.unionByName, [
+            rest.join(x.filter("__won").select(*on), on, "left_semi").select("__rid", F.lit(label).alias("__why"))
+            for on, label in keysets]))
+        refused.append(lost)
+        open_rows = cut_lineage(rest.drop("__won").join(lost.select("__rid"), "__rid", "left_anti"))
+        if open_rows.isEmpty():
+            return reduce(DataFrame.unionByName, refused)
 
 
 def validated_inserts(t, batch: DataFrame, table: str, as_of=None) -> dict[str, DataFrame]:

@@ -17,7 +17,6 @@ from pyspark.sql.window import Window
 from .. import schemas as S
 from ..functions import count_if, full_address, percent_text, value_rank
 from ..plans.address import attach_room_place, attach_unit_place, resident_places
-from ..plans.joins import join_dimension
 from ..plans.scalars import combine_scalars, counts
 
 
@@ -243,8 +242,8 @@ def fee_list(t, period: str | None = None) -> DataFrame:
         fr = fr.filter(F.col("fee_period") == period)
     fc = t["fee_categories"].select(F.col("category_id").alias("c_category_id"), "category_name")
     who = resident_places(t).drop("resident_phone")
-    return (join_dimension(fr.join(fc, fr.category_id == fc.c_category_id, "inner"), who,
-                           fr.resident_id == who.p_resident_id, "inner", bound=t["residents"])
+    return (fr.join(fc, fr.category_id == fc.c_category_id, "inner").join(
+                who, fr.resident_id == who.p_resident_id, "inner")
               .orderBy(F.col("fee_period").desc(), F.col("resident_name").asc(), F.col("fee_id"))
               .select(*[fr[c] for c in fr.columns], "category_name", "resident_name", "full_address",
                       (F.col("amount") - F.col("paid_amount")).cast("decimal(10,2)").alias("remaining"),
@@ -292,7 +291,7 @@ def repair_board(t) -> DataFrame:
     ro = t["repair_orders"]
     who = resident_places(t)
     s = t["staff"].select(F.col("staff_id").alias("s_staff_id"), F.col("name").alias("staff_name"))
-    return (join_dimension(ro, who, ro.resident_id == who.p_resident_id, "inner", bound=t["residents"])
+    return (ro.join(who, ro.resident_id == who.p_resident_id, "inner")
               .join(s, ro.staff_id == s.s_staff_id, "left")
               .select(*[ro[c] for c in ro.columns], "resident_name", "resident_phone", "staff_name",
                       "full_address", value_rank(ro.status, S.REPAIR_STATUS).alias("status_rank"))
@@ -309,7 +308,7 @@ def repair_detail(t, orders=None) -> DataFrame:
     who = resident_places(t)
     s = t["staff"].select(F.col("staff_id").alias("s_staff_id"), F.col("name").alias("staff_name"),
                           F.col("phone").alias("staff_phone"))
-    return (join_dimension(ro, who, ro.resident_id == who.p_resident_id, "inner", bound=t["residents"])
+    return (ro.join(who, ro.resident_id == who.p_resident_id, "inner")
               .join(s, ro.staff_id == s.s_staff_id, "left")
               .select("order_id", "title", "description", "location", "priority", "status", "created_at",
                       "completed_at", "resident_name", "resident_phone", "full_address", "staff_name",
@@ -320,7 +319,7 @@ def complaint_board(t) -> DataFrame:
     c = t["complaints"]
     res = t["residents"].select(F.col("resident_id").alias("r_resident_id"), F.col("name").alias("resident_name"),
                                 F.col("phone").alias("resident_phone"))
-    return (join_dimension(c, res, c.resident_id == res.r_resident_id, "inner")
+    return (c.join(res, c.resident_id == res.r_resident_id, "inner")
              .select(*[c[x] for x in c.columns], "resident_name", "resident_phone",
                      value_rank(c.status, S.COMPLAINT_STATUS).alias("status_rank"))
              .orderBy("status_rank", F.col("created_at").desc(), "complaint_id"))
@@ -340,7 +339,7 @@ def visitor_log(t) -> DataFrame:
     """Visits with resident and address, newest first; ``is_open`` = not yet left."""
     v = t["visitor_records"]
     who = resident_places(t).drop("resident_phone")
-    return (join_dimension(v, who, v.resident_id == who.p_resident_id, "inner", bound=t["residents"])
+    return (v.join(who, v.resident_id == who.p_resident_id, "inner")
              .select(*[v[c] for c in v.columns], "resident_name", "full_address",
                      F.col("exit_time").isNull().alias("is_open"))
              .orderBy(F.col("entry_time").desc(), "visitor_id"))

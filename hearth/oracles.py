@@ -10,7 +10,7 @@ payments), so they check the Spark plans rather than repeat them.
 
 from __future__ import annotations
 
-from .schemas import TABLES, duck_type
+from .schemas import COMPLAINT_STATUS, REPAIR_STATUS, TABLES, duck_type
 
 # FIXTURES.md §3, DuckDB spelling.
 _DERIVED = {
@@ -36,18 +36,17 @@ CASE WHEN p_size <= 20 THEN '空闲' WHEN p_size <= 40 THEN '已租' WHEN p_size
 CAST(p_retailprice AS DECIMAL(10,2)) monthly_price FROM part""",
     "vehicles": """
 SELECT c_custkey vehicle_id, c_custkey resident_id, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE c_custkey - c_custkey % 4 END space_id,
-'P' || CAST(c_custkey AS VARCHAR) plate_no, CASE c_custkey % 8 WHEN 0 THEN '轿车' WHEN 2 THEN 'SUV' WHEN 4 THEN '电动车' ELSE '摩托车' END vehicle_type FROM customer WHERE c_custkey % 2 = 0""",
+'P' || CAST(c_custkey AS VARCHAR) plate_no, CASE c_custkey % 8 WHEN 0 THEN '轿车' WHEN 2 THEN 'SUV' WHEN 4 THEN '电动车' ELSE '摩托车' END vehicle_type FROM customer""",
     "fee_categories": """
-SELECT CAST(1 AS BIGINT) category_id, '物业管理费' category_name, '月' billing_cycle, '按面积' calc_method, CAST(2.5 AS DECIMAL(10,4)) unit_price
-UNION ALL SELECT CAST(2 AS BIGINT), '停车管理费', '月', '固定', CAST(300 AS DECIMAL(10,4))
-UNION ALL SELECT CAST(3 AS BIGINT), '垃圾处理费', '月', '固定', CAST(15 AS DECIMAL(10,4))
-UNION ALL SELECT CAST(4 AS BIGINT), '公共维修基金', '月', '按面积', CAST(0.5 AS DECIMAL(10,4))
-UNION ALL SELECT CAST(5 AS BIGINT), '电梯维护费', '月', '固定', CAST(30.1255 AS DECIMAL(10,4))
-UNION ALL SELECT CAST(6 AS BIGINT), '水费', '季', '按用量', CAST(3.2 AS DECIMAL(10,4))""",
+SELECT category_id, CASE category_id WHEN 1 THEN '物业管理费' WHEN 2 THEN '停车管理费' WHEN 3 THEN '垃圾处理费' WHEN 4 THEN '公共维修基金' WHEN 5 THEN '电梯维护费' WHEN 6 THEN '水费' END category_name,
+CASE WHEN category_id = 6 THEN '季' ELSE '月' END billing_cycle, CASE WHEN category_id IN (1, 4) THEN '按面积' WHEN category_id = 6 THEN '按用量' ELSE '固定' END calc_method,
+CAST(p * 0.0125 AS DECIMAL(10,4)) unit_price FROM (SELECT 1 + p_partkey % 6 category_id, min(CAST(p_retailprice AS DECIMAL(10,2))) p FROM part GROUP BY 1) g""",
     "fee_records": """
 SELECT fee_id, resident_id, category_id, amount, CAST(CASE WHEN status = '已缴' THEN amount WHEN status = '部分缴纳' THEN amount * 0.5 ELSE 0 END AS DECIMAL(10,2)) paid_amount, fee_period, status, CAST(fee_period || '-25' AS DATE) due_date, CASE WHEN status = '已缴' THEN CAST(l_shipdate AS DATE) END paid_date, l_shipdate created_at FROM (
-SELECT ((l_orderkey * 1000000 + l_partkey) * 100000 + l_suppkey) * 10 + l_linenumber fee_id, o_custkey resident_id, 1 + l_partkey % 6 category_id, CAST(l_extendedprice AS DECIMAL(10,2)) amount, substr(CAST(l_shipdate AS VARCHAR),1,7) fee_period,
-CASE WHEN l_linestatus = 'F' AND l_returnflag IN ('N','A') THEN '已缴' WHEN l_linestatus = 'F' THEN '逾期' WHEN l_returnflag = 'R' THEN '部分缴纳' ELSE '待缴' END status, l_shipdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey) x""",
+SELECT l_orderkey * 10 + l_linenumber fee_id, o_custkey resident_id, 1 + l_partkey % 6 category_id, CAST(l_extendedprice AS DECIMAL(10,2)) amount, substr(CAST(l_shipdate AS VARCHAR),1,7) fee_period,
+CASE WHEN l_linestatus = 'F' AND l_returnflag IN ('N','A') THEN '已缴' WHEN l_linestatus = 'F' THEN '逾期' WHEN l_returnflag = 'R' THEN '部分缴纳' ELSE '待缴' END status, l_shipdate FROM (
+SELECT l_orderkey, l_linenumber, o_custkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(10,2))) AS DECIMAL(10,2)) l_extendedprice, min(l_partkey) l_partkey, min(l_returnflag) l_returnflag, min(l_linestatus) l_linestatus, min(l_shipdate) l_shipdate
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_linenumber, o_custkey) g) x""",
     "staff": """
 SELECT s_suppkey staff_id, s_name name, CASE WHEN s_suppkey % 2 = 0 THEN '男' ELSE '女' END gender, CAST(13900000000 + s_suppkey AS VARCHAR) phone,
 CASE s_suppkey % 4 WHEN 0 THEN '维修工' WHEN 1 THEN '保安' WHEN 2 THEN '保洁' ELSE '经理' END role, CAST(abs(s_acctbal) AS DECIMAL(10,2)) salary,
@@ -60,11 +59,11 @@ CASE WHEN o_orderkey % 13 = 12 THEN '已取消' WHEN o_orderstatus = 'F' THEN '
 o_orderdate created_at, CASE WHEN o_orderkey % 13 <> 12 AND o_orderstatus = 'F' THEN o_orderdate + INTERVAL 3 DAY END completed_at FROM orders""",
     "complaints": """
 SELECT event_id complaint_id, user_id resident_id, 'C' || CAST(event_id AS VARCHAR) title, props content, CASE event_id % 3 WHEN 0 THEN '投诉' WHEN 1 THEN '建议' ELSE '咨询' END complaint_type,
-CASE event_id % 4 WHEN 0 THEN '待处理' WHEN 1 THEN '处理中' WHEN 2 THEN '已解决' ELSE '已关闭' END status, ts created_at FROM events WHERE event_type = 'error'""",
+CASE event_id % 4 WHEN 0 THEN '待处理' WHEN 1 THEN '处理中' WHEN 2 THEN '已解决' ELSE '已关闭' END status, ts created_at FROM events WHERE event_type IN ('error', 'purchase')""",
     "announcements": """
 SELECT event_id announcement_id, 'A' || CAST(event_id AS VARCHAR) title, props content, CASE event_id % 4 WHEN 0 THEN '通知' WHEN 1 THEN '公告' WHEN 2 THEN '活动' ELSE '紧急' END ann_type, 'office' publisher, event_id % 17 = 0 is_top, ts created_at FROM events WHERE event_type = 'signup'""",
     "visitor_records": """
-SELECT event_id visitor_id, user_id resident_id, 'V' || CAST(event_id AS VARCHAR) visitor_name, CASE event_id % 6 WHEN 0 THEN '探访' WHEN 1 THEN '快递' WHEN 2 THEN '外卖' WHEN 3 THEN '维修' WHEN 4 THEN '商务' ELSE '其他' END purpose, ts entry_time, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts + INTERVAL 45 MINUTE END exit_time FROM events WHERE event_type = 'view'""",
+SELECT event_id visitor_id, user_id resident_id, 'V' || CAST(event_id AS VARCHAR) visitor_name, CASE event_id % 6 WHEN 0 THEN '探访' WHEN 1 THEN '快递' WHEN 2 THEN '外卖' WHEN 3 THEN '维修' WHEN 4 THEN '商务' ELSE '其他' END purpose, ts entry_time, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts + INTERVAL 45 MINUTE END exit_time FROM events WHERE event_type IN ('view', 'click')""",
 }
 
 _PROVIDED = {
@@ -130,8 +129,7 @@ def _cols(table: str, alias: str) -> str:
     return ", ".join(f"{alias}.{c}" for c in TABLES[table].names)
 
 
-REPAIR_ORDER = ("待处理", "处理中", "已完成", "已取消")
-COMPLAINT_ORDER = ("待处理", "处理中", "已解决", "已关闭")
+REPAIR_ORDER, COMPLAINT_ORDER = REPAIR_STATUS, COMPLAINT_STATUS
 
 REPORTS = {
     "dashboard": f"""
@@ -282,7 +280,8 @@ FROM complaints""",
     "new_residents": f"""
 SELECT resident_id + {OFFSET} resident_id, room_id - room_id % 7 + 6 room_id, name,
        CASE WHEN resident_id % 13 = 0 THEN '未知' ELSE gender END gender, phone,
-       CASE WHEN resident_id % 17 = 0 THEN id_card ELSE CAST(CAST(id_card AS DECIMAL(20,0)) + {OFFSET} AS VARCHAR) END id_card,
+       CASE WHEN resident_id % 17 = 0 THEN id_card WHEN resident_id % 19 = 0 THEN CAST(CAST(id_card AS DECIMAL(20,0)) + {OFFSET} + 1 AS VARCHAR)
+            ELSE CAST(CAST(id_card AS DECIMAL(20,0)) + {OFFSET} AS VARCHAR) END id_card,
        CASE WHEN resident_id % 3 = 0 THEN NULL ELSE relationship END relationship, move_in_date
 FROM residents""",
     "staff_changes": "SELECT staff_id, CASE WHEN staff_id % 5 = 4 THEN '离职' ELSE status END status FROM staff",
@@ -335,8 +334,11 @@ FROM new_bills nb LEFT JOIN fee_categories fc ON nb.category_id = fc.category_id
 LEFT JOIN (SELECT res.resident_id, r.area FROM residents res JOIN rooms r ON res.room_id = r.room_id) ra
   ON ra.resident_id = nb.resident_id""", "new_bills"),
     "generate_bills": with_batches(f"""
-SELECT res.resident_id, fc.category_id, pv.fee_period, {PRICE.format(given="0", area="r.area")} amount,
-       CAST(0 AS DECIMAL(10,2)) paid_amount, '待缴' status, pv.due_date
+SELECT (SELECT coalesce(max(fee_id), 0) FROM fee_records)
+         + row_number() OVER (ORDER BY pv.fee_period, res.resident_id, fc.category_id) fee_id,
+       res.resident_id, fc.category_id, {PRICE.format(given="0", area="r.area")} amount,
+       CAST(0 AS DECIMAL(10,2)) paid_amount, pv.fee_period, '待缴' status, pv.due_date, CAST(NULL AS DATE) paid_date,
+       {AS_OF_SQL} created_at
 FROM residents res JOIN rooms r ON res.room_id = r.room_id CROSS JOIN fee_categories fc CROSS JOIN pv
 WHERE NOT EXISTS (SELECT 1 FROM fee_records fr WHERE fr.resident_id = res.resident_id
                   AND fr.category_id = fc.category_id AND fr.fee_period = pv.fee_period)""",
@@ -373,7 +375,7 @@ SELECT {", ".join(("CASE WHEN c.complaint_id IS NOT NULL THEN c.status ELSE o.st
                    if c == "resolved_at" else f"o.{c}") for c in TABLES["complaints"].names)}
 FROM complaints o LEFT JOIN complaint_changes c ON o.complaint_id = c.complaint_id""", "complaint_changes"),
     "room_occupancy": with_batches(f"""
-SELECT {", ".join(("CASE WHEN r.room_id IN (SELECT room_id FROM new_residents) THEN '已入住' ELSE r.status END status"
+SELECT {", ".join(("CASE WHEN r.room_id IN (SELECT room_id FROM accepted) THEN '已入住' ELSE r.status END status"
                    if c == "status" else f"r.{c}") for c in TABLES["rooms"].names)}
 FROM rooms r""", "new_residents"),
     "staff_resignation": with_batches(f"""
@@ -385,9 +387,7 @@ FROM repair_orders o LEFT JOIN (SELECT s.staff_id FROM staff s JOIN staff_change
                                 WHERE s.status = '在职' AND c.status = '离职') g ON o.staff_id = g.staff_id""",
         "staff_changes"),
     "apply_inserts": with_batches(f"""
-SELECT * FROM residents UNION ALL
-SELECT resident_id, room_id, name, gender, phone, id_card, coalesce(relationship, '业主') relationship, move_in_date,
-       {AS_OF_SQL} created_at FROM new_residents""", "new_residents"),
+SELECT {_cols("residents", "r")} FROM residents r UNION ALL SELECT {_cols("residents", "a")} FROM accepted a""", "new_residents"),
     "apply_updates": with_batches(f"""
 SELECT {", ".join((f"CASE WHEN c.vehicle_id IS NOT NULL THEN c.{c} ELSE v.{c} END {c}" if c in ("color", "vehicle_type")
                    else f"v.{c}") for c in TABLES["vehicles"].names)}
@@ -485,8 +485,13 @@ SELECT resident_id, category_id, fee_period, count(*) n FROM fee_records
 GROUP BY resident_id, category_id, fee_period HAVING count(*) > 1"""
 
 
-def insert_rejects_sql(table: str, batch: str) -> str:
-    """Oracle of ``changes.insert_reasons``: one (key, reason) row per broken rule of each batch row."""
+def insert_ctes(table: str, batch: str) -> list[tuple[str, str]]:
+    """CTEs of an insert batch taken in key order: ``refused`` (key, reason) and ``accepted`` rows.
+
+    Of batch rows that break no other rule and share a unique key the first is taken.  (Enough for
+    batches whose primary keys differ and whose table has one unique rule, as here.)
+    """
+    later = []
     s = TABLES[table]
     k = s.key
     filled = ", ".join(
@@ -515,6 +520,29 @@ def insert_rejects_sql(table: str, batch: str) -> str:
         def n(alias, c):
             return f"{_norm(f'{alias}.{c}')}" if label != "PK" and s.column(c).dtype == "string" else f"{alias}.{c}"
         same = " AND ".join(f"{n('x', c)} = {n('nb', c)}" for c in cols)
-        parts.append(f"SELECT {k}, '{label}' reason FROM nb WHERE EXISTS (SELECT 1 FROM {table} x WHERE {same}) "
-                     f"OR (SELECT count(*) FROM {batch} x WHERE {same.replace('x.', 'x.')}) > 1")
-    return "SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + ") r", (f"SELECT {filled} FROM {batch}")
+        parts.append(f"SELECT {k}, '{label}' reason FROM nb WHERE EXISTS (SELECT 1 FROM {table} x WHERE {same})")
+        later.append(f"SELECT {k}, '{label}' reason FROM valid nb WHERE EXISTS (SELECT 1 FROM valid x WHERE {same} AND x.{k} < nb.{k})")
+    return [("nb", f"SELECT {filled} FROM {batch}"),
+            ("broken", "SELECT DISTINCT * FROM (" + " UNION ALL ".join(parts) + ") r"),
+            ("valid", f"SELECT * FROM nb WHERE {k} NOT IN (SELECT {k} FROM broken)"),
+            ("refused", "SELECT * FROM broken UNION SELECT * FROM (" + " UNION ALL ".join(later) + ") r"),
+            ("accepted", f"SELECT * FROM nb WHERE {k} NOT IN (SELECT {k} FROM refused)")]
+
+
+for _key in ("room_occupancy", "apply_inserts"):
+    WRITES[_key] = (WRITES[_key][0], WRITES[_key][1] + insert_ctes("residents", "new_residents"), False)
+WRITES["insert_rejects"] = with_batches("SELECT * FROM refused", "new_residents",
+                                        extra=insert_ctes("residents", "new_residents"))
+
+# ----------------------------------------------------------------------------- forms with a parameter or a second result
+
+WRITES["staff_after_resignation"] = with_batches(f"""
+SELECT {", ".join("coalesce(c.status, s.status) status" if c == "status" else f"s.{c}" for c in TABLES["staff"].names)}
+FROM staff s LEFT JOIN staff_changes c ON s.staff_id = c.staff_id""", "staff_changes")
+_GONE = WRITES["cascade_delete"][1]
+for _n in ("residents", "vehicles", "fee_records"):
+    WRITES[f"cascade_survivors_{_n}"] = (f"SELECT * FROM {_n} WHERE resident_id NOT IN (SELECT resident_id FROM gres)",
+                                         _GONE, False)
+WRITES["fee_list_period"] = REPORTS["fee_list"] + "\nWHERE fr.fee_period = '1998-03'"
+WRITES["fee_report_period"] = f"SELECT * FROM ({REPORTS['fee_report']}) y WHERE fee_period = '1998-03'"
+WRITES["repair_detail_open"] = REPORTS["repair_detail"] + "\nWHERE ro.status IN ('待处理', '处理中')"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from . import schemas as S
 from .operators import billing as B
 from .operators import changes as M
 from .operators import integrity as I
@@ -55,7 +56,7 @@ AS_OF = X.AS_OF
 
 WRITE_JOBS: dict[str, Job] = {
     "bill_amounts": lambda t: B.bill_amounts(X.new_bills(t), t),
-    "generate_bills": lambda t: B.generate_bills(t, X.PERIODS),
+    "generate_bills": lambda t: B.generate_bills(t, X.PERIODS, AS_OF),
     "payment_status": lambda t: B.payment_status(
         t["fee_records"].select("fee_id", "amount", "paid_amount", "status", "paid_date"), AS_OF),
     "post_payments": lambda t: B.post_payments(t["fee_records"], X.payments(t)),
@@ -63,17 +64,25 @@ WRITE_JOBS: dict[str, Job] = {
         t["fee_records"], X.payments(t), t["fee_categories"], AS_OF),
     "repair_completion": lambda t: M.repair_completion(t["repair_orders"], X.repair_changes(t), AS_OF),
     "complaint_resolution": lambda t: M.complaint_resolution(t["complaints"], X.complaint_changes(t), AS_OF),
-    "room_occupancy": lambda t: M.room_occupancy(t["rooms"], X.new_residents(t)),
+    "room_occupancy": lambda t: M.room_occupancy(
+        t["rooms"], M.validated_inserts(t, X.new_residents(t), "residents", AS_OF)["accepted"]),
     "staff_resignation": lambda t: M.staff_resignation(t["staff"], X.staff_changes(t),
                                                        t["repair_orders"])["repair_orders"],
-    "apply_inserts": lambda t: M.apply_inserts(t["residents"], X.new_residents(t), "residents", AS_OF),
+    "apply_inserts": lambda t: M.validated_inserts(t, X.new_residents(t), "residents", AS_OF)["table"],
     "apply_updates": lambda t: M.apply_updates(t["vehicles"], X.vehicle_changes(t), "vehicles"),
     "visit_exit": lambda t: M.visit_exit(t["visitor_records"], X.open_visits(t), AS_OF),
     "repair_assignment": lambda t: M.repair_assignment(t["repair_orders"], X.repair_assignments(t)),
     "set_null_on_delete": lambda t: M.set_null_on_delete(t["vehicles"], "space_id", X.spaces_in_repair(t)),
     "cascade_delete": lambda t: M.deleted_counts(t, "buildings", X.unaddressed_buildings(t)),
     "insert_rejects": lambda t: M.insert_reasons(t, X.new_residents(t), "residents", AS_OF).select(
-        "resident_id", F.explode("reasons").alias("reason")).distinct(),
+        "resident_id", F.explode("reasons").alias("reason")),
+    "staff_after_resignation": lambda t: M.staff_resignation(t["staff"], X.staff_changes(t), t["repair_orders"])["staff"],
+    "cascade_survivors_residents": lambda t: M.cascade_delete(t, "buildings", X.unaddressed_buildings(t))["residents"],
+    "cascade_survivors_vehicles": lambda t: M.cascade_delete(t, "buildings", X.unaddressed_buildings(t))["vehicles"],
+    "cascade_survivors_fee_records": lambda t: M.cascade_delete(t, "buildings", X.unaddressed_buildings(t))["fee_records"],
+    "fee_list_period": lambda t: R.fee_list(t, X.PERIODS[0]),
+    "fee_report_period": lambda t: R.fee_report(t, X.PERIODS[0]),
+    "repair_detail_open": lambda t: R.repair_detail(t, X.repair_assignments(t).select("order_id")),
 }
 
 
@@ -100,8 +109,6 @@ def sql_bodies() -> dict:
     out = dict(oracles.REPORTS)
     out.update(oracles.WRITES)
     out.update(oracles.INTEGRITY)
-    body, nb = oracles.insert_rejects_sql("residents", "new_residents")
-    out["insert_rejects"] = (body, [("new_residents", oracles.BATCHES["new_residents"]), ("nb", nb)], False)
     return out
 
 

@@ -12,8 +12,6 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.fanout import fan_out
-
 AS_OF = "2002-01-01 00:00:00"          # fixed clock of every comparison
 PERIODS = ["1998-03", "2030-01", "2030-13"]   # one with bills, one without, one malformed
 NEW_ID_OFFSET = 10_000_000_000          # ids of inserted residents: beyond any existing key
@@ -35,7 +33,7 @@ def new_bills(t) -> DataFrame:
     """Every resident × every category for 2030-01: amount 0 (to be priced) for even residents, else 12.34."""
     res = t["residents"].select("resident_id")
     cats = t["fee_categories"].select("category_id")
-    pairs = fan_out(res, cats, "category_id")
+    pairs = res.crossJoin(cats)          # the batch is every pair; the catalogue is a few rows
     return pairs.select(
         "resident_id", "category_id",
         F.when(F.col("resident_id") % 2 == 0, F.lit(0)).otherwise(F.lit(Decimal("12.34")))
@@ -63,7 +61,8 @@ def new_residents(t) -> DataFrame:
     """A new resident for every resident, moved to the vacant room of its block of seven rooms.
 
     Some rows break rules on purpose (for the insert validation): every 13th has a gender
-    outside the domain, every 17th keeps the id card of the resident it copies.
+    outside the domain, every 17th keeps the id card of the resident it copies, and
+    every 19th takes the one of the next new resident (the first of the two is accepted).
     """
     r = t["residents"]
     k = F.col("resident_id")
@@ -72,6 +71,7 @@ def new_residents(t) -> DataFrame:
         (F.col("room_id") - F.col("room_id") % 7 + 6).alias("room_id"),
         "name", F.when(k % 13 == 0, F.lit("未知")).otherwise(F.col("gender")).alias("gender"), "phone",
         F.when(k % 17 == 0, F.col("id_card"))
+         .when(k % 19 == 0, (F.col("id_card").cast("decimal(20,0)") + (NEW_ID_OFFSET + 1)).cast("string"))
          .otherwise((F.col("id_card").cast("decimal(20,0)") + NEW_ID_OFFSET).cast("string")).alias("id_card"),
         F.when(F.col("resident_id") % 3 == 0, F.lit(None)).otherwise(F.col("relationship")).alias("relationship"),
         "move_in_date")

@@ -134,7 +134,7 @@ def parking_spaces(part: DataFrame) -> DataFrame:
 
 def vehicles(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
-    return conform(customer.filter(k % 2 == 0).select(
+    return conform(customer.select(
         k.alias("vehicle_id"),
         k.alias("resident_id"),
         F.when(k % 6 == 0, F.lit(None)).otherwise(k - k % 4).alias("space_id"),
@@ -143,31 +143,37 @@ def vehicles(customer: DataFrame) -> DataFrame:
     ), "vehicles")
 
 
-# fixed values: the fee catalogue of the fixture (five seed categories plus one by usage)
-FEE_CATEGORY_ROWS = [
-    (1, "物业管理费", "月", "按面积", Decimal("2.5")),
-    (2, "停车管理费", "月", "固定", Decimal("300")),
-    (3, "垃圾处理费", "月", "固定", Decimal("15")),
-    (4, "公共维修基金", "月", "按面积", Decimal("0.5")),
-    (5, "电梯维护费", "月", "固定", Decimal("30.1255")),
-    (6, "水费", "季", "按用量", Decimal("3.2")),
-]
+# fixed values: the fee categories of the fixture (five seed categories plus one by usage)
+FEE_CATEGORY_NAMES = {1: "物业管理费", 2: "停车管理费", 3: "垃圾处理费", 4: "公共维修基金", 5: "电梯维护费", 6: "水费"}
 
 
-def fee_categories(spark: SparkSession) -> DataFrame:
-    df = literal_rows(
-        spark, FEE_CATEGORY_ROWS,
-        "category_id bigint, category_name string, billing_cycle string, calc_method string, unit_price decimal(10,4)")
-    return conform(df, "fee_categories")
+def fee_categories(part: DataFrame) -> DataFrame:
+    """One category per residue of the part key (bills use the same rule), priced from its cheapest part."""
+    cheapest = part.groupBy((F.lit(1) + F.col("p_partkey") % 6).alias("category_id")).agg(
+        F.min(F.col("p_retailprice").cast("decimal(10,2)")).alias("p"))
+    k = F.col("category_id")
+    return conform(cheapest.select(
+        "category_id",
+        _case(k, FEE_CATEGORY_NAMES, None).alias("category_name"),
+        F.when(k == 6, "季").otherwise("月").alias("billing_cycle"),
+        F.when(k.isin(1, 4), "按面积").when(k == 6, "按用量").otherwise("固定").alias("calc_method"),
+        (F.col("p") * F.lit(Decimal("0.0125"))).cast("decimal(10,4)").alias("unit_price"),
+    ), "fee_categories")
 
 
 def fee_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
-                         "l_returnflag", "l_linestatus", "l_shipdate")
+    """One bill per order and line number (equal pairs are summed), so ``fee_id`` is unique at any size.
+
+    A sort-merge join leaves the rows partitioned by order key, which the grouping reuses.
+    """
+    li = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag",
+                         "l_linestatus", "l_shipdate")
     od = orders.select("o_orderkey", "o_custkey")
-    x = li.join(od, li.l_orderkey == od.o_orderkey, "inner").select(
-        ((((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")) * 10)
-         + F.col("l_linenumber")).alias("fee_id"),
+    x = li.join(od, li.l_orderkey == od.o_orderkey, "inner").groupBy("l_orderkey", "l_linenumber", "o_custkey").agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(10,2)")).alias("l_extendedprice"),
+        *[F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus", "l_shipdate")])
+    x = x.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fee_id"),
         F.col("o_custkey").alias("resident_id"),
         (F.lit(1) + F.col("l_partkey") % 6).alias("category_id"),
         F.col("l_extendedprice").cast("decimal(10,2)").alias("amount"),
@@ -224,7 +230,7 @@ def repair_orders(orders: DataFrame) -> DataFrame:
 
 def complaints(events: DataFrame) -> DataFrame:
     k = F.col("event_id")
-    return conform(events.filter(F.col("event_type") == "error").select(
+    return conform(events.filter(F.col("event_type").isin("error", "purchase")).select(
         k.alias("complaint_id"),
         F.col("user_id").alias("resident_id"),
         F.concat(F.lit("C"), k.cast("string")).alias("title"),
@@ -250,7 +256,7 @@ def announcements(events: DataFrame) -> DataFrame:
 
 def visitor_records(events: DataFrame) -> DataFrame:
     k = F.col("event_id")
-    return conform(events.filter(F.col("event_type") == "view").select(
+    return conform(events.filter(F.col("event_type").isin("view", "click")).select(
         k.alias("visitor_id"),
         F.col("user_id").alias("resident_id"),
         F.concat(F.lit("V"), k.cast("string")).alias("visitor_name"),
@@ -292,7 +298,7 @@ def derive_estate(spark: SparkSession, base: Mapping[str, DataFrame]) -> LazyTab
         "residents": lambda: residents(base["customer"]),
         "parking_spaces": lambda: parking_spaces(base["part"]),
         "vehicles": lambda: vehicles(base["customer"]),
-        "fee_categories": lambda: fee_categories(spark),
+        "fee_categories": lambda: fee_categories(base["part"]),
         "fee_records": lambda: fee_records(base["lineitem"], base["orders"]),
         "staff": lambda: staff(base["supplier"]),
         "repair_orders": lambda: repair_orders(base["orders"]),

@@ -139,14 +139,49 @@ def test_set_null_on_delete(seed):
     assert v[1] is None and v[2] is None and v[3] == 4
 
 
-def test_fan_out_both_paths(spark):
-    from hearth.plans.fanout import fan_out
-    big = spark.range(1, 41).withColumnRenamed("id", "b")
-    small = spark.range(1, 8).withColumnRenamed("id", "s").repartition(3)
-    want = {(b, s) for b in range(1, 41) for s in range(1, 8)}
-    for bound in (100, 2):                 # broadcast path, then the distributed-ordinal path
-        got = {(r["b"], r["s"]) for r in fan_out(big, small, "s", max_broadcast_rows=bound).collect()}
-        assert got == want
+def test_dense_ordinals(spark):
+    from hearth.plans.ordinals import dense_ordinals
+    got = dense_ordinals(spark.range(40).repartition(3).orderBy(F.col("id").desc()), "n").collect()
+    assert {(r["id"], r["n"]) for r in got} == {(i, 40 - i) for i in range(40)}
+
+
+def test_generated_bills_can_be_paid(spark, seed):
+    bills = B.generate_bills(seed, "2026-07", "2026-07-01 00:00:00")
+    assert bills.columns == seed["fee_records"].columns
+    ledger = seed["fee_records"].unionByName(bills)
+    assert ledger.select("fee_id").distinct().count() == ledger.count()
+    pay = bills.filter("amount > 0").selectExpr("fee_id", "1 AS seq", "amount AS pay_amount")
+    assert {r["reason"] for r in rows(B.post_payments(ledger, pay))} == {"OK"}
+    assert B.settle(ledger, pay, "2026-07-02 00:00:00").join(pay, "fee_id").filter("status <> '已缴'").isEmpty()
+
+
+def test_inserts_first_valid_row_wins(spark, seed):
+    ddl = ("seq int, resident_id bigint, room_id bigint, name string, gender string, phone string, id_card string, "
+           "relationship string, move_in_date date")
+    row = lambda seq, key, card: (seq, key, 4, "甲", "女", "13800000100", card, "业主", date(2026, 7, 1))
+    # key 200 twice (seq 2 loses), its card is then free for 201; 202 comes first by seq
+    batch = spark.createDataFrame([row(1, 200, "A1"), row(2, 200, "A2"), row(3, 201, "A2"), row(5, 203, "A3"),
+                                   row(4, 202, "A3")], ddl)
+    out = M.validated_inserts(seed, batch, "residents", "2026-07-01 00:00:00")
+    assert {(r["resident_id"], r["id_card"]) for r in rows(out["accepted"])} == {(200, "A1"), (201, "A2"), (202, "A3")}
+    assert sorted((r["resident_id"], r["reasons"]) for r in rows(out["rejected"])) == [(200, ["PK"]), (203, ["UNIQUE:id_card"])]
+
+
+def test_changes_without_a_usable_seq(spark, seed):
+    ch = spark.createDataFrame([(1, "红"), (1, "白"), (2, "黑")], "vehicle_id bigint, color string")
+    out = rows(M.apply_updates(seed["vehicles"], ch, "vehicles"))
+    assert len(out) == 7 and {r["vehicle_id"]: r["color"] for r in out}[1] == max("红", "白")
+    ch = spark.createDataFrame([(1, None, "红"), (1, 1, "白"), (2, None, "黑")], "vehicle_id bigint, seq int, color string")
+    out = {r["vehicle_id"]: r["color"] for r in rows(M.apply_updates(seed["vehicles"], ch, "vehicles"))}
+    assert out[1] == "白" and out[2] == "黑"
+
+
+def test_resignation_counts_every_step(spark, seed):
+    s = seed["repair_orders"].filter("staff_id IS NOT NULL AND status IN ('待处理', '处理中')").first()["staff_id"]
+    gone = seed["staff"].withColumn("status", F.when(F.col("staff_id") == s, "离职").otherwise(F.col("status")))
+    ch = spark.createDataFrame([(s, 1, "在职"), (s, 2, "离职")], "staff_id bigint, seq int, status string")
+    assert [r["resigned_id"] for r in rows(M.resigned_staff(gone, ch))] == [s]
+    assert rows(M.resigned_staff(gone, ch.filter("seq = 2"))) == []
 
 
 def test_apply_inserts_defaults(spark, seed):
@@ -241,11 +276,11 @@ def test_validated_inserts(spark, seed):
     ], ddl)
     out = M.validated_inserts(seed, batch, "residents", "2026-07-01 00:00:00")
     rej = {r["resident_id"]: sorted(r["reasons"]) for r in rows(out["rejected"])}
-    assert [r["resident_id"] for r in rows(out["accepted"])] == [100]
+    assert sorted(r["resident_id"] for r in rows(out["accepted"])) == [100, 104]
     assert rej[101] == ["FK:room_id"] and rej[1] == ["PK"]
     assert rej[102] == ["ENUM:gender", "NULL:move_in_date", "UNIQUE:id_card"]
-    assert rej[103] == ["ENUM:relationship", "UNIQUE:id_card"] and rej[104] == ["UNIQUE:id_card"]
-    assert out["table"].count() == 16
+    assert rej[103] == ["ENUM:relationship"] and 104 not in rej      # a refused row blocks nobody
+    assert out["table"].count() == 17
 
 
 def test_insert_defaults_other_table(spark, seed):

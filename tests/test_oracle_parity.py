@@ -10,10 +10,6 @@ from hearth import registry
 from tools.compare import BASE, digest
 
 SF = "/root/testdata/sf0.001"
-# sf0.001 holds one duplicated bill key (FIXTURES.md §3); the state of "that bill" is then
-# undefined, so the payment keys are compared at sf0.01 by tools/compare.py instead.
-DUPLICATE_KEY_SENSITIVE = {"post_payments", "ledger_after_payments"}
-
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="provided tables not present")
 
 
@@ -29,8 +25,6 @@ def duck():
 
 @pytest.mark.parametrize("key", sorted(registry.oracle_sql()))
 def test_matches_oracle(spark, duck, key):
-    if key in DUPLICATE_KEY_SENSITIVE:
-        pytest.skip("duplicate bill key at sf0.001")
     df = E.queries()[key](spark, SF)
     s_rows = [tuple(r) for r in df.collect()]
     cur = duck.execute(E.oracle_sql()[key])
@@ -46,6 +40,13 @@ def test_every_query_has_an_oracle():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_fixture_bill_ids_are_unique(spark, sf):
+    from hearth.sources.parquet import load_estate
+    bills = load_estate(spark, f"/root/testdata/{sf}")["fee_records"]
+    assert bills.groupBy("fee_id").count().filter("count > 1").isEmpty()
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0
