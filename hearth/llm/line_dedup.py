@@ -24,6 +24,8 @@ extra columns are carried along.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,16 +125,27 @@ def _common(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= most) & same(n, s), n + s).otherwise(n))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once (a projection below would be computed at each use)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _between_ends(x: Column, y: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """``then`` of what is left of two strings without their common beginning and end, both reversed."""
+    rest = lambda s, k: F.substring(s, k + 1, F.char_length(s))
+    head = lambda k: F.struct(F.reverse(rest(x, k)).alias("x"), F.reverse(rest(y, k)).alias("y"))
+    tail = lambda p: _let(_common(p["x"], p["y"]), lambda k: F.struct(rest(p["x"], k).alias("x"), rest(p["y"], k).alias("y")))
+    return _let(_let(_let(_common(x, y), head), tail), lambda p: then(p["x"], p["y"]))
+
+
 def close(pairs: DataFrame) -> DataFrame:
     """The rows ``a, b, x, y`` whose lines ``x``, ``y`` are within ``EDITS``; only what lies between their common
-    ends is compared.  Each step is written, lest Spark computes an earlier one anew inside every step of a later one."""
-    rest = lambda c: F.substring(F.col(c), F.col("k") + 1, F.char_length(c))
-    head = staged(pairs.select("a", "b", "x", "y", _common(F.col("x"), F.col("y")).alias("k")), "line-pairs")
-    head = staged(head.select("a", "b", F.reverse(rest("x")).alias("x"), F.reverse(rest("y")).alias("y")), "line-pairs")
-    tail = staged(head.select("a", "b", "x", "y", _common(F.col("x"), F.col("y")).alias("k")), "line-pairs")
-    core = tail.select("a", "b", rest("x").alias("x"), rest("y").alias("y"))
-    core = staged(core.select("a", "b", "x", "y", F.split("x", "").alias("cx"), F.split("y", "").alias("cy")), "line-pairs")
-    return core.where(within_edits(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))).select("a", "b")
+    ends is compared."""
+    def verdict(x, y):
+        cut = F.struct(F.split(x, "").alias("x"), F.split(y, "").alias("y"))
+        return _let(cut, lambda c: within_edits(x, y, c["x"], c["y"]))
+
+    return pairs.where(_between_ends(F.col("x"), F.col("y"), verdict)).select("a", "b")
 
 
 def _sized(df: DataFrame) -> DataFrame:
