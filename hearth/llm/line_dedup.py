@@ -140,10 +140,14 @@ def _between_ends(x: Column, y: Column, then: Callable[[Column, Column], Column]
 
 def close(pairs: DataFrame) -> DataFrame:
     """The rows ``a, b, x, y`` whose lines ``x``, ``y`` are within ``EDITS``; only what lies between their common
-    ends is compared."""
+    ends is compared.  What is left differs in its first and in its last character, which takes both of
+    two edits: all that stands between must be in the other unchanged, or the pair is not verified."""
+    assert EDITS == 2
+
     def verdict(x, y):
+        inner = F.substring(x, F.lit(2), F.greatest(F.char_length(x) - 2, F.lit(0)))
         cut = F.struct(F.split(x, "").alias("x"), F.split(y, "").alias("y"))
-        return _let(cut, lambda c: within_edits(x, y, c["x"], c["y"]))
+        return F.when(F.contains(y, inner), _let(cut, lambda c: within_edits(x, y, c["x"], c["y"]))).otherwise(False)
 
     return pairs.where(_between_ends(F.col("x"), F.col("y"), verdict)).select("a", "b")
 
