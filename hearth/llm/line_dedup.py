@@ -9,7 +9,9 @@ both sides (length-aware, multi-match selection).  Candidates, cut to what lies
 between their common ends, are verified with a banded bit-parallel edit distance: one word of ``2 * EDITS + 1`` bits slides down the diagonal.
 
 Only a line's first occurrence makes keys, so a frequent line is one row per key; joins are plain
-equi-joins that Spark may split where a key is frequent.  Lists of line hashes (the lines that repeat, the
+equi-joins that Spark may split where a key is frequent.  Lines of a frequent key do not meet in pairs: what
+the key leaves of them, without the ends they all share, is cut into segments again, until
+the keys are rare; no link is lost by it.  Lists of line hashes (the lines that repeat, the
 candidates) are broadcast up to ``BROADCAST_ROWS`` counted rows, so the texts need not be shuffled
 to meet them, and joined by shuffle beyond.
 
@@ -34,6 +36,7 @@ from .common import staged
 EDITS = 2
 MIN_CHARS = 20
 BROADCAST_ROWS = 1_000_000
+GROUP = 16                                   # indexed lines of a key that still meet in pairs
 _WORD = 60                                   # lines per word of a document's keep mask
 
 
@@ -55,30 +58,46 @@ def lines_of(docs: DataFrame) -> DataFrame:
             .withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line")))
 
 
-def _keyed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
-    """``h, key`` for every place (``less``, ``i``, ``shift``): the key of segment ``i`` (from 0) of a line
-    ``less`` shorter, of which the content stands ``shift`` further right in this line."""
+def _placed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
+    """A row for every place (``less``, ``i``, ``shift``): segment ``i`` (from 0) of a line ``less`` shorter
+    (``m`` long), of which the content stands ``shift`` further right in this line (``at``, ``size``)."""
     k = EDITS + 1
     spec = F.array(*[F.struct(F.lit(x).alias("less"), F.lit(i).alias("i"), F.lit(y).alias("shift")) for x, i, y in places])
     rows = lines.select("h", "n", "line", F.explode(spec).alias("s")).select("h", "n", "line", "s.*", (F.col("n") - F.col("s.less")).alias("m"))
-    base = (F.col("m") - F.col("m") % k) / k
-    long = F.col("m") % k                    # so many of the last segments have one more
-    rows = rows.select("h", "n", "line", "i", "m", "shift", base.cast("int").alias("base"), (F.col("i") - (k - long)).alias("over"))
-    rows = rows.select("h", "n", "line", "i", "m", (F.col("base") * F.col("i") + F.greatest(F.lit(0), F.col("over")) + 1 + F.col("shift")).alias("at"),
-                       (F.col("base") + (F.col("over") >= 0).cast("int")).alias("size"))
-    return (rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
-            .select("h", F.xxhash64("i", "m", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("key")))
+    rows = rows.select("*", *_segment(F.col("m"), F.col("i"), k))
+    rows = rows.select("h", "n", "line", "less", "i", "shift", "m", (F.col("o") + F.col("shift") + 1).alias("at"), "size")
+    return rows.where((F.col("at") >= 1) & (F.col("at") + F.col("size") - 1 <= F.col("n")))
+
+
+def _segment(m: Column, i: Column, k: int) -> tuple[Column, Column]:
+    """Offset ``o`` and ``size`` of segment ``i`` of ``k`` in ``m`` characters; ``m % k`` of the last have one more."""
+    base = ((m - m % k) / k).cast("int")
+    over = i - (k - m % k)
+    return (base * i + F.greatest(F.lit(0), over)).alias("o"), (base + (over >= 0).cast("int")).alias("size")
+
+
+def _place_key() -> Column:
+    return F.xxhash64("i", "m", F.substring(F.col("line"), F.col("at"), F.col("size"))).alias("key")
+
+
+def _keyed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
+    """``h, key`` for every place."""
+    return _placed(lines, places).select("h", _place_key())
+
+
+_INDEX = [(0, i, 0) for i in range(EDITS + 1)]
+_PROBE = [(less, i, shift) for less in range(EDITS + 1) for i in range(EDITS + 1)
+          for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1)]
 
 
 def segment_keys(lines: DataFrame) -> DataFrame:
     """Index keys of every line."""
-    return _keyed(lines, [(0, i, 0) for i in range(EDITS + 1)])
+    return _keyed(lines, _INDEX)
 
 
 def probe_keys(lines: DataFrame) -> DataFrame:
     """Keys of the lines up to ``EDITS`` shorter that may be linked to a line."""
-    return _keyed(lines, [(less, i, shift) for less in range(EDITS + 1) for i in range(EDITS + 1)
-                          for shift in range(max(-i, less - (EDITS - i)), min(i, less + (EDITS - i)) + 1)])
+    return _keyed(lines, _PROBE)
 
 
 def within_edits(a: Column, b: Column, ca: Column, cb: Column) -> Column:
@@ -170,11 +189,104 @@ def once(lines: DataFrame, first: DataFrame) -> DataFrame:
             .select("h", "n", "line"))
 
 
+def _opened(lines: DataFrame, places: list[tuple[int, int, int]], probe: bool) -> DataFrame:
+    """The places with their key and what is still to be compared: ``b`` = 2, one piece within two edits, or
+    ``b`` = 1, two pieces within one edit each.  A piece: start, length, and how much longer it is than the
+    indexed line's (0 there).  Of two linked lines some segment ``i`` is unchanged with at most ``i`` edits before
+    it and ``EDITS - i`` behind it, so the first and the last leave one piece, the middle one two."""
+    assert EDITS == 2
+    left = F.struct(F.lit(1).alias("s"), (F.col("at") - 1).alias("n"), F.col("shift").alias("d"))
+    end = F.col("at") + F.col("size")
+    right = F.struct(end.alias("s"), (F.col("n") - end + 1).alias("n"), (F.col("less") - F.col("shift")).alias("d"))
+    none = F.struct(F.lit(1).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("d"))
+    return _placed(lines, places).select(
+        _place_key(), F.lit(probe).alias("probe"), "h", "line", F.when(F.col("i") == 1, 1).otherwise(2).alias("b"),
+        F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"))
+
+
+def _stripped(rows: DataFrame) -> DataFrame:
+    """Every piece without the beginning and the end that all of its key's rows have in common (that of the
+    smallest and the largest): equal ends change no distance."""
+    piece = {x: F.substring(F.col("line"), F.col(f"{x}.s"), F.col(f"{x}.n")) for x in "pq"}
+    aggs = [f(g(piece[x])).alias(f"{x}_{a}{c}") for x in "pq" for a, f in (("min", F.min), ("max", F.max))
+            for c, g in (("", lambda v: v), ("r", F.reverse))]
+    ends = rows.groupBy("key").agg(*aggs, *[F.min(f"{x}.n").alias(f"{x}_n") for x in "pq"])
+    ends = ends.select("key", *[c for x in "pq" for c in (
+        F.col(f"{x}_n"), _common(F.col(f"{x}_min"), F.col(f"{x}_max")).alias(f"{x}_head"),
+        _common(F.col(f"{x}_minr"), F.col(f"{x}_maxr")).alias(f"{x}_tail"))])
+    ends = staged(ends.select("key", *[c for x in "pq" for c in (
+        F.col(f"{x}_head"), F.least(f"{x}_tail", F.col(f"{x}_n") - F.col(f"{x}_head")).alias(f"{x}_tail"))]), "line-ends")
+    cut = lambda x: F.struct((F.col(f"{x}.s") + F.col(f"{x}_head")).alias("s"),
+                             (F.col(f"{x}.n") - F.col(f"{x}_head") - F.col(f"{x}_tail")).alias("n"), F.col(f"{x}.d").alias("d"))
+    return rows.join(_sized(ends), "key").select("key", "probe", "h", "line", "b", cut("p").alias("p"), cut("q").alias("q"))
+
+
+def _refined(rows: DataFrame) -> DataFrame:
+    """The rows one step further: the pieces are cut into segments again, of which one is unchanged; it joins the
+    key, and what lies beside it stays to be compared.  ``done``: what stays is too short to be cut."""
+    opt = lambda i, j, t: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.lit(t) if isinstance(t, int) else t).alias("t"))
+    two = F.array(opt(0, 0, 0), *[opt(1, 0, t) for t in (-1, 0, 1)], opt(2, 0, F.col("p.d")))
+    one = F.array(*[opt(i, j, 0) for i in (0, 1) for j in (0, 1)])
+    part = lambda s, n: F.substring(F.col("line"), s, n)
+    struct = lambda s, n, d: F.struct(s.cast("int").alias("s"), n.cast("int").alias("n"), d.cast("int").alias("d"))
+
+    a = rows.where("b = 2").select("*", F.explode(two).alias("x")).select("*", "x.i", "x.t")
+    a = a.where((F.col("i") != 1) | ((F.abs(F.col("p.d") - F.col("t")) <= 1) & (F.col("probe") | (F.col("t") == 0))))
+    a = a.select("*", *_segment(F.col("p.n") - F.col("p.d"), F.col("i"), 3)).withColumn("o", F.col("o") + F.col("t"))
+    a = a.where((F.col("o") >= 0) & (F.col("o") + F.col("size") <= F.col("p.n")))
+    left = struct(F.col("p.s"), F.col("o"), F.col("t"))
+    right = struct(F.col("p.s") + F.col("o") + F.col("size"), F.col("p.n") - F.col("o") - F.col("size"), F.col("p.d") - F.col("t"))
+    none = struct(F.lit(1), F.lit(0), F.lit(0))
+    a = a.select(F.xxhash64("key", "i", part(F.col("p.s") + F.col("o"), F.col("size"))).alias("key"), "probe", "h", "line",
+                 F.when(F.col("i") == 1, 1).otherwise(2).alias("b"),
+                 F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"))
+
+    c = rows.where("b = 1").select("*", F.explode(one).alias("x")).select("*", "x.i", "x.j")
+    half = lambda x: F.floor((F.col(f"{x}.n") - F.col(f"{x}.d")) / 2).cast("int")
+    c = c.select("*", half("p").alias("p0"), half("q").alias("q0"))
+    fits = lambda x, i: F.when(F.col(i) == 0, F.col(f"{x}0") <= F.col(f"{x}.n")).otherwise(F.col(f"{x}0") + F.col(f"{x}.d") >= 0)
+    same = lambda x, i: F.when(F.col(i) == 0, part(F.col(f"{x}.s"), F.col(f"{x}0"))).otherwise(
+        part(F.col(f"{x}.s") + F.col(f"{x}0") + F.col(f"{x}.d"), F.col(f"{x}.n") - F.col(f"{x}.d") - F.col(f"{x}0")))
+    rest = lambda x, i: F.when(F.col(i) == 0, struct(F.col(f"{x}.s") + F.col(f"{x}0"), F.col(f"{x}.n") - F.col(f"{x}0"), F.col(f"{x}.d"))).otherwise(
+        struct(F.col(f"{x}.s"), F.col(f"{x}0") + F.col(f"{x}.d"), F.col(f"{x}.d")))
+    c = c.where(fits("p", "i") & fits("q", "j"))
+    c = c.select(F.xxhash64("key", "i", "j", same("p", "i"), same("q", "j")).alias("key"), "probe", "h", "line", "b",
+                 rest("p", "i").alias("p"), rest("q", "j").alias("q"))
+    short = lambda x, n: F.col(f"{x}.n") - F.col(f"{x}.d") < n
+    return a.unionByName(c).withColumn("done", F.when(F.col("b") == 2, short("p", 3)).otherwise(short("p", 2) & short("q", 2)))
+
+
+def _pair() -> list[Column]:
+    return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+
 def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of line hashes that share a key, a before b, each once."""
+    """Pairs ``a, b`` of line hashes that share a key, a before b, each once.
+
+    A key of more than ``GROUP`` indexed lines makes no pairs; its lines are keyed again by segments
+    of what the key leaves, until a key's lines are few or differ in two characters at most."""
     index, probe = segment_keys(lines), probe_keys(lines)
-    return (index.withColumnRenamed("h", "a").join(probe.withColumnRenamed("h", "b"), "key").where(F.col("a") != F.col("b"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    hot = staged(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("key"), "line-hot")
+    few = index.join(_sized(hot), "key", "left_anti").select("key", F.col("h").alias("a"))
+    marked = few.unionByName(hot.select("key", F.lit(None).cast("bigint").alias("a")))
+    met = probe.withColumnRenamed("h", "b").join(marked, "key").where(F.col("a").isNull() | (F.col("a") != F.col("b")))
+    met = staged(met.select(F.when(F.col("a").isNotNull(), F.least("a", "b")).alias("a"),
+                            F.when(F.col("a").isNull(), F.col("b")).otherwise(F.greatest("a", "b")).alias("b")).distinct(), "line-met-keys")
+    found = met.where("a is not null")
+    if hot.isEmpty():
+        return found
+    own = lines.join(_sized(met.where("a is null").select(F.col("b").alias("h"))), "h", "left_semi")
+    own = staged(own.dropDuplicates(["h"]), "line-hot-lines")
+    rows = _opened(own, _INDEX, False).unionByName(_opened(own, _PROBE, True)).join(_sized(hot), "key", "left_semi")
+    while not hot.isEmpty():
+        kids = staged(_refined(_stripped(staged(rows, "line-hot-rows"))), "line-refined")
+        hot = kids.where("not probe").groupBy("key", "done").agg(F.count("*").alias("c"))
+        hot = staged(hot.where(~F.col("done") & (F.col("c") > GROUP)).select("key"), "line-hot")
+        few = kids.where("not probe").join(_sized(hot), "key", "left_anti").select("key", F.col("h").alias("a"))
+        pairs = kids.where("probe").select("key", F.col("h").alias("b")).join(few, "key").where("a != b").select(*_pair()).distinct()
+        found = found.unionByName(staged(pairs, "line-pairs"))
+        rows = kids.drop("done").join(_sized(hot), "key", "left_semi")
+    return found.distinct()
 
 
 def line_links(lines: DataFrame) -> DataFrame:

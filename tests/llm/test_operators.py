@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from hearth.llm import (decontam, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash, suffix_dedup,
                         toxicity)
@@ -121,6 +122,33 @@ def test_line_edits_and_verdicts(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("group", [1, 4])
+def test_lines_of_frequent_keys_keep_their_links(spark, monkeypatch, group):
+    """Hundreds of variants of a few lines: every link is found, and candidates stay far below all pairs."""
+    monkeypatch.setattr(line_dedup, "GROUP", group)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcé") for _ in range(n))
+    out = set()
+    for _ in range(250):
+        out.add(f"a line that all share but for {word(rng.randint(4, 7))} in the middle of it")
+        out.add(f"{word(7)} begins this other line, which has no other change")
+        out.add(f"and here the end changes, whatever comes before: {word(rng.randint(5, 9))}")
+    for x in list(out):                                   # edits anywhere, also in what the others share
+        if rng.random() < 0.3:
+            y = list(x)
+            for _ in range(rng.randint(1, 3)):
+                at = rng.randrange(len(y))
+                y[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "zz"])
+            out.add("".join(y))
+    out |= {"ab" * k for k in range(10, 24)} | {"a" * k for k in range(20, 34)} | {"a" * k + "b" + "a" * 20 for k in range(9)}
+    rows = spark.createDataFrame([(x,) for x in out], "line string").selectExpr("xxhash64(line) AS h", "length(line) AS n", "line").cache()
+    links = [(r.a, r.b) for r in line_dedup.line_links(rows).collect()]
+    pairs = rows.select("h", "n", "line").alias("x").join(rows.alias("y"), (F.col("x.h") < F.col("y.h")) & (F.levenshtein("x.line", "y.line") <= 2))
+    want = {(r[0], r[1]) for r in pairs.select("x.h", "y.h").collect()}
+    assert set(links) == want and len(links) == len(want)
+    assert line_dedup.candidates(rows).count() < len(out) ** 2 / 30      # all pairs of a family: over len(out) ** 2 / 6
+
+
 def test_simhash_links_all_within_two_bits(spark, monkeypatch):
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
     w = [b"a", b"b", b"c", b"d"]
