@@ -344,10 +344,10 @@ def _apply(docs: DataFrame, judged: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """Per document: lines, removed lines, links of its lines to different lines, hash of what is left."""
     judged, met = _judged(docs)
-    done = _apply(docs.select("doc_id", "text").withColumn("__rk0", _text_key()), judged)
+    done = _apply(docs.select("doc_id", "text").withColumn("__rk0", _text_key()), judged).select(
+        "doc_id", "__rk0", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
     per = (lines_of(docs).select("doc_id", "rk", "line_no", "h").join(_sized(met), "h").distinct()
            .groupBy(F.col("doc_id").alias("__i"), F.col("rk").alias("__r")).agg(F.sum("links").alias("n_links")))
     return (done.join(per, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__i")) & (F.col("__rk0") == F.col("__r")), "left")
             .select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_lines", "n_removed",
-                    F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                    F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")))
+                    F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "kept_sha256"))
