@@ -193,7 +193,8 @@ def _opened(lines: DataFrame, places: list[tuple[int, int, int]], probe: bool) -
     """The places with their key and what is still to be compared: ``b`` = 2, one piece within two edits, or
     ``b`` = 1, two pieces within one edit each.  A piece: start, length, and how much longer it is than the
     indexed line's (0 there).  Of two linked lines some segment ``i`` is unchanged with at most ``i`` edits before
-    it and ``EDITS - i`` behind it, so the first and the last leave one piece, the middle one two."""
+    it and ``EDITS - i`` behind it, so the first and the last leave one piece, the middle one two.
+    ``u``, ``v``: length of the first segment in the piece ``p``, ``q``, if the key is that of a later one."""
     assert EDITS == 2
     left = F.struct(F.lit(1).alias("s"), (F.col("at") - 1).alias("n"), F.col("shift").alias("d"))
     end = F.col("at") + F.col("size")
@@ -201,19 +202,22 @@ def _opened(lines: DataFrame, places: list[tuple[int, int, int]], probe: bool) -
     none = F.struct(F.lit(1).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("d"))
     return _placed(lines, places).select(
         _place_key(), F.lit(probe).alias("probe"), "h", "line", F.when(F.col("i") == 1, 1).otherwise(2).alias("b"),
-        F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"))
+        F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"),
+        F.when(F.col("i") > 0, F.floor(F.col("m") / 3).cast("int")).alias("u"), F.lit(None).cast("int").alias("v"))
 
 
 def _stripped(rows: DataFrame) -> DataFrame:
     """Every piece without the beginning and the end that all of its key's rows have in common (that of the
-    smallest and the largest): equal ends change no distance."""
+    smallest and the largest): equal ends change no distance.  Keys of a later segment whose rows all share the first
+    one as well go: their pairs meet by the key of the first."""
     piece = {x: F.substring(F.col("line"), F.col(f"{x}.s"), F.col(f"{x}.n")) for x in "pq"}
     aggs = [f(g(piece[x])).alias(f"{x}_{a}{c}") for x in "pq" for a, f in (("min", F.min), ("max", F.max))
             for c, g in (("", lambda v: v), ("r", F.reverse))]
-    ends = rows.groupBy("key").agg(*aggs, *[F.min(f"{x}.n").alias(f"{x}_n") for x in "pq"])
-    ends = ends.select("key", *[c for x in "pq" for c in (
+    ends = rows.groupBy("key").agg(*aggs, *[F.min(f"{x}.n").alias(f"{x}_n") for x in "pq"], F.min("u").alias("u"), F.min("v").alias("v"))
+    ends = ends.select("key", "u", "v", *[c for x in "pq" for c in (
         F.col(f"{x}_n"), _common(F.col(f"{x}_min"), F.col(f"{x}_max")).alias(f"{x}_head"),
         _common(F.col(f"{x}_minr"), F.col(f"{x}_maxr")).alias(f"{x}_tail"))])
+    ends = ends.where(~F.coalesce(F.col("p_head") >= F.col("u"), F.lit(False)) & ~F.coalesce(F.col("q_head") >= F.col("v"), F.lit(False)))
     ends = staged(ends.select("key", *[c for x in "pq" for c in (
         F.col(f"{x}_head"), F.least(f"{x}_tail", F.col(f"{x}_n") - F.col(f"{x}_head")).alias(f"{x}_tail"))]), "line-ends")
     cut = lambda x: F.struct((F.col(f"{x}.s") + F.col(f"{x}_head")).alias("s"),
@@ -226,20 +230,22 @@ def _refined(rows: DataFrame) -> DataFrame:
     key, and what lies beside it stays to be compared.  ``done``: what stays is too short to be cut."""
     opt = lambda i, j, t: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.lit(t) if isinstance(t, int) else t).alias("t"))
     two = F.array(opt(0, 0, 0), *[opt(1, 0, t) for t in (-1, 0, 1)], opt(2, 0, F.col("p.d")))
+    two = F.filter(two, lambda x: (x["i"] != 1) | ((F.abs(F.col("p.d") - x["t"]) <= 1) & (F.col("probe") | (x["t"] == 0))))
     one = F.array(*[opt(i, j, 0) for i in (0, 1) for j in (0, 1)])
     part = lambda s, n: F.substring(F.col("line"), s, n)
     struct = lambda s, n, d: F.struct(s.cast("int").alias("s"), n.cast("int").alias("n"), d.cast("int").alias("d"))
 
     a = rows.where("b = 2").select("*", F.explode(two).alias("x")).select("*", "x.i", "x.t")
-    a = a.where((F.col("i") != 1) | ((F.abs(F.col("p.d") - F.col("t")) <= 1) & (F.col("probe") | (F.col("t") == 0))))
-    a = a.select("*", *_segment(F.col("p.n") - F.col("p.d"), F.col("i"), 3)).withColumn("o", F.col("o") + F.col("t"))
+    m = F.col("p.n") - F.col("p.d")
+    a = a.select("*", *_segment(m, F.col("i"), 3)).withColumn("o", F.col("o") + F.col("t"))
     a = a.where((F.col("o") >= 0) & (F.col("o") + F.col("size") <= F.col("p.n")))
     left = struct(F.col("p.s"), F.col("o"), F.col("t"))
     right = struct(F.col("p.s") + F.col("o") + F.col("size"), F.col("p.n") - F.col("o") - F.col("size"), F.col("p.d") - F.col("t"))
     none = struct(F.lit(1), F.lit(0), F.lit(0))
     a = a.select(F.xxhash64("key", "i", part(F.col("p.s") + F.col("o"), F.col("size"))).alias("key"), "probe", "h", "line",
                  F.when(F.col("i") == 1, 1).otherwise(2).alias("b"),
-                 F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"))
+                 F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"),
+                 F.when(F.col("i") > 0, F.floor(m / 3).cast("int")).alias("u"), F.lit(None).cast("int").alias("v"))
 
     c = rows.where("b = 1").select("*", F.explode(one).alias("x")).select("*", "x.i", "x.j")
     half = lambda x: F.floor((F.col(f"{x}.n") - F.col(f"{x}.d")) / 2).cast("int")
@@ -251,7 +257,8 @@ def _refined(rows: DataFrame) -> DataFrame:
         struct(F.col(f"{x}.s"), F.col(f"{x}0") + F.col(f"{x}.d"), F.col(f"{x}.d")))
     c = c.where(fits("p", "i") & fits("q", "j"))
     c = c.select(F.xxhash64("key", "i", "j", same("p", "i"), same("q", "j")).alias("key"), "probe", "h", "line", "b",
-                 rest("p", "i").alias("p"), rest("q", "j").alias("q"))
+                 rest("p", "i").alias("p"), rest("q", "j").alias("q"),
+                 F.when(F.col("i") == 1, F.col("p0")).alias("u"), F.when(F.col("j") == 1, F.col("q0")).alias("v"))
     short = lambda x, n: F.col(f"{x}.n") - F.col(f"{x}.d") < n
     return a.unionByName(c).withColumn("done", F.when(F.col("b") == 2, short("p", 3)).otherwise(short("p", 2) & short("q", 2)))
 
