@@ -7,6 +7,9 @@ anchor extend it.  Coverage is the share of the template's words that the alignm
 only counted inside the densest stretch of the text, so scattered common words add nothing: aligned
 words more than ``STRAY`` words away from their neighbours are cut off.
 
+Some templates hold others (a notice of the LGPL that of the GPL but for a word): of those covered enough the
+one with the most aligned words is the license, then the one covered best.
+
 Defined results: null text is empty; a text that covers no template by ``MIN_COVERAGE`` has no license
 (null) with coverage of its best template; ties go to the template first in ``TEMPLATES``; rows with an
 equal ``doc_id`` are scanned each on their own; extra columns are ignored.
@@ -22,38 +25,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, texts
+from .license_texts import FULL
 
 MIN_COVERAGE = 0.7
 STRAY = 40
+MOST_CHARS = 16 << 20
+
+# Public license texts and notices as their authors publish them, whole.  ``-notice``: the notice that
+# stands at the head of a file; ``-grant``: a text's first paragraph alone, as many files quote it; ``-short``: one line.
+_MIT_GRANT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+    "notice and this permission notice shall be included in all copies or substantial portions of the Software.")
+_BSD_2_GRANT = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+    "the following conditions are met: Redistributions of source code must retain the above copyright notice, "
+    "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
+    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
+    "materials provided with the distribution.")
+_BSD_3_GRANT = (
+    _BSD_2_GRANT + " Neither the name of the copyright holder nor the names of its "
+    "contributors may be used to endorse or promote products derived from this software without specific prior "
+    "written permission.")
+_BSD_WARRANTY = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_ISC_GRANT = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies.")
+
+
+def _gnu_notice(kind: str, version: str) -> str:
+    kind, work = f"GNU {kind}General Public License", "library" if kind == "Lesser " and version == "2.1" else "program"
+    return (f"This {work} is free software: you can redistribute it and/or modify it under the terms of the {kind} as published "
+            f"by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+            f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+            f"warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {kind} for more details. You should have "
+            f"received a copy of the {kind} along with this {work}. If not, see <https://www.gnu.org/licenses/>.")
+
+
+_GNU = {f"{name}-{v}": (kind, v) for name, kind, versions in (
+    ("GPL", "", ("3.0", "2.0")), ("LGPL", "Lesser ", ("3.0", "2.1")), ("AGPL", "Affero ", ("3.0",))) for v in versions}
+_CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+       "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
 
-# Public license texts and notices as their authors publish them.
 TEMPLATES = {
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-           "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
-           "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
-           "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
-           "notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-                  "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
-                  "Unless required by applicable law or agreed to in writing, software distributed under the License is "
-                  "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "MIT": _MIT_GRANT +
+           " THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO "
+           "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+           "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, "
+           "TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-3-Clause": _BSD_3_GRANT + _BSD_WARRANTY,
+    "BSD-2-Clause": _BSD_2_GRANT + _BSD_WARRANTY,
+    "ISC": _ISC_GRANT +
+           " THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING "
+           "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, "
+           "INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN "
+           "AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+           "PERFORMANCE OF THIS SOFTWARE.",
+    **FULL,
+    "Apache-2.0-notice":
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+        "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is "
+        "distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+    "MPL-2.0-notice":
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
+        "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    **{f"{name}-notice": _gnu_notice(kind, v.removesuffix(".0")) for name, (kind, v) in _GNU.items()},
+    **{f"CC-{k}-{v}-notice": f"This work is licensed under the Creative Commons {title} {v} {port} License. To view a copy of this license, "
+                             f"visit http://creativecommons.org/licenses/{k.lower()}/{v}/ or send a letter to Creative Commons, PO Box 1866, "
+                             "Mountain View, CA 94042, USA."
+       for v, port in (("4.0", "International"), ("3.0", "Unported")) for k, title in _CC.items()},
+    "MIT-grant": _MIT_GRANT,
+    "BSD-3-Clause-grant": _BSD_3_GRANT,
+    "BSD-2-Clause-grant": _BSD_2_GRANT,
+    "ISC-grant": _ISC_GRANT,
     "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
     "MIT-short": "Released under the MIT License.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-                    "the following conditions are met: Redistributions of source code must retain the above copyright notice, "
-                    "this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above "
-                    "copyright notice, this list of conditions and the following disclaimer in the documentation and/or other "
-                    "materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
-                    "contributors may be used to endorse or promote products derived from this software without specific prior "
-                    "written permission.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-           "provided that the above copyright notice and this permission notice appear in all copies.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-               "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-               "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without "
-               "even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
-               "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    **{f"{name}-short": f"Licensed under the GNU {kind}General Public License, version {v.removesuffix('.0')}." for name, (kind, v) in _GNU.items()},
+    **{f"CC-{k}-{v}-short": f"Licensed under CC {k} {v}." for v in ("4.0", "3.0", "2.5", "2.0", "1.0") for k in _CC},
 }
 
 _WORD = re.compile(r"[^\W_]+")
@@ -135,34 +194,49 @@ class Scanner:
         self.templates = [(name, [self.number.setdefault(w, len(self.number)) for w in words(t)]) for name, t in templates.items()]
         self.sets = [set(t) for _, t in self.templates]
 
-    def scan(self, text: str | None) -> tuple[str | None, float, int, int]:
+    def scan(self, text: str | None, least: float = MIN_COVERAGE) -> tuple[str | None, float, int, int]:
         """Best template, its coverage and the aligned words' first and last place in the text."""
         get = self.number.get
         own = [(k, n) for k, n in enumerate(map(get, words(text))) if n is not None]
-        best = (None, 0.0, 0, 0)
+        best, rank = (None, 0.0, 0, 0), (False, 0.0, 0.0)
         for (name, t), has in zip(self.templates, self.sets, strict=True):
-            if not t:
-                continue
             doc = [x for x in own if x[1] in has]
-            if len({n for _, n in doc}) < best[1] * len(has):
-                continue                         # cannot cover more of its words than the best so far
+            if not doc:
+                continue
             pairs = _dense(align(doc, t))
-            if len(pairs) / len(t) > best[1]:
-                best = (name, len(pairs) / len(t), pairs[0][0], pairs[-1][0] + 1)
+            cover = len(pairs) / len(t)
+            mine = (True, len(pairs), cover) if cover >= least else (False, cover, 0.0)
+            if mine > rank and pairs:
+                best, rank = (name, cover, pairs[0][0], pairs[-1][0] + 1), mine
         return best
 
 
-def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """``doc_id, license, coverage, first_word, last_word`` of every document."""
-    chosen = dict(templates or TEMPLATES)
+def _chosen(templates: dict[str, str] | DataFrame | None) -> dict[str, str]:
+    """The templates by name; of a table ``license, text`` the rows in the order of their names."""
+    if not isinstance(templates, DataFrame):
+        return dict(TEMPLATES if templates is None else templates)
+    rows = templates.where("license is not null and text is not null").select(F.col("license").cast("string"), F.col("text").cast("string"))
+    size = rows.agg(F.coalesce(F.sum(F.char_length("license") + F.char_length("text")), F.lit(0)), F.count("*"), F.countDistinct("license")).first()
+    if size[0] > MOST_CHARS:
+        raise ValueError("templates of over 16 MB: scan them in parts")
+    if size[1] != size[2]:
+        raise ValueError("a license has two templates: give each its own name")
+    return {r[0]: r[1] for r in rows.orderBy("license").collect()}
+
+
+def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """``doc_id, license, coverage, first_word, last_word`` of every document.
+
+    ``templates``: texts by license name, or a table ``license, text``; without it ``TEMPLATES``."""
+    chosen = _chosen(templates)
     size = sum(len(k) + len(v) for k, v in chosen.items())
-    if size > 16 << 20:                          # the templates go to every task
+    if size > MOST_CHARS:                          # the templates go to every task
         raise ValueError("templates of over 16 MB: scan them in parts")
 
     def one(b):
         scanner, rows = Scanner(chosen), []
         for text in b.column(1).to_pylist():
-            name, cover, s, e = scanner.scan(text)
+            name, cover, s, e = scanner.scan(text, min_coverage)
             found = cover >= min_coverage
             rows.append((name if found else None, cover, s if found else None, e if found else None))
         c = list(zip(*rows, strict=True))

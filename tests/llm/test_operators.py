@@ -253,6 +253,25 @@ def test_license_alignment(spark):
     assert got[4][0] == "Apache-2.0-short" and got[5] == (None, 0.0)
 
 
+def test_license_templates_are_whole_and_can_be_passed(spark):
+    T = license_scan.TEMPLATES
+    for name, end in (("MIT", "DEALINGS IN THE SOFTWARE."), ("BSD-3-Clause", "POSSIBILITY OF SUCH DAMAGE."), ("ISC", "PERFORMANCE OF THIS SOFTWARE."),
+                      ("Apache-2.0-notice", "limitations under the License."), ("GPL-3.0-notice", "https://www.gnu.org/licenses/>.")):
+        assert T[name].endswith(end)
+    lines = {"GPL-3.0-short": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
+             "CC-BY-4.0-short": "Licensed under CC BY 4.0."}
+    whole = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "CC0-1.0", "AGPL-3.0-notice", "LGPL-3.0-notice")
+    want = dict(enumerate([*lines, *whole]))
+    rows = list(enumerate([f"some text before it. {x} and after" for x in lines.values()] + [T[x] for x in whole]))
+    got = {r.doc_id: (r.license, r.coverage) for r in license_scan.license_scan(frame(spark, rows)).collect()}
+    assert got == {k: (x, 1.0) for k, x in want.items()}
+    own = spark.createDataFrame([("mine", "these words are a license of my own"), (None, "x"), ("none", None)], "license string, text string")
+    got = license_scan.license_scan(frame(spark, [(1, "so these words are a license of my own here"), (2, T["MIT"])]), own).collect()
+    assert {r.doc_id: r.license for r in got} == {1: "mine", 2: None}
+    with pytest.raises(ValueError):
+        license_scan.license_scan(frame(spark, []), own.unionByName(own))
+
+
 def test_pseudonyms_are_permutations_in_format(spark):
     for size in (1, 2, 7, 100, 1000):
         out = [pii.feistel(x, size, b"k", "t") for x in range(size)]
