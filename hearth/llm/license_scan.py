@@ -7,8 +7,11 @@ anchor extend it.  Coverage is the share of the template's words that the alignm
 only counted inside the densest stretch of the text, so scattered common words add nothing: aligned
 words more than ``STRAY`` words away from their neighbours are cut off.
 
-Some templates hold others (a notice of the LGPL that of the GPL but for a word): of those covered enough the
-one with the most aligned words is the license, then the one covered best.
+A text may hold several licenses, or one several times, where no word is unique: it is cut where template words
+thin out, and besides the whole each place is aligned where runs of the template's words agree that a copy stands;
+what lies before and behind a license found is searched again.  Every license found is returned with its span.
+Some templates hold others (a notice of the LGPL that of the GPL but for a word): of those that meet in the text the
+one with the most aligned words is found, then the one covered best.
 
 Defined results: null text is empty; a text that covers no template by ``MIN_COVERAGE`` has no license
 (null) with coverage of its best template; ties go to the template first in ``TEMPLATES``; rows with an
@@ -19,7 +22,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +36,7 @@ from .license_texts import FULL
 MIN_COVERAGE = 0.7
 STRAY = 40
 MOST_CHARS = 16 << 20
+_SPAN = ("license", "coverage", "first_word", "last_word")
 
 # Public license texts and notices as their authors publish them, whole.  ``-notice``: the notice that
 # stands at the head of a file; ``-grant``: a text's first paragraph alone, as many files quote it; ``-short``: one line.
@@ -140,10 +147,19 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(doc: list[tuple[int, int]], template: list[int]) -> list[tuple[int, int]]:
+def places(template: list[int]) -> dict[int, list[int]]:
+    """Where each word of a template stands."""
+    out: dict[int, list[int]] = {}
+    for k, w in enumerate(template):
+        out.setdefault(w, []).append(k)
+    return out
+
+
+def align(doc: list[tuple[int, int]], template: list[int], at: dict[int, list[int]] | None = None) -> list[tuple[int, int]]:
     """Pairs (text place, template place) of aligned words.
 
-    ``doc`` holds (place, word number) of the text's words that the template has, in order."""
+    ``doc`` holds (place, word number) of the text's words that the template has, in order; ``at``: ``places``."""
+    at = places(template) if at is None else at
     out: list[tuple[int, int]] = []
     todo = [(0, len(doc), 0, len(template))]
     while todo:
@@ -153,16 +169,17 @@ def align(doc: list[tuple[int, int]], template: list[int]) -> list[tuple[int, in
             a0, b0 = a0 + 1, b0 + 1
         if a0 >= a1 or b0 >= b1:
             continue
-        here: dict[int, int] = {}
-        for k in range(b0, b1):
-            w = template[k]
-            here[w] = -1 if w in here else k
         there: dict[int, int] = {}
         for k in range(a0, a1):
             w = doc[k][1]
-            if w in here:
-                there[w] = -1 if w in there else k
-        pairs = sorted((k, here[w]) for w, k in there.items() if k >= 0 and here[w] >= 0)
+            there[w] = -1 if w in there else k
+        pairs = []                               # words once in both, in the text's order
+        for w, k in there.items():
+            if k >= 0:
+                own = at[w]
+                i = bisect_left(own, b0) if b0 else 0
+                if i < len(own) and own[i] < b1 and (i + 1 == len(own) or own[i + 1] >= b1):
+                    pairs.append((k, own[i]))
         chain = _increasing(pairs)
         if not chain:
             continue
@@ -188,27 +205,136 @@ def _dense(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return best
 
 
+def _stretches(doc: list[tuple[int, int]], least: int) -> list[list[tuple[int, int]]]:
+    """The text's template words cut where none stands within ``STRAY`` words; those of ``least`` words and more."""
+    out, start = [], 0
+    for k in range(1, len(doc) + 1):
+        if k == len(doc) or doc[k][0] - doc[k - 1][0] > STRAY:
+            if k - start >= least:
+                out.append(doc[start:k])
+            start = k
+    return out
+
+
+def _agreeing(size: int, run: int) -> int:
+    """Runs that must agree on a copy's place.  Words put in move the starts behind them, so a few are enough."""
+    return max(1, (size - run + 1) // 40)
+
+
+class Template:
+    def __init__(self, name: str, tokens: list[int]):
+        self.name, self.tokens, self.counts, self.at = name, tokens, Counter(tokens), places(tokens)
+        self.runs: dict[tuple[int, ...], list[int]] = {}
+        self.run = min(3, len(tokens))           # words of a run by which a copy is located
+        for k in range(len(tokens) - self.run + 1):
+            self.runs.setdefault(tuple(tokens[k:k + self.run]), []).append(k)
+
+    def bound(self, counts: Counter) -> int:
+        """No alignment with a text of these words has more: each word as often as both have it."""
+        return sum(min(n, self.counts[w]) for w, n in counts.items())
+
+    def _windows(self, doc: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Places in the text from which to which copies of the template may stand, the likeliest first.
+
+        A run of equal words says where its copy starts; the starts that most runs agree on (but for
+        words put in or left out) are taken, each run for one copy."""
+        size, run = len(self.tokens), self.run
+        near = max(1, min(STRAY, size // 2))
+        word, starts = [n for _, n in doc], []
+        for k, x in enumerate(zip(*(word[i:] for i in range(run)), strict=False)):
+            for b in self.runs.get(x, ()):
+                starts.append(doc[k][0] - b)
+        starts.sort()
+        groups, lo = [], 0
+        for hi in range(len(starts)):            # starts by peaks: as many within `near` as can be
+            while starts[hi] - starts[lo] >= near:
+                lo += 1
+            groups.append((hi - lo + 1, lo, hi))
+        out, taken = [], []
+        for n, lo, hi in sorted(groups, key=lambda g: (-g[0], g[1])):
+            first, last = starts[lo], starts[hi]
+            if n < _agreeing(size, run):
+                break
+            if any(first <= y and x <= last for x, y in taken):
+                continue
+            taken.append((first, last))
+            slack = min(size // 4 + 1, 8 * STRAY)
+            out.append((first - slack, last + size + slack))
+        return out
+
+    def best(self, doc: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The alignment of most words: of the whole stretch, or of one place a copy may stand at."""
+        found = _dense(align(doc, self.tokens, self.at))
+        if 2 * len(doc) <= 3 * len(found):
+            return found
+        for low, high in self._windows(doc):
+            if len(found) == len(self.tokens):
+                break
+            i, j = bisect_left(doc, (low, -1)), bisect_left(doc, (high, -1))
+            if j - i > len(found):
+                found = max(found, _dense(align(doc[i:j], self.tokens, self.at)), key=len)
+        return found
+
+    def find(self, doc: list[tuple[int, int]], least: float) -> list[list[tuple[int, int]]]:
+        """Alignments of every copy covered by ``least``, and if there is none that of the whole."""
+        need = max(1, ceil(least * len(self.tokens) - 1e-9))
+        out, todo = [], _stretches(doc, need)
+        while todo:
+            part = todo.pop()
+            if self.bound(Counter(n for _, n in part)) < need:
+                continue
+            pairs = self.best(part)
+            if len(pairs) < need:
+                continue
+            out.append(pairs)
+            todo += _stretches(part[:bisect_left(part, (pairs[0][0], -1))], need)
+            todo += _stretches(part[bisect_left(part, (pairs[-1][0] + 1, -1)):], need)
+        return out or [_dense(align(doc, self.tokens, self.at))]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.number: dict[str, int] = {}
-        self.templates = [(name, [self.number.setdefault(w, len(self.number)) for w in words(t)]) for name, t in templates.items()]
-        self.sets = [set(t) for _, t in self.templates]
-
-    def scan(self, text: str | None, least: float = MIN_COVERAGE) -> tuple[str | None, float, int, int]:
-        """Best template, its coverage and the aligned words' first and last place in the text."""
+        self.templates = [Template(name, [self.number.setdefault(w, len(self.number)) for w in words(t)]) for name, t in templates.items()]
+        self.templates = [t for t in self.templates if t.tokens]
+        self.size = np.array([len(t.tokens) for t in self.templates])
+        self.word = np.array([w for t in self.templates for w in t.counts], np.int64)
+        self.times = np.array([n for t in self.templates for n in t.counts.values()], np.int64)
+        self.start = np.cumsum([0, *(len(t.counts) for t in self.templates)])[:-1]
+        self.known: dict[int, np.ndarray] = {}   # which words a template has, for those met so far
+
+    def scan(self, text: str | None, least: float = MIN_COVERAGE) -> list[tuple[str, float, int, int]]:
+        """Every license found (template, coverage, the aligned words' first and last place in the text), the
+        one with the most aligned words first; spans do not meet.  If there is none: the best template alone."""
         get = self.number.get
         own = [(k, n) for k, n in enumerate(map(get, words(text))) if n is not None]
-        best, rank = (None, 0.0, 0, 0), (False, 0.0, 0.0)
-        for (name, t), has in zip(self.templates, self.sets, strict=True):
-            doc = [x for x in own if x[1] in has]
-            if not doc:
-                continue
-            pairs = _dense(align(doc, t))
-            cover = len(pairs) / len(t)
-            mine = (True, len(pairs), cover) if cover >= least else (False, cover, 0.0)
-            if mine > rank and pairs:
-                best, rank = (name, cover, pairs[0][0], pairs[-1][0] + 1), mine
-        return best
+        if not own:
+            return []
+        number = np.array([n for _, n in own], np.int64)
+        counts = np.bincount(number, minlength=len(self.number))
+        bounds = np.add.reduceat(np.minimum(counts[self.word], self.times), self.start) / self.size      # as in Template.bound
+        found, most = [], (0.0, 0, None)
+        for k in np.argsort(-bounds, kind="stable").tolist():
+            t, may = self.templates[k], bounds[k] >= least - 1e-9
+            if bounds[k] <= 0 or not may and (found or bounds[k] < most[0]):
+                break                            # nor can those behind it
+            if k not in self.known:
+                self.known[k] = np.zeros(len(self.number), bool)
+                self.known[k][t.tokens] = True
+            doc = [own[x] for x in np.flatnonzero(self.known[k][number]).tolist()]
+            for pairs in t.find(doc, least) if may else [_dense(align(doc, t.tokens, t.at))]:
+                cover = len(pairs) / len(t.tokens)
+                if pairs and cover >= least:
+                    found.append((-len(pairs), -cover, k, pairs[0][0], pairs[-1][0] + 1))
+                elif (cover, -k) > most[:2]:
+                    most = (cover, -k, pairs)
+        out: list[tuple[str, float, int, int]] = []
+        for _, c, k, s, e in sorted(found):
+            if all(e <= x[2] or x[3] <= s for x in out):
+                out.append((self.templates[k].name, -c, s, e))
+        if not out and most[2]:
+            out.append((self.templates[-most[1]].name, most[0], most[2][0][0], most[2][-1][0] + 1))
+        return out
 
 
 def _chosen(templates: dict[str, str] | DataFrame | None) -> dict[str, str]:
@@ -225,7 +351,8 @@ def _chosen(templates: dict[str, str] | DataFrame | None) -> dict[str, str]:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """``doc_id, license, coverage, first_word, last_word`` of every document.
+    """``doc_id, license, coverage, first_word, last_word`` of every document, and ``licenses``: these four of
+    every license found in it, in the order of the text (the first columns are the one with the most words).
 
     ``templates``: texts by license name, or a table ``license, text``; without it ``TEMPLATES``."""
     chosen = _chosen(templates)
@@ -236,16 +363,21 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None =
     def one(b):
         scanner, rows = Scanner(chosen), []
         for text in b.column(1).to_pylist():
-            name, cover, s, e = scanner.scan(text, min_coverage)
-            found = cover >= min_coverage
-            rows.append((name if found else None, cover, s if found else None, e if found else None))
+            spans = scanner.scan(text, min_coverage)
+            name, cover, s, e = spans[0] if spans else (None, 0.0, None, None)
+            found = bool(spans) and cover >= min_coverage
+            rows.append((name if found else None, cover, s if found else None, e if found else None,
+                         [dict(zip(_SPAN, x, strict=True)) for x in sorted(spans, key=lambda x: x[2])] if found else []))
         c = list(zip(*rows, strict=True))
+        spans = pa.list_(pa.struct(list(zip(_SPAN, (pa.string(), pa.float64(), pa.int64(), pa.int64()), strict=True))))
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.string()), pa.array(c[1], pa.float64()),
-                                           pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64())],
-                                          ["doc_id", "license", "coverage", "first_word", "last_word"])
+                                           pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], spans)],
+                                          ["doc_id", *_SPAN, "licenses"])
 
-    return map_batches(texts(docs), one, "doc_id bigint, license string, coverage double, first_word bigint, last_word bigint")
+    span = "license string, coverage double, first_word bigint, last_word bigint"
+    return map_batches(texts(docs), one, f"doc_id bigint, {span}, licenses array<struct<{span}>>")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return license_scan(docs).withColumn("coverage", F.round("coverage", 6))
+    rounded = F.transform("licenses", lambda x: x.withField("coverage", F.round(x["coverage"], 6)))
+    return license_scan(docs).withColumn("coverage", F.round("coverage", 6)).withColumn("licenses", rounded)

@@ -272,6 +272,24 @@ def test_license_templates_are_whole_and_can_be_passed(spark):
         license_scan.license_scan(frame(spark, []), own.unionByName(own))
 
 
+def test_every_license_of_a_text_is_found(spark):
+    T, rng = license_scan.TEMPLATES, random.Random(7)
+    common = "the of to and or in this software license copyright notice any use a is with work conditions".split()
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < .8 else f"x{rng.randrange(999)}" for _ in range(n))
+    edited = T["MIT"].replace("free of charge,", "at no cost,").replace("sublicense, ", "")
+    texts = [f"{T['MIT']} {T['MIT']}", " ".join([T["Apache-2.0-notice"]] * 3), f"{T['MIT']} and also {T['ISC']}",
+             f"{prose(3000)} {T['BSD-2-Clause']} {prose(3000)}", f"{T['GPL-2.0']}\n{T['Apache-2.0']}\n{edited}",
+             "Released under the MIT License. " * 4, prose(500)]
+    want = [["MIT"] * 2, ["Apache-2.0-notice"] * 3, ["MIT", "ISC"], ["BSD-2-Clause"], ["GPL-2.0", "Apache-2.0", "MIT"], ["MIT-short"] * 4, []]
+    got = {r.doc_id: r for r in license_scan.report(frame(spark, list(enumerate(texts)))).collect()}
+    assert [[x.license for x in got[k].licenses] for k in range(len(texts))] == want
+    n = len(license_scan.words(T["MIT"]))
+    assert [(x.first_word, x.last_word, x.coverage) for x in got[0].licenses] == [(0, n, 1.0), (n, 2 * n, 1.0)]
+    assert got[6].license is None and got[4].license == "GPL-2.0"
+    once = license_scan.Scanner({"A": "a b c d e", "B": "q z z z z z z r s t"})      # of B seven words in ten, two distinct ones in five
+    assert [x[:2] for x in once.scan("a b c q z z z z z z")] == [("B", 0.7)]
+
+
 def test_pseudonyms_are_permutations_in_format(spark):
     for size in (1, 2, 7, 100, 1000):
         out = [pii.feistel(x, size, b"k", "t") for x in range(size)]
