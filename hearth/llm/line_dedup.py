@@ -137,9 +137,10 @@ def within_edits(a: Column, b: Column, ca: Column, cb: Column) -> Column:
 
 
 def _common(a: Column, b: Column) -> Column:
-    """Length of a common beginning of two strings (the whole of it up to 2^17 characters), by halving steps."""
-    steps = F.array(*[F.lit(1 << k) for k in range(16, -1, -1)])
+    """Length of a common beginning of two strings, by halving steps from a power of two over the shorter one's length."""
     most = F.least(F.char_length(a), F.char_length(b))
+    top = F.least(F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int") + 1, F.lit(30))       # 1 more than needed: a logarithm is rounded
+    steps = F.transform(F.sequence(F.lit(0), top), lambda k: F.call_function("shiftleft", F.lit(1), top - k))
     same = lambda n, s: F.substring(a, n + 1, s) == F.substring(b, n + 1, s)
     return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= most) & same(n, s), n + s).otherwise(n))
 

@@ -122,6 +122,20 @@ def test_line_edits_and_verdicts(spark):
     assert {r.doc_id: tuple(r)[1:] for r in got} == want and len(got) == len(rows)
 
 
+def test_edits_far_into_very_long_lines(spark):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcé ") for _ in range(300_000))
+    put = lambda *at: "".join("#" if i in at else c for i, c in enumerate(base))
+    one, two, three = put(150_000), put(140_000, 155_000), put(140_000, 150_000, 155_000)
+    longer = base[:150_000] + "##" + base[150_000:]
+    pairs = [(1, 1, base, one), (2, 2, base, two), (3, 3, base, three), (4, 4, base, longer), (5, 5, base, base), (6, 6, base, put(0, 299_999)),
+             (7, 7, base[:200_000], put(150_000, 190_000)[:200_000]), (8, 8, base, base[:131_072]), (9, 9, base[:131_072], base[:131_070])]
+    got = {r.a for r in line_dedup.close(spark.createDataFrame(pairs, "a bigint, b bigint, x string, y string")).collect()}
+    assert got == {1, 2, 4, 5, 6, 7, 9}
+    kept = {r.doc_id: r.n_removed for r in line_dedup.report(frame(spark, [(1, base), (2, one), (3, three)])).collect()}
+    assert kept == {1: 0, 2: 1, 3: 1}            # the third is one edit from the second
+
+
 @pytest.mark.parametrize("group", [1, 4])
 def test_lines_of_frequent_keys_keep_their_links(spark, monkeypatch, group):
     """Hundreds of variants of a few lines: every link is found, and candidates stay far below all pairs."""
