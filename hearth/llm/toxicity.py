@@ -9,13 +9,12 @@ every labelled document; each lower order is derived from the order above it as
     llr(h, c) = value(h, c)                      where the n-gram was seen in either class
               = backoff(h) + llr(shorter h, c)   elsewhere
 
-and that table is kept in a fixed number of slots (``SLOTS``), so what is broadcast has a proven
-bound: ``SLOTS`` x 8 bytes per kind.  When two n-grams meet in a slot the more frequent one stays and the other
-backs off.
+and every n-gram and every context keeps its own entry, however rare: the table grows with the corpus'
+distinct n-grams (16 bytes an entry, collected and broadcast).  Orders that the classes share have ratio 1 and no entries.
 
 A document's score is a logistic of its length-normalised log-likelihood difference and of the
-strongest words in it, fitted on at most ``CALIBRATION_ROWS`` labelled rows that the counts have
-not seen.
+strongest words in it, fitted on a tenth of the labelled rows, but on about ``CALIBRATION_ROWS`` where that
+is more; the counts see all others.
 
 Defined results: null text is empty text; a text without words has both log-likelihoods 0 and
 gets the score of the logistic at zero evidence; rows with an equal ``doc_id`` are scored each on
@@ -39,8 +38,7 @@ from .common import map_batches, slices, staged, texts
 ORDER = 6                    # bytes in the longest n-gram, the word's start included
 SHARED = 2                   # orders up to this one are pooled over both classes
 DISCOUNT = 0.75
-SLOTS = 1 << 21
-CALIBRATION_ROWS = 20_000    # bound of the logistic's sample
+CALIBRATION_ROWS = 20_000    # expected size of the logistic's sample at most
 TOP = 5                      # strongest words of a document that the logistic sees
 FEATURES = 4
 
@@ -107,10 +105,13 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> dict:
-    """Model arrays from ``doc_id, text, toxic`` rows: counts over all of them but the calibration tenth."""
+    """Model arrays from ``doc_id, text, toxic`` rows: counts over all of them but the calibration rows."""
     spark = rows.sparkSession
     ship_package(spark)
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(10)) == 0
+    n_rows = rows.count()
+    if n_rows > 10 * CALIBRATION_ROWS:         # of a tenth that is more, the rest goes to the counts
+        held &= F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(1 << 30)) < int((1 << 30) * 10 * CALIBRATION_ROWS / n_rows)
     counts = (rows.where(~held).select("text", "toxic").mapInArrow(_count_batches, _COUNT_SCHEMA)
               .groupBy("gram").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")))
     counts = staged(counts, "toxicity-counts")
@@ -141,27 +142,25 @@ def fit(rows: DataFrame) -> dict:
         own = {c: F.when(F.col(f"a{c}") > 0, F.greatest(F.col(f"c{c}") - d, F.lit(0.0)) / F.col(f"a{c}"))
                .otherwise(F.lit(0.0)) for c in "10"}
         p = (t.join(h, "h").join(prob.select(F.col("gram").alias("low"), F.col("p1").alias("q1"), F.col("p0").alias("q0")), "low")
-             .select("gram", (F.col("c1") + F.col("c0")).alias("w"),
+             .select("gram",
                      (own["1"] + back["1"] * F.col("q1")).alias("p1"), (own["0"] + back["0"] * F.col("q0")).alias("p0")))
         p = staged(p, f"toxicity-order{n}")
-        parts.append(p.select(F.lit(0).alias("kind"), F.lit(n).alias("n"), F.col("gram").alias("key"), F.col("w"),
+        prob = p.select("gram", "p1", "p0")
+        if n <= SHARED:
+            continue
+        parts.append(p.select(F.lit(0).alias("kind"), F.lit(n).alias("n"), F.col("gram").alias("key"),
                               F.log(F.col("p1") / F.col("p0")).alias("v")))
         parts.append(h.select(F.lit(1).alias("kind"), F.lit(n).alias("n"), F.col("h").alias("key"),
-                              (F.col("a1") + F.col("a0")).alias("w"), F.log(back["1"] / back["0"]).alias("v")))
+                              F.log(back["1"] / back["0"]).alias("v")))
         if n == ORDER:                     # plain likelihoods for the report: P of the longest order, ordinary class
-            parts.append(p.select(F.lit(2).alias("kind"), F.lit(n).alias("n"), F.col("gram").alias("key"), F.col("w"),
+            parts.append(p.select(F.lit(2).alias("kind"), F.lit(n).alias("n"), F.col("gram").alias("key"),
                                   F.log("p0").alias("v")))
-        prob = p.select("gram", "p1", "p0")
     table = parts[0]
     for x in parts[1:]:
         table = table.unionByName(x)
-    best = (table.withColumn("slot", F.pmod(F.hash("n", "key"), F.lit(SLOTS)).cast("int"))
-            .groupBy("kind", "slot")
-            .agg(F.max(F.struct("w", "n", "key", F.col("v").cast("float").alias("v"))).alias("b"))
-            .select("kind", "slot", (F.col("b.key") * 8 + F.col("b.n")).alias("tag"), F.col("b.v").alias("v")))
-    got = best.toArrow()                   # at most 3 x SLOTS rows
+    got = table.select("kind", (F.col("key") * 8 + F.col("n")).alias("tag"), F.col("v").cast("float").alias("v")).toArrow()
     model = {}
-    kind, slot = got.column("kind").to_numpy(), got.column("slot").to_numpy()
+    kind = got.column("kind").to_numpy()
     tag, v = got.column("tag").to_numpy(), got.column("v").to_numpy()
     for k in range(3):
         m = kind == k
@@ -187,7 +186,7 @@ def word_scores(vocab: list[str], model: dict) -> tuple[np.ndarray, np.ndarray,
     llr = np.zeros(len(gram))
     base, seen = np.full(len(gram), np.log(1 / 256.0)), None
     open_ = np.ones(len(gram), bool)
-    for n in range(ORDER, 1, -1):
+    for n in range(ORDER, SHARED, -1):
         idx = np.flatnonzero(open_)
         key = gram[idx] & ((1 << (8 * n)) - 1)
         uniq, inv = np.unique(key, return_inverse=True)
@@ -222,8 +221,7 @@ def _features(batch: list[str | None], model: dict):
 
 
 def _fit_logistic(rows: DataFrame, model: dict) -> list[float]:
-    sample = (rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), "doc_id")
-              .limit(CALIBRATION_ROWS))
+    sample = rows.select("doc_id", "text", "toxic").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), "doc_id")
     got = _feature_frame(sample, model).toArrow()
     y = got.column("toxic").to_numpy()
     if not len(y) or y.min() == y.max():

@@ -340,6 +340,19 @@ def test_toxicity_held_out_accuracy(spark):
     assert wins > 0.8 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_toxicity_counts_every_ngram_and_spare_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    rng = random.Random(6)
+    rows = [(k, " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(20)), k % 2) for k in range(1000)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3))
+    tags = set(model["tag0"].tolist())
+    whole = [{int(g) for g in toxicity._grams(t.split())[0]} for _, t, _ in rows]
+    missing = [len([g for g in own if g * 8 + toxicity.ORDER not in tags]) for own in whole]
+    # a row is counted whole, or it calibrates and its own n-grams (most of them) are not there
+    assert all(x == 0 or x > len(own) / 3 for x, own in zip(missing, whole, strict=True))
+    assert 5 <= sum(x > 0 for x in missing) <= 45 and len(model["w"]) == toxicity.FEATURES + 1
+
+
 OPERATORS = {
     "toxicity": lambda d, s: toxicity.toxicity(d, s.createDataFrame([(3, 1), (4, 0), (None, 1), (2, None)], "doc_id bigint, toxic int")),
     "secret_scan": lambda d, s: secret_scan.digest(secret_scan.secret_scan(d)),
