@@ -3,8 +3,8 @@
 Every document gets whole-text statistics (the base rules' counts and rates).  An isolation forest
 of ``TREES`` trees, each grown on ``SAMPLE`` documents, isolates anomalous ones by short paths over
 random splits; the trees' sample is bounded (``TREES * SAMPLE`` documents, those of the smallest
-hashes), the scoring covers all rows.  The threshold on the anomaly score is calibrated on labelled
-rows: the score above which bad rows outweigh good ones most (Youden's index), good rows weighing
+hashes), the scoring covers all rows.  The threshold on the anomaly score is calibrated on all labelled
+rows, counted by class and score: the score above which bad rows outweigh good ones most (Youden's index), good rows weighing
 ``GOOD_WEIGHT`` times.  Without labels of both classes nothing but the base rules rejects.
 
 Defined results: null text has no words and fails the base rules; rows with an equal ``doc_id`` are
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, staged, texts
 
 TREES, SAMPLE, SEED = 100, 256, 11
-CALIBRATION_ROWS = 50_000     # bound of the labelled sample the threshold is read from
+SCORE_STEPS = 1_000_000
 GOOD_WEIGHT = 4.0
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -145,17 +145,22 @@ def fit(stats: DataFrame, labels: DataFrame) -> dict | None:
     forest = grow(_matrix(table), np.random.default_rng(SEED))
     lab = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
            .where(F.col("quality").isin(0, 1)).distinct())
-    rows = stats.join(lab, "doc_id").orderBy(h, "doc_id", "quality", *BASE).limit(CALIBRATION_ROWS).toArrow()
-    y = np.asarray(rows.column("quality"), dtype=int)
-    if not len(y) or y.min() == y.max():
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
+
+    def one(b):
+        return pa.RecordBatch.from_arrays([b.column("quality"), pa.array(anomaly(_matrix(b), shared.value))], ["quality", "score"])
+
+    scored = map_batches(stats.join(lab, "doc_id"), one, "quality int, score double")
+    # a threshold lies between two scores: those of a step of 10^-6 count as one, so at most 10^6 rows come back
+    step = F.floor(F.col("score") * SCORE_STEPS).alias("step")
+    got = (scored.groupBy(step).agg(F.sum((F.col("quality") == 0).cast("bigint")).alias("bad"), F.sum((F.col("quality") == 1).cast("bigint")).alias("good"),
+                                    F.min("score").alias("low"), F.max("score").alias("high")).orderBy(F.desc("step")).toArrow())
+    bad, good, low, high = (np.asarray(got.column(c), dtype=float) for c in ("bad", "good", "low", "high"))
+    if not len(bad) or not bad.sum() or not good.sum():
         return None
-    s = anomaly(_matrix(rows), forest)
-    order = np.argsort(-s, kind="stable")
-    s, y = s[order], y[order]
-    gain = np.cumsum(y == 0) / (y == 0).sum() - GOOD_WEIGHT * np.cumsum(y == 1) / (y == 1).sum()
-    gain[:-1][s[:-1] == s[1:]] = -np.inf             # only between different scores
+    gain = np.cumsum(bad) / bad.sum() - GOOD_WEIGHT * np.cumsum(good) / good.sum()
     best = int(np.argmax(gain))
-    threshold = float((s[best] + s[best + 1]) / 2) if gain[best] > 0 and best + 1 < len(s) else 1.1
+    threshold = float((low[best] + high[best + 1]) / 2) if gain[best] > 0 and best + 1 < len(low) else 1.1
     return {"forest": forest, "threshold": threshold}
 
 

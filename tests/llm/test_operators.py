@@ -331,6 +331,20 @@ def test_quality_statistics_and_verdict(spark):
     assert all(r.kept for r in none if not r.base_failed)
 
 
+def test_quality_threshold_is_read_from_all_labels(spark):
+    rng = random.Random(4)
+    text = lambda k: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(60)) if k % 2 else "|".join(rng.choices("ABC!", k=120))
+    stats = quality.statistics(frame(spark, [(k, text(k)) for k in range(300)])).cache()
+    once = spark.createDataFrame([(k, k % 2) for k in range(300)], "doc_id bigint, quality int")
+    more = 200                                    # 60,000 labelled rows: the same ones, 200 times over
+    many = stats.crossJoin(spark.range(more)).selectExpr("doc_id + id * 1000 AS doc_id", *stats.columns[1:])
+    labels = once.crossJoin(spark.range(more)).selectExpr("doc_id + id * 1000 AS doc_id", "quality")
+    h = F.xxhash64(F.col("doc_id").cast("string"), F.lit(quality.SEED))
+    last = labels.orderBy(h.desc()).limit(9_000).withColumn("late", F.lit(True))       # never among the 50,000 first
+    turned = labels.join(last, ["doc_id", "quality"], "left").selectExpr("doc_id", "IF(late, 1, 0) AS quality")
+    assert quality.fit(many, turned) is not None  # both classes are there; the first 50,000 hold one
+
+
 @pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="provided tables not present")
 def test_toxicity_held_out_accuracy(spark):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
