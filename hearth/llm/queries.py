@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, license_scan, line_dedup, packing, pii, quality, secret_scan, simhash, suffix_dedup, toxicity
+from . import (decontam, license_scan, lexical_search, line_dedup, packing, pii, quality, secret_scan, simhash,
+               suffix_dedup, token_alignment, toxicity, vector_packing)
 from .common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,9 +53,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(load(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(load(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (op1_toxicity, op2_secrets, op3_suffix_dedup, op4_licenses, op5_simhash, op6_line_dedup,
-                            op7_pii, op8_decontamination, op9_packing, op10_quality)}
+                            op7_pii, op8_decontamination, op9_packing, op10_quality, op11_vector_packing,
+                            op12_token_alignment, op13_lexical_search)}
 
 # One query is whole in SQL: the windows of both tables meet by their text.
 _OP8 = r"""
