@@ -30,17 +30,18 @@ class Memo:
         out = list(map(self.new.get, keys))
         missing = [k for k, v in enumerate(out) if v is None]
         if missing:
-            old = self.old
-            fresh = [k for k in missing if keys[k] not in old]
-            for k, v in zip(fresh, self.encode([keys[k] for k in fresh]) if fresh else [], strict=True):
+            asked = [keys[k] for k in missing]
+            got = list(map(self.old.get, asked))
+            fresh = [k for k, v in enumerate(got) if v is None]
+            if fresh:
+                for k, v in zip(fresh, self.encode([asked[k] for k in fresh]), strict=True):
+                    got[k] = v
+            for k, v in zip(missing, got, strict=True):
                 out[k] = v
             if len(self.new) >= self.half:
                 self.old, self.new = self.new, {}
-            for k in missing:
-                if out[k] is None:
-                    out[k] = old[keys[k]]
-                if len(keys[k]) <= self.longest:
-                    self.new[keys[k]] = out[k]
+            longest = self.longest
+            self.new.update((k, v) for k, v in zip(asked, got, strict=True) if len(k) <= longest)
         return out
 
 

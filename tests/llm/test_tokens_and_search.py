@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,23 @@ def test_packing_instruction_data_by_keys(spark):
         Limits(100)
 
 
+def test_word_ids_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(8)
+    bits = ["The", "the,", "end.", "İstanbul", "ﬁne", "e\u0301", "straße.", "ΑΣ", "<|endoftext|>", "<|ENDOFTEXT|>", "I'll", "a.b", "..", "x. ", "\n", "  ",
+            "\u00a0", "\u3000", "12,", "日本.", "ÀÉ", "word ,", "q\u0085r", "\t", "\u1680"]
+    for special in (True, False):
+        texts = [" ".join(x for x in rng.choices(bits, k=rng.randint(0, 40)) if special or "<" not in x) for _ in range(300)] + [None, ""]
+        col = pa.array(texts, pa.string()).slice(3)
+        ids, n = vector_packing.token_ids(col, path)
+        at = np.concatenate([[0], np.cumsum(n)])
+        for k, t in enumerate(texts[3:]):
+            assert ids[at[k]:at[k + 1]].tolist() == tok.encode(t or "", add_special_tokens=False).ids, t
+
+
 def test_packing_empty(spark):
     assert vector_packing.pack(frame(spark, [])).collect() == []
 
@@ -199,7 +217,7 @@ def test_long_text_in_stretches_gives_the_same(monkeypatch):
         monkeypatch.setattr(token_alignment, "STRETCH", stretch)
         d, parts = token_alignment._Document(), list(token_alignment._stretches(text))
         for w in parts:
-            token_alignment._add(al, [d], [w])
+            token_alignment._add(al, [d], pa.array(w, pa.large_string()), np.array([len(w)]))
         x = d.row()
         return len(parts), x[:5], list(map(int, x[5])), list(map(int, x[6]))
 
@@ -215,8 +233,8 @@ def test_windows_are_remembered_by_their_ids():
     inner = al.windows.encode
     al.windows.encode = lambda keys: calls.append(len(keys)) or inner(keys)
     d = token_alignment._Document()
-    token_alignment._add(al, [d], [["the", "cat", "the", "cat"]])
-    token_alignment._add(al, [d], [["the", "cat"]])
+    token_alignment._add(al, [d], pa.array(["the", "cat", "the", "cat"]), np.array([4]))
+    token_alignment._add(al, [d], pa.array(["the", "cat"]), np.array([2]))
     assert sum(calls) == 2 and d.n[2] == 6
 
 
@@ -263,7 +281,6 @@ def test_search_matches_brute_force(spark, first, block, monkeypatch):
 
 def test_search_skips_buckets_and_bounds_rows(monkeypatch):
     """Buckets are skipped and rows discarded by bounds, and no result changes."""
-    import pyarrow as pa
     rng = np.random.default_rng(5)
     words = [f"w{k}" for k in range(400)]
     docs = [" ".join(rng.choice(words, rng.integers(1, 60) if k % 50 else 80)) for k in range(3000)]
