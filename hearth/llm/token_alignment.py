@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +35,13 @@ from .common import map_batches, staged, texts
 from .wordwise import Memo, chain, numbered, pieces_of, ragged
 
 HOT = 1 << 18
-STRETCH = 2 << 20
+STRETCH = 4 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")                # a single blank between others: neither vocabulary reaches over it
-_OPEN = re.compile(r" \s|\s |^\s|\s$")
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_OPEN = f" {_WHITE}|{_WHITE} |^{_WHITE}|{_WHITE}$"   # white space that a cut at every blank would change
+#: Words that the rank file of a byte-level vocabulary surely encodes alike: Latin, no white space at the ends.
+_LATIN = re.compile("[!-~\u00a1-\u024f\u2010-\u2027](?:[\\n!-~\u00a1-\u024f\u2010-\u2027]*[!-~\u00a1-\u024f\u2010-\u2027])?")
+CHUNK = 2000                                       # words encoded as one text
 
 
 def default_vocabularies() -> tuple[str, str]:
@@ -55,34 +60,69 @@ class Side:
     """One vocabulary: word -> ids (remembered), and per id its number of bytes, its bytes and whether a blank marks it."""
 
     def __init__(self, encode, spelled: list[bytes]):
-        self.ids = Memo(lambda words: [np.array(x, "<u4").tobytes() for x in encode(words)])
         if len(spelled) > 1 << 16:
             raise ValueError("windows are keyed by 16-bit ids")
+        self.ids = Memo(lambda words: self._checked(words, encode(words)), size=300_000)
         self.spelled = spelled
-        self.sizes = [len(x) for x in spelled]
-        self.size = np.array(self.sizes, np.int64)
+        self.size = np.array([len(x) for x in spelled], np.int64)
         self.marked = np.array([x.startswith(b" ") for x in spelled])
 
-    def spells(self, words: list[str], ids: list[bytes]) -> np.ndarray:
-        """Per word: do its ids' bytes give a blank and the word?"""
+    def _checked(self, words: list[str], ids: list[bytes]) -> list[bytes]:
+        """The words' ids; none where their bytes do not give a blank and the word."""
         want, flat = [b" " + w.encode() for w in words], np.frombuffer(b"".join(ids), "<u4")
         got = b"".join(map(self.spelled.__getitem__, flat.tolist()))
         upto = np.concatenate([[0], np.cumsum(self.size[flat])])
         ends = upto[np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)]
         if got == b"".join(want) and np.array_equal(ends, np.cumsum(np.fromiter(map(len, want), np.int64, len(want)))):
-            return np.ones(len(words), bool)
+            return ids
         starts = np.concatenate([[0], ends[:-1]])
-        return np.array([got[x:y] == w for x, y, w in zip(starts, ends, want, strict=True)], bool)
+        return [x if got[s:e] == w else b"" for x, s, e, w in zip(ids, starts.tolist(), ends.tolist(), want, strict=True)]
+
+
+def _packed(ids) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 def byte_level(path: str) -> Side:
+    """The byte-level vocabulary.  Where it lies beside as ranks, Latin words are encoded from these, many as one
+    text (no token reaches over a blank), and told apart by their bytes; tests compare the ids."""
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
     tok.encode_special_tokens = True
     alphabet = _byte_alphabet()
     spelled = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
                for t in map(tok.id_to_token, range(tok.get_vocab_size()))]
-    return Side(lambda words: [e.ids for e in tok.encode_batch_fast([" " + w for w in words], add_special_tokens=False)], spelled)
+    size = np.array([len(x) for x in spelled], np.int64)
+    ranks = path.removesuffix(".json") + ".tiktoken"
+    if not os.path.exists(ranks):
+        return Side(lambda words: [_packed(e.ids) for e in tok.encode_batch_fast([" " + w for w in words], add_special_tokens=False)],
+                    spelled)
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+    with open(ranks, "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    many = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+
+    def encode(words: list[str]) -> list[bytes]:
+        out: list = [None] * len(words)
+        latin = [k for k, w in enumerate(words) if _LATIN.fullmatch(w)]
+        for s in range(0, len(latin), CHUNK):
+            part = latin[s:s + CHUNK]
+            ids = np.array(many(" " + " ".join([words[k] for k in part])), "<u4")
+            ends = np.cumsum(size[ids])
+            stop = np.searchsorted(ends, np.cumsum([len(words[k].encode()) + 1 for k in part])) + 1
+            data, start = ids.tobytes(), 0
+            for k, e in zip(part, (4 * stop).tolist(), strict=True):
+                out[k] = data[start:e]
+                start = e
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, tok.encode_batch_fast([" " + words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = _packed(e.ids)
+        return out
+
+    return Side(encode, spelled)
 
 
 def piece_level(path: str) -> Side:
@@ -92,46 +132,61 @@ def piece_level(path: str) -> Side:
     if any("▁" in p.lstrip("▁") for p in pieces):
         raise ValueError("the piece vocabulary has pieces that reach over a blank")
     spelled = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-    return Side(lambda words: sp.encode(words, num_threads=1), spelled)
-
-
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[str, list[int]]:
-    """One window: its groups as text, and its links as ``a << 16 | b``.
-
-    A group ends where tokens of both sides end; every pair of tokens that end together is a link."""
-    groups, links = [], []
-    i = j = at = bt = 0
-    ga, gb, na, nb = [], [], len(a), len(b)
-    while i < na or j < nb:
-        if j == nb or (i < na and at + size_a[a[i]] <= bt + size_b[b[j]]):
-            at += size_a[a[i]]
-            ga.append(a[i])
-            i += 1
-        else:
-            bt += size_b[b[j]]
-            gb.append(b[j])
-            j += 1
-        if at == bt and ga and gb:
-            groups.append(",".join(map(str, ga)) + "|" + ",".join(map(str, gb)))
-            links.append(ga[-1] << 16 | gb[-1])
-            ga, gb = [], []
-    return ";".join(groups), links
+    return Side(lambda words: list(map(_packed, sp.encode(words, num_threads=1))), spelled)
+
+
+def _decimals() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every 16-bit id as decimal digits and one more byte: all bytes, each one's start and length."""
+    text = [b"%d," % k for k in range(1 << 16)]
+    size = np.array([len(x) for x in text], np.int64)
+    return np.frombuffer(b"".join(text), np.uint8), np.cumsum(size) - size, size
+
+
+def align(keys: list[bytes], size_a: np.ndarray, size_b: np.ndarray, decimals) -> list[bytes]:
+    """Windows (number of A ids in two words, A ids, B ids, 16 bits each) to their links and groups.
+
+    A group ends where tokens of both sides end; the two that end it are a link (``a << 16 | b``).  Returned per window:
+    its number of links and the links, 32 bits each, then the groups as text.  Both sides of a window have the same
+    bytes, so many windows are aligned as one."""
+    digits, place, width = decimals
+    words = np.fromiter(map(len, keys), np.int64, len(keys)) // 2
+    flat = np.frombuffer(b"".join(keys), "<u2").astype(np.int64)
+    head = np.cumsum(words) - words
+    na = flat[head] << 16 | flat[head + 1]
+    nb = words - 2 - na
+    a, b = flat[ragged(head + 2, na)], flat[ragged(head + 2 + na, nb)]
+    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    both = np.zeros(int(ends_a[-1]) + 1, np.uint8)
+    both[ends_a] = 1
+    both[ends_b] += 2
+    last_a, last_b = both[ends_a] == 3, both[ends_b] == 3
+    group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+    in_a, in_b = np.bincount(group_a), np.bincount(group_b)
+    at_a = np.arange(len(a)) + (np.cumsum(in_b) - in_b)[group_a]
+    at_b = np.arange(len(b)) + np.cumsum(in_a)[group_b]
+    ids, mark = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    ids[at_a], ids[at_b] = a, b
+    mark[at_a], mark[at_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+    text = digits[ragged(place[ids], width[ids])]
+    upto = np.cumsum(width[ids])
+    text[upto - 1] = mark
+    text = text.tobytes()
+    link = (a[last_a] << 16 | b[last_b]).astype("<u4").tobytes()
+    n = np.bincount(np.repeat(np.arange(len(keys)), na)[last_a], minlength=len(keys))
+    stop_link, stop_text = (4 * np.cumsum(n)).tolist(), upto[np.cumsum(na + nb) - 1].tolist()
+    out, x, y = [], 0, 0
+    for count, lx, ly in zip(n.astype("<u4"), stop_link, stop_text, strict=True):
+        out.append(count.tobytes() + link[x:lx] + text[y:ly - 1])
+        x, y = lx, ly
+    return out
 
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = byte_level(byte_path), piece_level(piece_path)
-        self.windows = Memo(self._align, size=400_000, longest=160)
-
-    def _align(self, keys: list[bytes]) -> list[tuple[bytes, bytes]]:
-        out = []
-        for k in keys:
-            ids = np.frombuffer(k, "<u2")
-            n = int(ids[0]) << 16 | int(ids[1])
-            text, links = align(ids[2:2 + n].tolist(), ids[2 + n:].tolist(), self.a.sizes, self.b.sizes)
-            out.append((text.encode(), np.array(links, "<i8").tobytes()))
-        return out
+        decimals = _decimals()
+        self.windows = Memo(lambda keys: align(keys, self.a.size, self.b.size, decimals), size=250_000, longest=160)
 
     def stretch(self, words: pa.Array, counts: np.ndarray):
         """Texts given as words (all texts' words in one array, ``counts`` per text).
@@ -145,8 +200,8 @@ class Aligner:
         ta, tb = np.repeat(text, la), np.repeat(text, lb)
         n = len(counts)
         na, nb = np.bincount(ta, minlength=n), np.bincount(tb, minlength=n)
-        good = self.a.spells(distinct, va) & self.b.spells(distinct, vb)
-        bad = np.bincount(text, ~good[index], n) > 0
+        none = np.array([not x or not y for x, y in zip(va, vb, strict=True)], bool)   # a word that does not come back
+        bad = np.bincount(text, none[index], n) > 0
         if bad.any():
             rest = self.stretch(words.filter(pa.array(np.repeat(~bad, counts))), np.where(bad, 0, counts))
             return (~bad, *rest[1:])
@@ -154,8 +209,10 @@ class Aligner:
         # anchors: a shared end, the next token on both sides marked by a blank
         next_a = np.append(self.a.marked[a][1:], True) if len(a) else np.zeros(0, bool)
         next_b = np.append(self.b.marked[b][1:], True) if len(b) else np.zeros(0, bool)
-        shared = np.intersect1d(ends_a[next_a], ends_b[next_b])
-        ia, ib = np.searchsorted(ends_a, shared, side="right"), np.searchsorted(ends_b, shared, side="right")
+        both = np.zeros(int(ends_a[-1]) + 1 if len(a) else 1, np.uint8)
+        both[ends_a[next_a]] = 1
+        both[ends_b[next_b]] += 2
+        ia, ib = np.flatnonzero(both[ends_a] == 3) + 1, np.flatnonzero(both[ends_b] == 3) + 1
         starts_a, starts_b = np.concatenate([[0], ia])[:-1].astype(np.int64), np.concatenate([[0], ib])[:-1].astype(np.int64)
         wa, wb = ia - starts_a, ib - starts_b
         of = ta[starts_a]
@@ -170,16 +227,24 @@ class Aligner:
         keys = pa.Array.from_buffers(pa.large_binary(), len(width), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
         different, number = numbered(keys)
         found = self.windows(different)
-        return ~bad, na, nb, of, number, [x[0] for x in found], [x[1] for x in found]
-
-
-def _add(aligner: Aligner, documents: list[_Document], words: list[list[str]]) -> None:
-    """Align one stretch of every document, and add what it gives."""
-    n = len(words)
-    ok, na, nb, of, number, groups, linked = aligner.stretch(
-        pa.array([x for w in words for x in w], pa.large_string()), np.array([len(w) for w in words], np.int64))
-    pair, each = chain(linked, number, "<i8")
-    key, times = np.unique(np.repeat(of, each) << 32 | pair, return_counts=True)
+        flat = np.frombuffer(b"".join(found), np.uint8)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        head = np.cumsum(size) - size
+        n_links = flat[ragged(head, np.full(len(head), 4))].view("<u4").astype(np.int64)
+        link = flat[ragged(head + 4, 4 * n_links)].view("<u4")
+        pair = link[ragged((np.cumsum(n_links) - n_links)[number], n_links[number])].astype(np.int64)
+        return (~bad, na, nb, of, number, [x[4 + 4 * k:] for x, k in zip(found, n_links.tolist(), strict=True)],
+                pair, n_links[number])
+
+
+def _add(aligner: Aligner, documents: list[_Document], words: pa.Array, counts: np.ndarray) -> None:
+    """Align one stretch of every document (all words in one array, ``counts`` of them each), and add what it gives."""
+    n = len(counts)
+    ok, na, nb, of, number, groups, pair, each = aligner.stretch(words, counts)
+    key = np.sort(np.repeat(of, each) << 32 | pair)
+    head = np.flatnonzero(np.diff(key, prepend=-1))
+    times = np.diff(np.append(head, len(key)))
+    key = key[head]
     lo, at = np.searchsorted(key >> 32, np.arange(n + 1)), np.searchsorted(of, np.arange(n + 1))
     key &= (1 << 32) - 1
     for k, d in enumerate(documents):
@@ -192,16 +257,12 @@ def _aligner(a: str, b: str) -> Aligner:
     return Aligner(a, b)
 
 
-def _words(text: str) -> list[str]:
-    return _CUT.split(text) if _OPEN.search(text) else text.split(" ")
-
-
 def _stretches(text: str):
     """Lists of words of about ``STRETCH`` characters: the text in parts cut at a blank no token reaches over."""
     start = 0
     while start < len(text):
         cut = _CUT.search(text, start + STRETCH) if len(text) - start > STRETCH else None
-        yield _words(text[start:cut.start()] if cut else text[start:])
+        yield _CUT.split(text[start:cut.start()] if cut else text[start:])
         if cut is None:
             return
         start = cut.end()
@@ -246,12 +307,21 @@ def links(docs: DataFrame, vocabularies: tuple[str, str] | None = None) -> DataF
             ids, col = b.column(0).to_pylist(), b.column(1)
             for start, end in pieces_of(col, STRETCH):
                 found = [_Document() for _ in range(start, end)]
-                active = [(d, _stretches(col[k].as_py() or "")) for k, d in enumerate(found, start)]
-                while active:                               # one stretch of every text, then the next of the longer ones
+                part = pc.cast(col.slice(start, end - start), pa.large_string())
+                plain = pc.fill_null(pc.and_(pc.invert(pc.match_substring_regex(part, _OPEN)),
+                                             pc.and_(pc.greater(pc.binary_length(part), 0),
+                                                     pc.less(pc.binary_length(part), STRETCH))), False)
+                words = pc.split_pattern(part.filter(plain), " ")                # cut at every blank, in Arrow
+                plain = plain.to_pylist()
+                if len(words):
+                    _add(aligner, [d for d, p in zip(found, plain, strict=True) if p], words.flatten(), np.diff(np.asarray(words.offsets)))
+                active = [(d, _stretches(col[k].as_py() or "")) for k, (d, p) in enumerate(zip(found, plain, strict=True), start) if not p]
+                while active:                               # one stretch of every other text, then the next of the longer ones
                     read = [(d, g, w) for d, g in active if (w := next(g, None)) is not None]
                     active = [(d, g) for d, g, _ in read]
                     if read:
-                        _add(aligner, [d for d, _, _ in read], [w for _, _, w in read])
+                        _add(aligner, [d for d, _, _ in read], pa.array([x for _, _, w in read for x in w], pa.large_string()),
+                             np.array([len(w) for _, _, w in read], np.int64))
                 rows = [d.row() for d in found]
                 c = list(zip(*rows, strict=True))
                 n = len(rows)
