@@ -9,6 +9,7 @@ Plain Parquet has no row update, so results are new snapshots.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 
 from .. import schemas as S
 from ..plans.lineage import cut_lineage
+from .conflicts import accepted_in_order, passed_on
 
 
 def as_of_col(as_of) -> Column:
@@ -48,10 +50,15 @@ def _hit(df: DataFrame, key: str, keys, flag: str) -> DataFrame:
 
 
 def _order(changes: DataFrame, key: str) -> Column:
-    """Order of a key's changes: ``seq`` (null first) where the batch has one, then the values themselves,
+    """Order of a key's changes: ``seq`` (null first) where the batch has one, then the status, then the other values,
     so equal or missing sequence numbers still give the same winner on every run."""
     first = F.col("seq") if "seq" in changes.columns else F.lit(0)
-    return F.struct(first.alias("__seq"), *[F.col(c) for c in changes.columns if c not in (key, "seq")])
+    return F.struct(first.alias("__seq"), *[F.col(c) for c in _values(changes, key)])
+
+
+def _values(changes: DataFrame, key: str) -> list[str]:
+    rest = [c for c in changes.columns if c not in (key, "seq")]
+    return sorted(rest, key=lambda c: c != "status")             # status first, the others as they come
 
 
 def latest_changes(changes: DataFrame, key: str) -> DataFrame:
@@ -65,16 +72,53 @@ def latest_changes(changes: DataFrame, key: str) -> DataFrame:
     return last.select(key, *[F.col(f"__last.{c}").alias(c) for c in cols])
 
 
+#: Into so many ranges of ``seq`` a batch is cut at most; no range of one key holds more than its share of the batch.
+RANGES = 1024
+
+
 def _steps(changes: DataFrame, key: str, status_to: str, left: Callable[[Column], Column]) -> DataFrame:
     """One row per key: its last change (``__last``), the first step's status (``__first``) and whether a
-    later step of the batch enters ``status_to`` from a status that satisfies ``left`` (``__later``)."""
-    x = changes.withColumn("__o", _order(changes, key))
-    w = Window.partitionBy(key).orderBy("__o")
-    x = x.withColumn("__prev", F.lag("status").over(w)).withColumn("__n", F.row_number().over(w))
-    later = (F.col("__n") > 1) & (F.col("status") == status_to) & left(F.col("__prev"))
+    later step of the batch enters ``status_to`` from a status that satisfies ``left`` (``__later``).
+
+    Steps with equal key, ``seq`` and status make one (no status changes between them), before the shuffle.  A key's
+    steps are then summarised by ranges of ``seq`` — quantiles of the whole batch, so a key that holds a third of
+    it is cut into a third of the ranges — as (first, last, entered), and these summaries, at most ``RANGES`` a key,
+    are put together in order: entering also happens between one range's last status and the next one's first.
+    """
+    cols = _values(changes, key)
+    has_seq = "seq" in changes.columns
+    seq = F.col("seq") if has_seq else F.lit(0)
+    x = changes.groupBy(key, seq.alias("__seq"), "status").agg(F.max(F.struct(*cols)).alias("__v"))
+    at = F.struct("__seq", "status")
+
+    def entered(w: Window) -> Column:
+        prev = F.lag("status").over(w)
+        return F.coalesce((F.col("__n") > 1) & (F.col("status") == status_to) & left(prev), F.lit(False))
+
+    if has_seq:
+        n = min(RANGES, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        cuts = changes.agg(F.percentile_approx(seq.cast("double"), [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+        cuts = sorted(set(cuts or []))
+        # F.lit of a list is one literal array; the range is the number of cuts below the step's seq (null: the first)
+        x = x.withColumn("__r", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("__seq")))
+                         if cuts else F.lit(0))
+        x = x.withColumn("__r", F.when(F.col("__seq").isNull(), -1).otherwise(F.col("__r")))
+        w = Window.partitionBy(key, "__r").orderBy(at)
+        x = x.withColumn("__n", F.row_number().over(w)).withColumn("__in", entered(w))
+        x = x.groupBy(key, "__r").agg(
+            F.min(at).alias("__a"), F.max(F.struct("__seq", "status", "__v")).alias("__z"), F.max("__in").alias("__in"))
+        w = Window.partitionBy(key).orderBy("__r")
+        first = F.col("__a.status")
+        between = F.coalesce((first == status_to) & left(F.lag("__z.status").over(w)), F.lit(False))
+        x = x.withColumn("__n", F.row_number().over(w)).withColumn("__in", F.col("__in") | ((F.col("__n") > 1) & between))
+        last, status = F.struct("__z.__seq", F.col("__z.__v")), first
+    else:
+        w = Window.partitionBy(key).orderBy(at)                  # as many rows as the key has different statuses
+        x = x.withColumn("__n", F.row_number().over(w)).withColumn("__in", entered(w))
+        last, status = F.struct("__seq", "__v"), F.col("status")
     return x.groupBy(key).agg(
-        F.max("__o").alias("__last"), F.max(F.when(F.col("__n") == 1, F.col("status"))).alias("__first"),
-        F.max(F.coalesce(later, F.lit(False))).alias("__later"))
+        F.max(last).alias("__m"), F.max(F.when(F.col("__n") == 1, status)).alias("__first"),
+        F.max("__in").alias("__later")).select(key, F.col("__m.__v").alias("__last"), "__first", "__later")
 
 
 def apply_updates(current: DataFrame, changes: DataFrame, table: str) -> DataFrame:
@@ -193,6 +237,25 @@ def apply_inserts(current: DataFrame, batch: DataFrame, table: str, as_of=None)
     return current.select(*S.TABLES[table].names).unionByName(fill_defaults(batch, table, as_of))
 
 
+def rule_findings(spec: S.Table, carried: set[str] | None = None) -> list[Column]:
+    """The row rules (NOT NULL, enum, length, CHECK) of the ``carried`` columns (default: all): a finding's text or null each."""
+    out = []
+    for c in spec.columns:
+        if carried is not None and c.name not in carried:
+            continue
+        col = F.col(c.name)
+        if not c.nullable:
+            out.append(F.when(col.isNull(), F.lit(f"NULL:{c.name}")))
+        if c.domain:
+            out.append(F.when(~col.isin(list(c.domain)), F.lit(f"ENUM:{c.name}")))
+        if c.length is not None:
+            out.append(F.when(F.char_length(col) > c.length, F.lit(f"LENGTH:{c.name}")))
+    for rule, cond in spec.checks:
+        if carried is None or any(re.search(rf"\b{c}\b", cond) for c in carried):
+            out.append(F.when(~F.expr(cond), F.lit(f"CHECK:{rule}")))
+    return out
+
+
 def insert_reasons(t, batch: DataFrame, table: str, as_of=None) -> DataFrame:
     """Every batch row (defaults filled) with ``reasons``: the rules of §2.11 the insert would break.
 
@@ -207,17 +270,7 @@ def insert_reasons(t, batch: DataFrame, table: str, as_of=None) -> DataFrame:
     seq = (F.col("seq") if "seq" in batch.columns else F.lit(0)).alias("__seq")
     rows = fill_defaults(batch, table, as_of, (seq,)).withColumn("__rid", F.monotonically_increasing_id())
     rows = cut_lineage(rows)                         # pin the row ids before the checks fan out
-    checks = []
-    for c in spec.columns:
-        col = F.col(c.name)
-        if not c.nullable:
-            checks.append(F.when(col.isNull(), F.lit(f"NULL:{c.name}")))
-        if c.domain:
-            checks.append(F.when(~col.isin(list(c.domain)), F.lit(f"ENUM:{c.name}")))
-        if c.length is not None:
-            checks.append(F.when(F.char_length(col) > c.length, F.lit(f"LENGTH:{c.name}")))
-    for rule, cond in spec.checks:
-        checks.append(F.when(~F.expr(cond), F.lit(f"CHECK:{rule}")))
+    checks = rule_findings(spec)
 
     def key_columns(df: DataFrame, cols, label: str, i: int) -> list[Column]:
         return [(F.collate(df[c], COLLATION) if spec.column(c).dtype == "string" and label != "PK" else df[c])
@@ -243,38 +296,12 @@ def insert_reasons(t, batch: DataFrame, table: str, as_of=None) -> DataFrame:
     rows = cut_lineage(rows.join(whys, "__rid", "left").withColumn(
         "reasons", F.concat(own, F.coalesce("__found", none))).drop("__found"))
     valid = rows.filter(F.size("reasons") == 0).select(
-        "__rid", F.struct("__seq", spec.key, "__rid").alias("__o"), *[k for on, _ in names for k in on])
-    late = _beaten(valid, names)
-    late = late.groupBy("__rid").agg(F.collect_set("__why").alias("__late"))
+        F.col("__rid").alias("rid"), F.struct("__seq", spec.key, "__rid").alias("o"), *[k for on, _ in names for k in on])
+    late = accepted_in_order(valid, names)[0].groupBy(F.col("rid").alias("__rid")).agg(F.collect_set("why").alias("__late"))
     return rows.join(late, "__rid", "left").select(
         *spec.names, F.concat("reasons", F.coalesce("__late", none)).alias("reasons"))
 
 
-def _beaten(rows: DataFrame, keysets: list[tuple[list[str], str]]) -> DataFrame:
-    """``__rid, __why`` of the rows refused because an earlier accepted row (by ``__o``) has the same key.
-
-    Each round accepts the rows that are first under all their keys among those undecided, and refuses
-    the rows that share a key with one of them; a batch without chains of clashes takes one round.
-    """
-    refused, open_rows = [], rows
-    while True:
-        x = open_rows
-        first = F.lit(True)
-        for i, (on, _) in enumerate(keysets):
-            least = open_rows.dropna(subset=on).groupBy(*on).agg(F.min("__o").alias(f"__f{i}"))
-            x = x.join(least, on, "left")
-            first &= F.coalesce(F.col(f"__f{i}") == F.col("__o"), F.lit(True))    # a NULL key meets nothing
-        x = cut_lineage(x.select(*rows.columns, first.alias("__won")))
-        rest = x.filter(~F.col("__won"))
-        lost = cut_lineage(reduce(DataFrame.unionByName, [
-            rest.join(x.filter("__won").select(*on), on, "left_semi").select("__rid", F.lit(label).alias("__why"))
-            for on, label in keysets]))
-        refused.append(lost)
-        open_rows = cut_lineage(rest.drop("__won").join(lost.select("__rid"), "__rid", "left_anti"))
-        if open_rows.isEmpty():
-            return reduce(DataFrame.unionByName, refused)
-
-
 def validated_inserts(t, batch: DataFrame, table: str, as_of=None) -> dict[str, DataFrame]:
     """M1 with validation: ``accepted`` rows (defaults filled), ``rejected`` rows with their reasons,
     and ``table`` = the current table plus the accepted rows."""
@@ -284,6 +311,70 @@ def validated_inserts(t, batch: DataFrame, table: str, as_of=None) -> dict[str,
             "table": t[table].select(*S.TABLES[table].names).unionByName(ok)}
 
 
+def update_reasons(t, batch: DataFrame, table: str) -> DataFrame:
+    """Every row of ``table`` the batch names, as it would be after its change, with ``reasons``: the rules the change would break.
+
+    The batch is taken as one set: of several changes of a key the last by ``seq`` counts, and uniqueness is looked at
+    after the whole batch (deferred), so rows may pass their keys on and two rows may swap.  Of rows that want
+    one unique key the first by ``seq`` and key gets it, if who holds it now gives it up by an accepted change; a refused
+    change gives nothing up.  Row rules and references are checked for the columns the batch carries.  A change of an
+    unknown or null key does nothing and is not listed.  Tables have at most one unique rule.
+    """
+    from .integrity import COLLATION
+    spec, key = S.TABLES[table], S.TABLES[table].key
+    if len(spec.uniques) > 1:
+        raise ValueError(f"{table} has several unique rules")
+    carried = [c for c in _values(batch, key) if c in spec.names]
+    last = batch.groupBy(F.col(key).alias("__ck")).agg(F.max(_order(batch, key)).alias("__last"))
+    cur = t[table].select(*spec.names)
+    new = {c: F.col(f"__last.{c}").cast(S.spark_type(spec.column(c).dtype)) for c in carried}
+    unique = spec.uniques[0] if spec.uniques and set(spec.uniques[0]) & set(carried) else ()
+
+    def collated(cols: dict[str, Column]) -> Column:
+        """The unique key as one value, null where a part is."""
+        parts = [F.collate(cols[c], COLLATION) if spec.column(c).dtype == "string" else cols[c] for c in unique]
+        whole = reduce(lambda a, b: a & b, [cols[c].isNotNull() for c in unique])
+        return F.when(whole, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))
+
+    j = cur.join(last, cur[key] == last["__ck"])
+    rows = j.select(*[new.get(c, cur[c]).alias(c) for c in spec.names], F.col("__last.__seq").alias("__seq"),
+                    *([collated({c: cur[c] for c in unique}).alias("__had"),
+                       collated({c: new.get(c, cur[c]) for c in unique}).alias("__want")] if unique else []))
+    own = F.filter(F.array(F.lit(None).cast("string"), *rule_findings(spec, set(carried))), lambda f: f.isNotNull())
+    rows = cut_lineage(rows.withColumn("reasons", own))
+    found = []
+    for r in spec.refs:
+        if r.column in carried:
+            mine = rows.select(key, F.col(r.column).alias("__p")).dropna(subset=["__p"])
+            parent = t[r.parent].select(F.col(r.parent_key).alias("__p"))
+            found.append(mine.join(parent, "__p", "left_anti").select(key, F.lit(f"FK:{r.column}").alias("__why")))
+    none = F.array().cast("array<string>")
+    if found:
+        whys = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.collect_set("__why").alias("__found"))
+        rows = rows.join(whys, key, "left").withColumn("reasons", F.concat("reasons", F.coalesce("__found", none))).drop("__found")
+    if not unique:
+        return rows.drop("__seq")
+    rows = cut_lineage(rows)
+    movers = rows.where((F.size("reasons") == 0) & ~F.col("__had").eqNullSafe(F.col("__want"))).select(
+        F.col(key).alias("id"), F.struct("__seq", key).alias("o"), F.col("__want").alias("want"))
+    holders = cur.select(collated({c: cur[c] for c in unique}).alias("want"), F.col(key).alias("holder")).where(F.col("want").isNotNull())
+    lost = passed_on(movers, holders)[0].select(F.col("id").alias("__lost"))
+    late = F.when(F.col("__lost").isNotNull(), F.array(F.lit("UNIQUE:" + ",".join(unique)))).otherwise(none)
+    return (rows.join(lost, rows[key] == lost["__lost"], "left")
+            .select(*spec.names, F.concat("reasons", late).alias("reasons")))
+
+
+def validated_updates(t, batch: DataFrame, table: str) -> dict[str, DataFrame]:
+    """M2 with validation: ``accepted`` rows as they are after the change, ``rejected`` ones with reasons (as they would
+    be), and ``table`` = the current table with the accepted rows in place."""
+    spec = S.TABLES[table]
+    checked = cut_lineage(update_reasons(t, batch, table))
+    ok = checked.filter(F.size("reasons") == 0).drop("reasons")
+    carried = [c for c in batch.columns if c in spec.names and c != spec.key]
+    return {"accepted": ok, "rejected": checked.filter(F.size("reasons") > 0),
+            "table": apply_updates(t[table].select(*spec.names), ok.select(spec.key, *carried), table)}
+
+
 # ----------------------------------------------------------------------------- deletes
 
 def delete_sets(t, table: str, keys, materialize: bool = True) -> dict[str, DataFrame]:
