@@ -311,6 +311,66 @@ def validated_inserts(t, batch: DataFrame, table: str, as_of=None) -> dict[str,
             "table": t[table].select(*S.TABLES[table].names).unionByName(ok)}
 
 
+def _carried(batch: DataFrame, spec: S.Table) -> list[str]:
+    return [c for c in _values(batch, spec.key) if c in spec.names]
+
+
+def _step_reasons(t, rows: DataFrame, spec: S.Table, carried: list[str], rid: str) -> DataFrame:
+    """``rows`` with ``reasons``: the row rules and references the carried columns break (one per row, named by ``rid``)."""
+    own = F.filter(F.array(F.lit(None).cast("string"), *rule_findings(spec, set(carried))), lambda f: f.isNotNull())
+    rows = cut_lineage(rows.withColumn("reasons", own))
+    found = []
+    for r in spec.refs:
+        if r.column in carried:
+            mine = rows.select(F.col(rid).alias("__id"), F.col(r.column).alias("__p")).dropna(subset=["__p"])
+            parent = t[r.parent].select(F.col(r.parent_key).alias("__p"))
+            found.append(mine.join(parent, "__p", "left_anti").select("__id", F.lit(f"FK:{r.column}").alias("__why")))
+    if not found:
+        return rows
+    whys = reduce(DataFrame.unionByName, found).groupBy("__id").agg(F.collect_set("__why").alias("__found"))
+    return (rows.join(whys, rows[rid] == whys["__id"], "left")
+            .withColumn("reasons", F.concat("reasons", F.coalesce("__found", F.array().cast("array<string>")))).drop("__found", "__id"))
+
+
+def _refused_keys(t, rows: DataFrame, spec: S.Table) -> DataFrame:
+    """``id`` of the rows (changed ones, as they would be; ``__seq`` orders them, ``reasons`` empties a claim) whose unique
+    key another row has or gets first.  A refused row gives up nothing."""
+    from .integrity import COLLATION
+    unique = spec.uniques[0]
+
+    def collated(prefix: str) -> Column:
+        """The unique key as one value, null where a part is."""
+        cols = [F.col(f"{prefix}{c}") for c in unique]
+        parts = [F.collate(x, COLLATION) if spec.column(c).dtype == "string" else x for c, x in zip(unique, cols, strict=True)]
+        whole = reduce(lambda a, b: a & b, [x.isNotNull() for x in cols])
+        return F.when(whole, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))
+
+    movers = rows.where(F.size("reasons") == 0).select(
+        F.col(spec.key).alias("id"), F.struct("__seq", spec.key).alias("o"), collated("__had_").alias("had"), collated("").alias("want"))
+    movers = movers.where(~F.col("had").eqNullSafe(F.col("want"))).drop("had")
+    holders = t[spec.name].select(collated("").alias("want"), F.col(spec.key).alias("holder")).where(F.col("want").isNotNull())
+    return passed_on(movers, holders)[0]
+
+
+def _changed(t, batch: DataFrame, spec: S.Table, carried: list[str]) -> DataFrame:
+    """The table's rows that the batch names, as they would be after their last change, with ``__seq`` and the old
+    unique key (``__had_``)."""
+    key = spec.key
+    last = batch.groupBy(F.col(key).alias("__ck")).agg(F.max(_order(batch, key)).alias("__last"))
+    cur = t[spec.name].select(*spec.names)
+    new = {c: F.col(f"__last.{c}").cast(S.spark_type(spec.column(c).dtype)) for c in carried}
+    j = cur.join(last, cur[key] == last["__ck"])
+    return j.select(*[new.get(c, cur[c]).alias(c) for c in spec.names], F.col("__last.__seq").alias("__seq"),
+                    *[cur[c].alias(f"__had_{c}") for u in spec.uniques for c in u])
+
+
+def _unique_of(spec: S.Table, carried: list[str]) -> bool:
+    """Does the batch touch the table's unique rule?"""
+    if len(spec.uniques) > 1:
+        raise ValueError(f"{spec.name} has several unique rules")
+    return bool(spec.uniques and set(spec.uniques[0]) & set(carried))
+
+
 def update_reasons(t, batch: DataFrame, table: str) -> DataFrame:
     """Every row of ``table`` the batch names, as it would be after its change, with ``reasons``: the rules the change would break.
 
@@ -320,50 +380,41 @@ def update_reasons(t, batch: DataFrame, table: str) -> DataFrame:
     change gives nothing up.  Row rules and references are checked for the columns the batch carries.  A change of an
     unknown or null key does nothing and is not listed.  Tables have at most one unique rule.
     """
-    from .integrity import COLLATION
-    spec, key = S.TABLES[table], S.TABLES[table].key
-    if len(spec.uniques) > 1:
-        raise ValueError(f"{table} has several unique rules")
-    carried = [c for c in _values(batch, key) if c in spec.names]
-    last = batch.groupBy(F.col(key).alias("__ck")).agg(F.max(_order(batch, key)).alias("__last"))
-    cur = t[table].select(*spec.names)
-    new = {c: F.col(f"__last.{c}").cast(S.spark_type(spec.column(c).dtype)) for c in carried}
-    unique = spec.uniques[0] if spec.uniques and set(spec.uniques[0]) & set(carried) else ()
-
-    def collated(cols: dict[str, Column]) -> Column:
-        """The unique key as one value, null where a part is."""
-        parts = [F.collate(cols[c], COLLATION) if spec.column(c).dtype == "string" else cols[c] for c in unique]
-        whole = reduce(lambda a, b: a & b, [cols[c].isNotNull() for c in unique])
-        return F.when(whole, F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)]))
-
-    j = cur.join(last, cur[key] == last["__ck"])
-    rows = j.select(*[new.get(c, cur[c]).alias(c) for c in spec.names], F.col("__last.__seq").alias("__seq"),
-                    *([collated({c: cur[c] for c in unique}).alias("__had"),
-                       collated({c: new.get(c, cur[c]) for c in unique}).alias("__want")] if unique else []))
-    own = F.filter(F.array(F.lit(None).cast("string"), *rule_findings(spec, set(carried))), lambda f: f.isNotNull())
-    rows = cut_lineage(rows.withColumn("reasons", own))
-    found = []
-    for r in spec.refs:
-        if r.column in carried:
-            mine = rows.select(key, F.col(r.column).alias("__p")).dropna(subset=["__p"])
-            parent = t[r.parent].select(F.col(r.parent_key).alias("__p"))
-            found.append(mine.join(parent, "__p", "left_anti").select(key, F.lit(f"FK:{r.column}").alias("__why")))
-    none = F.array().cast("array<string>")
-    if found:
-        whys = reduce(DataFrame.unionByName, found).groupBy(key).agg(F.collect_set("__why").alias("__found"))
-        rows = rows.join(whys, key, "left").withColumn("reasons", F.concat("reasons", F.coalesce("__found", none))).drop("__found")
-    if not unique:
-        return rows.drop("__seq")
+    spec = S.TABLES[table]
+    carried = _carried(batch, spec)
+    rows = _step_reasons(t, _changed(t, batch, spec, carried), spec, carried, spec.key)
+    if not _unique_of(spec, carried):
+        return rows.select(*spec.names, "reasons")
     rows = cut_lineage(rows)
-    movers = rows.where((F.size("reasons") == 0) & ~F.col("__had").eqNullSafe(F.col("__want"))).select(
-        F.col(key).alias("id"), F.struct("__seq", key).alias("o"), F.col("__want").alias("want"))
-    holders = cur.select(collated({c: cur[c] for c in unique}).alias("want"), F.col(key).alias("holder")).where(F.col("want").isNotNull())
-    lost = passed_on(movers, holders)[0].select(F.col("id").alias("__lost"))
-    late = F.when(F.col("__lost").isNotNull(), F.array(F.lit("UNIQUE:" + ",".join(unique)))).otherwise(none)
-    return (rows.join(lost, rows[key] == lost["__lost"], "left")
+    lost = _refused_keys(t, rows, spec).select(F.col("id").alias("__lost"))
+    late = F.when(F.col("__lost").isNotNull(), F.array(F.lit("UNIQUE:" + ",".join(spec.uniques[0])))).otherwise(
+        F.array().cast("array<string>"))
+    return (rows.join(lost, rows[spec.key] == lost["__lost"], "left")
             .select(*spec.names, F.concat("reasons", late).alias("reasons")))
 
 
+def valid_steps(t, batch: DataFrame, table: str) -> tuple[DataFrame, DataFrame]:
+    """The steps of an update batch that can be applied, and the refused ones with ``reasons``.
+
+    A step that breaks a row rule or a reference is refused by itself; where the last values of what is left break the
+    unique rule (see :func:`update_reasons`), all steps of that key are."""
+    spec = S.TABLES[table]
+    carried = _carried(batch, spec)
+    named = batch.select(*[F.col(c).cast(S.spark_type(spec.column(c).dtype)).alias(c) if c in spec.names else F.col(c)
+                           for c in batch.columns]).withColumn("__rid", F.monotonically_increasing_id())
+    steps = cut_lineage(_step_reasons(t, cut_lineage(named), spec, carried, "__rid"))
+    good = steps.where(F.size("reasons") == 0).select(*batch.columns)
+    bad = steps.where(F.size("reasons") > 0).select(*batch.columns, "reasons")
+    if not _unique_of(spec, carried):
+        return good, bad
+    rows = cut_lineage(_changed(t, good, spec, carried).withColumn("reasons", F.array().cast("array<string>")))
+    lost = _refused_keys(t, rows, spec).select(F.col("id").alias("__lost"))
+    kept = good.join(lost, good[spec.key] == lost["__lost"], "left_anti")
+    late = good.join(lost, good[spec.key] == lost["__lost"], "left_semi").withColumn(
+        "reasons", F.array(F.lit("UNIQUE:" + ",".join(spec.uniques[0]))))
+    return kept, bad.unionByName(late)
+
+
 def validated_updates(t, batch: DataFrame, table: str) -> dict[str, DataFrame]:
     """M2 with validation: ``accepted`` rows as they are after the change, ``rejected`` ones with reasons (as they would
     be), and ``table`` = the current table with the accepted rows in place."""

@@ -546,3 +546,101 @@ for _n in ("residents", "vehicles", "fee_records"):
 WRITES["fee_list_period"] = REPORTS["fee_list"] + "\nWHERE fr.fee_period = '1998-03'"
 WRITES["fee_report_period"] = f"SELECT * FROM ({REPORTS['fee_report']}) y WHERE fee_period = '1998-03'"
 WRITES["repair_detail_open"] = REPORTS["repair_detail"] + "\nWHERE ro.status IN ('待处理', '处理中')"
+
+
+# ----------------------------------------------------------------------------- updates as a set, dispatch, change log
+
+BATCHES["resident_changes"] = """
+SELECT resident_id, CASE WHEN resident_id % 17 = 3 THEN room_id + 10000000000 ELSE room_id END room_id,
+       CASE WHEN resident_id % 13 = 5 THEN '未知' ELSE gender END gender, CAST(13900000000 + resident_id AS VARCHAR) phone,
+       CASE WHEN resident_id % 11 IN (0, 3, 4, 7) THEN CAST(110101190000000000 + resident_id + 1 AS VARCHAR)
+            WHEN resident_id % 11 = 1 THEN CAST(110101190000000000 + resident_id - 1 AS VARCHAR)
+            WHEN resident_id % 11 = 5 THEN CAST(110101190000000000 + resident_id + 10000000000 AS VARCHAR)
+            WHEN resident_id % 11 IN (9, 10) THEN CAST(110101190000000000 + resident_id - resident_id % 11 + 10000000000 AS VARCHAR)
+            ELSE id_card END id_card
+FROM residents"""
+BATCHES["fee_changes"] = """
+SELECT fee_id, CAST(CASE fee_id % 3 WHEN 0 THEN amount WHEN 1 THEN amount * 0.5 ELSE paid_amount END AS DECIMAL(10,2)) paid_amount
+FROM fee_records"""
+
+_SET = [
+    ("broken", "SELECT resident_id, 'ENUM:gender' reason FROM resident_changes WHERE gender NOT IN ('男', '女') UNION ALL "
+               "SELECT c.resident_id, 'FK:room_id' FROM resident_changes c WHERE NOT EXISTS (SELECT 1 FROM rooms r WHERE r.room_id = c.room_id)"),
+    ("mover", "SELECT c.resident_id, c.id_card want FROM resident_changes c JOIN residents r ON r.resident_id = c.resident_id "
+              "WHERE c.id_card <> r.id_card AND c.resident_id NOT IN (SELECT resident_id FROM broken)"),
+    ("firsts", "SELECT want, min(resident_id) resident_id FROM mover GROUP BY want"),
+    ("held", "SELECT f.resident_id, h.resident_id holder FROM firsts f JOIN residents h ON h.id_card = f.want"),
+    ("stuck", "SELECT resident_id FROM held WHERE holder NOT IN (SELECT resident_id FROM firsts) UNION "
+              "SELECT h.resident_id FROM held h JOIN stuck s ON h.holder = s.resident_id"),
+    ("unable", "SELECT resident_id, reason FROM broken UNION ALL SELECT resident_id, 'UNIQUE:id_card' FROM mover "
+               "WHERE resident_id NOT IN (SELECT resident_id FROM firsts) UNION ALL SELECT resident_id, 'UNIQUE:id_card' FROM stuck"),
+]
+WRITES["update_rejects"] = with_batches("SELECT * FROM unable", "resident_changes", recursive=True, extra=_SET)
+WRITES["residents_after_updates"] = with_batches(f"""
+SELECT {", ".join(f"CASE WHEN u.resident_id IS NULL THEN c.{c} ELSE r.{c} END {c}" if c in ("room_id", "gender", "phone", "id_card")
+                  else f"r.{c}" for c in TABLES["residents"].names)}
+FROM residents r JOIN resident_changes c ON c.resident_id = r.resident_id
+LEFT JOIN (SELECT DISTINCT resident_id FROM unable) u ON u.resident_id = r.resident_id""", "resident_changes", recursive=True, extra=_SET)
+
+for _key, _same in (("dispatch_repair_orders", "repair_completion"), ("dispatch_complaints", "complaint_resolution"),
+                    ("dispatch_rooms", "room_occupancy"), ("dispatch_orders_of_staff", "staff_resignation")):
+    WRITES[_key] = WRITES[_same]
+_NOW = "coalesce(c.paid_amount, f.paid_amount)"
+WRITES["dispatch_fee_records"] = with_batches(f"""
+SELECT {", ".join(f"{_NOW} paid_amount" if c == "paid_amount" else
+                  f"CASE WHEN {_NOW} >= f.amount AND {_NOW} > 0 THEN '已缴' WHEN {_NOW} > 0 AND {_NOW} < f.amount THEN '部分缴纳' ELSE f.status END status"
+                  if c == "status" else
+                  f"CASE WHEN {_NOW} >= f.amount AND {_NOW} > 0 THEN CAST({AS_OF_SQL} AS DATE) ELSE f.paid_date END paid_date"
+                  if c == "paid_date" else f"f.{c}" for c in TABLES["fee_records"].names)}
+FROM fee_records f LEFT JOIN fee_changes c ON c.fee_id = f.fee_id""", "fee_changes")
+
+# The log walked event by event for each vehicle; owners' and spaces' lives are laid out first.
+_CAR = "vehicle_id, resident_id, space_id, color"
+_LOG = [
+    ("rev", "SELECT resident_id, 100 seq, 'D' op FROM residents WHERE resident_id % 6 = 1 UNION ALL "
+            "SELECT resident_id, 200, 'I' FROM residents WHERE resident_id % 12 = 1 UNION ALL "
+            "SELECT resident_id, 300, 'D' FROM residents WHERE resident_id % 24 = 1"),
+    ("rlife", "SELECT r.resident_id, -1 a, (SELECT min(seq) FROM rev d WHERE d.resident_id = r.resident_id AND d.op = 'D') b FROM residents r "
+              "UNION ALL SELECT i.resident_id, i.seq, (SELECT min(seq) FROM rev d WHERE d.resident_id = i.resident_id AND d.op = 'D' AND d.seq > i.seq) "
+              "FROM rev i WHERE i.op = 'I'"),
+    ("slife", "SELECT space_id, -1 a, CASE WHEN status = '维修中' THEN 150 END b FROM parking_spaces"),
+    ("ev0", f"""
+SELECT 50 seq, 'U' op, 'color' f, vehicle_id, resident_id, space_id, '红' color FROM vehicles WHERE vehicle_id % 4 = 0 UNION ALL
+SELECT 120, 'U', 'resident_id', vehicle_id, vehicle_id + 1, space_id, color FROM vehicles WHERE vehicle_id % 3 = 0 UNION ALL
+SELECT 130, 'D', NULL, {_CAR} FROM vehicles WHERE vehicle_id % 10 = 7 UNION ALL
+SELECT 140, 'I', NULL, vehicle_id, resident_id, NULL, '新' FROM vehicles WHERE vehicle_id % 10 = 7 UNION ALL
+SELECT 160, 'I', NULL, vehicle_id, resident_id, space_id, '拒' FROM vehicles WHERE vehicle_id % 10 = 3 UNION ALL
+SELECT 170, 'U', 'space_id', vehicle_id, resident_id, vehicle_id, color FROM vehicles WHERE vehicle_id % 5 = 0 UNION ALL
+SELECT 250, 'I', NULL, vehicle_id, resident_id, space_id, '回' FROM vehicles WHERE vehicle_id % 12 = 1 UNION ALL
+SELECT 260, 'U', 'color', vehicle_id, resident_id, space_id, '末' FROM vehicles WHERE vehicle_id % 2 = 1"""),
+    ("ev", """
+SELECT e.*, row_number() OVER (PARTITION BY e.vehicle_id ORDER BY e.seq) rn, e.resident_id IS NULL OR r.resident_id IS NOT NULL rok, r.b rend,
+       e.space_id IS NULL OR s.space_id IS NOT NULL sok, s.b send
+FROM ev0 e LEFT JOIN rlife r ON r.resident_id = e.resident_id AND r.a < e.seq AND (r.b IS NULL OR r.b > e.seq)
+LEFT JOIN slife s ON s.space_id = e.space_id AND s.a < e.seq AND (s.b IS NULL OR s.b > e.seq)"""),
+    ("wlk", f"""
+SELECT v.vehicle_id, CAST(0 AS BIGINT) rn, -1 seq, true alive, v.resident_id, v.space_id, v.color, v.created_at, r.b rend, s.b send, CAST(NULL AS VARCHAR) why
+FROM vehicles v LEFT JOIN rlife r ON r.resident_id = v.resident_id AND r.a = -1 LEFT JOIN slife s ON s.space_id = v.space_id
+UNION ALL
+SELECT vehicle_id, rn, seq, CASE WHEN op = 'D' THEN false WHEN op = 'I' AND why IS NULL THEN true ELSE live END,
+       CASE WHEN (op = 'I' OR f = 'resident_id' AND live) AND why IS NULL THEN n_resident ELSE o_resident END,
+       CASE WHEN (op = 'I' OR f = 'space_id' AND live) AND why IS NULL THEN n_space ELSE o_space END,
+       CASE WHEN (op = 'I' OR f = 'color' AND live) AND why IS NULL THEN n_color ELSE o_color END,
+       CASE WHEN op = 'I' AND why IS NULL THEN {AS_OF_SQL} ELSE created_at END,
+       CASE WHEN (op = 'I' OR f = 'resident_id' AND live) AND why IS NULL THEN n_rend ELSE o_rend END,
+       CASE WHEN (op = 'I' OR f = 'space_id' AND live) AND why IS NULL THEN n_send ELSE o_send END, why
+FROM (SELECT *, CASE WHEN op = 'I' AND live THEN 'PK'
+                     WHEN (op = 'I' OR f = 'resident_id' AND live) AND NOT rok THEN 'FK:resident_id'
+                     WHEN (op = 'I' OR f = 'space_id' AND live) AND NOT sok THEN 'FK:space_id' END why
+      FROM (SELECT e.vehicle_id, e.rn, e.seq, e.op, e.f, e.rok, e.sok, w.alive AND (w.rend IS NULL OR w.rend > e.seq) live,
+                   e.resident_id n_resident, e.space_id n_space, e.color n_color, e.rend n_rend, e.send n_send,
+                   w.resident_id o_resident, CASE WHEN w.send < e.seq THEN NULL ELSE w.space_id END o_space, w.color o_color, w.created_at,
+                   w.rend o_rend, CASE WHEN w.send < e.seq THEN NULL ELSE w.send END o_send
+            FROM wlk w JOIN ev e ON e.vehicle_id = w.vehicle_id AND e.rn = w.rn + 1) x) y"""),
+    ("fin", "SELECT * FROM wlk QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY rn DESC) = 1"),
+]
+WRITES["apply_log"] = (f"""
+SELECT {", ".join({"resident_id": "f.resident_id", "space_id": "CASE WHEN f.send IS NULL THEN f.space_id END space_id", "color": "f.color",
+                   "created_at": "f.created_at"}.get(c, f"v.{c}") for c in TABLES["vehicles"].names)}
+FROM fin f JOIN vehicles v ON v.vehicle_id = f.vehicle_id WHERE f.alive AND f.rend IS NULL""", _LOG, True)
+WRITES["apply_log_rejects"] = ("SELECT 'vehicles' table_name, vehicle_id row_key, CAST(seq AS BIGINT) seq, why reason FROM wlk WHERE why IS NOT NULL", _LOG, True)

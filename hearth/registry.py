@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from . import oracles
 from . import schemas as S
 from .operators import billing as B
+from .operators import changelog as L
 from .operators import changes as M
+from .operators import dispatch as D
 from .operators import integrity as I
 from .operators import reports as R
 from .sources import batches as X
@@ -82,6 +84,16 @@ WRITE_JOBS: dict[str, Job] = {
     "cascade_survivors_fee_records": lambda t: M.cascade_delete(t, "buildings", X.unaddressed_buildings(t))["fee_records"],
     "fee_list_period": lambda t: R.fee_list(t, X.PERIODS[0]),
     "fee_report_period": lambda t: R.fee_report(t, X.PERIODS[0]),
+    "update_rejects": lambda t: M.update_reasons(t, X.resident_changes(t), "residents").select(
+        "resident_id", F.explode("reasons").alias("reason")),
+    "residents_after_updates": lambda t: M.validated_updates(t, X.resident_changes(t), "residents")["table"],
+    "dispatch_repair_orders": lambda t: D.apply_changes(t, "repair_orders", X.repair_changes(t), as_of=AS_OF).tables["repair_orders"],
+    "dispatch_complaints": lambda t: D.apply_changes(t, "complaints", X.complaint_changes(t), as_of=AS_OF).tables["complaints"],
+    "dispatch_rooms": lambda t: D.apply_changes(t, "residents", X.new_residents(t), "insert", AS_OF).tables["rooms"],
+    "dispatch_orders_of_staff": lambda t: D.apply_changes(t, "staff", X.staff_changes(t), as_of=AS_OF).tables["repair_orders"],
+    "dispatch_fee_records": lambda t: D.apply_changes(t, "fee_records", X.fee_changes(t), as_of=AS_OF).tables["fee_records"],
+    "apply_log": lambda t: L.apply_log(t, X.session_log(t), AS_OF, {"vehicles"})["vehicles"],
+    "apply_log_rejects": lambda t: L.apply_log(t, X.session_log(t), AS_OF, set())["rejected"],
     "repair_detail_open": lambda t: R.repair_detail(t, X.repair_assignments(t).select("order_id")),
 }
 

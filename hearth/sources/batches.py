@@ -8,10 +8,13 @@ builds the same batches with the same formulas (:mod:`hearth.oracles`).
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+
 AS_OF = "2002-01-01 00:00:00"          # fixed clock of every comparison
 PERIODS = ["1998-03", "2030-01", "2030-13"]   # one with bills, one without, one malformed
 NEW_ID_OFFSET = 10_000_000_000          # ids of inserted residents: beyond any existing key
@@ -111,3 +114,63 @@ def unaddressed_buildings(t) -> DataFrame:
 def spaces_in_repair(t) -> DataFrame:
     """Key set: parking spaces under maintenance (deleted; vehicles on them lose the space)."""
     return t["parking_spaces"].filter(F.col("status") == "维修中").select("space_id")
+
+
+def resident_changes(t) -> DataFrame:
+    """New values for every resident, in groups of eleven by key: two swap their id cards, three pass theirs on in
+    a chain (which breaks where its end has a gender outside the domain), one wants the card of a neighbour who
+    keeps it, two want the same new card; some rooms do not exist."""
+    k = F.col("resident_id")
+    j = k % 11
+    card = lambda n: (F.lit(Decimal("110101190000000000")) + n).cast("decimal(20,0)").cast("string")      # noqa: E731
+    return t["residents"].select(
+        "resident_id", F.when(k % 17 == 3, F.col("room_id") + NEW_ID_OFFSET).otherwise(F.col("room_id")).alias("room_id"),
+        F.when(k % 13 == 5, F.lit("未知")).otherwise(F.col("gender")).alias("gender"),
+        (F.lit(13900000000) + k).cast("string").alias("phone"),
+        F.when(j.isin(0, 3, 4, 7), card(k + 1)).when(j == 1, card(k - 1)).when(j == 5, card(k + NEW_ID_OFFSET))
+         .when(j.isin(9, 10), card(k - j + NEW_ID_OFFSET)).otherwise(F.col("id_card")).alias("id_card"))
+
+
+def fee_changes(t) -> DataFrame:
+    """A paid amount for every bill: all of it, half of it, or what it was."""
+    k = F.col("fee_id") % 3
+    return t["fee_records"].select(
+        "fee_id", F.when(k == 0, F.col("amount")).when(k == 1, F.col("amount") * Decimal("0.5")).otherwise(F.col("paid_amount"))
+        .cast("decimal(10,2)").alias("paid_amount"))
+
+
+def session_log(t) -> dict[str, DataFrame]:
+    """One session's changes to residents, spaces and vehicles, in order of ``seq`` over all three tables.
+
+    Residents leave (their vehicles go with them) and some return; spaces under maintenance go (vehicles
+    lose them); vehicles change owner, space and colour, go and come back, some against the rules."""
+    r, s, v = t["residents"], t["parking_spaces"], t["vehicles"]
+    k = F.col("resident_id")
+
+    def step(df, cond, seq, op, **values):
+        return df.where(cond).select(F.lit(seq).cast("bigint").alias("seq"), F.lit(op).alias("op"),
+                                     *[e.alias(n) for n, e in values.items()])
+
+    res = [c for c in S.TABLES["residents"].names if c != "created_at"]
+    residents = [step(r, k % 6 == 1, 100, "D", **{c: F.col(c) for c in res}),
+                 step(r, k % 12 == 1, 200, "I", **{c: F.col(c) if c != "name" else F.lit("back") for c in res}),
+                 step(r, k % 24 == 1, 300, "D", **{c: F.col(c) for c in res})]
+    spaces = step(s, F.col("status") == "维修中", 150, "D", space_id=F.col("space_id"))
+    n = F.col("vehicle_id")
+
+    def car(cond, seq, op, fields=None, **new):
+        base = {c: F.col(c) for c in ("vehicle_id", "resident_id", "space_id", "plate_no", "vehicle_type", "color")}
+        names = F.lit(None).cast("array<string>") if fields is None else F.array(*[F.lit(f) for f in fields])
+        return step(v, cond, seq, op, **(base | new), fields=names)
+
+    vehicles = [
+        car(n % 4 == 0, 50, "U", ["color"], color=F.lit("红")),
+        car(n % 3 == 0, 120, "U", ["resident_id"], resident_id=n + 1),
+        car(n % 10 == 7, 130, "D"),
+        car(n % 10 == 7, 140, "I", color=F.lit("新"), space_id=F.lit(None).cast("bigint")),
+        car(n % 10 == 3, 160, "I", color=F.lit("拒")),
+        car(n % 5 == 0, 170, "U", ["space_id"], space_id=n),
+        car(n % 12 == 1, 250, "I", color=F.lit("回")),
+        car(n % 2 == 1, 260, "U", ["color"], color=F.lit("末"))]
+    return {"residents": reduce(DataFrame.unionByName, residents), "parking_spaces": spaces,
+            "vehicles": reduce(DataFrame.unionByName, vehicles)}

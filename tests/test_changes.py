@@ -181,3 +181,135 @@ def test_a_hot_key_is_cut_into_ranges(spark):
     first = [x for x in plan.splitlines() if "windowspecdefinition" in x][-1]
     assert "order_id" in first and "__r" in first
     assert M._steps(df, "order_id", S.ORDER_DONE, lambda p: p != S.ORDER_DONE).where("order_id = 1").first()["__later"]
+
+
+# ----------------------------------------------------------------------------- dispatch
+
+def test_dispatch_runs_what_a_change_sets_off(spark, seed):
+    from hearth.operators.dispatch import apply_all, apply_changes
+    staff = spark.createDataFrame([(1, 2, "离职"), (1, 1, "未知"), (404, 1, "离职")], "staff_id bigint, seq int, status string")
+    one = seed["staff"].where("staff_id = 1").first()
+    assert one.status == "在职"
+    a = apply_changes(seed, "staff", staff, as_of=T1)
+    assert a.trail == ["staff update", "repair_orders update"] and set(a.tables) == {"staff", "repair_orders"}
+    assert [(r.staff_id, list(r.reasons)) for r in a.rejected.collect()] == [(1, ["ENUM:status"])]
+    want = M.staff_resignation(seed["staff"], staff.where("status = '离职'"), seed["repair_orders"])
+    for name in ("staff", "repair_orders"):
+        assert sorted(map(str, a.tables[name].collect())) == sorted(map(str, want[name].collect()))
+    done = spark.createDataFrame([(3, "已完成")], "order_id bigint, status string")
+    b = apply_changes(seed, "repair_orders", done, as_of=T1).tables["repair_orders"].where("order_id = 3").first()
+    assert (b.status, b.completed_at) == ("已完成", T1)
+    new = spark.createDataFrame([(900, 4, "n", "男", "1", "x9", date(2026, 7, 1)), (901, 999, "n", "男", "1", "x8", date(2026, 7, 1))],
+                                "resident_id bigint, room_id bigint, name string, gender string, phone string, id_card string, move_in_date date")
+    c = apply_all(seed, [("residents", "insert", new), ("complaints", "update", spark.createDataFrame([(3, "已解决")], "complaint_id bigint, status string"))], T1)
+    assert c.trail == ["residents insert", "rooms update", "complaints update"]
+    assert c.tables["rooms"].where("room_id = 4").first().status == "已入住"
+    assert c.tables["complaints"].where("complaint_id = 3").first().resolved_at == T1
+    assert [(r.table_name, r.row_key, list(r.reasons)) for r in c.rejected.collect()] == [("residents", 901, ["FK:room_id"])]
+
+
+def test_dispatch_prices_and_settles_bills(spark, seed):
+    from hearth.operators.dispatch import apply_changes
+    bills = spark.createDataFrame([(9001, 1, 1, "0", "2026-07", date(2026, 7, 25))],
+                                  "fee_id bigint, resident_id bigint, category_id bigint, amount string, fee_period string, due_date date")
+    t = dict(seed) | apply_changes(seed, "fee_records", bills, "insert", T1).tables
+    assert str(t["fee_records"].where("fee_id = 9001").first().amount) == "223.75"
+    paid = spark.createDataFrame([(9001, "223.75")], "fee_id bigint, paid_amount string")
+    after = apply_changes(t, "fee_records", paid, as_of=T1).tables["fee_records"]
+    row = after.where("fee_id = 9001").first()
+    assert (row.status, row.paid_date) == ("已缴", T1.date())
+    assert sorted(map(str, after.where("fee_id <> 9001").collect())) == sorted(map(str, seed["fee_records"].collect()))
+    with pytest.raises(ValueError):
+        apply_changes(seed, "rooms", paid, "delete")
+
+
+# ----------------------------------------------------------------------------- change log
+
+def replay(residents, spaces, vehicles, log):
+    """The log one event at a time over {key: row}; vehicles are dicts."""
+    refused = []
+    for seq, table, op, key, row, fields in sorted(log, key=lambda e: e[0]):
+        if table in ("residents", "parking_spaces"):
+            mine = residents if table == "residents" else spaces
+            if op == "D" and key in mine:
+                mine.remove(key)
+                for k in list(vehicles):
+                    if table == "residents" and vehicles[k]["resident_id"] == key:
+                        del vehicles[k]
+                    elif table == "parking_spaces" and vehicles[k]["space_id"] == key:
+                        vehicles[k]["space_id"] = None
+            elif op == "I" and key in mine:
+                refused.append((table, key, seq, "PK"))
+            elif op == "I":
+                mine.add(key)
+            continue
+        if op == "D":
+            vehicles.pop(key, None)
+            continue
+        if op == "U" and key not in vehicles:
+            continue
+        if op == "I" and key in vehicles:
+            refused.append((table, key, seq, "PK"))
+            continue
+        new = {f: row[f] for f in (fields or row)}
+        if new.get("vehicle_type", "SUV") != "SUV":
+            refused.append((table, key, seq, "ENUM:vehicle_type"))
+        elif "resident_id" in new and new["resident_id"] not in residents:
+            refused.append((table, key, seq, "FK:resident_id"))
+        elif new.get("space_id") is not None and new["space_id"] not in spaces:
+            refused.append((table, key, seq, "FK:space_id"))
+        else:
+            vehicles[key] = vehicles.get(key, {}) | new
+    return vehicles, refused
+
+
+@pytest.mark.parametrize("seed_", range(3))
+def test_a_mixed_log_equals_its_replay(spark, seed, seed_):
+    from hearth.operators.changelog import apply_log
+    rng = random.Random(seed_)
+    t = dict(seed)
+    res = {r.resident_id for r in t["residents"].collect()}
+    spc = {r.space_id for r in t["parking_spaces"].collect()}
+    veh = {r.vehicle_id: {c: r[c] for c in ("resident_id", "space_id", "plate_no", "vehicle_type", "color")} for r in t["vehicles"].collect()}
+    keys = [*veh, 501, 502, 503]
+    r0 = t["residents"].first()
+    log = []
+    for seq in range(160):
+        kind = rng.random()
+        if kind < 0.2:
+            log.append((seq, "residents", rng.choice("DI"), rng.choice(sorted(res)[:6]), {}, None))
+        elif kind < 0.3:
+            log.append((seq, "parking_spaces", rng.choice("DI"), rng.choice(sorted(spc)[:5]), {}, None))
+        else:
+            row = {"resident_id": rng.choice([*sorted(res)[:7], 999]), "space_id": rng.choice([None, *sorted(spc)[:6], 999]),
+                   "plate_no": f"p{seq}", "vehicle_type": "SUV" if rng.random() < 0.95 else "坦克", "color": rng.choice([None, f"c{seq}"])}
+            op = rng.choice("IUUUD")
+            fields = None if op != "U" else rng.sample(sorted(row), rng.randint(1, 3))
+            log.append((seq, "vehicles", op, rng.choice(keys), row, fields))
+    of = lambda name: [e for e in log if e[1] == name]                                        # noqa: E731
+    frames = {
+        "residents": spark.createDataFrame([(s, op, k, r0.room_id, "n", "男", "1", f"card{s}", "业主", r0.move_in_date) for s, _, op, k, _, _ in of("residents")],
+                                           "seq int, op string, resident_id bigint, room_id bigint, name string, gender string, phone string, id_card string, relationship string, move_in_date date"),
+        "parking_spaces": spark.createDataFrame([(s, op, k, f"s{s}", "a") for s, _, op, k, _, _ in of("parking_spaces")],
+                                                "seq int, op string, space_id bigint, space_number string, area_name string"),
+        "vehicles": spark.createDataFrame([(s, op, k, *x.values(), f) for s, _, op, k, x, f in of("vehicles")] + [(None, "I", 7, 1, None, "p", "SUV", None, None)],
+                                          "seq int, op string, vehicle_id bigint, resident_id bigint, space_id bigint, plate_no string, vehicle_type string, color string, fields array<string>")}
+    out = apply_log(t, frames, T1)
+    want, refused = replay(set(res), set(spc), {k: dict(v) for k, v in veh.items()}, log)
+    got = {r.vehicle_id: {c: r[c] for c in ("resident_id", "space_id", "plate_no", "vehicle_type", "color")} for r in out["vehicles"].collect()}
+    assert got == want
+    mine = {(r.table_name, r.row_key, r.seq, r.reason) for r in out["rejected"].where("seq is not null").collect()}
+    assert mine == set(refused)
+    assert out["rejected"].where("reason = 'NO_KEY'").count() == 1
+    assert set(out) == {"residents", "parking_spaces", "vehicles", "fee_records", "repair_orders", "complaints", "visitor_records", "rejected"}
+    alive = {r.resident_id for r in out["residents"].collect()}
+    assert out["fee_records"].join(out["residents"], "resident_id", "left_anti").count() == 0 and alive
+
+
+def test_cascades_reach_down_the_whole_tree(spark, seed):
+    from hearth.operators.changelog import apply_log
+    out = apply_log(seed, {"buildings": spark.createDataFrame([(5, "D", 1)], "seq int, op string, building_id bigint")}, T1)
+    want = M.cascade_delete(seed, "buildings", [1])
+    for name, df in out.items():
+        if name != "rejected":
+            assert sorted(map(str, df.collect())) == sorted(map(str, want[name].select(*df.columns).collect())), name
