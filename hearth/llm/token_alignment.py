@@ -35,7 +35,7 @@ from .common import map_batches, staged, texts
 from .wordwise import Memo, chain, numbered, pieces_of, ragged
 
 HOT = 1 << 18
-STRETCH = 4 << 20
+STRETCH = 2 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")                # a single blank between others: neither vocabulary reaches over it
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _OPEN = f" {_WHITE}|{_WHITE} |^{_WHITE}|{_WHITE}$"   # white space that a cut at every blank would change
@@ -62,7 +62,7 @@ class Side:
     def __init__(self, encode, spelled: list[bytes]):
         if len(spelled) > 1 << 16:
             raise ValueError("windows are keyed by 16-bit ids")
-        self.ids = Memo(lambda words: self._checked(words, encode(words)), size=300_000)
+        self.ids = Memo(lambda words: self._checked(words, encode(words)), size=200_000)
         self.spelled = spelled
         self.size = np.array([len(x) for x in spelled], np.int64)
         self.marked = np.array([x.startswith(b" ") for x in spelled])
@@ -186,7 +186,7 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = byte_level(byte_path), piece_level(piece_path)
         decimals = _decimals()
-        self.windows = Memo(lambda keys: align(keys, self.a.size, self.b.size, decimals), size=250_000, longest=160)
+        self.windows = Memo(lambda keys: align(keys, self.a.size, self.b.size, decimals), size=200_000, longest=160)
 
     def stretch(self, words: pa.Array, counts: np.ndarray):
         """Texts given as words (all texts' words in one array, ``counts`` per text).
