@@ -23,6 +23,7 @@ from ..plans.ordinals import dense_ordinals
 from ..session import ship_package
 from .changes import as_of_col as _as_of
 from .changes import fill_defaults
+from .payment_chunks import Chunks, hot_bills
 
 MONEY = "decimal(10,2)"
 
@@ -265,12 +266,17 @@ def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
     Plan: payments ⟕ bill state on fee_id (AQE picks broadcast or sort-merge
     and splits skewed partitions), then one hash exchange on fee_id with a sort
     by (fee_id, seq), and an Arrow-batched fold.  A bill's payments form one
-    ordered chain — a refusal depends on every acceptance before it — so a
-    bill is never split, but it is streamed: no task holds a bill's payments
-    in memory at once.
+    ordered chain — a refusal depends on every acceptance before it — so the
+    fold streams a bill through one task, without holding its payments in memory.
+    Bills with more than ``HOT_PAYMENTS`` payments in the batch (counted first, one
+    map-side aggregate) are posted in chunks instead (:mod:`.payment_chunks`).
     """
     early, late = _split(fees, payments)
-    folded = _sorted_for_fold(late).mapInPandas(_fold_batches, _FOLD_OUT).unionByName(early.select(
+    cold, chunks = _cold_and_chunks(late, payments)
+    folded = _sorted_for_fold(cold).mapInPandas(_fold_batches, _FOLD_OUT)
+    if chunks is not None:
+        folded = folded.unionByName(chunks.outcomes(_FOLD_OUT, _CODES))
+    folded = folded.unionByName(early.select(
         "fee_id", "seq", "amt_c", "amt_null", "status0_i", "status0_x", F.col("early").alias("reason"),
         F.col("paid0_c").alias("paid_c"), F.lit(_KEEP).alias("code")))
     reason = F.element_at(F.array(*[F.lit(r) for r in _REASONS]), F.col("reason") + 1)
@@ -316,6 +322,18 @@ def _split(fees: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return joined.where("early is not null"), joined.where("early is null").drop("early")
 
 
+#: What the chunked posting calls the fold's reasons and states.
+_CODES = {"ok": _OK, "closed": _ALREADY, "none": _NONPOS, "over": _OVER, "keep": _KEEP, "part": _PART, "paid": _PAID}
+
+
+def _cold_and_chunks(late: DataFrame, payments: DataFrame) -> tuple[DataFrame, Chunks | None]:
+    """The fold's payments without those of hot bills, and these in chunks."""
+    hot, rows = hot_bills(payments.where(F.col("fee_id").isNotNull()))
+    if hot is None:
+        return late, None
+    return late.join(hot, "fee_id", "left_anti"), Chunks(late, hot, rows)
+
+
 def _sorted_for_fold(joined: DataFrame) -> DataFrame:
     """Hash-partitioned on fee_id and sorted by (fee_id, seq)."""
     ship_package(joined.sparkSession)            # the fold runs in Python workers
@@ -333,8 +351,11 @@ def settle(fees: DataFrame, payments: DataFrame, as_of=None) -> DataFrame:
     The fold emits one final state per bill (each bill is whole and ordered in
     its task), so no second aggregation over the payment outcomes is needed.
     """
-    finals = _sorted_for_fold(_split(fees, payments)[1]).mapInPandas(
+    cold, chunks = _cold_and_chunks(_split(fees, payments)[1], payments)
+    finals = _sorted_for_fold(cold).mapInPandas(
         lambda it: _fold_batches(it, finals=True), "fee_id long, paid_c long, code int, fired boolean")
+    if chunks is not None:
+        finals = finals.unionByName(chunks.finals(_CODES))
     finals = finals.select(F.col("fee_id").alias("s_fee_id"), "paid_c", "code", "fired")
     f = fees
     j = f.join(finals, f.fee_id == finals.s_fee_id, "left")

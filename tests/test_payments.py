@@ -160,3 +160,60 @@ def test_many_accepted_payments_on_one_bill(spark):
                                     F.lit("0.01").cast("decimal(10,2)").alias("pay_amount"))
     got = {r.reason: r["count"] for r in B.post_payments(fees, pay).groupBy("reason").count().collect()}
     assert got == {"OK": n, "ALREADY_PAID": 5}
+
+
+# ----------------------------------------------------------------------------- bills posted in chunks
+
+def test_walk_and_summaries_equal_one_by_one():
+    import numpy as np
+
+    from hearth.operators.payment_chunks import after, summarise, walk
+    rng = random.Random(11)
+    for _ in range(400):
+        x = np.array([rng.choice([0, -3, rng.randint(1, 9), rng.randint(1, 200), 1 << rng.randint(0, 9)]) for _ in range(rng.randint(0, 60))], np.int64)
+        r = rng.choice([0, -5, rng.randint(1, 900), 1 << rng.randint(0, 10)])
+        left, want = r, []
+        for v in x.tolist():
+            want.append(0 < v <= left)
+            left -= v if want[-1] else 0
+        assert walk(r, x).tolist() == want
+        quick = after(r, *summarise(x))
+        assert quick is None or quick == left
+        if (x <= 0).all():
+            assert quick == left
+
+
+@pytest.mark.parametrize("seed_", range(2))
+def test_hot_bills_in_chunks_equal_the_model(spark, monkeypatch, seed_):
+    from hearth.operators import payment_chunks as C
+    monkeypatch.setattr(C, "HOT_PAYMENTS", 100)
+    monkeypatch.setattr(C, "CHUNK_ROWS", 60)
+    rng = random.Random(seed_)
+    fees = [(1, D("500.00"), D("0"), "待缴"), (2, D("80.00"), D("20.00"), "部分缴纳"), (3, D("9.00"), D("9.50"), "逾期"),
+            (4, D("5.00"), D("0"), "已缴"), (5, D("99999999.99"), D("0"), "待缴"), (6, D("10.00"), D("0"), "待缴")]
+    cents = lambda top: D(rng.randint(-50, top)) / 100                                    # noqa: E731
+    pays = [(f, s, rng.choice([None, D("0"), cents(300), cents(30000)])) for f in (1, 2, 3, 4, 404) for s in range(1, 401)]
+    pays += [(5, s, D("99999.99")) for s in range(1, 1500)] + [(6, s, D("4")) for s in range(1, 6)]
+    rng.shuffle(pays)
+    assert run(spark, fees, pays) == model(fees, pays)
+    cols = "fee_id bigint, amount decimal(10,2), paid_amount decimal(10,2), status string, paid_date date"
+    f = spark.createDataFrame([(*x, None) for x in fees], cols)
+    led = {r.fee_id: (r.paid_amount, r.status, r.paid_date is not None) for r in
+           B.settle(f, spark.createDataFrame(pays, PAY_DDL), "2026-07-01").collect()}
+    steps = model(fees, pays)
+    for fee, _, paid0, status0 in fees:
+        mine = [v for k, v in sorted(steps.items()) if k[0] == fee]
+        paid, status = (mine[-1][1], mine[-1][2]) if mine else (paid0, status0)
+        assert led[fee] == (paid, status, status == "已缴" and status0 != "已缴"), fee
+
+
+def test_rounds_grow_with_the_bits_of_the_amount(spark, monkeypatch):
+    from hearth.operators import payment_chunks as C
+    monkeypatch.setattr(C, "HOT_PAYMENTS", 100)
+    monkeypatch.setattr(C, "CHUNK_ROWS", 250)
+    fees = [(1, D("100000.00"), D("0"), "待缴")]
+    pays = [(1, s, D("300.00") if s % 2 else D("99999.00")) for s in range(1, 5001)]
+    f, p = spark.createDataFrame(fees, FEES_DDL), spark.createDataFrame(pays, PAY_DDL)
+    cold, chunks = B._cold_and_chunks(B._split(f, p)[1], p)
+    assert cold.count() == 0 and chunks.rows.select("chunk").distinct().count() >= 15 and chunks.rounds <= 25
+    assert run(spark, fees, pays) == model(fees, pays)
