@@ -271,10 +271,11 @@ def post_payments(fees: DataFrame, payments: DataFrame) -> DataFrame:
     Bills with more than ``HOT_PAYMENTS`` payments in the batch (counted first, one
     map-side aggregate) are posted in chunks instead (:mod:`.payment_chunks`).
     """
-    early, late = _split(fees, payments)
-    cold, chunks = _cold_and_chunks(late, payments)
-    folded = _sorted_for_fold(cold).mapInPandas(_fold_batches, _FOLD_OUT)
+    cold, chunks = _cold_and_chunks(fees, payments)
+    early, late = _split(fees, cold)
+    folded = _sorted_for_fold(late).mapInPandas(_fold_batches, _FOLD_OUT)
     if chunks is not None:
+        early = early.unionByName(chunks.early)
         folded = folded.unionByName(chunks.outcomes(_FOLD_OUT, _CODES))
     folded = folded.unionByName(early.select(
         "fee_id", "seq", "amt_c", "amt_null", "status0_i", "status0_x", F.col("early").alias("reason"),
@@ -298,10 +299,16 @@ def _STATUS_ARRAY() -> Column:
 
 
 def _split(fees: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Payments with their bill's state: those refused whatever came before them (``early`` is the
-    reason: no such bill, bill closed from the start, no usable seq or amount), and those for the fold.
+    """Payments with their bill's state: those refused whatever came before them, and those for the fold.
 
     The early ones need no order, so a NULL or unknown key that very many share meets no task."""
+    joined = _with_state(fees, payments)
+    return joined.where("early is not null"), joined.where("early is null").drop("early")
+
+
+def _with_state(fees: DataFrame, payments: DataFrame) -> DataFrame:
+    """Payments with their bill's state; ``early``: the reason of those refused whatever came before them (no such
+    bill, bill closed from the start, no usable seq or amount)."""
     seq, amount = F.col("seq").try_cast("int"), F.col("pay_amount").try_cast(MONEY)
     pay = payments.select("fee_id", seq.alias("seq"), F.coalesce((amount * 100).cast("bigint"), F.lit(0)).alias("amt_c"),
                           amount.isNull().alias("amt_null"), seq.isNull().alias("no_seq"),
@@ -317,21 +324,21 @@ def _split(fees: DataFrame, payments: DataFrame) -> tuple[DataFrame, DataFrame]:
          .alias("status0_x"),
         F.coalesce(F.col("status0") == S.FEE_PAID, F.lit(False)).alias("closed0"),
         F.col("l_fee_id").isNotNull().alias("known"))
-    joined = joined.withColumn("early", F.when(~F.col("known"), _UNKNOWN).when(F.col("closed0"), _ALREADY)
+    return joined.withColumn("early", F.when(~F.col("known"), _UNKNOWN).when(F.col("closed0"), _ALREADY)
                                .when(F.col("no_seq"), _NOSEQ).when(F.col("range"), _RANGE)).drop("no_seq", "range")
-    return joined.where("early is not null"), joined.where("early is null").drop("early")
 
 
 #: What the chunked posting calls the fold's reasons and states.
 _CODES = {"ok": _OK, "closed": _ALREADY, "none": _NONPOS, "over": _OVER, "keep": _KEEP, "part": _PART, "paid": _PAID}
 
 
-def _cold_and_chunks(late: DataFrame, payments: DataFrame) -> tuple[DataFrame, Chunks | None]:
-    """The fold's payments without those of hot bills, and these in chunks."""
+def _cold_and_chunks(fees: DataFrame, payments: DataFrame) -> tuple[DataFrame, Chunks | None]:
+    """The payments without those of hot bills, and these in chunks (None: no bill is hot)."""
     hot, rows = hot_bills(payments.where(F.col("fee_id").isNotNull()))
     if hot is None:
-        return late, None
-    return late.join(hot, "fee_id", "left_anti"), Chunks(late, hot, rows)
+        return payments, None
+    mine = payments.join(hot, "fee_id", "left_semi")
+    return payments.join(hot, "fee_id", "left_anti"), Chunks(_with_state(fees, mine), mine, rows)
 
 
 def _sorted_for_fold(joined: DataFrame) -> DataFrame:
@@ -351,8 +358,8 @@ def settle(fees: DataFrame, payments: DataFrame, as_of=None) -> DataFrame:
     The fold emits one final state per bill (each bill is whole and ordered in
     its task), so no second aggregation over the payment outcomes is needed.
     """
-    cold, chunks = _cold_and_chunks(_split(fees, payments)[1], payments)
-    finals = _sorted_for_fold(cold).mapInPandas(
+    cold, chunks = _cold_and_chunks(fees, payments)
+    finals = _sorted_for_fold(_split(fees, cold)[1]).mapInPandas(
         lambda it: _fold_batches(it, finals=True), "fee_id long, paid_c long, code int, fired boolean")
     if chunks is not None:
         finals = finals.unionByName(chunks.finals(_CODES))

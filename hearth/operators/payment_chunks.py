@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import Rounds
 from ..session import ship_package
 
-HOT_PAYMENTS = 200_000         # a bill with more payments than this in one batch is posted in chunks
-CHUNK_ROWS = 100_000
+HOT_PAYMENTS = 2_000_000       # a bill with more payments than this in one batch is posted in chunks
+CHUNK_ROWS = 250_000
 BITS = 44                      # amounts are decimal(10,2), sums of them in cents stay far below 2^44
 ORDER = ("seq", "amt_null", "amt_c")
 
@@ -95,13 +95,18 @@ def _payments(g: pa.Table) -> tuple[pa.Table, np.ndarray]:
 class Chunks:
     """The payments of hot bills, cut into chunks, and what every chunk is entered with."""
 
-    def __init__(self, late: DataFrame, hot: DataFrame, rows: int):
-        """``late``: payments with their bill's state, as the fold takes them."""
-        ship_package(late.sparkSession)
-        self.tables = Rounds(late, "payment-chunks")
-        mine = late.join(hot, "fee_id", "left_semi").repartitionByRange(-(-rows // CHUNK_ROWS), "fee_id", *ORDER)
-        self.rows = self.tables.write(mine.withColumn("chunk", F.spark_partition_id()))
-        # a range partition is one chunk of each bill in it; their numbers follow the order
+    def __init__(self, joined: DataFrame, seqs: DataFrame, rows: int):
+        """``joined``: the hot bills' payments with their bill's state and ``early`` (refused whatever came before);
+        ``seqs``: these payments' ``seq``, whose quantiles cut the chunks, and their number.  A bill with its share
+        of the payments has that share of the chunks; payments of a bill with equal ``seq`` stay in one."""
+        ship_package(joined.sparkSession)
+        self.tables = Rounds(joined, "payment-chunks")
+        n = -(-rows // CHUNK_ROWS)
+        cuts = seqs.agg(F.percentile_approx(F.col("seq").try_cast("int"), [k / n for k in range(1, n)], 20 * n)).first()[0] if n > 1 else None
+        cuts = sorted(set(cuts or []))
+        chunk = F.size(F.filter(F.lit(cuts).cast("array<int>"), lambda c: c < F.col("seq"))) if cuts else F.lit(0)
+        written = self.tables.write(joined.withColumn("chunk", chunk))
+        self.early, self.rows = written.where("early is not null").drop("chunk"), written.where("early is null").drop("early")
         summary = self.tables.write(self.rows.groupBy("fee_id", "chunk").applyInArrow(
             self._summary, "fee_id bigint, chunk int, room bigint, sums array<bigint>, least array<bigint>"))
         exits = None

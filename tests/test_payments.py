@@ -214,6 +214,6 @@ def test_rounds_grow_with_the_bits_of_the_amount(spark, monkeypatch):
     fees = [(1, D("100000.00"), D("0"), "待缴")]
     pays = [(1, s, D("300.00") if s % 2 else D("99999.00")) for s in range(1, 5001)]
     f, p = spark.createDataFrame(fees, FEES_DDL), spark.createDataFrame(pays, PAY_DDL)
-    cold, chunks = B._cold_and_chunks(B._split(f, p)[1], p)
+    cold, chunks = B._cold_and_chunks(f, p)
     assert cold.count() == 0 and chunks.rows.select("chunk").distinct().count() >= 15 and chunks.rounds <= 25
     assert run(spark, fees, pays) == model(fees, pays)

@@ -1,6 +1,6 @@
 """Skew check: the same jobs on the estate and on a copy where ONE key holds a third of the rows.
 
-Usage: python tools/skew_check.py [sf_dir]
+Usage: python tools/skew_check.py [sf_dir [job ...]]
 The skewed copy is derived from the estate by Spark: resident 1 owns every third bill, repair
 order, complaint and visit; one bill receives every third payment.  Prints one JSON line with
 the wall seconds of each job on both (median of 3 after a warm-up).
@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from hearth.operators import billing as B  # noqa: E402
+from hearth.operators import changes as M  # noqa: E402
 from hearth.operators import integrity as I  # noqa: E402
 from hearth.operators import reports as R  # noqa: E402
 from hearth.session import build_session, ensure_checkpoint_dir  # noqa: E402
@@ -51,7 +52,17 @@ def hot_payments(t):
                      .cast("int").alias("seq"), "pay_amount")
 
 
+def step_changes(t, hot: bool):
+    """Ten status steps for every order, in order of ``seq``; ``hot``: a third of them on one order."""
+    x = t["repair_orders"].select("order_id", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("k"))
+    seq = (F.col("order_id") * 16 + F.col("k")).alias("seq")
+    key = F.when(seq % 3 == 0, F.lit(HOT).cast("bigint")).otherwise(F.col("order_id")) if hot else F.col("order_id")
+    return x.select(key.alias("order_id"), seq, F.element_at(F.array(*[F.lit(v) for v in ("待处理", "处理中", "已完成")]),
+                                                            (F.col("k") % 3 + 1).cast("int")).alias("status"))
+
+
 JOBS = {
+    "repair_completion": lambda t, p: M.repair_completion(t["repair_orders"], CHANGES[p], X.AS_OF),
     "resident_overview": lambda t, p: R.resident_overview(t),
     "resident_recent_repairs": lambda t, p: R.resident_recent_repairs(t),
     "resident_unpaid": lambda t, p: R.resident_unpaid(t),
@@ -60,13 +71,19 @@ JOBS = {
     "visitor_log": lambda t, p: R.visitor_log(t),
     "fk_orphans": lambda t, p: I.fk_orphans(t),
     "duplicate_bills": lambda t, p: I.duplicate_bills(t),
-    "post_payments": lambda t, p: B.post_payments(t["fee_records"], p),
-    "ledger_after_payments": lambda t, p: B.ledger_after_payments(t["fee_records"], p, t["fee_categories"]),
+    "post_payments": lambda t, p: B.post_payments(t["fee_records"], PAYMENTS[p]),
+    "ledger_after_payments": lambda t, p: B.ledger_after_payments(t["fee_records"], PAYMENTS[p], t["fee_categories"]),
 }
 
 
-def timed(df) -> float:
+CHANGES: dict[str, object] = {}
+PAYMENTS: dict[str, object] = {}
+
+
+def timed(make) -> float:
+    """Seconds to plan and run a job, what it runs while it is planned included."""
     s = time.time()
+    df = make()
     df.write.format("noop").mode("overwrite").save()
     return time.time() - s
 
@@ -79,13 +96,15 @@ def main() -> None:
     even = read_estate(spark, root + "/even")
     write_estate(skewed(even), root + "/hot")
     hot = read_estate(spark, root + "/hot")
-    pays = {"even": X.payments(even), "hot": hot_payments(even)}
+    PAYMENTS.update(even=X.payments(even), hot=hot_payments(even))
+    CHANGES.update(even=step_changes(even, False), hot=step_changes(even, True))
     out = {}
-    for name, job in JOBS.items():
+    names = sys.argv[2:] or list(JOBS)
+    for name, job in ((n, JOBS[n]) for n in names):
         row = {}
         for label, t in (("even", even), ("hot", hot)):
-            timed(job(t, pays[label]))
-            row[label] = round(statistics.median(timed(job(t, pays[label])) for _ in range(3)), 3)
+            timed(lambda: job(t, label))                                                  # noqa: B023
+            row[label] = round(statistics.median(timed(lambda: job(t, label)) for _ in range(3)), 3)   # noqa: B023
         out[name] = row
     print(json.dumps({"sf": sf, "hot_share": "1/3", "seconds": out}, ensure_ascii=False))
     spark.stop()
