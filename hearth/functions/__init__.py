@@ -1,5 +1,5 @@
-from .columns import (count_if, due_date_of, full_address, or_default, percent_text, period_of,
+from .columns import (count_if, display_date, display_time, due_date_of, full_address, or_default, percent_text, period_of,
                       value_rank)
 
-__all__ = ["count_if", "due_date_of", "full_address", "or_default", "percent_text", "period_of",
+__all__ = ["count_if", "display_date", "display_time", "due_date_of", "full_address", "or_default", "percent_text", "period_of",
            "value_rank"]

@@ -63,3 +63,17 @@ def due_date_of(period: str | Column) -> Column:
 def period_of(ts: str | Column) -> Column:
     """``YYYY-MM`` of a date or timestamp."""
     return F.date_format(col_(ts), "yyyy-MM")
+
+
+# How the pages of the application show dates and times (Chinese locale).
+DISPLAY_DATE, DISPLAY_TIME = "yyyy/M/d", "yyyy/M/d HH:mm:ss"
+
+
+def display_date(ts: str | Column, empty: str | None = None) -> Column:
+    """A date as it is displayed, ``2026/7/1``; ``empty`` where there is none."""
+    return F.coalesce(F.date_format(col_(ts), DISPLAY_DATE), F.lit(empty).cast("string"))
+
+
+def display_time(ts: str | Column, empty: str | None = None) -> Column:
+    """A time as it is displayed, ``2026/7/1 09:05:00``; ``empty`` where there is none."""
+    return F.coalesce(F.date_format(col_(ts), DISPLAY_TIME), F.lit(empty).cast("string"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schemas as S
-from ..functions import count_if, full_address, percent_text, value_rank
+from ..functions import count_if, display_date, display_time, full_address, or_default, percent_text, value_rank
 from ..plans.address import attach_room_place, attach_unit_place, resident_places
 from ..plans.scalars import combine_scalars, counts
 
@@ -377,6 +377,52 @@ def foreign_keys(spark) -> DataFrame:
                                        "referenced_column string, on_delete string")
 
 
+def foreign_key_usage(t) -> DataFrame:
+    """Every declared reference (S7) with what points along it: rows with a reference and rows without one."""
+    parts = []
+    for name, spec in S.TABLES.items():
+        if spec.refs:
+            counts = t[name].agg(*[F.count(r.column).alias(f"c{i}") for i, r in enumerate(spec.refs)], F.count(F.lit(1)).alias("n"))
+            parts.append(counts.select(F.inline(F.array(*[F.struct(
+                F.lit(name).alias("table_name"), F.lit(r.column).alias("column_name"), F.lit(r.parent).alias("referenced_table"),
+                F.lit(r.parent_key).alias("referenced_column"), F.lit(r.on_delete.upper()).alias("on_delete"),
+                F.col(f"c{i}").alias("referencing_rows"), (F.col("n") - F.col(f"c{i}")).alias("empty_rows"))
+                for i, r in enumerate(spec.refs)]))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def staff_json(t) -> DataFrame:
+    """The staff list as JSON texts (S4): one per person, ISO dates, exact decimals, nulls and Chinese text kept."""
+    shown = ("staff_id", "name", "gender", "phone", "role", "salary", "hire_date", "status", "created_at")
+    return t["staff"].select("staff_id", F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def any_row(df: DataFrame, key: str) -> DataFrame:
+    """Any one row (O8): the one with the smallest key, so that the answer is fixed.  One partial row a task, no sort."""
+    rest = [c for c in df.columns if c != key]
+    return df.where(F.col(key).isNotNull()).agg(F.min(F.struct(key, *rest)).alias("r")).where("r is not null").select(
+        *[F.col(f"r.{c}").alias(c) for c in df.columns])
+
+
+def sample_unpaid_bill(t) -> DataFrame:
+    """One bill still to be paid, to try a payment on."""
+    bills = t["fee_records"].where(F.col("status") == S.FEE_UNPAID)
+    return any_row(bills.select("fee_id", "amount", "paid_amount", "status"), "fee_id")
+
+
+def sample_open_order(t) -> DataFrame:
+    """One order not completed, to try a completion on."""
+    orders = t["repair_orders"].where(F.col("status") != S.ORDER_DONE)
+    return any_row(orders.select("order_id", "status", "completed_at"), "order_id")
+
+
+def visitor_times(t) -> DataFrame:
+    """The visits' times as displayed (F11, P17): who has not left yet is shown as 未离开, no remark as a dash."""
+    return t["visitor_records"].select(
+        "visitor_id", display_time("entry_time").alias("entry_text"), display_time("exit_time", "未离开").alias("exit_text"),
+        display_date("entry_time").alias("entry_day"), or_default("remark", "-").alias("remark_text"))
+
+
 def keys_of(df: DataFrame, column: str) -> DataFrame:
     """A one-column key set, for the optional ``residents=`` / ``orders=`` arguments."""
     return df.select(column).distinct()

@@ -644,3 +644,44 @@ SELECT {", ".join({"resident_id": "f.resident_id", "space_id": "CASE WHEN f.send
                    "created_at": "f.created_at"}.get(c, f"v.{c}") for c in TABLES["vehicles"].names)}
 FROM fin f JOIN vehicles v ON v.vehicle_id = f.vehicle_id WHERE f.alive AND f.rend IS NULL""", _LOG, True)
 WRITES["apply_log_rejects"] = ("SELECT 'vehicles' table_name, vehicle_id row_key, CAST(seq AS BIGINT) seq, why reason FROM wlk WHERE why IS NOT NULL", _LOG, True)
+
+
+# ----------------------------------------------------------------------------- rules after a batch, small keys
+
+_FILLED = insert_ctes("residents", "new_residents")[0]
+_GROWN = [("new_residents", BATCHES["new_residents"]), _FILLED] + [
+    (f"d_{n}", f"SELECT {_cols('residents', 'r')} FROM residents r UNION ALL SELECT {_cols('residents', 'nb')} FROM nb UNION ALL "
+               f"SELECT {_cols('residents', 'r')} FROM residents r WHERE resident_id % 9 = 0" if n == "residents" else f"SELECT * FROM {n}")
+    for n in TABLES]
+for _key in ("pk_duplicates", "unique_violations"):
+    INTEGRITY[f"{_key}_after"] = (_integrity()[_key], _GROWN, False)
+INTEGRITY["duplicate_bills_after"] = """
+SELECT resident_id, category_id, fee_period, count(*) n FROM (SELECT * FROM fee_records UNION ALL SELECT * FROM fee_records WHERE fee_id % 5 = 0) x
+GROUP BY resident_id, category_id, fee_period HAVING count(*) > 1"""
+
+WRITES["foreign_key_usage"] = " UNION ALL ".join(
+    f"SELECT '{n}' table_name, '{r.column}' column_name, '{r.parent}' referenced_table, '{r.parent_key}' referenced_column, "
+    f"'{r.on_delete.upper()}' on_delete, count(*) FILTER (WHERE {r.column} IS NOT NULL) referencing_rows, "
+    f"count(*) FILTER (WHERE {r.column} IS NULL) empty_rows FROM {n}" for n, s in TABLES.items() for r in s.refs)
+
+
+def _json_value(c: str, kind: str) -> str:
+    text = f"CAST({c} AS VARCHAR)" if kind != "timestamp" else f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%g')"
+    return f"coalesce({text}, 'null')" if kind == "number" else f"coalesce('\"' || {text} || '\"', 'null')"
+
+
+WRITES["staff_json"] = "SELECT staff_id, '{' || " + " || ',' || ".join(
+    f"'\"{c}\":' || " + _json_value(c, "number" if c in ("staff_id", "salary") else "timestamp" if c == "created_at" else "text")
+    for c in ("staff_id", "name", "gender", "phone", "role", "salary", "hire_date", "status", "created_at")) + " || '}' json FROM staff"
+WRITES["sample_unpaid_bill"] = "SELECT fee_id, amount, paid_amount, status FROM fee_records WHERE status = '待缴' ORDER BY fee_id LIMIT 1"
+WRITES["sample_open_order"] = "SELECT order_id, status, completed_at FROM repair_orders WHERE status <> '已完成' ORDER BY order_id LIMIT 1"
+_DAY, _TIME = "%Y/%-m/%-d", "%Y/%-m/%-d %H:%M:%S"
+WRITES["visitor_times"] = f"""
+SELECT visitor_id, strftime(entry_time, '{_TIME}') entry_text, coalesce(strftime(exit_time, '{_TIME}'), '未离开') exit_text,
+       strftime(entry_time, '{_DAY}') entry_day, coalesce(nullif(remark, ''), '-') remark_text
+FROM visitor_records"""
+_BELOW = {"buildings": "building_id NOT IN (SELECT building_id FROM gb)", "units": "unit_id NOT IN (SELECT unit_id FROM gu)",
+          "rooms": "room_id NOT IN (SELECT room_id FROM gr)"}
+for _n in ("buildings", "units", "rooms", "repair_orders", "complaints", "visitor_records"):
+    WRITES[f"cascade_survivors_{_n}"] = (
+        f"SELECT * FROM {_n} WHERE {_BELOW.get(_n, 'resident_id NOT IN (SELECT resident_id FROM gres)')}", _GONE, False)

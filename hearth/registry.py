@@ -14,6 +14,7 @@ from .operators import changelog as L
 from .operators import changes as M
 from .operators import dispatch as D
 from .operators import integrity as I
+from .operators import integrity_delta as V
 from .operators import reports as R
 from .sources import batches as X
 from .sources.dirty import dirty_estate
@@ -94,10 +95,28 @@ WRITE_JOBS: dict[str, Job] = {
     "dispatch_fee_records": lambda t: D.apply_changes(t, "fee_records", X.fee_changes(t), as_of=AS_OF).tables["fee_records"],
     "apply_log": lambda t: L.apply_log(t, X.session_log(t), AS_OF, {"vehicles"})["vehicles"],
     "apply_log_rejects": lambda t: L.apply_log(t, X.session_log(t), AS_OF, set())["rejected"],
+    "foreign_key_usage": R.foreign_key_usage,
+    "staff_json": R.staff_json,
+    "sample_unpaid_bill": R.sample_unpaid_bill,
+    "sample_open_order": R.sample_open_order,
+    "visitor_times": R.visitor_times,
+    **{f"cascade_survivors_{n}": lambda t, n=n: M.cascade_delete(t, "buildings", X.unaddressed_buildings(t))[n]
+       for n in ("buildings", "units", "rooms", "repair_orders", "complaints", "visitor_records")},
     "repair_detail_open": lambda t: R.repair_detail(t, X.repair_assignments(t).select("order_id")),
 }
 
 
+def _after(rule: str, t) -> DataFrame:
+    """The rule's listing brought up to date by the inserted rows alone."""
+    counts = V.state(rule, t)
+    if rule == "bills":
+        batches = {"fee_records": (X.repeated_bills(t), None)}
+    else:
+        new = M.fill_defaults(X.new_residents(t), "residents", AS_OF)
+        batches = {"residents": (new.unionByName(X.repeated_residents(t)), None)}
+    return V.violations_after(counts, V.violations(counts), batches)
+
+
 INTEGRITY_JOBS: dict[str, Job] = {
     "pk_duplicates": lambda t: I.pk_duplicates(dirty_estate(t)),
     "unique_violations": lambda t: I.unique_violations(dirty_estate(t)),
@@ -107,6 +126,9 @@ INTEGRITY_JOBS: dict[str, Job] = {
     "enum_violations": lambda t: I.enum_violations(dirty_estate(t)),
     "length_violations": lambda t: I.length_violations(dirty_estate(t)),
     "duplicate_bills": I.duplicate_bills,
+    "pk_duplicates_after": lambda t: _after("pk", t),
+    "unique_violations_after": lambda t: _after("unique", t),
+    "duplicate_bills_after": lambda t: _after("bills", t),
 }
 
 

@@ -174,3 +174,14 @@ def session_log(t) -> dict[str, DataFrame]:
         car(n % 2 == 1, 260, "U", ["color"], color=F.lit("末"))]
     return {"residents": reduce(DataFrame.unionByName, residents), "parking_spaces": spaces,
             "vehicles": reduce(DataFrame.unionByName, vehicles)}
+
+
+def repeated_residents(t) -> DataFrame:
+    """Every ninth resident once more, whole (same key, same id card)."""
+    return t["residents"].where(F.col("resident_id") % 9 == 0)
+
+
+def repeated_bills(t) -> DataFrame:
+    """Every fifth bill once more under a new key."""
+    b = t["fee_records"].where(F.col("fee_id") % 5 == 0)
+    return b.withColumn("fee_id", F.col("fee_id") + NEW_ID_OFFSET)

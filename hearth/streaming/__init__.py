@@ -1,3 +1,5 @@
-from .payments import apply_payment_stream, ledger_path, read_payment_stream
+from .payments import (PERIOD_PAYMENT_SCHEMA, apply_payment_stream, apply_payment_stream_by_period, ledger_path, post_by_period,
+                       read_payment_stream)
 
-__all__ = ["apply_payment_stream", "ledger_path", "read_payment_stream"]
+__all__ = ["PERIOD_PAYMENT_SCHEMA", "apply_payment_stream", "apply_payment_stream_by_period", "ledger_path", "post_by_period",
+           "read_payment_stream"]
