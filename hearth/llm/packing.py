@@ -15,23 +15,23 @@ are packed each on their own; extra columns are ignored; an empty table packs in
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, staged, texts
+from .token_alignment import _OPEN, byte_level
+from .wordwise import Memo, chain, numbered, pieces_of
 
 CAPACITY = 2048
 END = 0
-CACHE = 400_000
-_OPEN = re.compile(r" \s|\s ")               # white space that a cut at a blank would change
-_LATIN = re.compile(r"[\x00-\u024F\u2010-\u2027]*")
+SLICE = 4 << 20                                # bytes of text encoded at once
 
 
 def default_tokenizer() -> str:
@@ -40,60 +40,42 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of a text, as little-endian 32-bit words.
+    """Ids of texts.
 
-    A byte-level vocabulary never joins tokens over a blank, so a text is cut at single blanks and
-    the pieces' ids are remembered (``CACHE`` of them); any other text goes to the tokenizer whole.
-    Where the same vocabulary lies beside it as ranks, Latin pieces are encoded from these, which is
-    several times as fast and gives the same ids (tests compare them)."""
+    A byte-level vocabulary never joins tokens over a single blank, so a text is cut there in Arrow and its words' ids
+    are remembered (:mod:`.wordwise`); a text with other white space around blanks, or where a special token may stand,
+    goes to the tokenizer whole.  Tests compare the ids with the tokenizer's."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.quick = None
-        ranks = path.removesuffix(".json") + ".tiktoken"
-        if path.endswith(".json") and os.path.exists(ranks):
-            import base64
-            import public_tokenizers
-            import tiktoken
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table,
-                                           special_tokens={}).encode_ordinary
-
-    def _pieces(self, items: list[str]) -> list[bytes]:
-        quick = self.quick
-        if quick is None:
-            return self._whole(items)
-        rest = iter(self._whole([x for x in items if not _LATIN.fullmatch(x)]))
-        return [array("I", quick(x)).tobytes() if _LATIN.fullmatch(x) else next(rest) for x in items]
-
-    def _whole(self, items: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(items, add_special_tokens=False)]
-
-    def encode(self, batch: list[str | None]) -> list[bytes]:
-        known = self.known
-        cut: list[list[str] | None] = []
-        fresh: dict[str, None] = {}
-        for t in batch:
-            if not t:
-                cut.append([])
-            elif _OPEN.search(t) or "<|" in t:
-                cut.append(None)
+        self.words = byte_level(path).ids                       # of a blank and the word
+        self.first = Memo(lambda words: [np.array(e.ids, "<u4").tobytes()
+                                         for e in self.tok.encode_batch_fast(words, add_special_tokens=False)], size=50_000)
+
+    def encode(self, col: pa.Array) -> Iterator[bytes]:
+        """Every text's ids as little-endian 32-bit words (null: none), in order."""
+        col = pc.fill_null(pc.cast(col, pa.large_string()), "")
+        whole = pc.or_(pc.match_substring_regex(col, _OPEN), pc.match_substring(col, "<|"))
+        words = pc.split_pattern(col.filter(pc.invert(whole)), " ")
+        offset = np.asarray(words.offsets)
+        flat, offset = words.flatten(), offset - offset[0]
+        begins = np.zeros(len(flat), bool)
+        begins[offset[:-1]] = True                              # every text has a word, the empty one the empty word
+        first, first_at = numbered(flat.filter(pa.array(begins)))
+        rest, rest_at = numbered(flat.filter(pa.array(~begins)))
+        index = np.empty(len(flat), np.int64)
+        index[begins], index[~begins] = first_at, rest_at + len(first)
+        ids, length = chain(self.first(first) + self.words(rest), index, "<u4")
+        upto = np.concatenate([[0], np.cumsum(length)])[offset]
+        data = ids.tobytes()
+        cuts = iter(zip((4 * upto[:-1]).tolist(), (4 * upto[1:]).tolist(), strict=True))
+        for k, w in enumerate(whole.to_pylist()):
+            if w:
+                yield np.array(self.tok.encode(col[k].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                first, *rest = t.split(" ")
-                parts = [first, *[" " + r for r in rest]] if first else [" " + r for r in rest]
-                cut.append(parts)
-                fresh.update(dict.fromkeys(p for p in parts if p not in known))
-        if len(known) + len(fresh) > CACHE:
-            known.clear()
-            fresh = dict.fromkeys(p for c in cut if c for p in c)
-        if fresh:
-            new = list(fresh)
-            known.update(zip(new, self._pieces(new), strict=True))
-        whole = iter(self._whole([t for t, c in zip(batch, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join([known[p] for p in c]) for c in cut]
+                s, e = next(cuts)
+                yield data[s:e]
 
 
 @lru_cache(maxsize=2)
@@ -108,9 +90,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     end, width = np.array([END], "<u4").tobytes(), 4 * CAPACITY
 
     def one(b):
-        enc, rows, col = _encoder(path), [], b.column(1).to_pylist()
-        for k in range(0, len(col), 256):
-            for i, ids in enumerate(enc.encode(col[k:k + 256]), start=k):
+        enc, rows, col = _encoder(path), [], b.column(1)
+        for k, stop in pieces_of(col, SLICE):
+            for i, ids in enumerate(enc.encode(col.slice(k, stop - k)), start=k):
                 ids += end
                 at, first = 0, len(ids) % width or width
                 cuts = [0, *range(first, len(ids) + 1, width)]
