@@ -86,8 +86,15 @@ def _steps(changes: DataFrame, key: str, status_to: str, left: Callable[[Column]
     are put together in order: entering also happens between one range's last status and the next one's first.
     """
     cols = _values(changes, key)
-    has_seq = "seq" in changes.columns
-    seq = F.col("seq") if has_seq else F.lit(0)
+    if "seq" not in changes.columns:
+        # in the order of the statuses only the one before ``status_to`` can be left for it: plain aggregates
+        before = F.max(F.when(F.col("status") < status_to, F.col("status")))
+        x = changes.groupBy(key).agg(
+            F.max(F.struct(*cols)).alias("__last"), F.min(F.struct("status")).alias("__f"), before.alias("__before"),
+            F.max(F.coalesce(F.col("status") == status_to, F.lit(False))).alias("__has"))
+        return x.select(key, "__last", F.col("__f.status").alias("__first"),
+                        (F.col("__has") & F.coalesce(left(F.col("__before")), F.lit(False))).alias("__later"))
+    seq = F.col("seq")
     x = changes.groupBy(key, seq.alias("__seq"), "status").agg(F.max(F.struct(*cols)).alias("__v"))
     at = F.struct("__seq", "status")
 
@@ -95,27 +102,22 @@ def _steps(changes: DataFrame, key: str, status_to: str, left: Callable[[Column]
         prev = F.lag("status").over(w)
         return F.coalesce((F.col("__n") > 1) & (F.col("status") == status_to) & left(prev), F.lit(False))
 
-    if has_seq:
-        n = min(RANGES, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        cuts = changes.agg(F.percentile_approx(seq.cast("double"), [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
-        cuts = sorted(set(cuts or []))
-        # F.lit of a list is one literal array; the range is the number of cuts below the step's seq (null: the first)
-        x = x.withColumn("__r", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("__seq")))
-                         if cuts else F.lit(0))
-        x = x.withColumn("__r", F.when(F.col("__seq").isNull(), -1).otherwise(F.col("__r")))
-        w = Window.partitionBy(key, "__r").orderBy(at)
-        x = x.withColumn("__n", F.row_number().over(w)).withColumn("__in", entered(w))
-        x = x.groupBy(key, "__r").agg(
-            F.min(at).alias("__a"), F.max(F.struct("__seq", "status", "__v")).alias("__z"), F.max("__in").alias("__in"))
-        w = Window.partitionBy(key).orderBy("__r")
-        first = F.col("__a.status")
-        between = F.coalesce((first == status_to) & left(F.lag("__z.status").over(w)), F.lit(False))
-        x = x.withColumn("__n", F.row_number().over(w)).withColumn("__in", F.col("__in") | ((F.col("__n") > 1) & between))
-        last, status = F.struct("__z.__seq", F.col("__z.__v")), first
-    else:
-        w = Window.partitionBy(key).orderBy(at)                  # as many rows as the key has different statuses
-        x = x.withColumn("__n", F.row_number().over(w)).withColumn("__in", entered(w))
-        last, status = F.struct("__seq", "__v"), F.col("status")
+    n = min(RANGES, int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = changes.agg(F.percentile_approx(seq.cast("double"), [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    # F.lit of a list is one literal array; the range is the number of cuts below the step's seq (null: the first)
+    x = x.withColumn("__r", F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c < F.col("__seq")))
+                     if cuts else F.lit(0))
+    x = x.withColumn("__r", F.when(F.col("__seq").isNull(), -1).otherwise(F.col("__r")))
+    w = Window.partitionBy(key, "__r").orderBy(at)
+    x = x.withColumn("__n", F.row_number().over(w)).withColumn("__in", entered(w))
+    x = x.groupBy(key, "__r").agg(
+        F.min(at).alias("__a"), F.max(F.struct("__seq", "status", "__v")).alias("__z"), F.max("__in").alias("__in"))
+    w = Window.partitionBy(key).orderBy("__r")
+    first = F.col("__a.status")
+    between = F.coalesce((first == status_to) & left(F.lag("__z.status").over(w)), F.lit(False))
+    x = x.withColumn("__n", F.row_number().over(w)).withColumn("__in", F.col("__in") | ((F.col("__n") > 1) & between))
+    last, status = F.struct("__z.__seq", F.col("__z.__v")), first
     return x.groupBy(key).agg(
         F.max(last).alias("__m"), F.max(F.when(F.col("__n") == 1, status)).alias("__first"),
         F.max("__in").alias("__later")).select(key, F.col("__m.__v").alias("__last"), "__first", "__later")

@@ -50,12 +50,12 @@ def accepted_in_order(rows: DataFrame, keysets: list[tuple[list[str], str]]) ->
     left = x.where(~F.col("won"))
     for g in parts:
         left = left.join(x.where(F.col("won") & F.col(g).isNotNull()).select(g), g, "left_anti")
-    left = tables.write(left.select("rid", "o", *parts))
+    left = left.select("rid", "o", *parts)
     accepted = x.where("won").select("rid", "o", *parts)
     if not left.isEmpty():
+        left = tables.write(left)
         folded, done["component_rounds"] = _fold_components(left, parts)
-        accepted = accepted.unionByName(left.join(folded, "rid", "left_semi"))
-    accepted = tables.write(accepted)
+        accepted = tables.write(accepted.unionByName(left.join(folded, "rid", "left_semi")))
     lost = marked.join(accepted.select("rid"), "rid", "left_anti")
     found = []
     for g, (_, label) in zip(parts, keysets, strict=True):
