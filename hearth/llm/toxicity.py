@@ -97,10 +97,17 @@ def _count_batches(batches):
         yield last
 
 
+#: Labels (a long and a flag) that go to every task, so that no text is shuffled to meet them.
+BROADCAST_LABELS = 4_000_000
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, toxic`` of the documents with a usable label."""
     lab = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
            .where(F.col("toxic").isin(0, 1)).distinct())
+    lab = staged(lab, "toxicity-labels")
+    if lab.count() <= BROADCAST_LABELS:        # counted; beyond it the same join shuffles texts and labels
+        lab = F.broadcast(lab)
     return texts(docs).join(lab, "doc_id")
 
 
