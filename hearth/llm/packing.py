@@ -25,13 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import map_batches, staged, texts
 from .token_alignment import _OPEN, byte_level
-from .wordwise import Memo, chain, numbered, pieces_of
+from .wordwise import Memo, chain, give_back, numbered, pieces_of
 
 CAPACITY = 2048
 END = 0
-SLICE = 4 << 20                                # bytes of text encoded at once
+SLICE = 1 << 20                                # bytes of text encoded at once
 
 
 def default_tokenizer() -> str:
@@ -47,11 +48,16 @@ class Encoder:
     goes to the tokenizer whole.  Tests compare the ids with the tokenizer's."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.words = byte_level(path).ids                       # of a blank and the word
+        side = byte_level(path, special=True, remembered=120_000)
+        self.tok, self.words = side.tokenizer, side.ids         # words: ids of a blank and the word
         self.first = Memo(lambda words: [np.array(e.ids, "<u4").tobytes()
-                                         for e in self.tok.encode_batch_fast(words, add_special_tokens=False)], size=50_000)
+                                         for e in self.tok.encode_batch_fast(words, add_special_tokens=False)], size=20_000)
+
+    def forget(self) -> None:
+        """Give the remembered words' memory back: a worker goes on to other stages with other models."""
+        self.words.forget()
+        self.first.forget()
+        give_back()
 
     def encode(self, col: pa.Array) -> Iterator[bytes]:
         """Every text's ids as little-endian 32-bit words (null: none), in order."""
@@ -103,7 +109,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             [b.column(0).take(pa.array(c[0])), pa.array(c[1], pa.int32()), *[pa.array(x, pa.int64()) for x in c[2:]]],
             ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return map_batches(texts(docs), one, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    def run(batches):
+        try:
+            for b in batches:
+                if b.num_rows:
+                    yield one(b)
+        finally:
+            _encoder(path).forget()
+
+    ship_package(docs.sparkSession)
+    return texts(docs).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarray]:

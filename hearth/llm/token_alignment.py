@@ -59,10 +59,11 @@ def _byte_alphabet() -> dict[str, int]:
 class Side:
     """One vocabulary: word -> ids (remembered), and per id its number of bytes, its bytes and whether a blank marks it."""
 
-    def __init__(self, encode, spelled: list[bytes]):
+    def __init__(self, encode, spelled: list[bytes], remembered: int = 200_000, tokenizer=None):
+        self.tokenizer = tokenizer
         if len(spelled) > 1 << 16:
             raise ValueError("windows are keyed by 16-bit ids")
-        self.ids = Memo(lambda words: self._checked(words, encode(words)), size=200_000)
+        self.ids = Memo(lambda words: self._checked(words, encode(words)), size=remembered)
         self.spelled = spelled
         self.size = np.array([len(x) for x in spelled], np.int64)
         self.marked = np.array([x.startswith(b" ") for x in spelled])
@@ -83,12 +84,13 @@ def _packed(ids) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
-def byte_level(path: str) -> Side:
+def byte_level(path: str, special: bool = False, remembered: int = 200_000) -> Side:
     """The byte-level vocabulary.  Where it lies beside as ranks, Latin words are encoded from these, many as one
-    text (no token reaches over a blank), and told apart by their bytes; tests compare the ids."""
+    text (no token reaches over a blank), and told apart by their bytes; tests compare the ids.  With ``special`` the
+    tokenizer knows special tokens in a text (words must not hold any then)."""
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
+    tok.encode_special_tokens = not special
     alphabet = _byte_alphabet()
     spelled = [bytes(alphabet[c] for c in t) if all(c in alphabet for c in t) else t.encode()
                for t in map(tok.id_to_token, range(tok.get_vocab_size()))]
@@ -96,7 +98,7 @@ def byte_level(path: str) -> Side:
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
         return Side(lambda words: [_packed(e.ids) for e in tok.encode_batch_fast([" " + w for w in words], add_special_tokens=False)],
-                    spelled)
+                    spelled, remembered, tok)
     import base64
 
     import public_tokenizers
@@ -122,7 +124,7 @@ def byte_level(path: str) -> Side:
             out[k] = _packed(e.ids)
         return out
 
-    return Side(encode, spelled)
+    return Side(encode, spelled, remembered, tok)
 
 
 def piece_level(path: str) -> Side:

@@ -8,6 +8,7 @@ older one's place, so that what is met often stays.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,6 +46,19 @@ class Memo:
         return out
 
 
+    def forget(self) -> None:
+        self.new, self.old = {}, {}
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that an idle worker holds none (where the C library can)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions ``starts[i] .. starts[i] + lengths[i]`` for every i, in one array."""
     ends = np.cumsum(lengths)
