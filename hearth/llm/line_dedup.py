@@ -58,6 +58,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
             .withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(1), "line")))
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    """:func:`lines_of`, written once: every later step reads the columns it needs instead of cutting the texts again."""
+    return staged(lines_of(docs), "line-rows")
+
+
 def _placed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
     """A row for every place (``less``, ``i``, ``shift``): segment ``i`` (from 0) of a line ``less`` shorter
     (``m`` long), of which the content stands ``shift`` further right in this line (``at``, ``size``)."""
@@ -81,8 +86,17 @@ def _place_key() -> Column:
 
 
 def _keyed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
-    """``h, key`` for every place."""
-    return _placed(lines, places).select("h", _place_key())
+    """``h, key`` for every place: the keys of :func:`_placed` and :func:`_place_key`, made as one array a line, so that
+    only they are multiplied and not the line."""
+    n, k = F.col("n"), EDITS + 1
+
+    def key(less, i, shift):
+        m = n - less
+        o, size = _segment(m, F.lit(i), k)
+        at = o + (shift + 1)
+        return F.when((at >= 1) & (at + size - 1 <= n), F.xxhash64(F.lit(i), m, F.substring(F.col("line"), at, size)))
+
+    return lines.select("h", F.explode(F.array(*[key(*x) for x in places])).alias("key")).where("key is not null")
 
 
 _INDEX = [(0, i, 0) for i in range(EDITS + 1)]
@@ -190,19 +204,20 @@ def once(lines: DataFrame, first: DataFrame) -> DataFrame:
             .select("h", "n", "line"))
 
 
-def _opened(lines: DataFrame, places: list[tuple[int, int, int]], probe: bool) -> DataFrame:
-    """The places with their key and what is still to be compared: ``b`` = 2, one piece within two edits, or
+def _opened(lines: DataFrame) -> DataFrame:
+    """The probe places with their key and what is still to be compared: ``b`` = 2, one piece within two edits, or
     ``b`` = 1, two pieces within one edit each.  A piece: start, length, and how much longer it is than the
     indexed line's (0 there).  Of two linked lines some segment ``i`` is unchanged with at most ``i`` edits before
     it and ``EDITS - i`` behind it, so the first and the last leave one piece, the middle one two.
-    ``u``, ``v``: length of the first segment in the piece ``p``, ``q``, if the key is that of a later one."""
+    ``u``, ``v``: length of the first segment in the piece ``p``, ``q``, if the key is that of a later one.
+    ``own``: the place is one the line is indexed by, too."""
     assert EDITS == 2
     left = F.struct(F.lit(1).alias("s"), (F.col("at") - 1).alias("n"), F.col("shift").alias("d"))
     end = F.col("at") + F.col("size")
     right = F.struct(end.alias("s"), (F.col("n") - end + 1).alias("n"), (F.col("less") - F.col("shift")).alias("d"))
     none = F.struct(F.lit(1).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("d"))
-    return _placed(lines, places).select(
-        _place_key(), F.lit(probe).alias("probe"), "h", "line", F.when(F.col("i") == 1, 1).otherwise(2).alias("b"),
+    return _placed(lines, _PROBE).select(
+        _place_key(), ((F.col("less") == 0) & (F.col("shift") == 0)).alias("own"), "h", "line", F.when(F.col("i") == 1, 1).otherwise(2).alias("b"),
         F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"),
         F.when(F.col("i") > 0, F.floor(F.col("m") / 3).cast("int")).alias("u"), F.lit(None).cast("int").alias("v"))
 
@@ -223,7 +238,7 @@ def _stripped(rows: DataFrame) -> DataFrame:
         F.col(f"{x}_head"), F.least(f"{x}_tail", F.col(f"{x}_n") - F.col(f"{x}_head")).alias(f"{x}_tail"))]), "line-ends")
     cut = lambda x: F.struct((F.col(f"{x}.s") + F.col(f"{x}_head")).alias("s"),
                              (F.col(f"{x}.n") - F.col(f"{x}_head") - F.col(f"{x}_tail")).alias("n"), F.col(f"{x}.d").alias("d"))
-    return rows.join(_sized(ends), "key").select("key", "probe", "h", "line", "b", cut("p").alias("p"), cut("q").alias("q"))
+    return rows.join(_sized(ends), "key").select("key", "own", "h", "line", "b", cut("p").alias("p"), cut("q").alias("q"))
 
 
 def _refined(rows: DataFrame) -> DataFrame:
@@ -231,7 +246,7 @@ def _refined(rows: DataFrame) -> DataFrame:
     key, and what lies beside it stays to be compared.  ``done``: what stays is too short to be cut."""
     opt = lambda i, j, t: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.lit(t) if isinstance(t, int) else t).alias("t"))
     two = F.array(opt(0, 0, 0), *[opt(1, 0, t) for t in (-1, 0, 1)], opt(2, 0, F.col("p.d")))
-    two = F.filter(two, lambda x: (x["i"] != 1) | ((F.abs(F.col("p.d") - x["t"]) <= 1) & (F.col("probe") | (x["t"] == 0))))
+    two = F.filter(two, lambda x: (x["i"] != 1) | (F.abs(F.col("p.d") - x["t"]) <= 1))
     one = F.array(*[opt(i, j, 0) for i in (0, 1) for j in (0, 1)])
     part = lambda s, n: F.substring(F.col("line"), s, n)
     struct = lambda s, n, d: F.struct(s.cast("int").alias("s"), n.cast("int").alias("n"), d.cast("int").alias("d"))
@@ -243,7 +258,7 @@ def _refined(rows: DataFrame) -> DataFrame:
     left = struct(F.col("p.s"), F.col("o"), F.col("t"))
     right = struct(F.col("p.s") + F.col("o") + F.col("size"), F.col("p.n") - F.col("o") - F.col("size"), F.col("p.d") - F.col("t"))
     none = struct(F.lit(1), F.lit(0), F.lit(0))
-    a = a.select(F.xxhash64("key", "i", part(F.col("p.s") + F.col("o"), F.col("size"))).alias("key"), "probe", "h", "line",
+    a = a.select(F.xxhash64("key", "i", part(F.col("p.s") + F.col("o"), F.col("size"))).alias("key"), (F.col("own") & (F.col("t") == 0)).alias("own"), "h", "line",
                  F.when(F.col("i") == 1, 1).otherwise(2).alias("b"),
                  F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"),
                  F.when(F.col("i") > 0, F.floor(m / 3).cast("int")).alias("u"), F.lit(None).cast("int").alias("v"))
@@ -257,7 +272,7 @@ def _refined(rows: DataFrame) -> DataFrame:
     rest = lambda x, i: F.when(F.col(i) == 0, struct(F.col(f"{x}.s") + F.col(f"{x}0"), F.col(f"{x}.n") - F.col(f"{x}0"), F.col(f"{x}.d"))).otherwise(
         struct(F.col(f"{x}.s"), F.col(f"{x}0") + F.col(f"{x}.d"), F.col(f"{x}.d")))
     c = c.where(fits("p", "i") & fits("q", "j"))
-    c = c.select(F.xxhash64("key", "i", "j", same("p", "i"), same("q", "j")).alias("key"), "probe", "h", "line", "b",
+    c = c.select(F.xxhash64("key", "i", "j", same("p", "i"), same("q", "j")).alias("key"), "own", "h", "line", "b",
                  rest("p", "i").alias("p"), rest("q", "j").alias("q"),
                  F.when(F.col("i") == 1, F.col("p0")).alias("u"), F.when(F.col("j") == 1, F.col("q0")).alias("v"))
     short = lambda x, n: F.col(f"{x}.n") - F.col(f"{x}.d") < n
@@ -285,13 +300,13 @@ def candidates(lines: DataFrame) -> DataFrame:
         return found
     own = lines.join(_sized(met.where("a is null").select(F.col("b").alias("h"))), "h", "left_semi")
     own = staged(own.dropDuplicates(["h"]), "line-hot-lines")
-    rows = _opened(own, _INDEX, False).unionByName(_opened(own, _PROBE, True)).join(_sized(hot), "key", "left_semi")
+    rows = _opened(own).join(_sized(hot), "key", "left_semi")
     while not hot.isEmpty():
         kids = staged(_refined(_stripped(staged(rows, "line-hot-rows"))), "line-refined")
-        hot = kids.where("not probe").groupBy("key", "done").agg(F.count("*").alias("c"))
+        hot = kids.where("own").groupBy("key", "done").agg(F.count("*").alias("c"))
         hot = staged(hot.where(~F.col("done") & (F.col("c") > GROUP)).select("key"), "line-hot")
-        few = kids.where("not probe").join(_sized(hot), "key", "left_anti").select("key", F.col("h").alias("a"))
-        pairs = kids.where("probe").select("key", F.col("h").alias("b")).join(few, "key").where("a != b").select(*_pair()).distinct()
+        few = kids.where("own").join(_sized(hot), "key", "left_anti").select("key", F.col("h").alias("a"))
+        pairs = kids.select("key", F.col("h").alias("b")).join(few, "key").where("a != b").select(*_pair()).distinct()
         found = found.unionByName(staged(pairs, "line-pairs"))
         rows = kids.drop("done").join(_sized(hot), "key", "left_semi")
     return found.distinct()
@@ -308,9 +323,8 @@ def line_links(lines: DataFrame) -> DataFrame:
     return close(pairs)
 
 
-def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _judged(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct lines with first place and verdict (``h, g, first, kept``), and links per line."""
-    lines = lines_of(docs)
     first = first_places(lines)
     links = staged(line_links(once(lines, first)), "line-links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -323,7 +337,7 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines gone from ``text``, and ``n_lines``, ``n_removed``."""
-    judged, _ = _judged(docs)
+    judged, _ = _judged(_rows(docs))
     return _apply(docs, judged)
 
 
@@ -333,7 +347,7 @@ def _apply(docs: DataFrame, judged: DataFrame) -> DataFrame:
         "doc_id", "rk", F.floor(F.col("line_no") / _WORD).cast("int").alias("word"),
         F.expr(f"shiftleft(1L, line_no % {_WORD})").alias("bits"))
     blank = _source(docs).where("text is not null").select("doc_id", "rk", F.explode(F.sequence(
-        F.lit(0), F.floor((F.size(F.split("text", "\n")) - 1) / _WORD).cast("int"))).alias("word"), F.lit(0).cast("bigint").alias("bits"))
+        F.lit(0), F.floor((F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))) / _WORD).cast("int"))).alias("word"), F.lit(0).cast("bigint").alias("bits"))
     mask = (kept.unionByName(blank).groupBy("doc_id", "rk", "word").agg(F.bit_or("bits").alias("bits"))
             .groupBy("doc_id", "rk").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("mask"))
             .select(F.col("doc_id").alias("__mid"), F.col("rk").alias("__mrk"), F.col("mask.bits").alias("__mask")))
@@ -351,10 +365,11 @@ def _apply(docs: DataFrame, judged: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """Per document: lines, removed lines, links of its lines to different lines, hash of what is left."""
-    judged, met = _judged(docs)
+    lines = _rows(docs)
+    judged, met = _judged(lines)
     done = _apply(docs.select("doc_id", "text").withColumn("__rk0", _text_key()), judged).select(
         "doc_id", "__rk0", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-    per = (lines_of(docs).select("doc_id", "rk", "line_no", "h").join(_sized(met), "h").distinct()
+    per = (lines.select("doc_id", "rk", "line_no", "h").join(_sized(met), "h").distinct()
            .groupBy(F.col("doc_id").alias("__i"), F.col("rk").alias("__r")).agg(F.sum("links").alias("n_links")))
     return (done.join(per, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__i")) & (F.col("__rk0") == F.col("__r")), "left")
             .select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_lines", "n_removed",
