@@ -25,6 +25,20 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _write(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet; Spark deletes the shuffle files of this one execution when it has ended."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the folder named by ``spark.checkpoint.dir`` and read it back.
 
@@ -33,10 +47,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Stages:
+    """Tables that one job writes on its way; each can be deleted once its last reader is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = ensure_checkpoint_dir(spark).rstrip("/")
+        self.paths: dict[str, str] = {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.paths[name] = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        _write(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        sc = self.spark.sparkContext
+        for name in names:
+            path = sc._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` with ``fn(table of one batch) -> table or None``; the package is shipped first."""
     ship_package(df.sparkSession)

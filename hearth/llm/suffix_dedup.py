@@ -6,8 +6,10 @@ blockwise and skips the blocks that cannot matter:
 
 1. *Blocks.*  A suffix (its first ``LENGTH`` bytes) belongs to the block of the least-hashed
    ``ANCHOR``-byte string inside it.  Equal suffixes share their block and their place in it, so a
-   block met in one document only holds no repeat and no suffix of it is cut.  A bit map of fixed size
-   (``FILTER_BITS``) of the other blocks goes to the tasks; a wrong bit costs a row, never a result.
+   block met in one document only holds no repeat and no suffix of it is cut.  A bit map of the other
+   blocks goes to the tasks (four bits or more a block, ``FILTER_BITS`` at most); a wrong bit costs a row, never a
+   result.  A suffix reaches ``REACH`` bytes or more beyond its block's string on one side, so an occurrence takes
+   part only if the string with the ``REACH`` bytes before it, or with those behind it, is met in two documents as well.
 2. *Contexts.*  What is left of a block is its occurrences' surroundings, from the first to the last
    suffix that it names (at most ``2 * LENGTH - ANCHOR`` bytes).  An occurrence in a later document than
    the first one with the same context lies inside a repeat as a whole.
@@ -28,20 +30,19 @@ as the smallest; extra columns are ignored.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import map_batches, staged
+from .common import Stages, map_batches
 
 LENGTH = 50                                  # bytes of a repeat
 ANCHOR = 20                                  # bytes of the string that names a suffix's block
 COVER_MOD = 16
-FILTER_BITS = 1 << 28
+FILTER_BITS = 1 << 29                        # of a bit map at most (64 MB)
+REACH = (LENGTH - ANCHOR) // 2
 BUCKET_ROWS = 20_000                         # contexts in a bucket, about
 BLOCK_ROWS = 50_000                          # contexts of a block that is sorted in one task, at most
 
@@ -88,8 +89,9 @@ def anchor_hashes(data: np.ndarray) -> np.ndarray:
 
 def blocks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Contexts of the texts that ``bounds`` cuts ``data`` into, as (text, block hash, context hash,
-    first suffix in the text, number of suffixes)."""
-    none = (np.zeros(0, np.int64),) * 5
+    first suffix in the text, number of suffixes, hash of the block's string with the ``REACH`` bytes before it,
+    and with those behind it; where no suffix reaches so far, the other one again)."""
+    none = (np.zeros(0, np.int64),) * 7
     if len(data) < LENGTH:
         return none
     h = anchor_hashes(data)
@@ -120,20 +122,33 @@ def blocks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     c = _mix(c * _POWER[4] + h[end - ANCHOR])
     c = _mix(c + ((p - first) * 64 + count).astype(np.uint64))
     text = np.searchsorted(bounds, first, side="right") - 1
-    return text, h[p].view(np.int64), c.view(np.int64), first - bounds[text], count
+    before, behind = p - first >= REACH, p - first - count + 1 <= LENGTH - ANCHOR - REACH
+    left = _mix(h[p] * _POWER[1] + h[np.where(before, p - REACH, p)])
+    right = _mix(h[p] * _POWER[2] + h[np.where(behind, p + REACH, p)])
+    left, right = np.where(before, left, right), np.where(behind, right, left)
+    return text, h[p].view(np.int64), c.view(np.int64), first - bounds[text], count, left.view(np.int64), right.view(np.int64)
 
 
 def _cut(b: pa.RecordBatch, column: str, most: int = 1 << 18):
-    """Buffers of about ``most`` bytes of whole texts: (first row, bytes, bounds)."""
-    col = b.column(column)
-    raw = [x.encode("utf-8", "surrogatepass") if x else b"" for x in col.to_pylist()]
-    start, size = 0, 0
-    for i, x in enumerate(raw):
-        size += len(x)
-        if size >= most or i == len(raw) - 1:
-            part = raw[start:i + 1]
-            yield start, np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)])
-            start, size = i + 1, 0
+    """Buffers of about ``most`` bytes, as (bytes, bounds of the pieces, row and offset of each).  A piece is a whole
+    text, or of a longer one the next ``most`` suffixes with the bytes that the last of them needs."""
+    part, rows, offs, size = [], [], [], 0
+
+    def full():
+        return np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)]), np.array(rows), np.array(offs)
+
+    for i, x in enumerate(b.column(column)):
+        raw = (x.as_py() or "").encode("utf-8", "surrogatepass")
+        for at in range(0, max(1, len(raw) - LENGTH + 1), most):
+            part.append(raw[at:at + most + LENGTH - 1])
+            rows.append(i)
+            offs.append(at)
+            size += len(part[-1])
+            if size >= most:
+                yield full()
+                part, rows, offs, size = [], [], [], 0
+    if part:
+        yield full()
 
 
 _LEAST = -(1 << 63)
@@ -144,44 +159,68 @@ def _texts(docs: DataFrame) -> DataFrame:
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rk", F.xxhash64("text"))
 
 
-def _shared_blocks(texts: DataFrame) -> np.ndarray:
-    """Bit map of the blocks that two documents or more have."""
+def _holds(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & (len(bits) * 64 - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def _bit_map(keys: DataFrame) -> np.ndarray:
+    """Bit map of the column ``h``, of a size that goes with the number of rows."""
+    n = min(max(1 << 16, 1 << (4 * keys.count()).bit_length()), FILTER_BITS)
+    at = F.pmod(F.col("h"), F.lit(n))
+    got = (keys.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("bit"))
+           .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
+    bits = np.zeros(n // 64, np.int64)
+    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return bits.view(np.uint64)
+
+
+def _met_twice(texts: DataFrame, keys, work: Stages, name: str) -> np.ndarray:
+    """Bit map of the keys that two documents or more have; ``keys`` gives (piece, key) of a buffer."""
     def one(b):
-        out = []
+        out = [np.zeros((2, 0), np.int64)]
         ids = np.asarray(b.column("id"))
-        for row, data, bounds in _cut(b, "text"):
-            t, h, *_ = blocks(data, bounds)
-            out.append(np.stack([h, ids[row + t]]))
+        for data, bounds, rows, _ in _cut(b, "text"):
+            t, h = keys(data, bounds)
+            out.append(np.stack([h, ids[rows[t]]]))
         x = np.concatenate(out, axis=1)
-        order = np.lexsort(x[::-1])
-        h, d = x[:, order]
+        h, d = x[:, np.lexsort(x[::-1])]
         if not len(h):
             return None
         head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         tail = np.r_[head[1:], len(h)] - 1
         return pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(d[head]), pa.array(d[tail])], ["h", "lo", "hi"])
 
-    seen = (map_batches(texts, one, "h bigint, lo bigint, hi bigint").groupBy("h")
-            .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi"))
-    at = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    got = (seen.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("bit"))
-           .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return bits.view(np.uint64)
+    seen = map_batches(texts, one, "h bigint, lo bigint, hi bigint").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    bits = _bit_map(work.write(seen.where("lo < hi").select("h"), name))
+    work.drop(name)
+    return bits
+
+
+def _contexts(texts: DataFrame, work: Stages) -> DataFrame:
+    """``h, c, id, rk, first, count`` of every context in a block that two documents share, where one side of the
+    block's string is shared as well."""
+    def block(data, bounds):
+        t, h, *_ = blocks(data, bounds)
+        return t, h
+
+    context = texts.sparkSession.sparkContext.broadcast
+    shared = context(_met_twice(texts, block, work, "suffix-blocks"))
 
+    def sides(data, bounds):
+        t, h, _, _, _, left, right = blocks(data, bounds)
+        k = np.flatnonzero(_holds(shared.value, h))
+        return np.r_[t[k], t[k]], np.r_[left[k], right[k]]
 
-def _contexts(texts: DataFrame, shared: np.ndarray) -> DataFrame:
-    """``h, c, id, rk, first, count`` of every context in a block that the bit map holds."""
-    share = texts.sparkSession.sparkContext.broadcast(shared)
+    beside = context(_met_twice(texts, sides, work, "suffix-sides"))
 
     def one(b):
-        bits, out = share.value, []
-        for row, data, bounds in _cut(b, "text"):
-            t, h, c, first, count = blocks(data, bounds)
-            at = h & (FILTER_BITS - 1)
-            k = np.flatnonzero((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1))
-            out.append(np.stack([h[k], c[k], row + t[k], first[k], count[k]]))
+        out = []
+        for data, bounds, rows, offs in _cut(b, "text"):
+            t, h, c, first, count, left, right = blocks(data, bounds)
+            k = np.flatnonzero(_holds(shared.value, h))
+            k = k[_holds(beside.value, left[k]) | _holds(beside.value, right[k])]
+            out.append(np.stack([h[k], c[k], rows[t[k]], first[k] + offs[t[k]], count[k]]))
         h, c, t, first, count = np.concatenate(out, axis=1)
         rows = pa.array(t)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), b.column("id").take(rows), b.column("rk").take(rows),
@@ -276,7 +315,7 @@ def _runs(table, row, k, first):
                     names=["id", "rk", "s", "e"])
 
 
-def _large(ctx: DataFrame) -> DataFrame:
+def _large(ctx: DataFrame, work: Stages) -> DataFrame:
     """The same for blocks too large for a task: every suffix dealt out by a 128-bit hash of its content."""
     from hashlib import blake2b
 
@@ -292,32 +331,26 @@ def _large(ctx: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("rk").take(at), pa.array(s, pa.int64()),
                                            pa.array(names, pa.binary())], ["id", "rk", "s", "name"])
 
-    w = staged(map_batches(ctx, one, "id bigint, rk bigint, s bigint, name binary"), "suffix-large")
+    w = work.write(map_batches(ctx, one, "id bigint, rk bigint, s bigint, name binary"), "suffix-large")
     least = w.groupBy("name").agg(F.min("id").alias("least"))
     return w.join(least, "name").where("id > least").select("id", "rk", "s", (F.col("s") + LENGTH).alias("e"))
 
 
-def release(spark) -> None:
-    """Let Spark drop the shuffle files of finished phases now: they count as disk until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def removed_spans(docs: DataFrame) -> DataFrame:
     """``id, rk, s, e``: byte spans inside repeats, per text (``rk`` is its hash); they may overlap."""
     spark, texts = docs.sparkSession, _texts(docs)
     ship_package(spark)
-    shared = _shared_blocks(texts)
-    release(spark)
-    rows = staged(_contexts(texts, shared), "suffix-contexts")
+    work = Stages(spark)
+    rows = work.write(_contexts(texts, work), "suffix-contexts")
     # written first: a join whose side is still being aggregated in the same stage cannot be split where a key is hot
-    least = staged(rows.groupBy("h", "c").agg(F.min("id").alias("least")), "suffix-least")
-    found = staged(rows.join(least, ["h", "c"]).withColumn("later", F.col("id") > F.col("least")).drop("least"), "suffix-judged")
-    release(spark)
+    least = work.write(rows.groupBy("h", "c").agg(F.min("id").alias("least")), "suffix-least")
+    found = work.write(rows.join(least, ["h", "c"]).withColumn("later", F.col("id") > F.col("least")).drop("least"), "suffix-judged")
+    work.drop("suffix-contexts")
     end = F.col("first") + F.col("count") - 1 + LENGTH
     spans = found.where("later").select("id", "rk", F.col("first").alias("s"), end.alias("e"))
     own = found.where("not later")
-    several = staged(least.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-several")
+    several = work.write(least.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "suffix-several")
+    work.drop("suffix-least")
     left = own.join(several, "h")
     need = left.groupBy("id", "rk").agg(F.collect_set(F.struct("h", "first", "count", "n")).alias("need"))
 
@@ -333,14 +366,16 @@ def removed_spans(docs: DataFrame) -> DataFrame:
                                            pa.array(first, pa.int64()), pa.array(count, pa.int64()), pa.array(n, pa.int64())],
                                           ["id", "rk", "h", "ctx", "first", "count", "n"])
 
-    ctx = staged(map_batches(texts.join(need, ["id", "rk"]).select("id", "rk", "text", "need"), cut,
+    ctx = work.write(map_batches(texts.join(need, ["id", "rk"]).select("id", "rk", "text", "need"), cut,
                              "id bigint, rk bigint, h bigint, ctx binary, first bigint, count bigint, n bigint"), "suffix-left")
-    release(spark)
+    work.drop("suffix-several")
     small = ctx.where(F.col("n") <= BLOCK_ROWS)
     buckets = int(small.count() // BUCKET_ROWS) + 1
     sorted_ = (small.select(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("bucket"), "id", "rk", "ctx", "first", "count")
                .groupBy("bucket").applyInArrow(_sort_bucket, _SPANS))
-    return spans.unionByName(sorted_).unionByName(_large(ctx.where(F.col("n") > BLOCK_ROWS)))
+    out = work.write(spans.unionByName(sorted_).unionByName(_large(ctx.where(F.col("n") > BLOCK_ROWS), work)), "suffix-spans")
+    work.drop("suffix-judged", "suffix-left", "suffix-large")
+    return out
 
 
 def _keep(text: str, spans) -> tuple[int, int, int, bytes]:
