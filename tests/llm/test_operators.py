@@ -68,6 +68,18 @@ def test_suffix_dedup_matches_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_long_texts_are_cut_into_pieces_of_whole_suffixes():
+    import pyarrow as pa
+    texts = ["é" * 700, None, "", "abc", "xy" * 400, "z" * 149, "z" * 150]
+    got = []
+    for data, bounds, rows, offs in suffix_dedup._cut(pa.record_batch({"text": texts}), "text", 100):
+        for k, (row, off) in enumerate(zip(rows, offs)):
+            piece = data[bounds[k]:bounds[k + 1]].tobytes()
+            got += [(row, off + i, piece[i:i + 50]) for i in range(len(piece) - 49)]
+    raw = [(t or "").encode() for t in texts]
+    assert got == [(k, i, b[i:i + 50]) for k, b in enumerate(raw) for i in range(len(b) - 49)]
+
+
 def test_sort_suffixes_classes():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 99, 3000, dtype=np.uint8)
