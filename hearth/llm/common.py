@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
@@ -25,21 +25,27 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def text_hash() -> Column:
+    """Tells rows of one ``doc_id`` apart by their text."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def _write(df: DataFrame, path: str) -> None:
+def _write(df: DataFrame, path: str, options: dict | None = None) -> None:
     """Write ``df`` as Parquet; Spark deletes the shuffle files of this one execution when it has ended."""
     conf = df.sparkSession.conf
     before = conf.get(_CLEAN, None)
     conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**(options or {})).parquet(path)
     finally:
         conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the folder named by ``spark.checkpoint.dir`` and read it back.
 
     The result survives lost executors and is never computed twice, and Spark plans what follows
@@ -47,7 +53,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _write(df, path)
+    _write(df, path, options)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -106,11 +112,11 @@ def slices(b: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator
 
 
 #: One byte per byte: A-Z lowered, every ASCII byte that is no letter or digit made a space.
-_WORD_TABLE = bytes(
+WORD_TABLE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
     for c in range(256))
 
 
 def words(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) runs of ASCII letters, digits and all non-ASCII characters, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").translate(_WORD_TABLE).split() if text else []
+    return text.encode("utf-8", "surrogatepass").translate(WORD_TABLE).split() if text else []

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import _WORD_TABLE, staged, texts, words
+from .common import WORD_TABLE, staged, texts, words
 from .wordwise import numbered, pieces_of, ragged
 
 BLOCK_BYTES = 4 << 20
@@ -90,7 +90,7 @@ def term_vectors(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
         for b in batches:
             col = b.column(1)
             for s, e in pieces_of(col, PART_BYTES):
-                data = [(t or "").encode().translate(_WORD_TABLE) for t in col.slice(s, e - s).to_pylist()]
+                data = [(t or "").encode().translate(WORD_TABLE) for t in col.slice(s, e - s).to_pylist()]
                 if e - s > 1 or len(data[0]) <= 2 * PART_BYTES:
                     n, key, freq = _count(data, shared.value)
                 else:                                            # one long text

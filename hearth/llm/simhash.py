@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged, texts
+from .common import map_batches, staged, text_hash, texts
 from .components import components
 
 SHINGLE = 3
@@ -66,12 +66,12 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of every row."""
+    """``doc_id, text_hash, fp`` (signed 64 bits) of every row."""
     def one(b):
         fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fp)], ["doc_id", "text_hash", "fp"])
 
-    return map_batches(texts(docs), one, "doc_id bigint, fp bigint")
+    return map_batches(texts(docs).withColumn("text_hash", text_hash()), one, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _distance(p: int):
@@ -108,14 +108,22 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row."""
+    """``doc_id, text_hash, fp, component_id`` of every row, and ``root``, a fingerprint that names its component (two components
+    may have one ``component_id`` where rows of an equal ``doc_id`` differ, or where all ids are null)."""
     f = staged(fingerprints(docs), "simhash")
     first = staged(f.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     comp = components(links(first))
     root = first.join(comp.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "doc_id")
     least = root.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = staged(root.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-components")
-    return f.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = staged(root.select("fp", "root").join(least, "root").select("fp", "root", "component_id"), "simhash-components")
+    return f.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """``doc_id, text_hash`` of one row of each component of :func:`near_duplicates`: the smallest ``doc_id`` that is not
+    null, then the smallest hash."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("r")
+    return found.groupBy("root").agg(least).select("r.doc_id", "r.text_hash")
 
 
 def digest(found: DataFrame) -> DataFrame:

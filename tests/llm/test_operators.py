@@ -229,6 +229,73 @@ def test_decontamination_blocks_agree(spark, monkeypatch):
     assert sum("contaminated=True" in x for x in one) >= 3
 
 
+def _words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+
+
+def _near(words, window):
+    """First word of a stretch of 16 that begins with one of the window's terms and holds four fifths of them."""
+    terms = set(window)
+    need = -(-4 * len(terms) // 5)
+    return next((i for i, w in enumerate(words) if w in terms and len(terms & set(words[i:i + 16])) >= need), None)
+
+
+def test_decontamination_matches_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    vocab = [f"w{k}" for k in range(400)] + ["Ünï", "漢字", "A1b"]
+    bench = [(str(k), " ".join(rng.choices(vocab, k=rng.choice([1, 3, 9, 13, 14, 30])))) for k in range(25)]
+    bench += [("7", "again " + bench[7][1]), (None, " ".join(vocab[:15])), ("99", None), ("98", ""), ("97", "!!"), ("96", "x " * 20)]
+    rows = [(None, "w0 w1"), (1, None), (2, ""), (3, "x " * 300), (3, "x x x"), (4, " ".join(vocab[:40]))]
+    for d in range(100, 200):
+        w = rng.choices(vocab, k=rng.randint(0, 120))
+        for _ in range(rng.randint(0, 3)):                  # a passage: exact, with changed or added words, or mixed up
+            p = _words(rng.choice(bench)[1])
+            kind = rng.randint(0, 3)
+            if kind == 1 and p:
+                p[rng.randrange(len(p))] = "changed"
+            if kind == 2:
+                p.insert(rng.randint(0, len(p)), "added")
+            if kind == 3:
+                rng.shuffle(p)
+            at = rng.randint(0, len(w))
+            w[at:at] = p
+        rows.append((d, rng.choice([" ", ", ", "\n"]).join(w)))
+    want = []
+    for d, t in rows:
+        w, hit, items, near = _words(t), set(), set(), {}
+        for item, text in bench:
+            b = _words(text)
+            for k in range(max(1, len(b) - 12) if b else 0):
+                win = b[k:k + 13]
+                for i in range(len(w) - len(win) + 1):
+                    if w[i:i + len(win)] == win:
+                        hit.update(range(i, i + len(win)))
+                        items.add(item)
+                at = _near(w, win)
+                if item is not None and at is not None:
+                    near[item] = min(near.get(item, at), at)
+        items.discard(None)
+        want.append((d, len(w), len(hit), tuple(sorted(items)), tuple(sorted(near.items()))))
+    monkeypatch.setattr(decontam, "PIECE_BYTES", 50)
+    monkeypatch.setattr(decontam, "CANDIDATES", 40)
+    table = spark.createDataFrame(bench, "item_id string, text string")
+    key = lambda r: str(r)
+    for parts, shard in ((1, 1 << 20), (7, 300)):           # neither partitions nor shards change a match
+        monkeypatch.setattr(decontam, "SHARD_BYTES", shard)
+        index = decontam.stored_index(spark.createDataFrame(rows, DOC).repartition(parts))
+        got = [(r.doc_id, r.n_words, sum(x.e - x.b for x in r.runs), tuple(sorted(set(r["items"]))),
+                tuple(sorted((x.item_id, x.word) for x in r.near))) for r in decontam.matches(index, table).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    assert sum(bool(x[4]) and len(x[4]) > len(x[3]) for x in want) >= 10        # places without an exact phrase
+    done = {(r.doc_id, r.n_words): r for r in decontam.decontaminate(frame(spark, rows), table).collect()}
+    for d, n, hit, items, near in want:
+        r = done[d, n]
+        assert (r.n_hit, r.n_items, r.n_near_items) == (hit, len(items), len({i for i, _ in near} - set(items)))
+        assert r.items_sha256 == hashlib.sha256(",".join(items).encode()).hexdigest()
+        assert r.near_sha256 == hashlib.sha256(",".join(f"{i}:{w}" for i, w in near).encode()).hexdigest()
+        assert r.contaminated == (hit > 0 and 20 * hit >= n)
+
+
 def test_packing_places_and_ids(spark):
     from tokenizers import Tokenizer
     rng = random.Random(9)
@@ -422,3 +489,20 @@ def test_pipeline_stages_follow_their_operators(spark):
             assert len({simhash.fingerprint(t) for t in after.values()}) == len(after)
     packed = P.pack(spark, docs, SF).collect()
     assert {r.doc_id for r in packed} == set(after) <= ids
+
+
+def test_pipeline_stages_tell_rows_apart(spark, tmp_path):
+    import corpus_pipeline as P
+    passage = " ".join(f"q{k}" for k in range(20))
+    spark.createDataFrame([("a", passage)], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    free = [" ".join(f"{w}{k}" for k in range(30)) for w in "abcdefgh"]
+    rows = [(None, passage), (None, free[0]), (None, free[0]), (1, passage), (1, free[1]), (2, free[2]), (2, free[2]),
+            (3, free[2]), (None, free[2]), (4, free[3]), (4, free[4]), (5, None), (6, "")]
+    docs = spark.createDataFrame([(d, t, "en", s, 1) for (d, t), s in zip(rows, "xyxyxyxyxyxyx", strict=True)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    key = lambda x: [(v is None, v) for v in x]
+    got = sorted(((r.doc_id, r.text) for r in P.drop_near_duplicates(spark, docs, str(tmp_path)).collect()), key=key)
+    want = [(1, passage), (1, free[1]), (2, free[2]), (4, free[3]), (4, free[4]), (5, None), (None, free[0])]
+    assert got == sorted(want, key=key)
+    got = sorted(((r.doc_id, r.text) for r in P.drop_contaminated(spark, docs, str(tmp_path)).collect()), key=key)
+    assert got == sorted([x for x in rows if x[1] != passage], key=key)
