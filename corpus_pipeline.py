@@ -3,15 +3,18 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that the stage before kept; all but the
 last return the columns of ``documents``.  Between stages the documents are written as Parquet and
 read again.
+
+Defined results: a row is known by its ``doc_id`` and its text, so rows with a null or a repeated id are
+judged each on their own; equal rows are near duplicates of each other; null and empty texts are one group of near duplicates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearth.llm import decontam, line_dedup, packing, simhash, toxicity
-from hearth.llm.common import DOCUMENT_COLUMNS, load, staged
+from hearth.llm.common import DOCUMENT_COLUMNS, load, staged, text_hash
 
 #: SQL cannot express the stages (trained models, a tokenizer); tests hold each against brute force.
 ORACLE_SQL = None
@@ -29,17 +32,27 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("bigint"))).select(*DOCUMENT_COLUMNS)
 
 
+def _keyed(rows: DataFrame) -> DataFrame:
+    """What tells a row apart, under names of its own: its id (0 for none), whether it has one, its text's hash."""
+    return rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn("__null", F.col("doc_id").isNull())
+
+
+_KEY = ["__id", "__null", "__hash"]
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    """Of each group of near duplicates one row stays: that of the smallest id that is not null, then of the smallest text
+    hash; of rows equal in both the first by source, language and length."""
+    kept = _keyed(simhash.representatives(simhash.near_duplicates(docs))).withColumnRenamed("text_hash", "__hash").select(*_KEY)
+    one = Window.partitionBy(*_KEY).orderBy("source", "lang", "n_chars")
+    rows = _keyed(docs).withColumn("__hash", text_hash()).join(kept, _KEY, "left_semi")
+    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*DOCUMENT_COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by benchmark passages go."""
-    gone = decontam.contaminated_ids(docs, load(spark, sf_dir, "benchmark")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    """Documents contaminated by benchmark passages go, each row judged on its own text, with an id or without."""
+    gone = _keyed(decontam.contaminated_rows(docs, load(spark, sf_dir, "benchmark"))).withColumnRenamed("text_hash", "__hash").select(*_KEY)
+    return _keyed(docs).withColumn("__hash", text_hash()).join(gone, _KEY, "left_anti").select(*DOCUMENT_COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
