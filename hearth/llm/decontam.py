@@ -31,7 +31,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .common import WORD_TABLE, map_batches, slices, staged, text_hash
+from .wordwise import give_back
 
 WINDOW = 13
 NEAR_SPAN = 16
@@ -66,6 +68,20 @@ def _word_ids(text: str | None, vocab: dict[bytes, int]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
+def _each(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``mapInArrow`` with ``fn(batch) -> batches``, one a shard: no task holds the results of several; memory that the
+    worker does not need any more is given back after each batch."""
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield from fn(b)
+                give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- the stored index
 
 def _shard_row(s: pa.RecordBatch) -> pa.RecordBatch:
@@ -90,11 +106,7 @@ def build_index(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        text_hash().alias("text_hash"), F.monotonically_increasing_id().alias("row"))
 
-    def many(b):
-        done = [_shard_row(s) for s in slices(b, "text", SHARD_BYTES)]
-        return pa.Table.from_batches(done).combine_chunks().to_batches()[0]
-
-    return map_batches(rows, many, INDEX)
+    return _each(rows, lambda b: map(_shard_row, slices(b, "text", SHARD_BYTES)), INDEX)
 
 
 def stored_index(docs: DataFrame) -> DataFrame:
@@ -329,13 +341,11 @@ def _asked(index: DataFrame, q: Queries) -> DataFrame:
     shared = index.sparkSession.sparkContext.broadcast(q)
 
     def one(b):
-        done = []
         for k in range(b.num_rows):
             row = {c: b.column(c)[k].as_py() for c in ("shard", "doc_id", "text_hash", "n_words", "starts", "positions")}
-            done.append(_search(row, b.column("terms")[k].values, shared.value))
-        return pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+            yield _search(row, b.column("terms")[k].values, shared.value)
 
-    return map_batches(index, one, MATCHES)
+    return _each(index, one, MATCHES)
 
 
 def matches(index: DataFrame, benchmark: DataFrame) -> DataFrame:
