@@ -245,16 +245,17 @@ def _refined(rows: DataFrame) -> DataFrame:
     """The rows one step further: the pieces are cut into segments again, of which one is unchanged; it joins the
     key, and what lies beside it stays to be compared.  ``done``: what stays is too short to be cut."""
     opt = lambda i, j, t: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.lit(t) if isinstance(t, int) else t).alias("t"))
-    two = F.array(opt(0, 0, 0), *[opt(1, 0, t) for t in (-1, 0, 1)], opt(2, 0, F.col("p.d")))
-    two = F.filter(two, lambda x: (x["i"] != 1) | (F.abs(F.col("p.d") - x["t"]) <= 1))
-    one = F.array(*[opt(i, j, 0) for i in (0, 1) for j in (0, 1)])
     part = lambda s, n: F.substring(F.col("line"), s, n)
     struct = lambda s, n, d: F.struct(s.cast("int").alias("s"), n.cast("int").alias("n"), d.cast("int").alias("d"))
+    m = F.col("p.n") - F.col("p.d")
+
+    def inside(x):                                   # the place lies in the piece and leaves edits enough for both sides
+        o, size = _segment(m, x["i"], 3)
+        return (o + x["t"] >= 0) & (o + x["t"] + size <= F.col("p.n")) & ((x["i"] != 1) | (F.abs(F.col("p.d") - x["t"]) <= 1))
 
+    two = F.filter(F.array(opt(0, 0, 0), *[opt(1, 0, t) for t in (-1, 0, 1)], opt(2, 0, F.col("p.d"))), inside)
     a = rows.where("b = 2").select("*", F.explode(two).alias("x")).select("*", "x.i", "x.t")
-    m = F.col("p.n") - F.col("p.d")
     a = a.select("*", *_segment(m, F.col("i"), 3)).withColumn("o", F.col("o") + F.col("t"))
-    a = a.where((F.col("o") >= 0) & (F.col("o") + F.col("size") <= F.col("p.n")))
     left = struct(F.col("p.s"), F.col("o"), F.col("t"))
     right = struct(F.col("p.s") + F.col("o") + F.col("size"), F.col("p.n") - F.col("o") - F.col("size"), F.col("p.d") - F.col("t"))
     none = struct(F.lit(1), F.lit(0), F.lit(0))
@@ -263,15 +264,15 @@ def _refined(rows: DataFrame) -> DataFrame:
                  F.when(F.col("i") == 0, right).otherwise(left).alias("p"), F.when(F.col("i") == 1, right).otherwise(none).alias("q"),
                  F.when(F.col("i") > 0, F.floor(m / 3).cast("int")).alias("u"), F.lit(None).cast("int").alias("v"))
 
-    c = rows.where("b = 1").select("*", F.explode(one).alias("x")).select("*", "x.i", "x.j")
     half = lambda x: F.floor((F.col(f"{x}.n") - F.col(f"{x}.d")) / 2).cast("int")
-    c = c.select("*", half("p").alias("p0"), half("q").alias("q0"))
-    fits = lambda x, i: F.when(F.col(i) == 0, F.col(f"{x}0") <= F.col(f"{x}.n")).otherwise(F.col(f"{x}0") + F.col(f"{x}.d") >= 0)
+    c = rows.where("b = 1").select("*", half("p").alias("p0"), half("q").alias("q0"))
+    fits = lambda x, i: F.when(i == 0, F.col(f"{x}0") <= F.col(f"{x}.n")).otherwise(F.col(f"{x}0") + F.col(f"{x}.d") >= 0)
+    one = F.filter(F.array(*[opt(i, j, 0) for i in (0, 1) for j in (0, 1)]), lambda x: fits("p", x["i"]) & fits("q", x["j"]))
+    c = c.select("*", F.explode(one).alias("x")).select("*", "x.i", "x.j")
     same = lambda x, i: F.when(F.col(i) == 0, part(F.col(f"{x}.s"), F.col(f"{x}0"))).otherwise(
         part(F.col(f"{x}.s") + F.col(f"{x}0") + F.col(f"{x}.d"), F.col(f"{x}.n") - F.col(f"{x}.d") - F.col(f"{x}0")))
     rest = lambda x, i: F.when(F.col(i) == 0, struct(F.col(f"{x}.s") + F.col(f"{x}0"), F.col(f"{x}.n") - F.col(f"{x}0"), F.col(f"{x}.d"))).otherwise(
         struct(F.col(f"{x}.s"), F.col(f"{x}0") + F.col(f"{x}.d"), F.col(f"{x}.d")))
-    c = c.where(fits("p", "i") & fits("q", "j"))
     c = c.select(F.xxhash64("key", "i", "j", same("p", "i"), same("q", "j")).alias("key"), "own", "h", "line", "b",
                  rest("p", "i").alias("p"), rest("q", "j").alias("q"),
                  F.when(F.col("i") == 1, F.col("p0")).alias("u"), F.when(F.col("j") == 1, F.col("q0")).alias("v"))
