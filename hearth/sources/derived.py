@@ -161,14 +161,25 @@ def fee_categories(part: DataFrame) -> DataFrame:
     ), "fee_categories")
 
 
+ROWS_A_TASK = 200_000        # lines that one task joins and groups, about
+
+
+def tasks_for(rows: int, rows_a_task: int) -> int:
+    """How many tasks ``rows`` are dealt to, so that a task's share does not grow with the table."""
+    return max(1, -(-rows // rows_a_task))
+
+
 def fee_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """One bill per order and line number (equal pairs are summed), so ``fee_id`` is unique at any size.
 
-    A sort-merge join leaves the rows partitioned by order key, which the grouping reuses.
+    Both tables are dealt out by order key, to as many tasks as the lines ask for (their count is read from
+    the Parquet footers): a task sorts its share for the join and for the grouping, which reuses the dealing,
+    and the session's number of shuffle partitions does not bound that share.
     """
+    n = tasks_for(lineitem.count(), ROWS_A_TASK)
     li = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag",
-                         "l_linestatus", "l_shipdate")
-    od = orders.select("o_orderkey", "o_custkey")
+                         "l_linestatus", "l_shipdate").where("l_orderkey is not null").repartition(n, "l_orderkey")
+    od = orders.select("o_orderkey", "o_custkey").where("o_orderkey is not null").repartition(n, "o_orderkey")
     x = li.join(od, li.l_orderkey == od.o_orderkey, "inner").groupBy("l_orderkey", "l_linenumber", "o_custkey").agg(
         F.sum(F.col("l_extendedprice").cast("decimal(10,2)")).alias("l_extendedprice"),
         *[F.min(c).alias(c) for c in ("l_partkey", "l_returnflag", "l_linestatus", "l_shipdate")])
