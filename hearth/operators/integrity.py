@@ -3,7 +3,8 @@
 Each rule returns the violating rows (or a count per column), never an
 error.  All rules are driven by the declared schema in :mod:`hearth.schemas`
 and read every table whole; each rule on each table is one Spark SQL
-statement over the table's DataFrame (``spark.sql(text, t=df)``).
+statement over the table's DataFrame (``spark.sql(text, t=df)``), but for I1,
+which counts the keys of all tables at once.
 Group-based rules aggregate partially before their shuffle, so a key held by
 a third of all rows costs one partial row per map task; a reference check is
 one anti join, whose child side AQE splits where a foreign key is hot.
@@ -13,12 +14,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .. import schemas as S
+from ..sources.derived import LazyTables, tasks_for
 
 # Case-, accent- and trailing-space-insensitive comparison, as the reference's collation.
 COLLATION = "UNICODE_CI_AI_RTRIM"
+KEYS_A_TASK = 1_000_000        # keys that one task counts, about
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -30,10 +34,27 @@ def _sql(df: DataFrame, text: str, **frames) -> DataFrame:
 
 
 def pk_duplicates(t) -> DataFrame:
-    """(table_name, key_value, n) for keys held by more than one row, or null keys."""
-    return _union([_sql(t[n], f"""
-        SELECT '{n}' AS table_name, {s.key} AS key_value, count(*) AS n FROM {{t}}
-        GROUP BY {s.key} HAVING count(*) > 1 OR {s.key} IS NULL""") for n, s in S.TABLES.items()])
+    """(table_name, key_value, n) for keys held by more than one row, or null keys.
+
+    The keys of all tables are counted in one grouping: a grouping per table under one union may run side by side in
+    the same task, which then holds the groups of every table.  Each Arrow batch counts its keys before the shuffle, so
+    a key that very many rows hold costs one row a batch; the shuffle deals the counts to as many tasks as the rows ask
+    for (Spark's choice, where the tables do not know their size).
+    """
+    names = list(S.TABLES)
+    keys = _union([_sql(t[n], f"SELECT {i} AS at, CAST({S.TABLES[n].key} AS BIGINT) AS key_value FROM {{t}}") for i, n in enumerate(names)])
+
+    def counted(batches):
+        for b in batches:
+            c = pa.Table.from_batches([b]).group_by(["at", "key_value"]).aggregate([([], "count_all")])
+            yield from c.select(["at", "key_value", "count_all"]).rename_columns(["at", "key_value", "m"]).to_batches()
+
+    rows = t.rows() if isinstance(t, LazyTables) else None
+    tasks = [] if rows is None else [tasks_for(rows, KEYS_A_TASK)]
+    counts = keys.mapInArrow(counted, "at int, key_value bigint, m bigint").repartition(*tasks, "at", "key_value")
+    return _sql(counts, f"""
+        SELECT element_at(array({", ".join(repr(n) for n in names)}), at + 1) AS table_name, key_value, sum(m) AS n FROM {{t}}
+        GROUP BY at, key_value HAVING sum(m) > 1 OR key_value IS NULL""")
 
 
 def unique_violations(t) -> DataFrame:

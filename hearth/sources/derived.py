@@ -278,11 +278,14 @@ def visitor_records(events: DataFrame) -> DataFrame:
 
 
 class LazyTables(Mapping):
-    """A read-only table mapping whose entries are built on first use and then reused."""
+    """A read-only table mapping whose entries are built on first use and then reused.
 
-    def __init__(self, builders: dict[str, Callable[[], DataFrame]]):
+    ``rows()``: about how many rows all tables have, to size shuffles by (None: not known)."""
+
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]], rows: Callable[[], int | None] = lambda: None):
         self._builders = builders
         self._built: dict[str, DataFrame] = {}
+        self.rows = rows
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -300,8 +303,13 @@ def derive_estate(spark: SparkSession, base: Mapping[str, DataFrame]) -> LazyTab
     """All thirteen estate tables from the provided base tables.
 
     Lazy twice over: a table is only planned when a job asks for it, and
-    nothing runs until the job's result is written.
+    nothing but the counts that shuffles are sized by (from the Parquet
+    footers) runs until the job's result is written.
     """
+    def rows() -> int:
+        # residents, rooms and vehicles come from the customers; the other tables have one source each
+        return sum((3 if n == "customer" else 1) * base[n].count() for n in BASE_TABLES)
+
     return LazyTables({
         "buildings": lambda: buildings(spark, base["region"]),
         "units": lambda: units(spark, base["nation"]),
@@ -316,4 +324,4 @@ def derive_estate(spark: SparkSession, base: Mapping[str, DataFrame]) -> LazyTab
         "complaints": lambda: complaints(base["events"]),
         "announcements": lambda: announcements(base["events"]),
         "visitor_records": lambda: visitor_records(base["events"]),
-    })
+    }, rows)

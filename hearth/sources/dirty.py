@@ -40,7 +40,12 @@ def dirty_estate(t) -> LazyTables:
     """Every estate table unioned with its damaged twin (lazy)."""
     def build(n):
         return lambda: t[n].select(*S.TABLES[n].names).unionByName(twin(t[n], n))
-    return LazyTables({n: build(n) for n in S.TABLES})
+
+    def rows():
+        clean = t.rows() if isinstance(t, LazyTables) else None
+        return None if clean is None else 2 * clean
+
+    return LazyTables({n: build(n) for n in S.TABLES}, rows)
 
 
 def twin_exprs(table: str, dialect: str) -> list[str]:

@@ -6,8 +6,11 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from hearth import schemas as S
+from hearth.operators import integrity as I
 from hearth.sources import derived
-from hearth.sources.derived import BASE_SCHEMAS
+from hearth.sources.derived import BASE_SCHEMAS, LazyTables
+from hearth.sources.dirty import dirty_estate
 
 
 def lines(spark):
@@ -28,3 +31,36 @@ def test_bills_are_dealt_by_their_number(spark, monkeypatch):
             want[10 * o + min(k, 5)] += k * (2 if o == 7 else 1)
     assert {r.fee_id: r.amount for r in got} == want and len(got) == len(want) == 500
     assert max(Counter(r.task for r in got).values()) <= 125          # in one task before, as AQE joined its partitions
+
+
+def estate(spark, rows):
+    def table(n):
+        spec = S.TABLES[n]
+        keys = spark.range(1, 9) if n != "fee_records" else spark.range(30_000).select(
+            F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(F.col("id")).alias("id"))
+        return derived.conform(keys.withColumnRenamed("id", spec.key), n)
+    return LazyTables({n: lambda n=n: table(n) for n in S.TABLES}, rows)
+
+
+def test_keys_of_all_tables_are_counted_in_one_grouping(spark, monkeypatch):
+    monkeypatch.setattr(I, "KEYS_A_TASK", 1000)
+    nulls = sum(i % 3 != 0 for i in range(1, 30_000, 1000))
+    want = {("fee_records", 5): 10_001, ("fee_records", None): nulls}
+    for rows, tasks in ((lambda: 30_000, 30), (lambda: None, 8)):
+        found = I.pk_duplicates(estate(spark, rows))
+        assert {(r.table_name, r.key_value): r.n for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f", {tasks}), REPARTITION") >= 1 and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_a_dirty_estate_has_twice_the_rows(spark):
+    assert dirty_estate(estate(spark, lambda: 40)).rows() == 80
+    assert dirty_estate(dict(estate(spark, lambda: 40))).rows() is None
+
+
+def test_a_key_of_very_many_rows_is_counted_before_the_shuffle(spark):
+    t = estate(spark, lambda: None)
+    t._built["fee_records"] = derived.conform(spark.range(0, 200_000, 1, 2).select(F.lit(5).alias("fee_id")), "fee_records")
+    found = I.pk_duplicates(t)
+    assert [(r.key_value, r.n) for r in found.collect()] == [(5, 200_000)]
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
