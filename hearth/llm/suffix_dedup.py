@@ -88,10 +88,9 @@ def anchor_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def blocks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Contexts of the texts that ``bounds`` cuts ``data`` into, as (text, block hash, context hash,
-    first suffix in the text, number of suffixes, hash of the block's string with the ``REACH`` bytes before it,
-    and with those behind it; where no suffix reaches so far, the other one again)."""
-    none = (np.zeros(0, np.int64),) * 7
+    """Contexts of the texts that ``bounds`` cuts ``data`` into, as (hashes of all anchors, text, block hash, first
+    suffix in ``data``, number of suffixes)."""
+    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)
     if len(data) < LENGTH:
         return none
     h = anchor_hashes(data)
@@ -112,21 +111,36 @@ def blocks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     first, count = first[ok], count[ok]
     if not len(first):
         return none
-    p = np.empty(len(first), np.int64)       # leftmost place of the least hash
+    text = np.searchsorted(bounds, first, side="right") - 1
+    return h, text, m[first].view(np.int64), first, count
+
+
+def places(h: np.ndarray, block: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where in ``data`` each context's block string is: the leftmost place of the least hash."""
+    p = np.empty(len(first), np.int64)
+    least = block.view(np.uint64)
     for k in range(0, len(first), 1 << 14):
         f = first[k:k + (1 << 14)]
-        p[k:k + (1 << 14)] = f + (h[f[:, None] + np.arange(_PLACES)] == m[f][:, None]).argmax(axis=1)
-    end = first + count - 1 + LENGTH
-    c = _mix(h[first] * _POWER[1] + h[first + ANCHOR])
-    c = _mix(c * _POWER[2] + h[end - 2 * ANCHOR])
-    c = _mix(c * _POWER[4] + h[end - ANCHOR])
-    c = _mix(c + ((p - first) * 64 + count).astype(np.uint64))
-    text = np.searchsorted(bounds, first, side="right") - 1
+        p[k:k + (1 << 14)] = f + (h[f[:, None] + np.arange(_PLACES)] == least[k:k + (1 << 14)][:, None]).argmax(axis=1)
+    return p
+
+
+def sides(h: np.ndarray, p: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the block's string with the ``REACH`` bytes before it, and with those behind it; where no suffix reaches
+    so far, the other one again."""
     before, behind = p - first >= REACH, p - first - count + 1 <= LENGTH - ANCHOR - REACH
     left = _mix(h[p] * _POWER[1] + h[np.where(before, p - REACH, p)])
     right = _mix(h[p] * _POWER[2] + h[np.where(behind, p + REACH, p)])
     left, right = np.where(before, left, right), np.where(behind, right, left)
-    return text, h[p].view(np.int64), c.view(np.int64), first - bounds[text], count, left.view(np.int64), right.view(np.int64)
+    return left.view(np.int64), right.view(np.int64)
+
+
+def context_hash(h: np.ndarray, p: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    end = first + count - 1 + LENGTH
+    c = _mix(h[first] * _POWER[1] + h[first + ANCHOR])
+    c = _mix(c * _POWER[2] + h[end - 2 * ANCHOR])
+    c = _mix(c * _POWER[4] + h[end - ANCHOR])
+    return _mix(c + ((p - first) * 64 + count).astype(np.uint64)).view(np.int64)
 
 
 def _cut(b: pa.RecordBatch, column: str, most: int = 1 << 18):
@@ -183,13 +197,14 @@ def _met_twice(texts: DataFrame, keys, work: Stages, name: str) -> np.ndarray:
         for data, bounds, rows, _ in _cut(b, "text"):
             t, h = keys(data, bounds)
             out.append(np.stack([h, ids[rows[t]]]))
-        x = np.concatenate(out, axis=1)
-        h, d = x[:, np.lexsort(x[::-1])]
+        h, d = np.concatenate(out, axis=1)
         if not len(h):
             return None
+        o = np.argsort(h)
+        h, d = h[o], d[o]
         head = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        tail = np.r_[head[1:], len(h)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(d[head]), pa.array(d[tail])], ["h", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(np.minimum.reduceat(d, head)), pa.array(np.maximum.reduceat(d, head))],
+                                          ["h", "lo", "hi"])
 
     seen = map_batches(texts, one, "h bigint, lo bigint, hi bigint").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     bits = _bit_map(work.write(seen.where("lo < hi").select("h"), name))
@@ -201,26 +216,33 @@ def _contexts(texts: DataFrame, work: Stages) -> DataFrame:
     """``h, c, id, rk, first, count`` of every context in a block that two documents share, where one side of the
     block's string is shared as well."""
     def block(data, bounds):
-        t, h, *_ = blocks(data, bounds)
-        return t, h
+        _, t, block, *_ = blocks(data, bounds)
+        return t, block
 
     context = texts.sparkSession.sparkContext.broadcast
     shared = context(_met_twice(texts, block, work, "suffix-blocks"))
 
-    def sides(data, bounds):
-        t, h, _, _, _, left, right = blocks(data, bounds)
-        k = np.flatnonzero(_holds(shared.value, h))
-        return np.r_[t[k], t[k]], np.r_[left[k], right[k]]
+    def of_shared(data, bounds):
+        """The contexts in shared blocks only, and where their blocks' strings are."""
+        h, *rows = blocks(data, bounds)
+        k = np.flatnonzero(_holds(shared.value, rows[1]))
+        t, block, first, count = (x[k] for x in rows)
+        return h, t, block, first, count, places(h, block, first)
+
+    def beside_keys(data, bounds):
+        h, t, _, first, count, p = of_shared(data, bounds)
+        return np.r_[t, t], np.r_[sides(h, p, first, count)]
 
-    beside = context(_met_twice(texts, sides, work, "suffix-sides"))
+    beside = context(_met_twice(texts, beside_keys, work, "suffix-sides"))
 
     def one(b):
         out = []
         for data, bounds, rows, offs in _cut(b, "text"):
-            t, h, c, first, count, left, right = blocks(data, bounds)
-            k = np.flatnonzero(_holds(shared.value, h))
-            k = k[_holds(beside.value, left[k]) | _holds(beside.value, right[k])]
-            out.append(np.stack([h[k], c[k], rows[t[k]], first[k] + offs[t[k]], count[k]]))
+            h, *found = of_shared(data, bounds)
+            left, right = sides(h, found[4], found[2], found[3])
+            k = np.flatnonzero(_holds(beside.value, left) | _holds(beside.value, right))
+            t, block, first, count, p = (x[k] for x in found)
+            out.append(np.stack([block, context_hash(h, p, first, count), rows[t], first - bounds[t] + offs[t], count]))
         h, c, t, first, count = np.concatenate(out, axis=1)
         rows = pa.array(t)
         return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), b.column("id").take(rows), b.column("rk").take(rows),
@@ -257,7 +279,10 @@ def sort_suffixes(buf: np.ndarray, start: np.ndarray, length: int = LENGTH) -> n
     if not len(open_):
         return tie
     # ranks of the sample positions that ties can reach, by the bytes between
-    near = np.unique((start[open_][:, None] + np.arange(v)).ravel())
+    reached = np.zeros(len(buf) + v, bool)
+    for k in range(v):
+        reached[start[open_] + k] = True
+    near = np.flatnonzero(reached)
     sample = near[_IN_COVER[near % v]]
     cols = [_word(buf, sample + k) for k in range(0, deep - 7, 8)]
     if deep % 8:

@@ -80,6 +80,24 @@ def test_long_texts_are_cut_into_pieces_of_whole_suffixes():
     assert got == [(k, i, b[i:i + 50]) for k, b in enumerate(raw) for i in range(len(b) - 49)]
 
 
+def test_places_of_blocks_are_found_apart():
+    """A context's block is known without its place, which is looked for only where the block is shared."""
+    rng = np.random.default_rng(3)
+    for data in (rng.integers(97, 100, 2000).astype(np.uint8), np.full(400, 97, np.uint8)):
+        bounds = np.array([0, 0, 30, 49, 99, 300, len(data)])
+        h, text, block, first, count = suffix_dedup.blocks(data, bounds)
+        p = suffix_dedup.places(h, block, first)
+        assert (h[p].view(np.int64) == block).all() and (bounds[text] <= first).all()
+        want = [(s, e - suffix_dedup.LENGTH) for s, e in zip(bounds[:-1], bounds[1:]) if e - s >= suffix_dedup.LENGTH]
+        assert [x for f, n in zip(first, count) for x in range(f, f + n)] == [x for s, e in want for x in range(s, e + 1)]
+        for f, n, at in zip(first, count, p):
+            for k in range(f, f + n):            # the same string names every suffix of a context
+                window = h[k:k + suffix_dedup.LENGTH - suffix_dedup.ANCHOR + 1]
+                assert k + window.argmin() == at
+        some = np.flatnonzero(block & 1)
+        assert (suffix_dedup.places(h, block[some], first[some]) == p[some]).all()
+
+
 def test_sort_suffixes_classes():
     rng = np.random.default_rng(1)
     buf = rng.integers(97, 99, 3000, dtype=np.uint8)
