@@ -18,6 +18,7 @@ DEFAULTS = {
     "spark.sql.parquet.filterPushdown": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.sql.maxMetadataStringLength": "1000",             # plans name a scan's filters whole
 }
 
 
