@@ -76,7 +76,7 @@ def _placed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
 
 def _segment(m: Column, i: Column, k: int) -> tuple[Column, Column]:
     """Offset ``o`` and ``size`` of segment ``i`` of ``k`` in ``m`` characters; ``m % k`` of the last have one more."""
-    base = ((m - m % k) / k).cast("int")
+    base = F.call_function("div", m, F.lit(k)).cast("int")
     over = i - (k - m % k)
     return (base * i + F.greatest(F.lit(0), over)).alias("o"), (base + (over >= 0).cast("int")).alias("size")
 
@@ -86,17 +86,9 @@ def _place_key() -> Column:
 
 
 def _keyed(lines: DataFrame, places: list[tuple[int, int, int]]) -> DataFrame:
-    """``h, key`` for every place: the keys of :func:`_placed` and :func:`_place_key`, made as one array a line, so that
-    only they are multiplied and not the line."""
-    n, k = F.col("n"), EDITS + 1
-
-    def key(less, i, shift):
-        m = n - less
-        o, size = _segment(m, F.lit(i), k)
-        at = o + (shift + 1)
-        return F.when((at >= 1) & (at + size - 1 <= n), F.xxhash64(F.lit(i), m, F.substring(F.col("line"), at, size)))
-
-    return lines.select("h", F.explode(F.array(*[key(*x) for x in places])).alias("key")).where("key is not null")
+    """``h, key`` for every place.  The places are multiplied first and one key is worked out a row: as one array of a key
+    for every place the code of a line is too long for the JVM to compile.  The line is not shuffled."""
+    return _placed(lines, places).select("h", _place_key())
 
 
 _INDEX = [(0, i, 0) for i in range(EDITS + 1)]
@@ -289,7 +281,7 @@ def candidates(lines: DataFrame) -> DataFrame:
 
     A key of more than ``GROUP`` indexed lines makes no pairs; its lines are keyed again by segments
     of what the key leaves, until a key's lines are few or differ in two characters at most."""
-    index, probe = segment_keys(lines), probe_keys(lines)
+    index, probe = staged(segment_keys(lines), "line-index"), probe_keys(lines)       # the index is read twice
     hot = staged(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > GROUP).select("key"), "line-hot")
     few = index.join(_sized(hot), "key", "left_anti").select("key", F.col("h").alias("a"))
     marked = few.unionByName(hot.select("key", F.lit(None).cast("bigint").alias("a")))

@@ -193,6 +193,17 @@ def test_lines_of_frequent_keys_keep_their_links(spark, monkeypatch, group):
     assert line_dedup.candidates(rows).count() < len(out) ** 2 / 30      # all pairs of a family: over len(out) ** 2 / 6
 
 
+def test_the_code_that_makes_the_line_keys_can_be_compiled(spark, capsys):
+    text = "a line of twenty-six letters, and one of forty-six in 文字 and more"
+    rows = line_dedup.lines_of(frame(spark, [(1, text), (2, text[:26])])).select("h", "n", "line")
+    assert line_dedup.probe_keys(rows).distinct().count() == 24 and line_dedup.segment_keys(rows).count() == 6
+    capsys.readouterr()
+    line_dedup.probe_keys(spark.range(3).selectExpr("id AS h", "int(29 + id) AS n", "lpad(id, int(29 + id), 'ab') AS line")).explain("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000               # the JVM leaves longer methods to its interpreter
+
+
+
 def test_simhash_links_all_within_two_bits(spark, monkeypatch):
     assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
     w = [b"a", b"b", b"c", b"d"]
