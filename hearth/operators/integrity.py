@@ -33,6 +33,21 @@ def _sql(df: DataFrame, text: str, **frames) -> DataFrame:
     return df.sparkSession.sql(text, t=df, **frames)
 
 
+def counted(keys: DataFrame, rows: int | None) -> DataFrame:
+    """The keys with ``m``, how many rows hold them: one row for a key in each Arrow batch, dealt to as many tasks as
+    ``rows`` ask for (None: Spark's choice)."""
+    names = keys.columns
+
+    def count(batches):
+        for b in batches:
+            c = pa.Table.from_batches([b]).group_by(names).aggregate([([], "count_all")])
+            yield from c.select([*names, "count_all"]).rename_columns([*names, "m"]).to_batches()
+
+    tasks = [] if rows is None else [tasks_for(rows, KEYS_A_TASK)]
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields]
+    return keys.mapInArrow(count, ", ".join([*types, "m bigint"])).repartition(*tasks, *names)
+
+
 def pk_duplicates(t) -> DataFrame:
     """(table_name, key_value, n) for keys held by more than one row, or null keys.
 
@@ -43,15 +58,7 @@ def pk_duplicates(t) -> DataFrame:
     """
     names = list(S.TABLES)
     keys = _union([_sql(t[n], f"SELECT {i} AS at, CAST({S.TABLES[n].key} AS BIGINT) AS key_value FROM {{t}}") for i, n in enumerate(names)])
-
-    def counted(batches):
-        for b in batches:
-            c = pa.Table.from_batches([b]).group_by(["at", "key_value"]).aggregate([([], "count_all")])
-            yield from c.select(["at", "key_value", "count_all"]).rename_columns(["at", "key_value", "m"]).to_batches()
-
-    rows = t.rows() if isinstance(t, LazyTables) else None
-    tasks = [] if rows is None else [tasks_for(rows, KEYS_A_TASK)]
-    counts = keys.mapInArrow(counted, "at int, key_value bigint, m bigint").repartition(*tasks, "at", "key_value")
+    counts = counted(keys, t.rows() if isinstance(t, LazyTables) else None)
     return _sql(counts, f"""
         SELECT element_at(array({", ".join(repr(n) for n in names)}), at + 1) AS table_name, key_value, sum(m) AS n FROM {{t}}
         GROUP BY at, key_value HAVING sum(m) > 1 OR key_value IS NULL""")

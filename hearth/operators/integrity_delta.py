@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..sources.derived import LazyTables
+from . import integrity as I
 from .integrity import COLLATION
 
 BILL = ("resident_id", "category_id", "fee_period")
@@ -44,8 +46,14 @@ def rules(name: str, tables=None) -> list[Rule]:
     return [Rule("bills", s.name, BILL) for s in specs if s.name == "fee_records"]
 
 
-def group_counts(rule: Rule, rows: DataFrame, sign: int = 1) -> DataFrame:
-    """``k0, k1, .., n``: the rule's groups among ``rows``; of text the smallest spelling stands for its group."""
+def group_counts(rule: Rule, rows: DataFrame, sign: int = 1, size: int | None = None) -> DataFrame:
+    """``k0, k1, .., n``: the rule's groups among ``rows``; of text the smallest spelling stands for its group.
+
+    Nearly every row of a large table (``size`` rows at most, None: not known) is a group of the key rule: these are
+    dealt to as many tasks as the rows ask for, so that no task holds the groups of several tables, or a share that grows."""
+    if rule.name == "pk" and size is not None and size > I.KEYS_A_TASK:
+        keys = rows.select(F.col(rule.columns[0]).alias("k0"))
+        return I.counted(keys, size).groupBy("k0").agg((F.sum("m") * sign).alias("n"))
     if rule.name == "unique":
         rows = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rule.columns))
     keys = [(F.collate(F.col(c), COLLATION) if c in rule.text else F.col(c)).alias(f"g{i}") for i, c in enumerate(rule.columns)]
@@ -88,7 +96,8 @@ def _violations(rule: Rule, counts: DataFrame) -> DataFrame:
 
 def state(name: str, t: Mapping[str, DataFrame]) -> dict[Rule, DataFrame]:
     """The counts of all rules of a kind; to be written and handed to :func:`violations_after` with the next batch."""
-    return {r: group_counts(r, t[r.table]) for r in rules(name)}
+    size = t.rows_of if isinstance(t, LazyTables) and name == "pk" else lambda table: None
+    return {r: group_counts(r, t[r.table], size=size(r.table)) for r in rules(name)}
 
 
 def violations(counts: Mapping[Rule, DataFrame]) -> DataFrame:

@@ -280,12 +280,14 @@ def visitor_records(events: DataFrame) -> DataFrame:
 class LazyTables(Mapping):
     """A read-only table mapping whose entries are built on first use and then reused.
 
-    ``rows()``: about how many rows all tables have, to size shuffles by (None: not known)."""
+    ``rows()``: about how many rows all tables have, ``rows_of(name)``: how many one has at most, to size shuffles
+    by (None: not known)."""
 
-    def __init__(self, builders: dict[str, Callable[[], DataFrame]], rows: Callable[[], int | None] = lambda: None):
+    def __init__(self, builders: dict[str, Callable[[], DataFrame]], rows: Callable[[], int | None] = lambda: None,
+                 rows_of: Callable[[str], int | None] = lambda name: None):
         self._builders = builders
         self._built: dict[str, DataFrame] = {}
-        self.rows = rows
+        self.rows, self.rows_of = rows, rows_of
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -299,6 +301,12 @@ class LazyTables(Mapping):
         return len(self._builders)
 
 
+# The table whose rows an estate table is made of (not the fee categories: these are few).
+SOURCES = {"buildings": "region", "units": "nation", "rooms": "customer", "residents": "customer", "vehicles": "customer",
+           "parking_spaces": "part", "staff": "supplier", "repair_orders": "orders", "fee_records": "lineitem",
+           "complaints": "events", "announcements": "events", "visitor_records": "events"}
+
+
 def derive_estate(spark: SparkSession, base: Mapping[str, DataFrame]) -> LazyTables:
     """All thirteen estate tables from the provided base tables.
 
@@ -324,4 +332,4 @@ def derive_estate(spark: SparkSession, base: Mapping[str, DataFrame]) -> LazyTab
         "complaints": lambda: complaints(base["events"]),
         "announcements": lambda: announcements(base["events"]),
         "visitor_records": lambda: visitor_records(base["events"]),
-    }, rows)
+    }, rows, lambda name: base[SOURCES[name]].count() if name in SOURCES else None)

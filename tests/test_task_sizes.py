@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hearth import schemas as S
 from hearth.operators import integrity as I
+from hearth.operators import integrity_delta as V
 from hearth.sources import derived
 from hearth.sources.derived import BASE_SCHEMAS, LazyTables
 from hearth.sources.dirty import dirty_estate
@@ -64,3 +65,23 @@ def test_a_key_of_very_many_rows_is_counted_before_the_shuffle(spark):
     found = I.pk_duplicates(t)
     assert [(r.key_value, r.n) for r in found.collect()] == [(5, 200_000)]
     assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_key_counts_of_a_large_table_are_dealt_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(I, "KEYS_A_TASK", 1000)
+    t = estate(spark, lambda: None)
+    t.rows_of = lambda name: 30_000 if name == "fee_records" else 8
+    counts = V.state("pk", t)
+    bills = next(c for r, c in counts.items() if r.table == "fee_records")
+    share = bills.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(share) > 8 and max(r["count"] for r in share) < 1500         # 19,971 groups; in one task before, as AQE joined its partitions
+    nulls = sum(i % 3 != 0 for i in range(1, 30_000, 1000))
+    found = V.violations_after(counts, V.violations(counts), {"residents": (t["residents"].where("resident_id = 3"), None)})
+    assert {(r.table_name, r.key_value): r.n for r in found.collect()} == {
+        ("fee_records", 5): 10_001, ("fee_records", None): nulls, ("residents", 3): 2}
+
+
+def test_an_estate_knows_its_tables_sizes(spark):
+    li, od = lines(spark)
+    t = derived.derive_estate(spark, {"lineitem": li, "orders": od})
+    assert (t.rows_of("fee_records"), t.rows_of("repair_orders"), t.rows_of("fee_categories")) == (602, 102, None)
