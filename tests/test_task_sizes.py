@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 from datetime import datetime
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
+from hearth import registry
 from hearth import schemas as S
 from hearth.operators import integrity as I
 from hearth.operators import integrity_delta as V
@@ -85,3 +87,20 @@ def test_an_estate_knows_its_tables_sizes(spark):
     li, od = lines(spark)
     t = derived.derive_estate(spark, {"lineitem": li, "orders": od})
     assert (t.rows_of("fee_records"), t.rows_of("repair_orders"), t.rows_of("fee_categories")) == (602, 102, None)
+
+
+OF_BILLS = ["ledger_after_payments"]
+
+
+@pytest.mark.parametrize("name", OF_BILLS)
+def test_a_query_of_bills_deals_them_by_their_number(spark, monkeypatch, name):
+    li, od = lines(spark)
+    parts = spark.createDataFrame([(k, "p", "b", "SMALL", 1, 800.0 + k) for k in range(6)], BASE_SCHEMAS["part"])
+    base = {n: spark.createDataFrame([], d) for n, d in BASE_SCHEMAS.items()} | {"lineitem": li, "orders": od, "part": parts}
+    found = []
+    for share, tasks in ((50, 13), (100, 7)):
+        monkeypatch.setattr(derived, "ROWS_A_TASK", share)
+        df = registry.jobs()[name](derived.derive_estate(spark, base))
+        assert f", {tasks}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()      # no such dealing before
+        found.append(sorted(map(str, df.collect())))
+    assert found[0] == found[1] and found[0]
