@@ -89,7 +89,7 @@ def test_an_estate_knows_its_tables_sizes(spark):
     assert (t.rows_of("fee_records"), t.rows_of("repair_orders"), t.rows_of("fee_categories")) == (602, 102, None)
 
 
-OF_BILLS = ["ledger_after_payments", "duplicate_bills", "post_payments", "fee_periods"]
+OF_BILLS = ["ledger_after_payments", "duplicate_bills", "post_payments", "fee_periods", "foreign_key_usage"]
 
 
 @pytest.mark.parametrize("name", OF_BILLS)
