@@ -161,7 +161,8 @@ def fee_categories(part: DataFrame) -> DataFrame:
     ), "fee_categories")
 
 
-ROWS_A_TASK = 200_000        # lines that one task joins and groups, about
+ROWS_A_TASK = 200_000            # lines that one task joins and groups, about
+MOST_ROWS_A_TASK = 1_200_000     # and at most, where more tasks would cost the scan more memory
 
 
 def tasks_for(rows: int, rows_a_task: int) -> int:
@@ -169,6 +170,16 @@ def tasks_for(rows: int, rows_a_task: int) -> int:
     return max(1, -(-rows // rows_a_task))
 
 
+def tasks_for_lines(spark: SparkSession, rows: int) -> int:
+    """How many tasks ``rows`` lines are dealt to.
+
+    Up to ``spark.shuffle.sort.bypassMergeThreshold`` tasks a scan writes a line as it reads it; for more, Spark's
+    sorting writer holds what one split deals (about 1 GB of 128 MB).  So there are no more while a share is bearable.
+    """
+    few = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    return max(min(tasks_for(rows, ROWS_A_TASK), few), tasks_for(rows, MOST_ROWS_A_TASK))
+
+
 def fee_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """One bill per order and line number (equal pairs are summed), so ``fee_id`` is unique at any size.
 
@@ -176,7 +187,7 @@ def fee_records(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     the Parquet footers): a task sorts its share for the join and for the grouping, which reuses the dealing,
     and the session's number of shuffle partitions does not bound that share.
     """
-    n = tasks_for(lineitem.count(), ROWS_A_TASK)
+    n = tasks_for_lines(lineitem.sparkSession, lineitem.count())
     li = lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag",
                          "l_linestatus", "l_shipdate").where("l_orderkey is not null").repartition(n, "l_orderkey")
     od = orders.select("o_orderkey", "o_custkey").where("o_orderkey is not null").repartition(n, "o_orderkey")

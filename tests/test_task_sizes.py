@@ -36,6 +36,17 @@ def test_bills_are_dealt_by_their_number(spark, monkeypatch):
     assert max(Counter(r.task for r in got).values()) <= 125          # in one task before, as AQE joined its partitions
 
 
+def test_a_scan_deals_lines_to_no_more_tasks_than_it_writes_unheld(spark):
+    od = lines(spark)[1]
+    n = F.col("id")
+    values = [n % 2**25, n, n, (n % 4).cast("int"), *[F.lit(1.0)] * 4, F.lit("N"), F.lit("F"), F.lit("1998-03-04").cast("timestamp_ntz")]
+    names = [c.split()[0] for c in BASE_SCHEMAS["lineitem"].split(", ")]
+    for rows, tasks in ((30_000_000, 150), (216_000_000, 200), (240_000_000, 200), (480_000_000, 400)):      # 1,080 of 216,000,000 before
+        li = spark.range(rows).select(*[v.alias(c) for c, v in zip(names, values, strict=True)])
+        plan = derived.fee_records(li, od)._jdf.queryExecution().executedPlan().toString()
+        assert f", {tasks}), REPARTITION_BY_NUM" in plan
+
+
 def estate(spark, rows):
     def table(n):
         spec = S.TABLES[n]
